@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import substring_dedup
+from ledgerloom.llm import decontaminate, records, run_length_index, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_index.dedup(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = records.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return encoded.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_substring_dedup,)}
+    return {f.__name__: f for f in (op2_toxicity, op4_run_length_index, op6_binary_records, op8_decontaminate, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm import bytescan
+from ledgerloom.llm.scratch import materialize
 
 NO_ID = (1 << 63) - 1
 RUNS = "anchor long, cover long, key long, doc long, pos long, n long"
@@ -60,11 +61,11 @@ def anchored_runs(rows: DataFrame, span: int, gram: int, by_word: bool) -> DataF
 def repeated_runs(runs: DataFrame, across_docs: bool) -> DataFrame:
     """The runs whose anchor occurs more than once (across_docs: under different document ids).
 
-    Both sides of the semi-join are dealt by anchor; the counts are combined before the shuffle, and a hot
-    anchor's runs are left to adaptive skew handling.
+    The counts are combined before their shuffle and written, so that both sides of the semi-join are plain
+    exchanges by anchor and adaptive execution can split a hot anchor's runs.
     """
     counts = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    counts = counts.filter("lo < hi" if across_docs else "c > 1").select("anchor")
+    counts = materialize(counts.filter("lo < hi" if across_docs else "c > 1").select("anchor"), "anchors")
     return runs.join(counts, "anchor", "left_semi")
 
 

@@ -65,7 +65,9 @@ def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> Da
     texts = rows.select("key", "doc", "text").join(per_key, "key").select("key", "doc", "text", "runs")
     windows = materialize(texts.mapInArrow(_window_hashes(span), "anchor long, window long, cover long, key long, doc long, shift long"), "windows")
     firsts = windows.groupBy("anchor", "window").agg(F.min("doc").alias("lo_doc"), F.max("doc").alias("hi_doc")).filter("lo_doc < hi_doc")
+    firsts = materialize(firsts.select("anchor", "window", "lo_doc"), "firsts")
     later = windows.join(firsts, ["anchor", "window"]).filter("doc > lo_doc").select("anchor", "cover", "doc", "shift").distinct()
+    later = materialize(later, "later")
     # Holds for each run with this content in this document; runs of it in later documents are removed as a whole.
     single = runs.join(later, ["anchor", "cover", "doc"]).select("key", (F.col("pos") + F.col("shift")).alias("lo"), (F.col("pos") + F.col("shift") + span).alias("hi"))
     return whole.unionByName(single)

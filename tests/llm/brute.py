@@ -46,3 +46,42 @@ def byte_repeats(rows, span=200):
         kept = bytes(x for x, g in zip(t, gone) if not g)
         out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def decontaminate(docs, items, span=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words_of = lambda t: word.findall((t or "").translate(lower))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words_of(t)
+        for j in range(max(1, len(w) - span + 1) if w else 0):
+            windows[tuple(w[j : j + span])].add("null" if i is None else str(i))
+    out = []
+    for i, t in docs:
+        w = words_of(t)
+        hit, found = [False] * len(w), set()
+        for n in {len(k) for k in windows}:
+            for j in range(len(w) - n + 1):
+                k = tuple(w[j : j + n])
+                if k in windows:
+                    hit[j : j + n] = [True] * n
+                    found |= windows[k]
+        out.append((i, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit)))
+    return out
+
+
+def records(docs, path, end=2):
+    """docs: (id, text); rows (id, start, n_tokens, crc32) in ascending id order."""
+    import struct
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    out, start = [], 0
+    for i, x in sorted(docs, key=lambda r: (r[0] is None, r[0] or 0)):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [end]
+        out.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    return out
