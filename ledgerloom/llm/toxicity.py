@@ -30,6 +30,7 @@ from ledgerloom.llm.decontaminate import SEPARATORS, TABLE
 BITS = 20
 TRAIN_ROWS = 8000
 EPOCHS = 5
+L1_SCALE = 0.25
 THRESHOLD = 0.3
 HOLD_OUT = 2
 FOLDS = 4
@@ -77,8 +78,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal, one example at a time, in the order given; the bias is not penalised."""
+def fit(features: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float | None = None, l2: float = 1.0, epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal, one example at a time, in the order given; the bias is not penalised.
+
+    l1 is by default L1_SCALE times the root of the number of examples, as the noise in a coordinate's sum grows.
+    """
+    l1 = L1_SCALE * len(features) ** 0.5 if l1 is None else l1
     if not len(features):
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
     n, z = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
