@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, records, run_length_index, substring_dedup, toxicity
+from ledgerloom.llm import decontaminate, near_dedup, records, run_length_index, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op4_run_length_index, op6_binary_records, op8_decontaminate, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op4_run_length_index, op6_binary_records, op8_decontaminate, op9_substring_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

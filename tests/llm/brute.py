@@ -85,3 +85,39 @@ def records(docs, path, end=2):
         out.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
     return out
+
+
+def near_classes(docs, weights_of, threshold=0.8, width=5):
+    """docs: (id, text) with distinct ids; {id: class id}, from all pairs that share a shingle. weights_of: shingle -> factor."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    sets, holders = {}, defaultdict(list)
+    parent = {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    first = {}
+    for i, t in sorted(docs, key=lambda d: d[0]):
+        t = t or ""
+        if t in first:
+            parent[i] = first[t]
+            continue
+        first[t] = i
+        w = word.findall(t.translate(lower))
+        counts = defaultdict(int)
+        for j in range(max(1, len(w) - width + 1) if w else 0):
+            counts[tuple(w[j : j + width])] += 1
+        sets[i] = {s: n * weights_of(s) for s, n in counts.items()}
+        for s in sets[i]:
+            holders[s].append(i)
+    pairs = {(a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k]}
+    for a, b in pairs:
+        x, y = sets[a], sets[b]
+        least = sum(min(v, y.get(s, 0)) for s, v in x.items())
+        if least / (sum(x.values()) + sum(y.values()) - least) >= threshold:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i, _ in docs}
