@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, near_dedup, records, run_length_index, substring_dedup, toxicity
+from ledgerloom.llm import chat, decontaminate, mixing, multi_index, near_dedup, records, run_length_index, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_length_index.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_maximal(_table(spark, sf_dir, "conversations"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -31,6 +44,10 @@ def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.train(url_filter.labelled(spark)))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -44,8 +61,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op4_run_length_index, op6_binary_records, op8_decontaminate, op9_substring_dedup, op10_near_dedup)}
+    found = (
+        op1_multi_index, op2_toxicity, op3_mixing, op4_run_length_index, op5_chat_format,
+        op6_binary_records, op7_url_filter, op8_decontaminate, op9_substring_dedup, op10_near_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": chat.oracle_sql(), "op7_url_filter": url_filter.oracle_sql()}

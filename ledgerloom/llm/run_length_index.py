@@ -10,8 +10,9 @@ runs, with the suffix positions at both ends of each run and the common prefix o
 From these O(runs) samples one pass over the text streams its matching statistics against all the rest, and window
 starts whose statistic reaches span are marked. Equal strings always have equal anchors, so they meet in a bucket.
 
-A bucket's size is bounded: an anchor with more distinct regions than HOT_BYTES leaves the index, and its windows
-are counted one by one in Spark, which is exact too.
+A bucket's size is bounded: the regions of an anchor with more than HOT_BYTES of them are cut into pieces of STEP
+window starts, which are indexed by the bytes that all their windows share; should pieces with one such core exceed
+the bound too, their windows are counted one by one in Spark. Both are exact.
 
 Defined results: null text is empty; empty and short texts are kept; a null id is like any other; each of several
 equal rows is a text of its own, so their long strings repeat; an empty table gives no rows; other columns are not read.
@@ -33,6 +34,7 @@ SPAN = 200
 GRAM = 32
 BUCKET_BYTES = 1 << 19
 HOT_BYTES = 1 << 18
+STEP = 16
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -157,13 +159,13 @@ def repeated_starts(regions: list[bytes], weights: np.ndarray, span: int) -> tup
 def _cut_regions(span: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"anchor": [], "cover": [], "c": [], "hot": [], "region": []}
+            out = {"anchor": [], "cover": [], "c": [], "region": []}
             for text, runs in zip(bytescan.column(batch, "text"), batch.column(1).to_pylist(), strict=True):
                 for run in runs:
-                    for name in ("anchor", "cover", "c", "hot"):
+                    for name in ("anchor", "cover", "c"):
                         out[name].append(run[name])
                     out["region"].append(text[run["pos"] : run["pos"] + run["n"] - 1 + span])
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             if out["anchor"]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
@@ -192,34 +194,88 @@ def _region_windows(span: int):
     return scan
 
 
+def _split_regions(span: int, gram: int):
+    """Cuts regions of one anchor into pieces of STEP window starts, at places counted from the anchor.
+
+    All windows of a piece share its core, the bytes that each of them covers. Equal windows lie at equal places from
+    equal anchors, so they fall into pieces with equal cores.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, covers, counts = (batch.column(i).to_numpy() for i in range(3))
+            out: dict[str, list] = {x: [] for x in ("core", "content", "c", "anchor", "cover", "shift", "region")}
+            for i, region in enumerate(batch.column(3).to_pylist()):
+                rolling = bytescan.of_bytes(np.frombuffer(region, np.uint8))
+                at = int(np.flatnonzero(rolling.windows(gram).view(np.int64) == anchors[i])[0])
+                n = len(region) - span + 1
+                bounds = np.unique(np.concatenate([[0, n], np.arange(at % STEP, n, STEP)]))
+                lo, hi = bounds[:-1], bounds[1:]
+                first = at - -(-(at - lo) // STEP) * STEP  # where the whole piece begins, even if its first windows are another anchor's
+                place = ((first - at) // STEP).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                core = bytescan.mix(rolling.of(first + STEP - 1, first + span) ^ place ^ anchors[i : i + 1].view(np.uint64))
+                content = rolling.of(lo, hi - 1 + span) ^ bytescan.mix((lo - first).astype(np.uint64) * np.uint64(STEP + 1) + (hi - lo).astype(np.uint64))
+                out["core"].append(core.view(np.int64))
+                out["content"].append(content.view(np.int64))
+                for name, value in (("c", counts[i]), ("anchor", anchors[i]), ("cover", covers[i])):
+                    out[name].append(np.full(len(lo), value))
+                out["shift"].append(lo)
+                out["region"] += [region[x : y - 1 + span] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            if out["core"]:
+                yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.binary()) if name == "region" else pa.array(np.concatenate(value)) for name, value in out.items()], list(out))
+
+    return scan
+
+
+def _indexed(regions: DataFrame, span: int, bucket_bytes: int) -> DataFrame:
+    """(anchor, cover, from_shift, to_shift) of repeated window starts, from one index a bucket of anchors."""
+    total = regions.agg(F.sum(F.length("region") + 1)).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // bucket_bytes)))).alias("bucket")
+    return regions.select(bucket, "anchor", "cover", "c", "region").groupBy("bucket").applyInArrow(_index_bucket(span), "anchor long, cover long, from_shift long, to_shift long")
+
+
+def _hot(regions: DataFrame, hot_bytes: int) -> DataFrame:
+    held = regions.groupBy("anchor").agg(F.sum(F.length("region") + 1).alias("held"))
+    return materialize(held.filter(F.col("held") > hot_bytes).select("anchor", F.lit(True).alias("hot")), "hot")
+
+
+def repeated_windows(regions: DataFrame, span: int, gram: int, bucket_bytes: int, hot_bytes: int) -> DataFrame:
+    """(anchor, cover, from_shift, to_shift): window starts of regions at which a string starts that starts elsewhere too.
+
+    Anchors with more than hot_bytes of distinct regions are cut into pieces by what is around the anchor; pieces whose
+    core still has more are counted window by window.
+    """
+    marked = materialize(regions.join(_hot(regions, hot_bytes), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "marked")
+    found = _indexed(marked.filter("not hot"), span, bucket_bytes)
+    names = "core long, content long, c long, anchor long, cover long, shift long, region binary"
+    pieces = materialize(marked.filter("hot").select("anchor", "cover", "c", "region").mapInArrow(_split_regions(span, gram), names), "pieces")
+    distinct = pieces.groupBy(F.col("core").alias("anchor"), F.col("content").alias("cover")).agg(F.sum("c").alias("c"), F.any_value("region").alias("region"))
+    distinct = materialize(distinct, "distinct")
+    again = materialize(distinct.join(_hot(distinct, hot_bytes), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "again")
+    windows = again.filter("hot").select("anchor", "cover", "c", "region").mapInArrow(_region_windows(span), "anchor long, cover long, c long, window long, shift long")
+    often = materialize(windows.groupBy("anchor", "window").agg(F.sum("c").alias("times")).filter("times > 1").select("anchor", "window"), "often")
+    counted = windows.join(often, ["anchor", "window"]).select("anchor", "cover", F.col("shift").alias("from_shift"), (F.col("shift") + 1).alias("to_shift"))
+    finer = materialize(_indexed(again.filter("not hot"), span, bucket_bytes).unionByName(counted).withColumnsRenamed({"anchor": "core", "cover": "content"}), "finer")
+    back = pieces.drop("region").join(finer, ["core", "content"])
+    return found.unionByName(back.select("anchor", "cover", (F.col("shift") + F.col("from_shift")).alias("from_shift"), (F.col("shift") + F.col("to_shift")).alias("to_shift")))
+
+
 def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(key, lo, hi): half-open byte intervals that repeated strings cover. rows: as from repeats.keyed()."""
     runs = materialize(repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=False), across_docs=False), "runs")
     covers = materialize(runs.groupBy("anchor", "cover").agg(F.count("*").alias("c"), F.min(F.struct("key", "pos", "n")).alias("own")), "covers")
-    held = F.col("own.n") + span
-    hot = covers.groupBy("anchor").agg(F.sum(held).alias("held")).filter(F.col("held") > hot_bytes).select("anchor", F.lit(True).alias("hot"))
-    total = covers.agg(F.sum(held)).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    marked = covers.join(hot, "anchor", "left").select("anchor", "cover", "c", "own.*", F.coalesce("hot", F.lit(False)).alias("hot"))
-    per_key = marked.groupBy("key").agg(F.collect_list(F.struct("anchor", "cover", "c", "hot", "pos", "n")).alias("runs"))
-    regions = rows.select("key", "text").join(per_key, "key").select("text", "runs").mapInArrow(_cut_regions(span), "anchor long, cover long, c long, hot boolean, region binary")
+    per_key = covers.select("anchor", "cover", "c", "own.*").groupBy("key").agg(F.collect_list(F.struct("anchor", "cover", "c", "pos", "n")).alias("runs"))
+    regions = rows.select("key", "text").join(per_key, "key").select("text", "runs").mapInArrow(_cut_regions(span), "anchor long, cover long, c long, region binary")
     regions = materialize(regions, "regions")
-
-    result = "anchor long, cover long, from_shift long, to_shift long"
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")
-    indexed = regions.filter("not hot").select(bucket, "anchor", "cover", "c", "region").groupBy("bucket").applyInArrow(_index_bucket(span), result)
-    windows = regions.filter("hot").select("anchor", "cover", "c", "region").mapInArrow(_region_windows(span), "anchor long, cover long, c long, window long, shift long")
-    often = windows.groupBy("anchor", "window").agg(F.sum("c").alias("times")).filter("times > 1").select("anchor", "window")
-    counted = windows.join(often, ["anchor", "window"]).select("anchor", "cover", F.col("shift").alias("from_shift"), (F.col("shift") + 1).alias("to_shift"))
-    found = materialize(indexed.unionByName(counted), "found")
+    found = materialize(repeated_windows(regions, span, gram, bucket_bytes, hot_bytes), "found")
     lo = (F.col("pos") + F.col("from_shift")).alias("lo")
     return runs.join(found, ["anchor", "cover"]).select("key", lo, (F.col("pos") + F.col("to_shift") - 1 + span).alias("hi"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_spans: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, spans (start, end in bytes)."""
-    if span < 8:
-        raise ValueError("a string has at least eight bytes")
+    if span < 2 * STEP:
+        raise ValueError(f"a string has at least {2 * STEP} bytes")
     rows = repeats.keyed(docs, id_col, text_col)
     cut = repeats.with_intervals(rows, removal_intervals(rows, span, min(GRAM, span // 2))).select("id", "text", "cut")
 
