@@ -117,21 +117,39 @@ def _batch(ids: pa.Array, rows: list[tuple[int, list, set]], spans: list | None)
     return pa.RecordBatch.from_pydict(out)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_chars: int = BLOCK_CHARS, with_spans: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside a hit), n_items, items_sha256, contaminated and, if asked for, spans (bytes of the original)."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, span: int, block_chars: int) -> list:
+    """A scanner for each block of windows; a block's windows are collected when it is asked for."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     windows = items.mapInArrow(_item_windows(span), "item string, window string").distinct()
     total = windows.agg(F.sum(F.length("window") + 2)).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     grouped = windows.groupBy("window").agg(F.sort_array(F.collect_list("item")).alias("items")).withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    return [lambda i=i: _scanner({r["window"]: r["items"] for r in grouped.filter(F.col("block") == i).collect()}) for i in range(blocks)]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs, all columns and rows as they are, without the documents that hold a window. No shuffle, however many blocks."""
+    mark = "k" * (max(map(len, docs.columns)) + 1)  # a name that no column has
+    out = docs.withColumn(mark, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    for block in _blocks(benchmark, item_col, item_text_col, span, block_chars):
+        hits = block()
+
+        def judge(batches: Iterator[pa.RecordBatch], hits=hits) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not ranges for _, ranges, _ in hits(bytescan.column(batch, mark))], pa.bool_()))
+
+        out = out.mapInArrow(judge, out.schema)
+    return out.drop(mark)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_chars: int = BLOCK_CHARS, with_spans: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside a hit), n_items, items_sha256, contaminated and, if asked for, spans (bytes of the original)."""
+    blocks = _blocks(benchmark, item_col, item_text_col, span, block_chars)
     rows = repeats.keyed(docs, id_col, text_col).select("id", "key", "text")
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans array<struct<start: long, end: long>>" * with_spans
 
-    def block(i: int):
-        return _scanner({r["window"]: r["items"] for r in grouped.filter(F.col("block") == i).collect()})
-
-    if blocks == 1:
-        hits = block(0)
+    if len(blocks) == 1:
+        hits = blocks[0]()
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -142,8 +160,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return rows.select("id", "text").mapInArrow(whole, schema)
 
     parts = None
-    for i in range(blocks):
-        hits = block(i)
+    for block in blocks:
+        hits = block()
 
         def partly(batches: Iterator[pa.RecordBatch], hits=hits) -> Iterator[pa.RecordBatch]:
             for batch in batches:

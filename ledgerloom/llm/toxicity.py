@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns and rows as they are, without the documents that score threshold or more."""
     schema = docs.schema
-    mark = "score_" + "_".join(docs.columns)
+    mark = "k" * (max(map(len, docs.columns)) + 1)  # a name that no column has
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
