@@ -1,2 +1,52 @@
-STAGES = []
+"""A training-data pipeline over documents: five operators, each on all that its predecessor kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerloom.llm import decontaminate, mixing, near_dedup, records, scratch, toxicity
+from ledgerloom.llm.queries import tokenizer_path
+
+
+def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model is fitted on the labelled documents that are not held out; documents that score the threshold or more go."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the document with the least id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def contaminated_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them."""
+    return mixing.apply(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in binary records: doc_id, start, n_tokens, ids_crc32, shard, offset, length of each."""
+    return records.encode(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxic_documents_go),
+    ("near_dedup", one_of_each_group),
+    ("decontamination", contaminated_documents_go),
+    ("mixing", mixed),
+    ("token_records", encoded),
+]
+
+#: SQL can't express these stages; tests/llm compares them with plain versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
