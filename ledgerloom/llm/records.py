@@ -36,7 +36,7 @@ from ledgerloom.llm import bytescan, repeats, scratch
 END_ID = 2
 SHARD_BYTES = 32 << 20
 LONG_PIECE = 64
-CACHE_SLOTS = 1 << 19
+CACHE_SLOTS = 1 << 20
 CACHE_IDS = 1 << 22
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<qB")
@@ -63,7 +63,7 @@ def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     return b"".join((size, struct.pack("<I", masked(zlib.crc32(size))), payload, struct.pack("<I", masked(zlib.crc32(payload))), b"\n"))
 
 
-def read_record(data: bytes, offset: int) -> tuple[int | None, np.ndarray, int]:
+def read_record(data: bytes | memoryview, offset: int) -> tuple[int | None, np.ndarray, int]:
     """The document id, its token ids, and the next record's offset. Raises if a checksum fails."""
     size, check = _HEAD.unpack_from(data, offset)
     if masked(zlib.crc32(data[offset : offset + 8])) != check:
@@ -85,25 +85,53 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
         self.clear()
 
     def clear(self) -> None:
         self.tags = np.zeros(CACHE_SLOTS, np.uint64)
-        self.slots = np.zeros(CACHE_SLOTS, np.int64)
-        self.begin, self.size, self.bytes = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.slots = np.zeros(CACHE_SLOTS, np.int32)
+        self.begin, self.size, self.bytes = (np.zeros(1 << 16, np.int32) for _ in range(3))
         self.flat = np.zeros(1 << 18, self.kind)
         self.used = self.known = 0
 
-    def _store(self, hashes: np.ndarray, lengths: np.ndarray, pieces: list[str]) -> np.ndarray:
+    def _ids(self, pieces: list[bytes], joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and how many each has.
+
+        Pieces that begin and end at cuts are encoded as one text, whose ids are parted by their lengths in bytes: no
+        id crosses a cut.
+        """
+        counts, parts = np.zeros(len(pieces), np.int64), []
+        alone = np.flatnonzero(~joinable)
+        order = np.concatenate([np.flatnonzero(joinable), alone])
+        if len(alone) < len(pieces):
+            whole = [pieces[i] for i in order[: len(pieces) - len(alone)]]
+            ids = np.array(self.tokenizer.encode(b"".join(whole).decode(), add_special_tokens=False).ids, np.int64)
+            ends = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))
+            upto = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            counts[order[: len(whole)]] = np.diff(upto, prepend=0)
+            parts.append(ids.astype(self.kind))
+        if len(alone):
+            encoded = [e.ids for e in self.tokenizer.encode_batch([pieces[i].decode() for i in alone], add_special_tokens=False)]
+            counts[alone] = [len(x) for x in encoded]
+            parts += [np.array(x, self.kind) for x in encoded]
+        flat = np.concatenate(parts) if parts else np.zeros(0, self.kind)
+        begin = np.zeros(len(pieces), np.int64)
+        begin[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[bytescan.ragged(begin, counts)], counts
+
+    def _store(self, hashes: np.ndarray, lengths: np.ndarray, pieces: list[bytes], joinable: np.ndarray) -> np.ndarray:
         """Encodes pieces and returns their places in the cache; other pieces' entries may be overwritten, never misread."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(sizes.sum())
+        ids, sizes = self._ids(pieces, joinable)
+        total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.known + len(pieces) > len(self.begin):
             self.begin, self.size, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.bytes))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in encoded for i in ids), self.kind, total)
+        self.flat[self.used : self.used + total] = ids
         at = np.arange(self.known, self.known + len(pieces))
         self.begin[at] = self.used + np.cumsum(sizes) - sizes
         self.size[at], self.bytes[at] = sizes, lengths
@@ -134,6 +162,8 @@ class PieceTokenizer:
             follows, before = _FOLLOWS[data], data[2:-1]
             end = _GRAPHIC[before] | (follows[2:-1] & _LEAD2[data[1:-2]]) | (follows[2:-1] & follows[1:-2] & _LEAD3[data[:-3]])
             cut[3:-2] = ((data[3:] == 0x20) & end)[:-1] & _NEXT[data[4:]]
+        inner = cut.copy()
+        inner[offsets] = False  # a text's own ends are no cuts of the pattern's
         cut[offsets[sizes > 0]] = True
         starts = np.flatnonzero(cut[:-1]) if len(data) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
@@ -145,10 +175,10 @@ class PieceTokenizer:
         if len(miss):
             _, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             new = miss[first]
-            pieces = [joined[s:e].decode() for s, e in zip(starts[new], ends[new], strict=True)]
-            at[miss] = self._store(hashes[new], lengths[new], pieces)[back]
-        counts = self.size[at]
-        ids = self.flat[bytescan.ragged(self.begin[at], counts)]
+            pieces = [joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            at[miss] = self._store(hashes[new], lengths[new], pieces, inner[starts[new]] & inner[ends[new]])[back]
+        counts = self.size[at].astype(np.int64)
+        ids = self.flat[bytescan.ragged(self.begin[at].astype(np.int64), counts)]
         piece = np.searchsorted(starts, offsets)
         edges = np.concatenate([[0], np.cumsum(counts)])
         begin, end = edges[piece], edges[np.append(piece[1:], len(starts))]
@@ -175,13 +205,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokenizer_path)
         end = np.array([end_id], tokenizer.kind)
-        for batch in batches:
-            texts, ids = bytescan.column(batch, "text"), batch.column(0).to_pylist()
-            for low in range(0, len(texts), 512):
-                framed = [frame(i, np.concatenate([x, end]))[:-1] for i, x in zip(ids[low : low + 512], tokenizer.encode(texts[low : low + 512]), strict=True)]
-                values = pa.array(framed, pa.binary())
-                # Raw bytes under the name of a string: Spark's text writer copies them as they are and adds the last byte.
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(values), values.buffers())], ["value"])
+        for batch in bytescan.parts(batches):
+            encoded = tokenizer.encode(bytescan.column(batch, "text"))
+            framed = [frame(i, np.concatenate([x, end]))[:-1] for i, x in zip(batch.column(0).to_pylist(), encoded, strict=True)]
+            values = pa.array(framed, pa.binary())
+            # Raw bytes under the name of a string: Spark's text writer copies them as they are and adds the last byte.
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(values), values.buffers())], ["value"])
 
     dealt = rows.repartitionByRange(shards, "doc").sortWithinPartitions("doc", "key").select("id", "text")
     dealt.mapInArrow(encode, "value string").write.option("lineSep", "\n").option("compression", "none").text(f"{folder}/shards")
@@ -195,7 +224,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = value.as_buffer().to_pybytes()
+                data = memoryview(value.as_buffer())
                 shard, at, before = path.rsplit("/", 1)[-1], 0, 0
                 out: list[tuple] = []
                 while at < len(data):
