@@ -86,6 +86,13 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that what is made from a batch stays small beside it."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The values of a string column as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

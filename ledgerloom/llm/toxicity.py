@@ -62,14 +62,23 @@ class Model:
     place: np.ndarray
     weight: np.ndarray
     bias: float
+    _dense: np.ndarray | None = None
+
+    def dense(self) -> np.ndarray:
+        if self._dense is None:
+            self._dense = np.zeros(1 << BITS)
+            self._dense[self.place] = self.weight
+        return self._dense
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_dense": None}  # only the short list travels
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Probabilities. Only places with a weight are looked at once they are found."""
         if not len(self.place) and self.bias == -np.inf:
             return np.zeros(len(texts))
         total = np.full(len(texts), self.bias)
-        dense = np.zeros(1 << BITS)
-        dense[self.place] = self.weight
+        dense = self.dense()
         for low, high in bytescan.chunks(texts):
             owner, place = places(texts[low:high])
             on = dense[place] != 0
@@ -95,9 +104,9 @@ def fit(features: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta
         short = np.sign(value) * penalty[at] - value
         return np.where(np.abs(value) <= penalty[at], 0, short / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-    rows = [np.append(x, 1 << BITS) for x in features]
     for _ in range(epochs):
-        for at, label in zip(rows, labels, strict=True):
+        for x, label in zip(features, labels, strict=True):
+            at = np.append(x, 1 << BITS).astype(np.int64)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             squares = n[at]
@@ -119,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytescan.parts(batches):
             found = bytescan.column(batch, "text")
             for low, high in bytescan.chunks(found):
                 packed = [x.astype("<u4").tobytes() for x in distinct_places(found[low:high])]
@@ -128,8 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The sample has a bounded number of rows, so it may be broadcast.
     got = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(extract, "id long, label int, places binary")
     # Equal ids with different texts are all examples; the order is by content, so that reruns agree.
-    found = sorted((r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["id"], bytes(r["places"]), r["label"]) for r in got.collect())[: 2 * rows]
-    return fit([np.frombuffer(x, "<u4").astype(np.int64) for _, _, x, _ in found], np.array([float(y > 0) for *_, y in found]))
+    found = sorted((r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["id"], bytes(r["places"]), r["label"]) for r in got.collect())
+    return fit([np.frombuffer(x, "<u4") for _, _, x, _ in found], np.array([float(y > 0) for *_, y in found]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -137,7 +146,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytescan.parts(batches):
             value = model.score(bytescan.column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -150,7 +159,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     mark = "k" * (max(map(len, docs.columns)) + 1)  # a name that no column has
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytescan.parts(batches):
             keep = model.score(bytescan.column(batch, mark)) < threshold
             yield batch.drop_columns([mark]).filter(pa.array(keep))
 
