@@ -36,8 +36,8 @@ from ledgerloom.llm import bytescan, repeats, scratch
 END_ID = 2
 SHARD_BYTES = 32 << 20
 LONG_PIECE = 64
-CACHE_SLOTS = 1 << 20
-CACHE_IDS = 1 << 22
+CACHE_SLOTS = 1 << 22
+CACHE_PIECES = 1 << 21
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<qB")
 
@@ -92,11 +92,13 @@ class PieceTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.tags = np.zeros(CACHE_SLOTS, np.uint64)
+        """Entry 0 matches nothing. Each slot names one entry; a later piece may take a slot over."""
         self.slots = np.zeros(CACHE_SLOTS, np.int32)
+        self.hash = np.zeros(1 << 16, np.uint64)
         self.begin, self.size, self.bytes = (np.zeros(1 << 16, np.int32) for _ in range(3))
+        self.bytes[0] = -1
         self.flat = np.zeros(1 << 18, self.kind)
-        self.used = self.known = 0
+        self.used, self.known = 0, 1
 
     def _ids(self, pieces: list[bytes], joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, one after the other, and how many each has.
@@ -130,14 +132,14 @@ class PieceTokenizer:
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.known + len(pieces) > len(self.begin):
-            self.begin, self.size, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.bytes))
+            self.hash, self.begin, self.size, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.begin, self.size, self.bytes))
         self.flat[self.used : self.used + total] = ids
         at = np.arange(self.known, self.known + len(pieces))
         self.begin[at] = self.used + np.cumsum(sizes) - sizes
-        self.size[at], self.bytes[at] = sizes, lengths
+        self.hash[at], self.size[at], self.bytes[at] = hashes, sizes, lengths
         cached = lengths <= LONG_PIECE
         slot = (hashes[cached] & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
-        self.tags[slot], self.slots[slot] = hashes[cached], at[cached]
+        self.slots[slot] = at[cached]
         self.used += total
         self.known += len(pieces)
         return at
@@ -149,7 +151,7 @@ class PieceTokenizer:
         return out
 
     def _chunk(self, texts: list[bytes]) -> list[np.ndarray]:
-        if self.used > CACHE_IDS:
+        if self.known > CACHE_PIECES:
             self.clear()
         joined = b"".join(texts)
         if len(joined) > 8 * bytescan.CHUNK:  # a single long text: without arrays of eight bytes a byte
@@ -171,7 +173,7 @@ class PieceTokenizer:
         hashes = bytescan.of_bytes(data).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
         slot = (hashes & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
         at = self.slots[slot]
-        miss = np.flatnonzero((self.tags[slot] != hashes) | (self.bytes[at] != lengths))
+        miss = np.flatnonzero((self.hash[at] != hashes) | (self.bytes[at] != lengths))
         if len(miss):
             _, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             new = miss[first]
