@@ -32,7 +32,7 @@ from ledgerloom.llm.scratch import materialize
 TOP = 20
 FIT_ROWS = 8192
 CENTROIDS = 24
-SHARE, LEAST = 0.5, 3000
+SHARE, LEAST = 0.6, 3000
 BLOCK = 2048
 ROUNDS = 12
 SALTS = 64
