@@ -12,9 +12,11 @@ documents at every scale, far below the frequencies that matter to the weights.
 Each text gets BANDS * ROWS consistent samples. Texts that agree on a band are candidates. Exact copies collapse
 first. A bucket of at most SMALL texts is compared in all pairs; in a larger one all texts are compared with the text
 that shares most buckets with others, which the source of a group of edited copies does. Compared texts are linked if
-their weighted Jaccard similarity is at least the threshold, and classes are connected components. While a large
-bucket still holds several classes, its next most shared text is compared with all texts of other classes, until a
-round finds no link. So no step makes all pairs of a large group, and no task holds a group.
+their weighted Jaccard similarity is at least the threshold, and classes are connected components. Pairs within a class need no comparison.
+All other pairs of texts in large buckets that still hold several classes are found by an exact similarity join
+(`_prefixes`), which leaves out only pairs that cannot reach the threshold, and are compared until each pair is of one
+class or has failed. No task holds a group, but texts that are nearly at the threshold to many of other classes cost a
+comparison for each pair.
 
 Defined results: texts without words are copies of each other if equal, and of nothing else; null text is empty; a
 class is named by its least doc_id; a null doc_id is greater than all others (its class, if alone, has a null name);
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.llm import bytescan, repeats
 from ledgerloom.llm.components import components
@@ -42,6 +44,8 @@ BUCKETS = 1 << 18
 SLICES = 16
 DAMPING = 0.25
 SMALL = 8
+FIRST = 4  # candidates of a text that are compared in the first round over the large buckets
+SLACK = 1e-6  # for rounding
 _DOC_BITS = 16
 _SHINGLE = np.uint64((1 << 48) - 1)
 _random = np.random.default_rng(77)
@@ -98,15 +102,21 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def weight_table(rows: DataFrame, width: int = WIDTH, damping: float = DAMPING) -> np.ndarray:
-    """The factor 1 + damping * idf of each counter: BUCKETS numbers, whatever the corpus."""
+def frequencies(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """The number of documents with a shingle in each counter: BUCKETS numbers, whatever the corpus."""
     counts = rows.select("text").mapInArrow(_count_frequencies(width), "slice long, counts binary")
     got = counts.groupBy("slice").applyInArrow(_add, "slice long, counts binary").collect()
     df = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
     for r in got:
         df[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return df.ravel()
+
+
+def weight_table(rows: DataFrame, width: int = WIDTH, damping: float = DAMPING) -> np.ndarray:
+    """The factor 1 + damping * idf of each counter."""
+    df = frequencies(rows, width)
     n = max(1, rows.count())
-    idf = np.log((1 + n) / (1 + np.minimum(df.ravel(), n))) / np.log(1 + n)
+    idf = np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(1 + n)
     return (1 + damping * np.clip(idf, 0, 1)).astype(np.float64)
 
 
@@ -181,6 +191,36 @@ def _verify(weights: np.ndarray, width: int, threshold: float):
     return verify
 
 
+def _prefixes(weights: np.ndarray, df: np.ndarray, width: int, threshold: float):
+    """The shingles by which a text can meet another of the threshold or more, with the weight of the text and the rest from there.
+
+    Shingles are in one order for all texts, rare ones (by df, counted over these texts) first. The weight that two texts
+    share lies at and after their first common shingle, and reaches threshold * the weight of either, so this shingle has
+    a rest of so much in both. Shingles whose counter is 1 are in no other text.
+    """
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bytescan.parts(batches):
+            texts = bytescan.column(batch, "text")
+            for low, high in _pieces(texts):
+                owner, shingle, tf = shingles(texts[low:high], width)
+                if not len(owner):
+                    continue
+                counter = _bucket(shingle)
+                order = np.lexsort((shingle, df[counter], owner))
+                shingle, counter, weight = shingle[order], counter[order], (tf * weights[counter])[order]
+                begin = np.searchsorted(owner, np.arange(high - low))
+                sizes = np.diff(np.append(begin, len(owner)))
+                total = np.bincount(owner, weight, high - low)
+                before = np.append(0.0, np.cumsum(weight))
+                rest = np.repeat(total + before[begin], sizes) - before[:-1]
+                at = np.flatnonzero((rest >= threshold * total[owner] * (1 - SLACK)) & (df[counter] > 1))
+                of = pa.array(owner[at] + low)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[at].view(np.int64)), batch.column("node").take(of), batch.column("label").take(of), pa.array(total[owner[at]]), pa.array(rest[at])], ["shingle", "node", "label", "total", "rest"])
+
+    return prefixes
+
+
 NODE = "struct<doc: long, h: long>"
 
 
@@ -212,23 +252,40 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     few = members.filter(F.col("size") <= small).select("band", "node")
     pairs = few.select("band", F.col("node").alias("u")).join(few.select("band", F.col("node").alias("v")), "band").filter(F.col("u") < F.col("v")).select("u", "v")
     many = materialize(members.filter(F.col("size") > small).select("band", "node", F.struct("shared", (-F.col("node.doc")).alias("d"), (-F.col("node.h")).alias("h")).alias("rank")), "many")
-    lead = materialize(many.groupBy("band").agg(F.max_by("node", "rank").alias("v"), F.max("rank").alias("done")), "lead")
+    lead = materialize(many.groupBy("band").agg(F.max_by("node", "rank").alias("v")), "lead")
     star = many.join(lead, "band").filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
     links = verified(pairs.unionByName(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
     label = materialize(components(links), "labels")
-    while True:
-        # Buckets that still hold several classes: the next text in rank meets the texts of other classes.
-        named = materialize(many.join(label, "node", "left").select("band", "node", "rank", F.coalesce("label", "node").alias("label")), "named")
-        open_bands = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter(F.col("a") != F.col("b")).select("band")
-        next_lead = named.join(open_bands, "band").join(lead.select("band", "done"), "band").filter(F.col("rank") < F.col("done"))
-        next_lead = materialize(next_lead.groupBy("band").agg(F.max_by(F.struct("node", "label"), "rank").alias("v"), F.max("rank").alias("done")), "lead")
-        star = named.join(next_lead, "band").filter(F.col("label") != F.col("v.label")).select(F.col("node").alias("u"), F.col("v.node").alias("v"))
-        found = verified(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-        if found.isEmpty():
-            break
-        lead = next_lead
-        links = links.unionByName(found)
-        label = materialize(components(links), "labels")
+    # Large buckets that still hold several classes: all pairs of their texts that can reach the threshold.
+    named = materialize(many.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named")
+    open_bands = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter(F.col("a") != F.col("b")).select("band")
+    open_nodes = materialize(named.join(open_bands.hint("merge"), "band").select("node", "label").distinct(), "open")
+    if not open_nodes.isEmpty():
+        open_texts = materialize(held.join(open_nodes.hint("merge"), "node").select("node", "label", "text"), "open_texts")
+        prefixes = open_texts.mapInArrow(_prefixes(weights, frequencies(open_texts, width), width, threshold), f"shingle long, node {NODE}, label {NODE}, total double, rest double")
+        prefixes = materialize(prefixes, "prefixes")
+        a, b = (prefixes.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "total", "rest"))) for x in "ab")
+        reaches = F.least("rest_a", "rest_b") * (1 + threshold) >= (F.col("total_a") + F.col("total_b")) * (threshold * (1 - SLACK))
+        met = a.join(b.hint("merge"), "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & reaches)
+        met = materialize(met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct(), "met")
+        # Each text first meets those of its candidates that have most candidates. What is of one class by then is done.
+        degree = materialize(met.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "degree")
+        by = [degree.select(F.col("node").alias(x), F.struct("n", "node").alias(f"rank_{x}")).hint("merge") for x in "uv"]
+        met = met.join(by[0], "u").join(by[1], "v").select(F.least("rank_u", "rank_v").alias("low"), F.greatest("rank_u", "rank_v").alias("high"))
+        met = met.select(F.col("low.node").alias("u"), F.col("high.node").alias("v"), F.col("high").alias("rank"))
+        take = FIRST
+        while True:
+            of_u, of_v = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")).hint("merge") for x in "uv")
+            apart = met.join(of_u, "u", "left").join(of_v, "v", "left").filter(F.coalesce("label_u", "u") != F.coalesce("label_v", "v"))
+            apart = materialize(apart.select("u", "v", "rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("rank"))).alias("turn")), "apart")
+            if apart.isEmpty():
+                break
+            found = verified(apart.filter(F.col("turn") <= take).select("u", "v"))
+            met = apart.filter(F.col("turn") > take).select("u", "v", "rank")
+            take *= 4
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                label = materialize(components(links), "labels")
     of_text = materialize(texts.join(label.hint("merge"), "node", "left").select("h", "h2", F.coalesce("label", "node").alias("label")), "of_text")
     return signed.select("doc", "h", "h2").join(of_text.hint("merge"), ["h", "h2"]).select("doc", "h", "label")
 

@@ -174,6 +174,22 @@ def test_near_duplicates(spark, empty):
     assert near_dedup.keep_one(odd).count() == 2
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    # Pages of one template, each below the threshold to all others but its planted twin: most pairs meet in large buckets only.
+    rng = random.Random(9)
+    template = " ".join(f"t{i}" for i in range(350))
+    made = []
+    for i in range(60):
+        own, other = ([f"u{i}x{rng.randrange(10**9)}" for _ in range(n)] for n in (46, 30))
+        made.append((i, f"{template} {' '.join(own)}"))
+        if i < 50:
+            made.append((100 + i, f"{template} {' '.join(own[:16] + other)}"))
+    want = brute.near_classes(made, lambda s: 1.0)
+    assert len(set(want.values())) == 60 and all(want[100 + i] == i for i in range(50))
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
