@@ -122,11 +122,13 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     book = Codebook(np.array([r["x"] for r in sample if len(r["x"]) == width]), centroids)
     rows, asked = rows.filter(F.size("x") == width), asked.filter(F.size("x") == width)
 
-    # Of equal vectors the least ids; a salted pass first, so that no hot vector meets in one task.
+    # Of equal vectors the least ids, and of one id's repeats no more than a query can return. Three passes, each limited before
+    # its shuffle, so that no hot vector and no hot id meets in one task.
     by_vector = lambda *more: Window.partitionBy("h", *more).orderBy("id")
     hashed = rows.withColumn("h", F.struct(F.xxhash64("x"), F.hash("x"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    few = hashed.withColumn("n", F.row_number().over(by_vector("salt"))).filter(F.col("n") <= top + 1).drop("n")
-    few = few.withColumn("n", F.row_number().over(by_vector())).filter(F.col("n") <= top + 1)
+    few = hashed.withColumn("n", F.row_number().over(by_vector("salt", "id"))).filter(F.col("n") <= top + 1).drop("n")
+    few = few.withColumn("n", F.dense_rank().over(by_vector("salt"))).filter(F.col("n") <= top + 1).drop("n")
+    few = few.withColumn("n", F.dense_rank().over(by_vector())).filter(F.col("n") <= top + 1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

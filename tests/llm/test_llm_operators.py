@@ -226,6 +226,16 @@ def test_multi_index(spark):
     assert multi_index.search(table.filter("false"), table).collect() == []
 
 
+def test_multi_index_keeps_ids_beside_a_repeated_one(spark):
+    made = [(5, [1.0, 1.0])] * 30 + [(i, [1.0, 1.0]) for i in range(6, 16)] + [(i, [0.1, 0.001 * i]) for i in range(20, 60)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in multi_index.search(table, table.filter("vec_id = 6")).orderBy("rank").collect()]
+    assert got == [5] * 20
+    asked = table.filter("vec_id = 5").limit(1)
+    got = [r["vec_id"] for r in multi_index.search(table, asked).orderBy("rank").collect()]
+    assert got == [*range(6, 16), *range(59, 49, -1)]
+
+
 def test_mixing(spark, docs, empty):
     rng = random.Random(6)
     made = [(i, " ".join(["w"] * rng.randint(0, 50)), f"s{rng.randrange(5) if rng.random() < 0.5 else 0}") for i in range(800)]
