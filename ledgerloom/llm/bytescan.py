@@ -1,8 +1,10 @@
 """Vectorised scanning of UTF-8 text: words, rolling (Rabin-Karp) hashes and winnowed anchors.
 
-All hashes are polynomials over the ring of 64-bit integers, with a random 64-bit value for each byte,
-taken as differences of prefix sums and finished by a mixing step. Work goes through arrays of a
-chunk of documents; chunks are small enough to stay in the processor's cache.
+Two kinds of rolling hashes, both differences of prefix sums. Rolling works modulo 2**64: it is fast, but texts can be
+made that clash (Thue-Morse words), so it only picks anchors, where a clash costs time and never a result. PrimeRolling
+works modulo the prime 2**61 - 1, where n values clash with a chance of n / 2**61 at most, and says which windows
+are equal. Words are hashed by their bytes, runs as a whole by xxh3. Work goes through arrays of a chunk of documents;
+chunks are small enough to stay in the processor's cache.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ import pyarrow as pa
 import xxhash
 
 CHUNK = 1 << 18
-LONG_WORD = 1 << 14
 LOW = 24
 _LOW_MASK = np.uint64((1 << LOW) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -22,7 +23,12 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
+PRIME = (1 << 61) - 1
+_PRIME, _PRIME_BASE = np.uint64(PRIME), 0x1B5A_4C92_7E3D_60F1
+_LOW31, _LOW30, _LOW32 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64((1 << 32) - 1)
+_EIGHT = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 _powers: list[np.ndarray] = []
+_prime_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +80,74 @@ def of_bytes(data: np.ndarray) -> Rolling:
     return Rolling(_BYTES[data])
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo PRIME."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def prime_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for values below it. Halves of 31 bits keep all parts below 2**64, and 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + _reduced(a0 * b0))
+
+
+def prime_powers(n: int) -> list[np.ndarray]:
+    """base**i and base**-i for i < n, modulo PRIME, by doubling."""
+    if not _prime_powers or len(_prime_powers[0]) < n:
+        _prime_powers[:] = []
+        for step in (_PRIME_BASE, pow(_PRIME_BASE, -1, PRIME)):
+            out = np.ones(1, np.uint64)
+            while len(out) < n:
+                out = np.concatenate([out, prime_product(out, np.full(len(out), pow(step, len(out), PRIME), np.uint64))])
+            _prime_powers.append(out)
+    return _prime_powers
+
+
+class PrimeRolling:
+    """Hashes of any slice of a sequence of 64-bit values: polynomials modulo PRIME, from prefix sums."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        ahead, self.back = prime_powers(n + 1)
+        terms = prime_product(_reduced(values), ahead[:n])
+        # Sums of halves of 32 bits don't overflow; 2**32 * high is taken apart in the same way.
+        low, high = np.cumsum(terms & _LOW32), _reduced(np.cumsum(terms >> np.uint64(32)))
+        self.sums = np.zeros(n + 1, np.uint64)
+        self.sums[1:] = _reduced(_reduced(low) + prime_product(high, np.full(n, 1 << 32, np.uint64)))
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return prime_product(_reduced(self.sums[ends] + (_PRIME - self.sums[starts])), self.back[starts])
+
+
+def leading(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 8 and the next 8 bytes of slices, as numbers; what a slice lacks is 0."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    first = np.ascontiguousarray(eights[starts]).view("<u8").ravel() & _EIGHT[np.minimum(lengths, 8)]
+    second = np.ascontiguousarray(eights[np.minimum(starts + 8, len(data))]).view("<u8").ravel() & _EIGHT[np.clip(lengths - 8, 0, 8)]
+    return first, second
+
+
+def slice_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each slice that, with its length, name it: its own bytes up to 16, and xxh3 beyond."""
+    lengths = ends - starts
+    first, second = leading(data, starts, lengths)
+    view = memoryview(data)
+    for i in np.flatnonzero(lengths > 16).tolist():
+        both = xxhash.xxh3_128_intdigest(view[starts[i] : ends[i]])
+        first[i], second[i] = both >> 64, both & 0xFFFFFFFFFFFFFFFF
+    return first, second
+
+
+def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """xxh3 of slices of values, as signed numbers."""
+    view, size = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(view[s:e]) for s, e in zip((starts * size).tolist(), (ends * size).tolist(), strict=True)), np.uint64, len(starts)).view(np.int64)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes each; a longer text is alone."""
     low, size = 0, 0
@@ -113,19 +187,9 @@ class Words:
         self.first, self.count = cut[:-1], np.diff(cut)
 
     def hashes(self) -> np.ndarray:
-        """The hash of each word; long words go through xxhash, so that memory stays bounded."""
-        out = np.empty(len(self.starts), np.uint64)
-        low, n = 0, len(self.starts)
-        while low < n:
-            high = max(low + 1, int(np.searchsorted(self.ends, self.starts[low] + CHUNK)))
-            begin = self.starts[low]
-            if self.ends[high - 1] - begin > CHUNK:
-                out[low] = xxhash.xxh3_64_intdigest(self.data[begin : self.ends[low]].tobytes())
-            else:
-                rolling = of_bytes(self.data[begin : self.ends[high - 1]])
-                out[low:high] = rolling.of(self.starts[low:high] - begin, self.ends[low:high] - begin)
-            low = high
-        return out
+        """A 64-bit hash of each word's bytes and length."""
+        first, second = slice_keys(self.data, self.starts, self.ends)
+        return mix(mix(first + (self.ends - self.starts).astype(np.uint64) * np.uint64(_BASE)) + second * np.uint64(_INVERSE))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -136,19 +200,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: size - width], x[width - size :]) if width > size else x
 
 
-def anchor_runs(rolling: Rolling, first: np.ndarray, count: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor (winnowing).
+def anchor_runs(values: np.ndarray, first: np.ndarray, count: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share an anchor (winnowing). values: bytes, or hashes of words.
 
     The windows are all slices of span values inside one document; a window's anchor is the leftmost
     least hash of its slices of gram values, so equal windows have equal anchors at equal places.
     Returns for each run: the document's index, the first window's start, the number of windows,
-    the anchor's hash, and a hash of everything that the run's windows cover.
+    the anchor's hash, and a hash of everything that the run's windows cover and of the anchor's place in it.
     """
     empty = np.zeros(0, np.int64)
     has = np.flatnonzero(count >= span)
     if not len(has):
         return empty, empty, empty, empty, empty
-    grams = rolling.windows(gram)
+    grams = (of_bytes(values) if values.dtype == np.uint8 else Rolling(values)).windows(gram)
     segment = 1 << LOW
     parts = []
     for base in range(0, len(grams), segment - span):
@@ -167,8 +231,8 @@ def anchor_runs(rolling: Rolling, first: np.ndarray, count: np.ndarray, span: in
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(windows)))
     start = windows[at]
-    cover = rolling.of(start, start + size - 1 + span) ^ mix((anchors[at] - start).astype(np.uint64) * np.uint64(_BASE) + size.astype(np.uint64))
-    return owner[at], start, size, grams[anchors[at]].view(np.int64), cover.view(np.int64)
+    place = mix((anchors[at] - start).astype(np.uint64) * np.uint64(_BASE) + size.astype(np.uint64)).view(np.int64)
+    return owner[at], start, size, grams[anchors[at]].view(np.int64), slice_hashes(values, start, start + size - 1 + span) ^ place
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

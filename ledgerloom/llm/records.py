@@ -12,9 +12,17 @@ whole when executors are lost or tasks run twice, on any file system.
 The index has a row a document: shard, offset, length, tokens, and the number of tokens before it in its shard. With it
 a reader can visit records in any order (see shuffled_order and read_record).
 
-Texts are dealt by ranges of ids, so equal ids stay together, in order of their content's hash. Text is tokenized in
-pieces that the tokenizer's pattern never joins (a single space between two characters that are not white space
-starts a new piece); a bounded cache keeps the ids of pieces that were seen before.
+Texts are dealt to shards by ranges of id, hash of the content and a random salt, cut where the bytes of the texts fill a
+shard: the bounds come from a sample of rows drawn in proportion to their bytes, PER_SHARD for each shard and so a fixed
+share of the shards' number, so that neither a hot id nor a stretch of long texts makes a large shard. A shard must stay below
+2 GB, Spark's bound on a binary file, which with SHARD_BYTES a single text can reach but no group of texts. At 100 TB
+choose shards of 512 MB. Raw bytes go through Spark's text writer as strings, which Spark 4.1 neither validates nor
+changes; each shard is read back and its checksums are verified before the index is written, so another behaviour
+raises an error.
+
+Text is tokenized in pieces that the tokenizer's pattern never joins (a single space between two characters that are not
+white space starts a new piece); a bounded cache keeps the ids of pieces that were seen before. A piece is known by
+its bytes and length, up to 16, and by 128 bits of xxh3 and its length beyond.
 
 Defined results: null and empty texts have the end id only; a null document id comes last; repeated rows are repeated
 records; an empty table gives no rows; other columns are not read.
@@ -28,6 +36,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -35,6 +44,8 @@ from ledgerloom.llm import bytescan, repeats, scratch
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
+PER_SHARD = 64
+ROW_BYTES = 32  # what a record has besides its ids
 LONG_PIECE = 64
 CACHE_SLOTS = 1 << 22
 CACHE_PIECES = 1 << 21
@@ -94,7 +105,7 @@ class PieceTokenizer:
     def clear(self) -> None:
         """Entry 0 matches nothing. Each slot names one entry; a later piece may take a slot over."""
         self.slots = np.zeros(CACHE_SLOTS, np.int32)
-        self.hash = np.zeros(1 << 16, np.uint64)
+        self.key, self.key2 = (np.zeros(1 << 16, np.uint64) for _ in range(2))
         self.begin, self.size, self.bytes = (np.zeros(1 << 16, np.int32) for _ in range(3))
         self.bytes[0] = -1
         self.flat = np.zeros(1 << 18, self.kind)
@@ -125,21 +136,20 @@ class PieceTokenizer:
         begin[order] = np.cumsum(counts[order]) - counts[order]
         return flat[bytescan.ragged(begin, counts)], counts
 
-    def _store(self, hashes: np.ndarray, lengths: np.ndarray, pieces: list[bytes], joinable: np.ndarray) -> np.ndarray:
+    def _store(self, keys: np.ndarray, keys2: np.ndarray, lengths: np.ndarray, pieces: list[bytes], joinable: np.ndarray) -> np.ndarray:
         """Encodes pieces and returns their places in the cache; other pieces' entries may be overwritten, never misread."""
         ids, sizes = self._ids(pieces, joinable)
         total = len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.known + len(pieces) > len(self.begin):
-            self.hash, self.begin, self.size, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.begin, self.size, self.bytes))
+            self.key, self.key2, self.begin, self.size, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.key, self.key2, self.begin, self.size, self.bytes))
         self.flat[self.used : self.used + total] = ids
         at = np.arange(self.known, self.known + len(pieces))
         self.begin[at] = self.used + np.cumsum(sizes) - sizes
-        self.hash[at], self.size[at], self.bytes[at] = hashes, sizes, lengths
+        self.key[at], self.key2[at], self.size[at], self.bytes[at] = keys, keys2, sizes, lengths
         cached = lengths <= LONG_PIECE
-        slot = (hashes[cached] & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
-        self.slots[slot] = at[cached]
+        self.slots[_slot(keys, keys2, lengths)[cached]] = at[cached]
         self.used += total
         self.known += len(pieces)
         return at
@@ -170,15 +180,16 @@ class PieceTokenizer:
         starts = np.flatnonzero(cut[:-1]) if len(data) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         lengths = ends - starts
-        hashes = bytescan.of_bytes(data).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        slot = (hashes & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
-        at = self.slots[slot]
-        miss = np.flatnonzero((self.hash[at] != hashes) | (self.bytes[at] != lengths))
+        keys, keys2 = bytescan.slice_keys(data, starts, ends)
+        at = self.slots[_slot(keys, keys2, lengths)]
+        miss = np.flatnonzero((self.key[at] != keys) | (self.key2[at] != keys2) | (self.bytes[at] != lengths))
         if len(miss):
-            _, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            new = miss[first]
+            order = miss[np.lexsort((lengths[miss], keys2[miss], keys[miss]))]
+            differs = np.ones(len(order), bool)
+            differs[1:] = (keys[order[1:]] != keys[order[:-1]]) | (keys2[order[1:]] != keys2[order[:-1]]) | (lengths[order[1:]] != lengths[order[:-1]])
+            new = order[differs]
             pieces = [joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            at[miss] = self._store(hashes[new], lengths[new], pieces, inner[starts[new]] & inner[ends[new]])[back]
+            at[order] = self._store(keys[new], keys2[new], lengths[new], pieces, inner[starts[new]] & inner[ends[new]])[np.cumsum(differs) - 1]
         counts = self.size[at].astype(np.int64)
         ids = self.flat[bytescan.ragged(self.begin[at].astype(np.int64), counts)]
         piece = np.searchsorted(starts, offsets)
@@ -187,6 +198,10 @@ class PieceTokenizer:
         return [ids[b:e] if n else ids[:0] for b, e, n in zip(begin, end, sizes, strict=True)]
 
 
+def _slot(keys: np.ndarray, keys2: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return (bytescan.mix(keys ^ bytescan.mix(keys2 + lengths.astype(np.uint64))) & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
+
+
 _tokenizers: dict[str, PieceTokenizer] = {}
 
 
@@ -197,11 +212,46 @@ def tokenizer_of(path: str) -> PieceTokenizer:
     return _tokenizers[path]
 
 
+def shard_bounds(rows: DataFrame, shards: int, total: int) -> list[tuple[int, int, int]]:
+    """Where shards begin, but for the first: (doc, key, salt), so that the texts' bytes between two bounds fill a shard.
+
+    The sample holds PER_SHARD rows a shard; a row of many bytes stands in it several times. Spark's own range
+    partitioner collects a sample of this size too, but counts rows.
+    """
+    step = max(1, total // (shards * PER_SHARD))
+    size = F.octet_length("text") + ROW_BYTES
+    drawn = F.floor(size / step) + (F.rand(11) < (size % step) / step).cast("long")
+    sample = rows.select("doc", "key", F.floor(F.rand(12) * (1 << 30)).cast("long").alias("salt"), drawn.alias("times")).filter("times > 0").collect()
+    sample.sort()
+    upto = np.cumsum([r["times"] for r in sample]) if sample else np.zeros(0)
+    if not len(upto):
+        return []
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)
+    return [tuple(sample[i][:3]) for i in np.unique(at)]
+
+
+def dealt(rows: DataFrame, shards: int, total: int) -> DataFrame:
+    """rows, each partition holding the texts of one shard in order."""
+    bounds = shard_bounds(rows, shards, total)
+    if not bounds:
+        return rows.coalesce(1).sortWithinPartitions("doc", "key")
+    names = {n: np.array([b[i] for b in bounds], np.int64) for i, n in enumerate(("doc", "key", "salt"))}
+    packed = np.rec.fromarrays(list(names.values()), names="doc,key,salt")
+
+    @F.pandas_udf("int")
+    def shard_of(doc: pd.Series, key: pd.Series, salt: pd.Series) -> pd.Series:
+        at = np.rec.fromarrays([doc.to_numpy(np.int64), key.to_numpy(np.int64), salt.to_numpy(np.int64)], names="doc,key,salt")
+        return pd.Series(np.searchsorted(packed, at, side="right").astype(np.int32))
+
+    salted = rows.withColumn("salt", F.floor(F.rand(13) * (1 << 30)).cast("long")).withColumn("shard", shard_of("doc", "key", "salt"))
+    return salted.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("doc", "key")
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes shards to folder/shards and their index to folder/index; returns the index, made by reading the shards back."""
     spark = docs.sparkSession
     rows = repeats.keyed(docs, id_col, text_col)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +264,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
             # Raw bytes under the name of a string: Spark's text writer copies them as they are and adds the last byte.
             yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.string(), len(values), values.buffers())], ["value"])
 
-    dealt = rows.repartitionByRange(shards, "doc").sortWithinPartitions("doc", "key").select("id", "text")
-    dealt.mapInArrow(encode, "value string").write.option("lineSep", "\n").option("compression", "none").text(f"{folder}/shards")
+    in_order = dealt(rows, shards, total).select("id", "text")
+    in_order.mapInArrow(encode, "value string").write.option("lineSep", "\n").option("compression", "none").text(f"{folder}/shards")
     read_index(spark, folder).write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 

@@ -3,7 +3,9 @@
 A document's windows (of bytes or of words) are grouped into runs by their winnowed anchors: equal
 windows always have equal anchors, so windows whose anchor occurs once in the corpus cannot repeat.
 Only runs with a repeated anchor go on, which keeps the shuffle at about 2 / (span - gram) rows a window
-and loses no repeat.
+and loses no repeat. Runs count as equal if their anchors and their contents' hashes, of 64 bits each, agree.
+
+A row is named by its id and a hash of its text, so only rows with equal ids could ever be taken for each other.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ from ledgerloom.llm import bytescan
 from ledgerloom.llm.scratch import materialize
 
 NO_ID = (1 << 63) - 1
-RUNS = "anchor long, cover long, key long, doc long, pos long, n long"
+RUNS = "anchor long, cover long, doc long, key long, pos long, n long"
+ROW = ["doc", "key"]
+HOT_KEYS = 512
+SALTS = 32
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (a null id stands after all others), key (of id and text: equal rows share it) and text (null: empty)."""
+    """id, doc (a null id stands after all others), key (of the text: rows equal in id and text share both) and text (null: empty)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(F.col(id_col).cast("long").alias("id"), doc.alias("doc"), F.xxhash64(doc, text).alias("key"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), doc.alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def _scanner(span: int, gram: int, by_word: bool) -> Callable:
@@ -39,16 +44,16 @@ def _scanner(span: int, gram: int, by_word: bool) -> Callable:
                     first, count = words.first, words.count
                     if not len(count) or count.max() < span:
                         continue
-                    rolling = bytescan.Rolling(words.hashes())
+                    values = words.hashes()
                 else:
                     count = np.fromiter(map(len, texts[low:high]), np.int64, high - low)
                     if count.max() < span:
                         continue
                     first = np.cumsum(count) - count
-                    rolling = bytescan.of_bytes(np.frombuffer(b"".join(texts[low:high]), np.uint8))
-                owner, start, n, anchor, cover = bytescan.anchor_runs(rolling, first, count, span, gram)
+                    values = np.frombuffer(b"".join(texts[low:high]), np.uint8)
+                owner, start, n, anchor, cover = bytescan.anchor_runs(values, first, count, span, gram)
                 if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, cover, keys[low + owner], docs[low + owner], start - first[owner], n)], ["anchor", "cover", "key", "doc", "pos", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, cover, docs[low + owner], keys[low + owner], start - first[owner], n)], ["anchor", "cover", "doc", "key", "pos", "n"])
 
     return scan
 
@@ -58,18 +63,32 @@ def anchored_runs(rows: DataFrame, span: int, gram: int, by_word: bool) -> DataF
     return rows.select("key", "doc", "text").mapInArrow(_scanner(span, gram, by_word), RUNS)
 
 
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: list[str], how: str = "inner", count: str = "c") -> DataFrame:
+    """rows joined with keys, in which each key stands once, with the number of its rows in column `count`.
+
+    Keys that hold more than one in HOT_KEYS of all rows are spread: each is repeated for SALTS salts, which its rows take by
+    their hash of the columns `spread`. There are fewer than HOT_KEYS such keys whatever the table, so they may be broadcast.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(keys.filter(F.col(count) > total // HOT_KEYS).select(*on, F.lit(True).alias("hot_key")))
+    drawn = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("hot_key"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("hot_key")
+    last = F.when(F.col(count) > total // HOT_KEYS, F.lit(SALTS - 1)).otherwise(0).cast("long")
+    dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(count)
+    return drawn.join(dealt, [*on, "salt"], how).drop("salt")
+
+
 def repeated_runs(runs: DataFrame, across_docs: bool) -> DataFrame:
     """The runs whose anchor occurs more than once (across_docs: under different document ids).
 
     The counts are combined before their shuffle and written, so that both sides of the semi-join are plain
-    exchanges by anchor and adaptive execution can split a hot anchor's runs.
+    exchanges by anchor and salt.
     """
     counts = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    counts = materialize(counts.filter("lo < hi" if across_docs else "c > 1").select("anchor"), "anchors")
-    return runs.join(counts, "anchor", "left_semi")
+    counts = materialize(counts.filter("lo < hi" if across_docs else "c > 1").select("anchor", "c"), "anchors")
+    return salted_join(runs, counts, ["anchor"], ["doc", "key", "pos"], "left_semi")
 
 
 def with_intervals(rows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """rows with a column cut: the sorted distinct (start, end) intervals of the row's key, or null. Keeps every row."""
-    per_key = intervals.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("cut"))
-    return rows.join(per_key, "key", "left")
+    """rows with a column cut: the sorted distinct (start, end) intervals of the row, or null. Keeps every row."""
+    per_key = intervals.distinct().groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("cut"))
+    return rows.join(per_key, ROW, "left")

@@ -10,9 +10,10 @@ runs, with the suffix positions at both ends of each run and the common prefix o
 From these O(runs) samples one pass over the text streams its matching statistics against all the rest, and window
 starts whose statistic reaches span are marked. Equal strings always have equal anchors, so they meet in a bucket.
 
-A bucket's size is bounded: the regions of an anchor with more than HOT_BYTES of them are cut into pieces of STEP
-window starts, which are indexed by the bytes that all their windows share; should pieces with one such core exceed
-the bound too, their windows are counted one by one in Spark. Both are exact.
+A bucket's size is bounded: the regions of an anchor with more than HOT_BYTES of them are cut into pieces of STEPS[0]
+window starts, which are gathered and indexed by the bytes that all their windows share; pieces of which one such core
+still has too many are cut again, at last to single windows, which can't be too many, as equal ones collapse. Buckets
+are packed by size, to at most BUCKET_BYTES + HOT_BYTES each (and one region, of less than 2 * span bytes).
 
 Defined results: null text is empty; empty and short texts are kept; a null id is like any other; each of several
 equal rows is a text of its own, so their long strings repeat; an empty table gives no rows; other columns are not read.
@@ -25,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.llm import bytescan, repeats
+from ledgerloom.llm.repeats import salted_join
 from ledgerloom.llm.scratch import materialize
 
 SPAN = 200
 GRAM = 32
 BUCKET_BYTES = 1 << 19
 HOT_BYTES = 1 << 18
-STEP = 16
+STEPS = (16, 4, 1)
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -182,44 +184,35 @@ def _index_bucket(span: int):
     return index
 
 
-def _region_windows(span: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bytescan.parts(batches):
-            anchors, covers, counts = (batch.column(i).to_numpy() for i in range(3))
-            for i, region in enumerate(batch.column(3).to_pylist()):
-                hashes = bytescan.of_bytes(np.frombuffer(region, np.uint8)).windows(span).view(np.int64)
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(n, anchors[i]), np.full(n, covers[i]), np.full(n, counts[i]), hashes, np.arange(n))], ["anchor", "cover", "c", "window", "shift"])
-
-    return scan
+def _split_regions(span: int, gram: int, step: int):
+    """Cuts regions of one anchor (or core) into pieces of `step` window starts, at places counted from the first anchor.
 
-
-def _split_regions(span: int, gram: int):
-    """Cuts regions of one anchor into pieces of STEP window starts, at places counted from the anchor.
-
-    All windows of a piece share its core, the bytes that each of them covers. Equal windows lie at equal places from
-    equal anchors, so they fall into pieces with equal cores.
+    `at` is the place of a region's first byte, counted from its anchor, or null where the anchor is yet to be found. All
+    windows of a piece share its core, the bytes that each of them covers. Equal windows lie at equal places from equal
+    anchors, so they fall into pieces with equal cores.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bytescan.parts(batches):
+        for batch in bytescan.parts(batches, 128):
             anchors, covers, counts = (batch.column(i).to_numpy() for i in range(3))
-            out: dict[str, list] = {x: [] for x in ("core", "content", "c", "anchor", "cover", "shift", "region")}
-            for i, region in enumerate(batch.column(3).to_pylist()):
-                rolling = bytescan.of_bytes(np.frombuffer(region, np.uint8))
-                at = int(np.flatnonzero(rolling.windows(gram).view(np.int64) == anchors[i])[0])
+            out: dict[str, list] = {x: [] for x in ("core", "content", "c", "anchor", "cover", "shift", "at", "region")}
+            for i, (place, region) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                raw = np.frombuffer(region, np.uint8)
+                if place is None:
+                    place = -int(np.flatnonzero(bytescan.of_bytes(raw).windows(gram).view(np.int64) == anchors[i])[0])
                 n = len(region) - span + 1
-                bounds = np.unique(np.concatenate([[0, n], np.arange(at % STEP, n, STEP)]))
+                bounds = np.unique(np.concatenate([[0, n], np.arange(-place % step, n, step)]))
                 lo, hi = bounds[:-1], bounds[1:]
-                first = at - -(-(at - lo) // STEP) * STEP  # where the whole piece begins, even if its first windows are another anchor's
-                place = ((first - at) // STEP).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                core = bytescan.mix(rolling.of(first + STEP - 1, first + span) ^ place ^ anchors[i : i + 1].view(np.uint64))
-                content = rolling.of(lo, hi - 1 + span) ^ bytescan.mix((lo - first).astype(np.uint64) * np.uint64(STEP + 1) + (hi - lo).astype(np.uint64))
-                out["core"].append(core.view(np.int64))
-                out["content"].append(content.view(np.int64))
+                first = (place + lo) // step * step - place  # where the whole piece begins, even if its first windows are another run's
+                salt = np.array([first + place, np.full(len(lo), anchors[i])]).T.astype(np.int64)
+                core = bytescan.slice_hashes(raw, first + step - 1, first + span) ^ bytescan.slice_hashes(salt.ravel(), np.arange(0, 2 * len(lo), 2), np.arange(2, 2 * len(lo) + 2, 2))
+                extent = bytescan.mix(((lo - first) * (step + 1) + hi - lo).astype(np.uint64)).view(np.int64)
+                out["core"].append(core)
+                out["content"].append(bytescan.slice_hashes(raw, lo, hi - 1 + span) ^ extent)
                 for name, value in (("c", counts[i]), ("anchor", anchors[i]), ("cover", covers[i])):
                     out[name].append(np.full(len(lo), value))
                 out["shift"].append(lo)
+                out["at"].append(lo + place)
                 out["region"] += [region[x : y - 1 + span] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
             if out["core"]:
                 yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.binary()) if name == "region" else pa.array(np.concatenate(value)) for name, value in out.items()], list(out))
@@ -227,55 +220,66 @@ def _split_regions(span: int, gram: int):
     return scan
 
 
-def _indexed(regions: DataFrame, span: int, bucket_bytes: int) -> DataFrame:
-    """(anchor, cover, from_shift, to_shift) of repeated window starts, from one index a bucket of anchors."""
-    total = regions.agg(F.sum(F.length("region") + 1)).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // bucket_bytes)))).alias("bucket")
-    return regions.select(bucket, "anchor", "cover", "c", "region").groupBy("bucket").applyInArrow(_index_bucket(span), "anchor long, cover long, from_shift long, to_shift long")
+def _packed(held: DataFrame, bucket_bytes: int) -> DataFrame:
+    """anchor and bucket: anchors dealt to buckets of at most bucket_bytes and one anchor's regions. held: anchor, held (bytes).
 
-
-def _hot(regions: DataFrame, hot_bytes: int) -> DataFrame:
-    held = regions.groupBy("anchor").agg(F.sum(F.length("region") + 1).alias("held"))
-    return materialize(held.filter(F.col("held") > hot_bytes).select("anchor", F.lit(True).alias("hot")), "hot")
+    Anchors are dealt to groups of some 64 buckets by their hash, and filled in within each group.
+    """
+    total = held.agg(F.sum("held")).first()[0] or 0
+    groups = max(1, total // (64 * bucket_bytes))
+    upto = F.sum("held").over(Window.partitionBy("part").orderBy("anchor").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(groups))).withColumn("slot", F.floor((upto - F.col("held")) / bucket_bytes))
+    return dealt.select("anchor", F.struct("part", "slot").alias("bucket"))
 
 
-def repeated_windows(regions: DataFrame, span: int, gram: int, bucket_bytes: int, hot_bytes: int) -> DataFrame:
+def repeated_windows(regions: DataFrame, span: int, gram: int, bucket_bytes: int, hot_bytes: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """(anchor, cover, from_shift, to_shift): window starts of regions at which a string starts that starts elsewhere too.
 
-    Anchors with more than hot_bytes of distinct regions are cut into pieces by what is around the anchor; pieces whose
-    core still has more are counted window by window.
+    regions: anchor, cover, c (how many equal ones there are), at (see _split_regions) and region, each content once.
     """
-    marked = materialize(regions.join(_hot(regions, hot_bytes), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "marked")
-    found = _indexed(marked.filter("not hot"), span, bucket_bytes)
-    names = "core long, content long, c long, anchor long, cover long, shift long, region binary"
-    pieces = materialize(marked.filter("hot").select("anchor", "cover", "c", "region").mapInArrow(_split_regions(span, gram), names), "pieces")
-    distinct = pieces.groupBy(F.col("core").alias("anchor"), F.col("content").alias("cover")).agg(F.sum("c").alias("c"), F.any_value("region").alias("region"))
-    distinct = materialize(distinct, "distinct")
-    again = materialize(distinct.join(_hot(distinct, hot_bytes), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "again")
-    windows = again.filter("hot").select("anchor", "cover", "c", "region").mapInArrow(_region_windows(span), "anchor long, cover long, c long, window long, shift long")
-    often = materialize(windows.groupBy("anchor", "window").agg(F.sum("c").alias("times")).filter("times > 1").select("anchor", "window"), "often")
-    counted = windows.join(often, ["anchor", "window"]).select("anchor", "cover", F.col("shift").alias("from_shift"), (F.col("shift") + 1).alias("to_shift"))
-    finer = materialize(_indexed(again.filter("not hot"), span, bucket_bytes).unionByName(counted).withColumnsRenamed({"anchor": "core", "cover": "content"}), "finer")
-    back = pieces.drop("region").join(finer, ["core", "content"])
+    found_schema = "anchor long, cover long, from_shift long, to_shift long"
+    held = materialize(regions.groupBy("anchor").agg(F.sum(F.length("region") + 1).alias("held"), F.count("*").alias("c")), "held")
+    # With no step left each anchor is one window, and has one content.
+    cold = held.filter(F.col("held") <= hot_bytes) if steps else held
+    buckets = materialize(_packed(cold, bucket_bytes), "buckets")
+    found = regions.select("anchor", "cover", "c", "region").join(buckets.hint("merge"), "anchor").groupBy("bucket").applyInArrow(_index_bucket(span), found_schema)
+    hot = held.filter(F.col("held") > hot_bytes).select("anchor", "c")
+    if not steps or hot.isEmpty():
+        return found
+    found = materialize(found, "found")
+    names = "core long, content long, c long, anchor long, cover long, shift long, at long, region binary"
+    of_hot = salted_join(regions, hot, ["anchor"], ["cover"], "left_semi")
+    pieces = materialize(of_hot.select("anchor", "cover", "c", "at", "region").mapInArrow(_split_regions(span, gram, steps[0]), names), "pieces")
+    distinct = pieces.groupBy(F.col("core").alias("anchor"), F.col("content").alias("cover")).agg(F.sum("c").alias("c"), F.count("*").alias("rows"), F.any_value(F.struct("at", "region")).alias("own"))
+    distinct = materialize(distinct.select("anchor", "cover", "c", "rows", "own.*"), "distinct")
+    finer = materialize(repeated_windows(distinct.drop("rows"), span, gram, bucket_bytes, hot_bytes, steps[1:]), "finer")
+    finer = finer.select(F.col("anchor").alias("core"), F.col("cover").alias("content"), "from_shift", "to_shift")
+    of_piece = finer.groupBy("core", "content").agg(F.collect_list(F.struct("from_shift", "to_shift")).alias("shifts"))  # at most one for each window of a piece
+    often = distinct.select(F.col("anchor").alias("core"), F.col("cover").alias("content"), F.col("rows").alias("c"))
+    of_piece = materialize(of_piece.join(often.hint("merge"), ["core", "content"]), "of_piece")
+    back = salted_join(pieces.drop("region", "c"), of_piece, ["core", "content"], ["anchor", "cover", "shift"]).select("anchor", "cover", "shift", F.inline("shifts"))
     return found.unionByName(back.select("anchor", "cover", (F.col("shift") + F.col("from_shift")).alias("from_shift"), (F.col("shift") + F.col("to_shift")).alias("to_shift")))
 
 
 def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(key, lo, hi): half-open byte intervals that repeated strings cover. rows: as from repeats.keyed()."""
+    """(doc, key, lo, hi): half-open byte intervals that repeated strings cover. rows: as from repeats.keyed()."""
     runs = materialize(repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=False), across_docs=False), "runs")
-    covers = materialize(runs.groupBy("anchor", "cover").agg(F.count("*").alias("c"), F.min(F.struct("key", "pos", "n")).alias("own")), "covers")
-    per_key = covers.select("anchor", "cover", "c", "own.*").groupBy("key").agg(F.collect_list(F.struct("anchor", "cover", "c", "pos", "n")).alias("runs"))
-    regions = rows.select("key", "text").join(per_key, "key").select("text", "runs").mapInArrow(_cut_regions(span), "anchor long, cover long, c long, region binary")
-    regions = materialize(regions, "regions")
+    covers = materialize(runs.groupBy("anchor", "cover").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "pos", "n")).alias("own")), "covers")
+    per_key = covers.select("anchor", "cover", "c", "own.*").groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", "c", "pos", "n")).alias("runs"))
+    # Rows equal in id and text share their runs; one of them gives the regions.
+    regions = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("text", "runs").mapInArrow(_cut_regions(span), "anchor long, cover long, c long, region binary")
+    regions = materialize(regions.withColumn("at", F.lit(None).cast("long")), "regions")
     found = materialize(repeated_windows(regions, span, gram, bucket_bytes, hot_bytes), "found")
-    lo = (F.col("pos") + F.col("from_shift")).alias("lo")
-    return runs.join(found, ["anchor", "cover"]).select("key", lo, (F.col("pos") + F.col("to_shift") - 1 + span).alias("hi"))
+    of_run = found.groupBy("anchor", "cover").agg(F.collect_set(F.struct("from_shift", "to_shift")).alias("shifts"))  # at most one for each window of a run
+    of_run = materialize(of_run.join(covers.select("anchor", "cover", "c").hint("merge"), ["anchor", "cover"]), "of_run")
+    back = salted_join(runs, of_run, ["anchor", "cover"], ["doc", "key", "pos"]).select("doc", "key", "pos", F.inline("shifts"))
+    return back.select("doc", "key", (F.col("pos") + F.col("from_shift")).alias("lo"), (F.col("pos") + F.col("to_shift") - 1 + span).alias("hi"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_spans: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, spans (start, end in bytes)."""
-    if span < 2 * STEP:
-        raise ValueError(f"a string has at least {2 * STEP} bytes")
+    if span < 2 * STEPS[0]:
+        raise ValueError(f"a string has at least {2 * STEPS[0]} bytes")
     rows = repeats.keyed(docs, id_col, text_col)
     cut = repeats.with_intervals(rows, removal_intervals(rows, span, min(GRAM, span // 2))).select("id", "text", "cut")
 

@@ -3,9 +3,10 @@
 A word is a maximal run of bytes other than space and U+0009 to U+000D. A window is span consecutive words of
 one document. A word is removed if a window that covers it also starts in a document with a smaller id.
 
-Every window is hashed. Windows are first grouped into anchored runs (see repeats), whose hash covers all their
-windows at once: a run that equals another one as a whole is settled by one count. Where two different runs share
-an anchor, each window's own hash is counted. So each window is compared, with far fewer rows than windows.
+Windows are first grouped into anchored runs (see repeats), whose hash covers all their windows at once: a run that
+equals another one as a whole is settled by one count. Where two different runs share an anchor, each window's own
+Rabin-Karp hash, modulo the prime 2**61 - 1, is counted under the anchor. So each window that may repeat is compared,
+with far fewer rows than windows; two different windows clash with a chance of some 2**-55 each, and only under one anchor.
 
 Defined results: null or empty text has no words (kept text is empty); a null id stands after all other ids; rows
 with equal ids never remove from each other, repeated rows included; an empty table gives no rows; other columns
@@ -32,44 +33,45 @@ def _window_hashes(span: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):
             texts = bytescan.column(batch, "text")
-            keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            runs = batch.column(3).to_pylist()
+            docs = batch.column(0).to_numpy()
+            runs = batch.column(2).to_pylist()
             for low, high in bytescan.chunks(texts):
                 words = bytescan.Words(texts[low:high])
-                rolling = bytescan.Rolling(words.hashes())
-                out = [[], [], [], [], [], []]
+                rolling = bytescan.PrimeRolling(words.hashes())
+                out = [[], [], [], [], []]
                 for i in range(low, high):
                     for run in runs[i]:
                         at = np.arange(run["pos"], run["pos"] + run["n"]) + words.first[i - low]
-                        for values, x in zip(out, (np.full(len(at), run["anchor"]), rolling.of(at, at + span).view(np.int64), np.full(len(at), run["cover"]), np.full(len(at), keys[i]), np.full(len(at), docs[i]), np.arange(run["n"])), strict=True):
+                        for values, x in zip(out, (np.full(len(at), run["anchor"]), rolling.of(at, at + span).view(np.int64), np.full(len(at), run["cover"]), np.full(len(at), docs[i]), np.arange(run["n"])), strict=True):
                             values.append(x)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["anchor", "window", "cover", "key", "doc", "shift"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["anchor", "window", "cover", "doc", "shift"])
 
     return scan
 
 
 def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(key, lo, hi): half-open word intervals that windows with an earlier copy cover. rows: as from repeats.keyed()."""
+    """(doc, key, lo, hi): half-open word intervals that windows with an earlier copy cover. rows: as from repeats.keyed()."""
     runs = repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=True), across_docs=True)
     runs = materialize(runs, "runs")
-    covers = runs.groupBy("anchor", "cover").agg(F.min("doc").alias("first_doc"), F.min(F.struct("doc", "key", "pos", "n")).alias("own"))
+    covers = runs.groupBy("anchor", "cover").agg(F.min("doc").alias("first_doc"), F.count("*").alias("c"), F.min(F.struct("doc", "key", "pos", "n")).alias("own"))
     covers = materialize(covers, "covers")
     end = F.col("pos") + F.col("n") - 1 + span
-    whole = runs.join(covers.select("anchor", "cover", "first_doc"), ["anchor", "cover"]).filter("doc > first_doc").select("key", F.col("pos").alias("lo"), end.alias("hi"))
+    whole = repeats.salted_join(runs, covers.select("anchor", "cover", "first_doc", "c"), ["anchor", "cover"], ["doc", "key", "pos"])
+    whole = whole.filter("doc > first_doc").select("doc", "key", F.col("pos").alias("lo"), end.alias("hi"))
 
-    several = covers.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1").select("anchor")
-    unsettled = covers.join(several, "anchor", "left_semi").select("anchor", "cover", "own.*")
-    per_key = unsettled.groupBy("key").agg(F.collect_list(F.struct("anchor", "cover", "pos", "n")).alias("runs"))
+    several = materialize(covers.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1"), "several")
+    unsettled = repeats.salted_join(covers.select("anchor", "cover", "own.*"), several, ["anchor"], ["cover"], "left_semi")
+    per_key = materialize(unsettled, "unsettled").groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", "pos", "n")).alias("runs"))
     # Equal rows share a key and give equal windows, which the counts below don't mind.
-    texts = rows.select("key", "doc", "text").join(per_key, "key").select("key", "doc", "text", "runs")
-    windows = materialize(texts.mapInArrow(_window_hashes(span), "anchor long, window long, cover long, key long, doc long, shift long"), "windows")
-    firsts = windows.groupBy("anchor", "window").agg(F.min("doc").alias("lo_doc"), F.max("doc").alias("hi_doc")).filter("lo_doc < hi_doc")
-    firsts = materialize(firsts.select("anchor", "window", "lo_doc"), "firsts")
-    later = windows.join(firsts, ["anchor", "window"]).filter("doc > lo_doc").select("anchor", "cover", "doc", "shift").distinct()
+    texts = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("doc", "text", "runs")
+    windows = materialize(texts.mapInArrow(_window_hashes(span), "anchor long, window long, cover long, doc long, shift long"), "windows")
+    firsts = windows.groupBy("anchor", "window").agg(F.min("doc").alias("lo_doc"), F.max("doc").alias("hi_doc"), F.count("*").alias("c")).filter("lo_doc < hi_doc")
+    firsts = materialize(firsts.select("anchor", "window", "lo_doc", "c"), "firsts")
+    later = repeats.salted_join(windows, firsts, ["anchor", "window"], ["cover", "doc", "shift"]).filter("doc > lo_doc").select("anchor", "cover", "doc", "shift").distinct()
     later = materialize(later, "later")
     # Holds for each run with this content in this document; runs of it in later documents are removed as a whole.
-    single = runs.join(later, ["anchor", "cover", "doc"]).select("key", (F.col("pos") + F.col("shift")).alias("lo"), (F.col("pos") + F.col("shift") + span).alias("hi"))
+    single = runs.join(later, ["anchor", "cover", "doc"]).select("doc", "key", (F.col("pos") + F.col("shift")).alias("lo"), (F.col("pos") + F.col("shift") + span).alias("hi"))
     return whole.unionByName(single)
 
 
