@@ -10,11 +10,14 @@ A query visits pairs of centroids in the order of their summed distances, taken
 cells are ranked again by the exact inner product in double precision.
 
 Skew: only the top + 1 least ids of equal vectors can be among the nearest, since ties go to the smaller id, so all
-others leave before indexing, first within salted parts; this loses no result. Cells are dealt in blocks of at most
-BLOCK vectors times BLOCK queries, so no task holds a cell.
+others leave before indexing, first within salted parts; this loses no result. Neighbouring cells are packed to blocks of at
+most BLOCK vectors, and a larger cell is cut into such blocks. The queries that visit cells of a block stream past its
+vectors in sorted order, so no task holds more than one block and a batch of queries, whatever visits it. Queries are dealt to
+streams of some STREAM, and vectors are copied once a stream, not once a query or once a small block of queries.
 
 Defined results: vectors that are null, empty, zero, of another length than most of the sample, or hold null or non-finite values take no part,
-as rows or as queries; neither do rows with a null id; repeated ids are vectors of their own, but a query never finds its own id; fewer than
+as rows or as queries; neither do rows with a null id; repeated ids are vectors of their own, but a query never finds its own id; each of
+several query rows with one id has results of its own; a product beyond the range of doubles counts as infinite; fewer than
 `top` candidates are all returned; empty tables give no rows; other columns are not read.
 """
 
@@ -31,9 +34,10 @@ from ledgerloom.llm.scratch import materialize
 
 TOP = 20
 FIT_ROWS = 8192
-CENTROIDS = 24
-SHARE, LEAST = 0.6, 3000
-BLOCK = 2048
+CENTROIDS = 128
+SHARE, LEAST = 0.35, 3000
+BLOCK, STREAM = 2048, 1 << 16
+LARGE = 2.0**400  # products of components below it don't overflow
 ROUNDS = 12
 SALTS = 64
 
@@ -69,6 +73,9 @@ class Codebook:
     def __init__(self, sample: np.ndarray, k: int):
         self.width = sample.shape[1]
         self.half = self.width // 2
+        # A power of two that brings the sample near 1, so that squares don't overflow.
+        self.scale = 2.0 ** -int(np.frexp(np.abs(sample).max())[1])
+        sample = sample * self.scale
         self.most = [float((h * h).sum(1).max()) for h in (sample[:, : self.half], sample[:, self.half :])]
         self.centers = [kmeans(h, k) for h in self.halves(sample)]
 
@@ -79,13 +86,16 @@ class Codebook:
             out.append(np.concatenate([part, lacks[:, None]], 1))
         return out
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x * self.scale, -1e100, 1e100)
+
     def cells(self, x: np.ndarray) -> np.ndarray:
-        a, b = (distances(h, c).argmin(1) for h, c in zip(self.halves(x), self.centers, strict=True))
+        a, b = (distances(h, c).argmin(1) for h, c in zip(self.halves(self.scaled(x)), self.centers, strict=True))
         return a * len(self.centers[1]) + b
 
     def visits(self, x: np.ndarray, held: np.ndarray, enough: int) -> Iterator[list[int]]:
         """For each query, the non-empty cells in the order of summed distances, until they hold enough vectors."""
-        first, second = (distances(h, c) for h, c in zip(self.halves(x, query=True), self.centers, strict=True))
+        first, second = (distances(h, c) for h, c in zip(self.halves(self.scaled(x), query=True), self.centers, strict=True))
         n = second.shape[1]
         for u, v in zip(first, second, strict=True):
             i_order, j_order = np.argsort(u, kind="stable"), np.argsort(v, kind="stable")
@@ -110,6 +120,42 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The inner product of each row of q with the same row of x, always added up in one way; beyond doubles: infinite, never NaN."""
+    if max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) < LARGE:
+        return (q * x).sum(1)
+    exponents = [np.frexp(np.abs(v).max(1))[1] for v in (q, x)]
+    scaled = [np.ldexp(v, -e[:, None]) for v, e in zip((q, x), exponents, strict=True)]
+    with np.errstate(over="ignore"):
+        return np.ldexp((scaled[0] * scaled[1]).sum(1), exponents[0] + exponents[1])
+
+
+def nearest(q: np.ndarray, x: np.ndarray, may: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places of pairs among which are each query's top nearest of those it may meet; ties all stay."""
+    # Powers of two bring queries one by one, and vectors together, near 1: the order stays, and this product may round as it likes.
+    q = np.ldexp(q, -np.frexp(np.abs(q).max(1))[1][:, None])
+    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+    scores = np.where(may, q @ x.T, -np.inf)
+    k = min(top, len(x))
+    bound = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
+    slack = 1e-12 * len(q[0])  # all products lie within len(q[0]), and are this exact
+    return np.nonzero((scores >= (bound - slack)[:, None]) & may)
+
+
+def packed(held: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first block and its number of blocks. Neighbouring cells share a block as long as it holds at most `size`."""
+    parts = np.maximum(1, -(-held // size))
+    first, block, filled = np.zeros(len(held), np.int64), 0, 0
+    for c, n in enumerate(held):
+        if filled and filled + n > size:
+            block, filled = block + 1, 0
+        first[c] = block
+        filled += n
+        if parts[c] > 1:
+            block, filled = block + int(parts[c]), 0
+    return first, parts
+
+
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest, by inner product, ties to the smaller id."""
     rows = usable(vectors, id_col, vector_col)
@@ -141,47 +187,58 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     for r in indexed.groupBy("cell").count().collect():
         held[r["cell"]] = r["count"]
     enough = max(least, int(share * held.sum()))
-    parts = np.maximum(1, -(-held // BLOCK))
+    first_block, parts = packed(held)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("block", pa.int64()), ("cells", pa.list_(pa.int32()))]))
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                some, out = batch.slice(low, 64), []
+                for cells in book.visits(_matrix(some.column(2), width), held, enough):
+                    by_block: dict[int, list[int]] = {}
+                    for c in cells:
+                        for p in range(parts[c]):
+                            by_block.setdefault(int(first_block[c]) + p, []).append(c)
+                    out.append([{"block": b, "cells": found} for b, found in by_block.items()])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(out, kind)], ["asked", "id", "x", "visits"])
+
+    # Each query row has a number of its own, which stays as it is once it is written.
+    numbered = materialize(asked.select(F.monotonically_increasing_id().alias("asked"), "id", "x"), "queries")
+    streams = max(1, -(-numbered.count() // STREAM))
+    visits = materialize(numbered.mapInArrow(visit, "asked long, id long, x array<double>, visits array<struct<block: long, cells: array<int>>>"), "visits")
+    of_cell = lambda numbers: F.get(F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>"), F.col("cell").cast("int")).cast("long")
+    in_part = F.pmod(F.xxhash64(F.lit(3), "id"), of_cell(parts))
+    vectors = indexed.select((of_cell(first_block) + in_part).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1)).cast("array<long>")).alias("stream"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("asked"), "id", "x", F.array(F.col("cell").cast("int")).alias("cells"))
+    asking = visits.select(F.pmod(F.xxhash64("asked"), F.lit(streams)).alias("stream"), F.lit(1).cast("long").alias("kind"), "asked", "id", "x", F.inline("visits")).select("block", "stream", "kind", "asked", "id", "x", "cells")
+    dealt = vectors.unionByName(asking).repartition("block", "stream").sortWithinPartitions("block", "stream", "kind")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunks, ready = None, [], None
         for batch in batches:
-            found = list(book.visits(_matrix(batch.column(1), width), held, enough)) if batch.num_rows else []
-            cells = [[c * 65536 + p for c in one for p in range(parts[c])] for one in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int64()))], ["query_id", "q", "cells"])
-
-    group = materialize(asked.select("id", "x").mapInArrow(visit, "query_id long, q array<double>, cells array<long>"), "visits")
-    calls = group.count()
-    groups = max(1, -(-calls // BLOCK))
-    # A block of queries meets a block of a cell: at most BLOCK of either on average, by hashes of their ids.
-    wanted = group.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("long").alias("g"), "query_id", "q", F.explode("cells").alias("part"))
-    part_sizes = F.split(F.lit(",".join(map(str, parts))), ",").cast("array<int>")
-    part = F.col("cell") * 65536 + F.pmod(F.xxhash64(F.lit(3), "id"), F.get(part_sizes, F.col("cell").cast("int")).cast("long"))
-    blocks = indexed.select(part.cast("long").alias("part"), "id", "x", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("g"))
-
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            x, ids = _matrix(right.column("x"), width), right.column("id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            x, ids = x[order], ids[order]
-            asked_ids = left.column("query_id").to_numpy()
-            q = _matrix(left.column("q"), width)
-            for low in range(0, len(q), 256):
-                scores = q[low : low + 256] @ x.T
-                scores[asked_ids[low : low + 256, None] == ids[None]] = -np.inf
-                k = min(top, len(ids))
-                if k < len(ids):
-                    bound = np.maximum(np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k], -1e300)
-                else:
-                    bound = np.full(len(scores), -1e300)
-                # The product above may round equal vectors apart by their place; each pair kept is added up the same way.
-                i, j = np.nonzero((scores >= (bound - 1e-9)[:, None]) & (scores > -np.inf))
-                out["query_id"].append(asked_ids[low + i])
-                out["vec_id"].append(ids[j])
-                out["score"].append((q[low + i] * x[j]).sum(1))
-        kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in out.items()})
-
-    near = wanted.groupBy("g", "part").cogroup(blocks.groupBy("g", "part")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            block, stream, kind = (batch.column(i).to_numpy() for i in range(3))
+            if not len(block):
+                continue
+            edges = np.flatnonzero((block[1:] != block[:-1]) | (stream[1:] != stream[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(block)], strict=True):
+                if (block[lo], stream[lo]) != now:
+                    now, chunks, ready = (block[lo], stream[lo]), [], None
+                some = batch.slice(lo, hi - lo)
+                x, ids, cells = _matrix(some.column(5), width), some.column(4).to_numpy(), some.column(6)
+                if kind[lo] == 0:
+                    chunks.append((x, ids, cells.flatten().to_numpy()))
+                    continue
+                if not chunks:
+                    continue
+                ready = ready or [np.concatenate(v) for v in zip(*chunks, strict=True)]
+                asked, lists = some.column(3).to_numpy(), cells.to_pylist()
+                for low in range(0, len(x), 256):
+                    q, q_ids = x[low : low + 256], ids[low : low + 256]
+                    open_cells = np.zeros((len(q), n_cells), bool)
+                    for i, one in enumerate(lists[low : low + 256]):
+                        open_cells[i, one] = True
+                    i, j = nearest(q, ready[0], open_cells[:, ready[2]] & (q_ids[:, None] != ready[1][None]), top)
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (asked[low + i], q_ids[i], ready[1][j], products(q[i], ready[0][j]))], ["asked", "query_id", "vec_id", "score"])
+
+    near = dealt.mapInArrow(rank, "asked long, query_id long, vec_id long, score double")
+    by_score = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

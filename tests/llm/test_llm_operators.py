@@ -225,11 +225,55 @@ def test_multi_index(spark):
     assert multi_index.search(table.filter("false"), table).collect() == []
 
 
+def plain_nearest(made, asked, top=20):
+    """[(query_id, rank, vec_id, score)] over usable (id, vector) rows."""
+    out = []
+    for q, v in asked:
+        scored = sorted((-float((np.array(v) * np.array(w)).sum()), i) for i, w in made if i != q)[:top]
+        out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def test_multi_index_of_repeated_ids_and_large_vectors(spark):
+    rng = np.random.default_rng(6)
+    made = [(i, rng.normal(size=6).tolist()) for i in range(60)]
+    made += [(20, made[20][1])] * 29 + [(40, made[7][1]), (43, made[20][1]), (41, made[20][1])]  # one id thirty times, one id with two vectors
+    made += [(100 + i, (np.array(made[3][1]) * 1e9).tolist()) for i in range(5)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = multi_index.search(table, table.filter("vec_id % 20 = 0")).collect()
+    assert sorted(map(tuple, got)) == plain_nearest(made, [m for m in made if m[0] % 20 == 0])
+    huge = [(i, (v * 10.0 ** rng.integers(150, 300)).tolist()) for i, v in enumerate(rng.normal(size=(40, 4)))]
+    huge = spark.createDataFrame(huge, "vec_id long, embedding array<double>")
+    got = multi_index.search(huge, huge.filter("vec_id % 20 = 0")).collect()
+    assert collections.Counter(r["query_id"] for r in got) == {0: 20, 20: 20} and not any(np.isnan(r["score"]) for r in got)
+
+
+def test_multi_index_recall_below_exhaustion(spark):
+    table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    made = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}
+    ids = np.array(sorted(made))
+    x = np.array([made[i] for i in ids])
+    got = collections.defaultdict(set)
+    for r in multi_index.search(table, table.filter("vec_id % 200 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+        assert r["score"] == pytest.approx(made[r["query_id"]] @ made[r["vec_id"]], abs=1e-12)
+    asked = ids[ids % 200 == 0]
+    found = sum(len(got[q] & set(ids[np.argsort(-np.where(ids == q, -9, x @ made[q]), kind="stable")[:20]])) for q in asked)
+    assert multi_index.SHARE * len(ids) > multi_index.LEAST and multi_index.SHARE <= 0.35
+    assert found / (20 * len(asked)) >= 0.9
+
+
+def test_packed_blocks():
+    held = np.array([3, 0, 4, 9, 1, 25, 2, 2])
+    first, parts = multi_index.packed(held, 10)
+    assert list(first) == [0, 0, 0, 1, 1, 2, 5, 5] and list(parts) == [1, 1, 1, 1, 1, 3, 1, 1]
+
+
 def test_multi_index_keeps_ids_beside_a_repeated_one(spark):
     made = [(5, [1.0, 1.0])] * 30 + [(i, [1.0, 1.0]) for i in range(6, 16)] + [(i, [0.1, 0.001 * i]) for i in range(20, 60)]
     table = spark.createDataFrame(made, "vec_id long, embedding array<double>")
     got = [r["vec_id"] for r in multi_index.search(table, table.filter("vec_id = 6")).orderBy("rank").collect()]
-    assert got == [5] * 20
+    assert got == [5] * 20  # repeats are vectors of their own
     asked = table.filter("vec_id = 5").limit(1)
     got = [r["vec_id"] for r in multi_index.search(table, asked).orderBy("rank").collect()]
     assert got == [*range(6, 16), *range(59, 49, -1)]
