@@ -2,6 +2,7 @@
 
 import collections
 import functools
+import itertools
 import random
 import zlib
 
@@ -302,10 +303,72 @@ def test_targets_and_flow():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
     got = mixing.targets([10, 100, 100], [5, 2, 1])
     assert got[0] == 30 and abs(sum(got) - 210) < 1e-9 and abs(got[1] / got[2] - 2) < 1e-9
-    supply = {frozenset("a"): 10, frozenset("ab"): 10, frozenset("b"): 5}
-    taken = mixing.route(supply, {"a": 20, "b": 5})
-    assert taken == {frozenset("a"): 10, frozenset("ab"): 10, frozenset("b"): 5}  # no repeat is needed
-    assert sum(mixing.route(supply, {"a": 40, "b": 5}).values()) == 45
+    supply = {("a",): 10, ("a", "b"): 10, ("b",): 5}
+    assert mixing.route(supply, {"a": 20, "b": 5}) == ({("a",): 10, ("a", "b"): 10, ("b",): 5}, 25)  # no repeat is needed
+    assert sum(mixing.route(supply, {"a": 40, "b": 5})[0].values()) == 45
+
+
+def best_flow(supply, quotas, repeats):
+    """The largest flow and its least cost, over all whole sizes that may be taken. Feasible if each set of patterns fits its sources' quotas."""
+    patterns, best = list(supply), (0, 0)
+    for taken in itertools.product(*(range(repeats * supply[p] + 1) for p in patterns)):
+        subsets = (k for n in range(1, len(patterns) + 1) for k in itertools.combinations(range(len(patterns)), n))
+        if all(sum(taken[i] for i in k) <= sum(quotas[s] for s in set().union(*(patterns[i] for i in k))) for k in subsets):
+            cost = sum(mixing.pass_cost(u // supply[p] + 1) for p, t in zip(patterns, taken) for u in range(t))
+            best = max(best, (sum(taken), -cost))
+    return best[0], -best[1]
+
+
+def test_flow_is_the_best_of_all():
+    rng = random.Random(14)
+    for _ in range(60):
+        kinds = [("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c"), ("a", None)]
+        supply = {p: rng.randint(1, 3) for p in rng.sample(kinds, rng.randint(1, 4))}
+        quotas = {s: rng.randint(0, 9) for s in ("a", "b", "c", None)}
+        taken, cost = mixing.route(supply, quotas, 2)
+        assert (round(sum(taken.values()), 6), round(cost, 6)) == best_flow(supply, quotas, 2)
+        assert all(t <= 2 * supply[p] + 1e-6 for p, t in taken.items())
+
+
+def test_mixing_of_repeated_rows(spark):
+    text = "one two three four five six seven eight"
+    made = [(1, text, "a")] * 100 + [(i, text, "b") for i in range(2, 60)] + [(60, "x y", "c")]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(6)
+    got = collections.defaultdict(int)
+    for r in mixing.mix(table).collect():
+        got[r["target"]] += r["taken"]
+    assert len(got) == 3 and all(abs(taken - target) <= 4 for target, taken in got.items())
+    assert rows(mixing.mix(table)) == rows(mixing.mix(table.repartition(3)))
+    assert mixing.apply(table).filter("source = 'a'").count() * 8 == got[max(got)]
+
+
+@pytest.mark.parametrize("small", [10_000, 10])
+def test_mixing_of_many_and_of_overlapping_sources(spark, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SMALL", small)
+    rng = random.Random(15)
+    made = [(i, " ".join(["w"] * rng.randint(1, 9)), f"s{i % 5000:04}" if i % 7 else None) for i in range(9000)]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string")
+    own = collections.Counter()
+    for _, text, source in made:
+        own[source] += len(text.split())
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    aims = dict(zip(names, mixing.targets([own[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])))
+    source_of, by = {i: s for i, _, s in made}, collections.Counter()
+    for r in mixing.mix(table).collect():
+        assert r["target"] == pytest.approx(aims[source_of[r["doc_id"]]]) and r["source_size"] == own[source_of[r["doc_id"]]]
+        by[source_of[r["doc_id"]]] += r["taken"]
+    assert len(own) > 4096 and all(abs(by[s] - aims[s]) <= 5 for s in names)
+    made = [(i, "w " * rng.randint(1, 30), rng.choice([["a"], ["a", "b"], ["b", "c"], ["d"], ["d", "e", "d"], [], None, ["f", None]])) for i in range(600)]
+    table = spark.createDataFrame(made, "doc_id long, text string, source array<string>")
+    supply = collections.Counter()
+    for _, text, sources in made:
+        supply[tuple(sorted(set(sources or [None]), key=lambda s: (s is None, s or "")))] += len(text.split())
+    names = sorted({s for p in supply for s in p}, key=lambda s: (s is None, s or ""))
+    own = [sum(n for p, n in supply.items() if s in p) for s in names]
+    quotas = dict(zip(names, mixing.targets(own, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))], total=sum(supply.values()))))
+    want, _ = mixing.route(supply, quotas)
+    taken = sum(r["taken"] for r in mixing.mix(table, source_col="source").collect())
+    assert abs(taken - sum(want.values())) <= 15 * len(supply)
 
 
 def test_chat(spark):
