@@ -8,6 +8,8 @@ k turns is the rolling hash of that prefix: 128 bits, one window pass, and no se
 combined to one row each before they meet whole conversations in an anti-join, so that a first turn that a third of all
 conversations share is one row there.
 
+A role or text can't forge a turn: "<|" in it is rendered as "< |".
+
 Order: by turn, then role, then text; null turns come first. Defined results: a null text or role is rendered as
 empty but differs from an empty one in comparisons; rows with a null conv_id are no conversation and are left out;
 repeated rows are turns of their own; an empty table gives no rows; other columns are not read.
@@ -21,7 +23,8 @@ TURN_BEGIN, TURN_END = "<|im_start|>", "<|im_end|>\n"
 
 
 def rendered_turn(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(TURN_BEGIN), F.coalesce(role, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(TURN_END))
+    plain = lambda value: F.replace(F.coalesce(value, F.lit("")), F.lit("<|"), F.lit("< |"))
+    return F.concat(F.lit(TURN_BEGIN), plain(role), F.lit("\n"), plain(text), F.lit(TURN_END))
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
@@ -80,6 +83,6 @@ kept AS (
   SELECT w.conv_id, w.n FROM whole w
   WHERE NOT EXISTS (SELECT 1 FROM digests d WHERE d."at" < d.n AND d."at" = w.n AND d.digest = w.digest))
 SELECT k.conv_id, k.n AS n_turns,
-       string_agg('{TURN_BEGIN}' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10), '' ORDER BY t."at") AS chat
+       string_agg('{TURN_BEGIN}' || replace(coalesce(t.role, ''), '<|', '< |') || chr(10) || replace(coalesce(t.text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY t."at") AS chat
 FROM kept k JOIN turns t ON t.conv_id = k.conv_id
 GROUP BY k.conv_id, k.n"""

@@ -1,10 +1,14 @@
-"""Connected components by alternating large and small stars (Kiveris et al., 2014), all in DataFrames."""
+"""Connected components by alternating large and small stars (Kiveris et al., 2014), all in DataFrames.
+
+Defined results: a null end of an edge is no node; loops and repeated edges change nothing; a node that is in no edge
+but loops is not listed; an empty table gives no rows; other columns are not read. Tables of earlier rounds are removed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.scratch import materialize
+from ledgerloom.llm.scratch import materialize, remove, scope
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -12,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     linked = both.join(least, "u")
-    out = linked.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    moved = (linked.filter(F.col("v") > F.col("u")) if large else linked).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = moved if large else moved.unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter(F.col("u") > F.col("v")).distinct()
 
 
@@ -21,7 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") > F.col("v")).distinct()
     seen = None
     while True:
-        edges = materialize(_star(materialize(_star(edges, large=True), "large"), large=False), "small")
+        with scope(edges.sparkSession) as keep:
+            after = keep(materialize(_star(materialize(_star(edges, large=True), "large"), large=False), "small"))
+        if seen is not None:
+            remove(edges.sparkSession, edges._scratch_path)
+        edges = after
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -5,9 +5,10 @@ A-Z is lower-cased; words are runs of 0-9, a-z and all characters from U+0080 on
 " word word ... " and reads each document's normalised text once; hits are mapped back to word numbers and to byte
 offsets of the original text.
 
-The windows are collected and shipped in blocks of at most BLOCK_CHARS characters, so nothing that is broadcast
-grows with the benchmark: a larger benchmark takes several automata, each run over all documents, and their hits are
-united by document. Documents are never shuffled for a single block.
+The windows are collected and shipped in blocks of about BLOCK_CHARS characters, names of items included, so nothing that is
+broadcast grows with the benchmark: a larger benchmark takes several automata, one at a time, each run over all documents;
+the driver holds one block, and the hits are united by document. Items of a window that stands in very many of them are dealt
+to several entries. Documents are never shuffled for a single block.
 
 Defined results: null or empty text has no words and is not contaminated; items without words match nothing; a null
 item_id is listed as "null"; equal item_ids count once; each of several equal documents gets a row; a null doc_id
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm import bytescan, repeats
+from ledgerloom.llm.scratch import materialize
 
 SPAN = 10
 BLOCK_CHARS = 2_000_000
+ENTRY_ITEMS = 10_000
 _WORD = [c >= 0x80 or chr(c).isalnum() for c in range(256)]
 SEPARATORS = np.array([not x for x in _WORD])
 TABLE = bytes(ord(chr(c).lower()) if c < 0x80 and _WORD[c] else c if _WORD[c] else 0x20 for c in range(256))
@@ -117,39 +120,82 @@ def _batch(ids: pa.Array, rows: list[tuple[int, list, set]], spans: list | None)
     return pa.RecordBatch.from_pydict(out)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, span: int, block_chars: int) -> list:
-    """A scanner for each block of windows; a block's windows are collected when it is asked for."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, span: int, block_chars: int) -> tuple[int, Iterator]:
+    """The number of blocks, and a scanner for each; a block's windows are collected when it is asked for, and held by nothing else."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    windows = items.mapInArrow(_item_windows(span), "item string, window string").distinct()
-    total = windows.agg(F.sum(F.length("window") + 2)).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    grouped = windows.groupBy("window").agg(F.sort_array(F.collect_list("item")).alias("items")).withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    return [lambda i=i: _scanner({r["window"]: r["items"] for r in grouped.filter(F.col("block") == i).collect()}) for i in range(blocks)]
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs, all columns and rows as they are, without the documents that hold a window. No shuffle, however many blocks."""
-    mark = "k" * (max(map(len, docs.columns)) + 1)  # a name that no column has
-    out = docs.withColumn(mark, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    for block in _blocks(benchmark, item_col, item_text_col, span, block_chars):
-        hits = block()
+    windows = items.mapInArrow(_item_windows(span), "item string, window string")
+    # Equal rows are combined first, in salted entries, so that a window of all items meets in no task.
+    salt = F.pmod(F.xxhash64("item"), F.lit(64))
+    held = windows.distinct().groupBy("window", salt.alias("salt")).agg(F.count("*").alias("n")).groupBy("window").agg(F.sum("n").alias("n"))
+    held = materialize(held.withColumn("entries", F.ceil(F.col("n") / ENTRY_ITEMS)), "windows")
+    big = held.filter("entries > 1").select("window", "entries")
+    entry = F.pmod(F.xxhash64(F.lit(5), "item"), F.coalesce("entries", F.lit(1).cast("long")))
+    grouped = windows.distinct().join(big.hint("merge"), "window", "left").groupBy("window", entry.alias("entry")).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    chars = F.length("window") + 2 + F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x) + 1)
+    grouped = materialize(grouped.withColumn("chars", chars), "entries")
+    blocks = max(1, -(-(grouped.agg(F.sum("chars")).first()[0] or 0) // block_chars))
+    dealt = grouped.withColumn("block", F.pmod(F.xxhash64("window", "entry"), F.lit(blocks)))
+
+    def each() -> Iterator:
+        for i in range(blocks):
+            found: dict[str, list[str]] = {}
+            for r in dealt.filter(F.col("block") == i).collect():
+                found.setdefault(r["window"], []).extend(r["items"])
+            yield _scanner(found)
+
+    return blocks, each()
+
+
+def _parts(rows: DataFrame, scanners: Iterator) -> DataFrame:
+    """doc, key, lo, hi and items of the documents that each block hits, written block by block."""
+    parts = None
+    for hits in scanners:
 
-        def judge(batches: Iterator[pa.RecordBatch], hits=hits) -> Iterator[pa.RecordBatch]:
+        def partly(batches: Iterator[pa.RecordBatch], hits=hits) -> Iterator[pa.RecordBatch]:
             for batch in bytescan.parts(batches):
-                yield batch.filter(pa.array([not ranges for _, ranges, _ in hits(bytescan.column(batch, mark))], pa.bool_()))
+                keep, lo, hi, names = [], [], [], []
+                for k, (_, ranges, owners) in enumerate(hits(bytescan.column(batch, "text"))):
+                    if ranges:
+                        keep.append(k)
+                        lo.append([a for a, _ in ranges])
+                        hi.append([b for _, b in ranges])
+                        names.append(sorted(owners))
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["doc", "key", "lo", "hi", "items"])
+
+        part = materialize(rows.select("doc", "key", "text").mapInArrow(partly, "doc long, key long, lo array<long>, hi array<long>, items array<string>"), "hits")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs, all columns and rows as they are, without the documents that hold a window. A single block takes no shuffle."""
+    blocks, scanners = _blocks(benchmark, item_col, item_text_col, span, block_chars)
+    longest = max(map(len, docs.columns))
+    if blocks > 1:
+        doc, key = ("k" * (longest + n) for n in (1, 2))  # names that no column has
+        rows = repeats.keyed(docs, id_col, text_col)
+        gone = _parts(rows, scanners).select(F.col("doc").alias(doc), F.col("key").alias(key)).distinct()
+        marked = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NO_ID)), key: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+        return marked.join(gone.hint("merge"), [doc, key], "left_anti").drop(doc, key)
+    mark = "k" * (longest + 1)
+    hits = next(scanners)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bytescan.parts(batches):
+            yield batch.drop_columns([mark]).filter(pa.array([not ranges for _, ranges, _ in hits(bytescan.column(batch, mark))], pa.bool_()))
 
-        out = out.mapInArrow(judge, out.schema)
-    return out.drop(mark)
+    return docs.withColumn(mark, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(judge, docs.schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_chars: int = BLOCK_CHARS, with_spans: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit (words inside a hit), n_items, items_sha256, contaminated and, if asked for, spans (bytes of the original)."""
-    blocks = _blocks(benchmark, item_col, item_text_col, span, block_chars)
-    rows = repeats.keyed(docs, id_col, text_col).select("id", "key", "text")
+    blocks, scanners = _blocks(benchmark, item_col, item_text_col, span, block_chars)
+    rows = repeats.keyed(docs, id_col, text_col)
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans array<struct<start: long, end: long>>" * with_spans
 
-    if len(blocks) == 1:
-        hits = blocks[0]()
+    if blocks == 1:
+        hits = next(scanners)
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in bytescan.parts(batches):
@@ -159,25 +205,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         return rows.select("id", "text").mapInArrow(whole, schema)
 
-    parts = None
-    for block in blocks:
-        hits = block()
-
-        def partly(batches: Iterator[pa.RecordBatch], hits=hits) -> Iterator[pa.RecordBatch]:
-            for batch in bytescan.parts(batches):
-                keep, lo, hi, names = [], [], [], []
-                for k, (_, ranges, owners) in enumerate(hits(bytescan.column(batch, "text"))):
-                    if ranges:
-                        keep.append(k)
-                        lo.append([a for a, _ in ranges])
-                        hi.append([b for _, b in ranges])
-                        names.append(sorted(owners))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["key", "lo", "hi", "items"])
-
-        part = rows.select("key", "text").mapInArrow(partly, "key long, lo array<long>, hi array<long>, items array<string>")
-        parts = part if parts is None else parts.unionByName(part)
-    # Equal rows share a key and have equal hits; one of them is kept for each block.
-    per_key = parts.distinct().groupBy("key").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"), F.flatten(F.collect_list("items")).alias("items"))
+    # Equal rows have equal hits; one of them is kept for each block.
+    per_key = _parts(rows, scanners).distinct().groupBy("doc", "key").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"), F.flatten(F.collect_list("items")).alias("items"))
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):
@@ -185,4 +214,4 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             found = [(len(normalised(t)), list(zip(a or (), b or (), strict=True)), set(c or ())) for t, a, b, c in zip(texts, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield _batch(batch.column(0), found, [_original(t, r) if r else [] for t, (_, r, _) in zip(texts, found, strict=True)] if with_spans else None)
 
-    return rows.join(per_key, "key", "left").select("id", "text", "lo", "hi", "items").mapInArrow(united, schema)
+    return rows.join(per_key.hint("merge"), ["doc", "key"], "left").select("id", "text", "lo", "hi", "items").mapInArrow(united, schema)

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where the session names none (tests)."""
+    """The cluster's shared folder. Only a local session that names none (tests) gets a temporary one."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")
@@ -28,7 +33,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes what is materialized inside, when it ends, but for the tables that are given to the function it yields.
+
+    Only for steps whose result is itself materialized: nothing read later may come from what is removed. What is kept
+    belongs to the scope around, if there is one.
+    """
+    paths: list[str] = []
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table._scratch_path)
+        return table
+
+    _scopes.append(paths)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in paths:
+            if path not in kept:
+                remove(spark, path)
+        if _scopes:
+            _scopes[-1].extend(kept)
 
 
 def remove(spark: SparkSession, path: str) -> None:

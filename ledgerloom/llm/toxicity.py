@@ -10,7 +10,8 @@ The model is fitted on a bounded sample: the TRAIN_ROWS labelled rows with the l
 are not held out (crc32 of doc_id as text, modulo 4, is not 2). Scoring reads every whole text and nothing else.
 
 Defined results: null and empty texts are scored by the bias alone; labels that are null, or whose document is
-missing, are left out; a document with several labels counts as toxic if any is 1; without any usable label the score
+missing, are left out; a document with several labels counts as toxic if any is 1; of several texts with one id the one
+with the least features is the example; without any usable label the score
 is 0; a null doc_id is never held out, and its labels are not used; repeated rows are scored alike; empty tables
 give no rows; columns other than id and text are not read.
 """
@@ -136,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # The sample has a bounded number of rows, so it may be broadcast.
     got = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(extract, "id long, label int, places binary")
-    # Equal ids with different texts are all examples; the order is by content, so that reruns agree.
+    # One example an id, so that no id brings more than its share; the order depends on ids and contents alone, so that reruns agree.
+    got = got.groupBy("id", "label").agg(F.min("places").alias("places"))
     found = sorted((r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["id"], bytes(r["places"]), r["label"]) for r in got.collect())
     return fit([np.frombuffer(x, "<u4") for _, _, x, _ in found], np.array([float(y > 0) for *_, y in found]))
 

@@ -1,6 +1,6 @@
 """URL filter: allow and block rules, and a logistic regression on hashed character n-grams for urls that no rule fits.
 
-All of it is DataFrame functions. The labelled table is gathered to one row of arrays (it has at most MAX_LABELLED rows),
+All of it is DataFrame functions. The labelled table, or the MAX_LABELLED rows of it with the least hashes, is gathered to one row of arrays,
 and gradient descent is one aggregate expression over epochs on that row. The result is an array of BUCKETS weights,
 whose size doesn't depend on any table; scoring looks n-grams up in it as a constant.
 
@@ -48,7 +48,8 @@ ALLOWED = (
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The built-in labelled table: url and blocked."""
-    return spark.createDataFrame([(f"https://{u}", 1) for u in BLOCKED] + [(f"https://{u}", 0) for u in ALLOWED], "url string, blocked int")
+    row = lambda u, y: F.struct(F.lit(f"https://{u}").alias("url"), F.lit(y).alias("blocked"))
+    return spark.range(1).select(F.inline(F.array(*(row(u, 1) for u in BLOCKED), *(row(u, 0) for u in ALLOWED))))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -78,9 +79,8 @@ def train(table: DataFrame, url_col: str = "url", label_col: str = "blocked") ->
     """BUCKETS weights, by gradient descent over the whole labelled table. Only these numbers come to the driver."""
     host, path = host_and_path(F.col(url_col))
     rows = table.filter(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(host.alias("host"), path.alias("path"), F.col(label_col).cast("double").alias("y"))
-    rows = rows.limit(MAX_LABELLED + 1).select("host", "path", "y", places(F.col("host"), F.col("path")).alias("at"))
+    rows = rows.orderBy(F.xxhash64("host", "path", "y"), "host", "path", "y").limit(MAX_LABELLED).select("host", "path", "y", places(F.col("host"), F.col("path")).alias("at"))
     one = rows.agg(F.sort_array(F.collect_list(F.struct("host", "path", "y", "at"))).alias("rows"))
-    one = one.select(F.when(F.size("rows") <= MAX_LABELLED, F.col("rows")).otherwise(F.raise_error(F.lit("too many labelled rows"))).alias("rows"))
     # For each place, the examples that hold it (with repeats), so that a step is two passes over short arrays.
     numbered = one.select(F.posexplode("rows").alias("example", "row")).select("example", F.explode("row.at").alias("place"))
     by_place = numbered.groupBy("place").agg(F.sort_array(F.collect_list("example")).alias("examples")).agg(F.map_from_entries(F.collect_list(F.struct("place", "examples"))).alias("held"))
