@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.llm.repeats import salted_join
 from ledgerloom.llm.scratch import materialize, remove, scope
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links the greater (large) or lesser neighbours of each node to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    linked = both.join(least, "u")
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "least")
+    linked = salted_join(both, least, ["u"], ["v"])  # a node may have a third of all edges
     moved = (linked.filter(F.col("v") > F.col("u")) if large else linked).select(F.col("v").alias("u"), F.col("m").alias("v"))
     out = moved if large else moved.unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter(F.col("u") > F.col("v")).distinct()

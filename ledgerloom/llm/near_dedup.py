@@ -1,13 +1,14 @@
 """Near-duplicate classes by improved consistent weighted sampling (Ioffe, 2010) over TF-IDF shingles.
 
 Words are lower-cased (A-Z) runs of letters and digits; shingles are five consecutive words (all words, if fewer). A
-shingle weighs tf * (1 + DAMPING * idf), where idf runs from 0 (in every document) to 1. The damping is deliberate: a
-large group of copies raises the document frequency of its own shingles, and undamped weights would then push its
-similarity below the threshold.
+shingle weighs tf * (1 + DAMPING * idf). idf = ln(n / df) / ln(RARE), held to 0..1: 0 for shingles of every document, 1 for all that
+at most one document in RARE has. So weights depend on shares of the corpus and not on its size. The damping is
+deliberate: a large group of copies raises the document frequency of its own shingles, and undamped weights would then
+push its similarity below the threshold.
 
 Document frequencies come from all documents. They are kept in BUCKETS hashed counters, so the table has a fixed
-size and can be broadcast; a counter's excess by collisions is about shingles-a-document / BUCKETS of the number of
-documents at every scale, far below the frequencies that matter to the weights.
+size and can be broadcast. What unrelated rare shingles add to every counter, the median, is taken off; what remains of
+them is far below n / RARE, the least frequency that matters to the weights, at every size of the corpus.
 
 Each text gets BANDS * ROWS consistent samples. Texts that agree on a band are candidates. Exact copies collapse
 first. A bucket of at most SMALL texts is compared in all pairs; in a larger one all texts are compared with the text
@@ -15,8 +16,8 @@ that shares most buckets with others, which the source of a group of edited copi
 their weighted Jaccard similarity is at least the threshold, and classes are connected components. Pairs within a class need no comparison.
 All other pairs of texts in large buckets that still hold several classes are found by an exact similarity join
 (`_prefixes`), which leaves out only pairs that cannot reach the threshold, and are compared until each pair is of one
-class or has failed. No task holds a group, but texts that are nearly at the threshold to many of other classes cost a
-comparison for each pair.
+class or has failed. No task holds a group, and hot buckets, leaders and shingles are salted; but texts that are nearly at
+the threshold to many of other classes cost a comparison for each pair.
 
 Defined results: texts without words are copies of each other if equal, and of nothing else; null text is empty; a
 class is named by its least doc_id; a null doc_id is greater than all others (its class, if alone, has a null name);
@@ -35,14 +36,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerloom.llm import bytescan, repeats
 from ledgerloom.llm.components import components
 from ledgerloom.llm.decontaminate import SEPARATORS, TABLE
+from ledgerloom.llm.repeats import salted_join
 from ledgerloom.llm.scratch import materialize
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
-BUCKETS = 1 << 18
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
 SLICES = 16
-DAMPING = 0.25
+DAMPING = 0.5
+RARE = 1024
 SMALL = 8
 FIRST = 4  # candidates of a text that are compared in the first round over the large buckets
 SLACK = 1e-6  # for rounding
@@ -79,7 +83,7 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def _bucket(shingle: np.ndarray) -> np.ndarray:
-    return (bytescan.mix(shingle) >> np.uint64(64 - 18)).astype(np.int64)
+    return (bytescan.mix(shingle) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _count_frequencies(width: int):
@@ -114,10 +118,13 @@ def frequencies(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 def weight_table(rows: DataFrame, width: int = WIDTH, damping: float = DAMPING) -> np.ndarray:
     """The factor 1 + damping * idf of each counter."""
-    df = frequencies(rows, width)
-    n = max(1, rows.count())
-    idf = np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(1 + n)
-    return (1 + damping * np.clip(idf, 0, 1)).astype(np.float64)
+    return factors(frequencies(rows, width), rows.count(), damping)
+
+
+def factors(df: np.ndarray, n: int, damping: float = DAMPING) -> np.ndarray:
+    own = np.clip(df - np.median(df), 1, max(1, n))
+    idf = np.log(max(1, n) / own) / np.log(RARE)
+    return (1 + damping * np.clip(idf, 0, 1)).astype(np.float32)
 
 
 def samples(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -175,7 +182,7 @@ def _verify(weights: np.ndarray, width: int, threshold: float):
         out = []
         for low, high in _pieces(texts):
             owner, shingle, tf = shingles(texts[low:high], width)
-            weight = tf * weights[_bucket(shingle)]
+            weight = (tf * weights[_bucket(shingle)]).astype(np.float64)
             edges = np.searchsorted(owner, np.arange(high - low + 1))
             out += [(shingle[s:e], weight[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
         return out
@@ -208,7 +215,7 @@ def _prefixes(weights: np.ndarray, df: np.ndarray, width: int, threshold: float)
                     continue
                 counter = _bucket(shingle)
                 order = np.lexsort((shingle, df[counter], owner))
-                shingle, counter, weight = shingle[order], counter[order], (tf * weights[counter])[order]
+                shingle, counter, weight = shingle[order], counter[order], (tf * weights[counter])[order].astype(np.float64)
                 begin = np.searchsorted(owner, np.arange(high - low))
                 sizes = np.diff(np.append(begin, len(owner)))
                 total = np.bincount(owner, weight, high - low)
@@ -237,7 +244,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     banded = texts.select("node", F.explode("bands").alias("band"))
     sizes = materialize(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    members = materialize(banded.join(sizes.hint("merge"), "band"), "members")
+    of_band = sizes.withColumn("c", F.col("size"))
+    members = materialize(salted_join(banded, of_band, ["band"], ["node"]), "members")
     shared = materialize(members.groupBy("node").agg(F.sum("size").alias("shared")), "shared")
     members = materialize(members.join(shared.hint("merge"), "node"), "members")
     needed = shared.select("node", F.col("node.doc").alias("doc"), F.col("node.h").alias("h"))
@@ -246,27 +254,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.distinct(), "pairs")
-        both = pairs.join(held.select(F.col("node").alias("u"), F.col("text").alias("text_u")).hint("merge"), "u").join(held.select(F.col("node").alias("v"), F.col("text").alias("text_v")).hint("merge"), "v")
+        both = pairs
+        for x, other in ("uv", "vu"):  # a leader stands in very many pairs
+            often = materialize(pairs.groupBy(x).agg(F.count("*").alias("c")).filter("c > 1"), "often")
+            both = salted_join(both, held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), [x], [other], counts=often)
         return materialize(both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(weights, width, threshold), f"u {NODE}, v {NODE}"), "links")
 
     few = members.filter(F.col("size") <= small).select("band", "node")
     pairs = few.select("band", F.col("node").alias("u")).join(few.select("band", F.col("node").alias("v")), "band").filter(F.col("u") < F.col("v")).select("u", "v")
     many = materialize(members.filter(F.col("size") > small).select("band", "node", F.struct("shared", (-F.col("node.doc")).alias("d"), (-F.col("node.h")).alias("h")).alias("rank")), "many")
     lead = materialize(many.groupBy("band").agg(F.max_by("node", "rank").alias("v")), "lead")
-    star = many.join(lead, "band").filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
+    star = salted_join(many, lead, ["band"], ["node"], counts=of_band).filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
     links = verified(pairs.unionByName(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
     label = materialize(components(links), "labels")
     # Large buckets that still hold several classes: all pairs of their texts that can reach the threshold.
     named = materialize(many.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named")
-    open_bands = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter(F.col("a") != F.col("b")).select("band")
-    open_nodes = materialize(named.join(open_bands.hint("merge"), "band").select("node", "label").distinct(), "open")
+    open_bands = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).filter(F.col("a") != F.col("b"))
+    open_bands = materialize(open_bands.select("band", "c"), "open_bands")
+    open_nodes = materialize(salted_join(named, open_bands, ["band"], ["node"], "left_semi").select("node", "label").distinct(), "open")
     if not open_nodes.isEmpty():
         open_texts = materialize(held.join(open_nodes.hint("merge"), "node").select("node", "label", "text"), "open_texts")
         prefixes = open_texts.mapInArrow(_prefixes(weights, frequencies(open_texts, width), width, threshold), f"shingle long, node {NODE}, label {NODE}, total double, rest double")
         prefixes = materialize(prefixes, "prefixes")
         a, b = (prefixes.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "total", "rest"))) for x in "ab")
         reaches = F.least("rest_a", "rest_b") * (1 + threshold) >= (F.col("total_a") + F.col("total_b")) * (threshold * (1 - SLACK))
-        met = a.join(b.hint("merge"), "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & reaches)
+        often = materialize(prefixes.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1"), "often")
+        met = salted_join(a, b, ["shingle"], ["node_a"], counts=often).filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & reaches)
         met = materialize(met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct(), "met")
         # Each text first meets those of its candidates that have most candidates. What is of one class by then is done.
         degree = materialize(met.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "degree")

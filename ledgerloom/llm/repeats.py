@@ -63,18 +63,19 @@ def anchored_runs(rows: DataFrame, span: int, gram: int, by_word: bool) -> DataF
     return rows.select("key", "doc", "text").mapInArrow(_scanner(span, gram, by_word), RUNS)
 
 
-def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: list[str], how: str = "inner", count: str = "c") -> DataFrame:
-    """rows joined with keys, in which each key stands once, with the number of its rows in column `count`.
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with keys. counts (or keys itself): the number of rows of each key in column c, each key once.
 
-    Keys that hold more than one in HOT_KEYS of all rows are spread: each is repeated for SALTS salts, which its rows take by
-    their hash of the columns `spread`. There are fewer than HOT_KEYS such keys whatever the table, so they may be broadcast.
+    Keys that hold more than one in HOT_KEYS of all rows are spread: keys' rows are repeated for SALTS salts, of which rows take
+    one by their hash of the columns `spread`. There are fewer than HOT_KEYS such keys whatever the table, so they may be broadcast.
     """
-    total = keys.agg(F.sum(count)).first()[0] or 0
-    hot = F.broadcast(keys.filter(F.col(count) > total // HOT_KEYS).select(*on, F.lit(True).alias("hot_key")))
+    counts = keys if counts is None else counts
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("c") > total // HOT_KEYS).select(*on, F.lit(True).alias("hot_key")))
     drawn = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("hot_key"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("hot_key")
-    last = F.when(F.col(count) > total // HOT_KEYS, F.lit(SALTS - 1)).otherwise(0).cast("long")
-    dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(count)
-    return drawn.join(dealt, [*on, "salt"], how).drop("salt")
+    every = F.sequence(F.lit(0).cast("long"), F.when(F.col("hot_key"), F.lit(SALTS - 1)).otherwise(0).cast("long"))
+    dealt = keys.drop("c").join(hot, on, "left").withColumn("salt", F.explode(every)).drop("hot_key")
+    return drawn.join(dealt.hint("merge"), [*on, "salt"], how).drop("salt")
 
 
 def repeated_runs(runs: DataFrame, across_docs: bool) -> DataFrame:

@@ -87,10 +87,28 @@ def records(docs, path, end=2):
     return out
 
 
+def shingle_counts(text, width=5):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    w = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall((text or "").translate(lower))
+    counts = defaultdict(int)
+    for j in range(max(1, len(w) - width + 1) if w else 0):
+        counts[tuple(w[j : j + width])] += 1
+    return counts
+
+
+def idf_weights(docs, damping=0.5, rare=1024):
+    """shingle -> factor, from exact document frequencies."""
+    import math
+
+    df = defaultdict(int)
+    for _, t in docs:
+        for s in shingle_counts(t):
+            df[s] += 1
+    return lambda s: 1 + damping * min(1, max(0, math.log(len(docs) / df[s]) / math.log(rare)))
+
+
 def near_classes(docs, weights_of, threshold=0.8, width=5):
     """docs: (id, text) with distinct ids; {id: class id}, from all pairs that share a shingle. weights_of: shingle -> factor."""
-    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     sets, holders = {}, defaultdict(list)
     parent = {i: i for i, _ in docs}
 
@@ -106,11 +124,7 @@ def near_classes(docs, weights_of, threshold=0.8, width=5):
             parent[i] = first[t]
             continue
         first[t] = i
-        w = word.findall(t.translate(lower))
-        counts = defaultdict(int)
-        for j in range(max(1, len(w) - width + 1) if w else 0):
-            counts[tuple(w[j : j + width])] += 1
-        sets[i] = {s: n * weights_of(s) for s, n in counts.items()}
+        sets[i] = {s: n * weights_of(s) for s, n in shingle_counts(t, width).items()}
         for s in sets[i]:
             holders[s].append(i)
     pairs = {(a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k]}

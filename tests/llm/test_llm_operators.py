@@ -160,7 +160,7 @@ def test_near_duplicates(spark, empty):
         made.append((100 + i, " ".join(b)))
     made += [(300, made[4][1]), (301, made[4][1].upper()), (302, ""), (303, ""), (304, None), (305, "w1 w2"), (306, "w1 w2 w3")]
     table = spark.createDataFrame([(i, t, "n", 1) for i, t in made], "doc_id long, text string, node string, h int")
-    want = brute.near_classes(made, lambda s: 1.0)
+    want = brute.near_classes(made, brute.idf_weights(made))
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(table).collect()}
     assert {i: r["class_id"] for i, r in got.items()} == want
     assert sum(r["kept"] for r in got.values()) == len(set(want.values()))
@@ -184,12 +184,55 @@ def test_near_duplicates_in_large_buckets(spark):
         made.append((i, f"{template} {' '.join(own)}"))
         if i < 50:
             made.append((100 + i, f"{template} {' '.join(own[:16] + other)}"))
-    want = brute.near_classes(made, lambda s: 1.0)
+    want = brute.near_classes(made, brute.idf_weights(made))
     assert len(set(want.values())) == 60 and all(want[100 + i] == i for i in range(50))
     table = spark.createDataFrame(made, "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()} == want
 
 
+def test_near_duplicates_of_a_template_and_its_edits(spark):
+    # Edits of one template, and copies of the edits with a further change: pairs meet in large buckets, and classes are no stars.
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(240)]
+
+    def edited(base, n):
+        out = list(base)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"e{rng.randrange(10**9)}"
+        return out
+
+    edits = [edited(template, 9) for _ in range(150)]
+    made = [(i, " ".join(t)) for i, t in enumerate(edits)] + [(1000 + i, " ".join(edited(edits[i], 3))) for i in range(50)]
+    want = brute.near_classes(made, brute.idf_weights(made))
+    assert 100 < len(set(want.values())) < 180 and all(want[1000 + i] == want[i] for i in range(40) if want[1000 + i] < 1000)
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()} == want
+
+
+def test_idf_decides(spark):
+    # Two pages with the site's boilerplate and own text of their own: alike by plain shingles, not by weighted ones.
+    rng = random.Random(22)
+    site = " ".join(f"b{i}" for i in range(300))
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    made = [(i, f"{site} {own(30)}") for i in range(2)] + [(10 + i, f"{site} {own(200)}") for i in range(120)] + [(1000 + i, own(60)) for i in range(80)]
+    assert brute.near_classes(made, lambda s: 1.0)[1] == 0
+    want = brute.near_classes(made, brute.idf_weights(made))
+    assert want[1] == 1
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()} == want
+
+
+def test_weights_depend_on_shares_not_on_size():
+    rng = np.random.default_rng(23)
+    common = near_dedup.BUCKETS // 4
+    for n in (10_000, 100_000_000):
+        # 400 rare shingles a document over all counters, and some counters with a shingle of a tenth of all documents.
+        df = rng.poisson(400 * n / near_dedup.BUCKETS, near_dedup.BUCKETS)
+        df[:common] += n // 10
+        got = near_dedup.factors(df, n)
+        assert abs(got[common:].mean() - 1.5) < 0.01 and abs(got[:common].mean() - (1 + 0.5 * np.log(10) / np.log(1024))) < 0.01
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
@@ -408,7 +451,7 @@ def test_registered_queries(spark):
     assert rows(found["op4_run_length_index"](spark, DATA)) == sorted(brute.byte_repeats(texts), key=repr)
     assert rows(found["op8_decontaminate"](spark, DATA)) == sorted(brute.decontaminate(texts, items), key=repr)
     assert rows(found["op6_binary_records"](spark, DATA)) == sorted(brute.records(texts, queries.tokenizer_path()), key=repr)
-    want = brute.near_classes(texts, lambda s: 1.0)
+    want = brute.near_classes(texts, brute.idf_weights(texts))
     assert {r["doc_id"]: r["class_id"] for r in found["op10_near_dedup"](spark, DATA).collect()} == want
     for name, sql in queries.oracle_sql().items():
         c = duckdb.connect()
