@@ -142,6 +142,38 @@ def nearest(q: np.ndarray, x: np.ndarray, may: np.ndarray, top: int) -> tuple[np
     return np.nonzero((scores >= (bound - slack)[:, None]) & may)
 
 
+class Nearest:
+    """The top nearest so far of each query, cut back whenever LIMIT pairs have come together."""
+
+    LIMIT = 1 << 20
+
+    def __init__(self, top: int):
+        self.top, self.parts, self.size, self.kept = top, [], 0, 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        """asked, query_id, vec_id, score."""
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size > 2 * self.kept + self.LIMIT:
+            self.cut()
+
+    def cut(self) -> None:
+        asked, query, vector, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((vector, -score, asked))
+        asked = asked[order]
+        place = np.arange(len(asked))
+        first = np.maximum.accumulate(np.where(np.append(True, asked[1:] != asked[:-1]), place, 0))
+        order = order[place - first < self.top]
+        self.parts = [tuple(c[order] for c in (np.concatenate(c) for c in zip(*self.parts, strict=True)))]
+        self.size = self.kept = len(order)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.parts[0]], ["asked", "query_id", "vec_id", "score"])
+        self.parts, self.size, self.kept = [], 0, 0
+
+
 def packed(held: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """For each cell its first block and its number of blocks. Neighbouring cells share a block as long as it holds at most `size`."""
     parts = np.maximum(1, -(-held // size))
@@ -210,17 +242,23 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     in_part = F.pmod(F.xxhash64(F.lit(3), "id"), of_cell(parts))
     vectors = indexed.select((of_cell(first_block) + in_part).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1)).cast("array<long>")).alias("stream"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("asked"), "id", "x", F.array(F.col("cell").cast("int")).alias("cells"))
     asking = visits.select(F.pmod(F.xxhash64("asked"), F.lit(streams)).alias("stream"), F.lit(1).cast("long").alias("kind"), "asked", "id", "x", F.inline("visits")).select("block", "stream", "kind", "asked", "id", "x", "cells")
-    dealt = vectors.unionByName(asking).repartition("block", "stream").sortWithinPartitions("block", "stream", "kind")
+    # A stream's blocks are dealt to groups, each worked through by one task, which keeps the nearest so far of the stream's queries.
+    blocks = int((first_block + parts).max())
+    groups = max(min(blocks, 16), blocks // 16)
+    task = (F.col("stream") * groups + F.pmod(F.col("block"), F.lit(groups))).cast("int")
+    dealt = vectors.unionByName(asking).withColumn("task", task).repartitionById(streams * groups, "task").drop("task").sortWithinPartitions("stream", "block", "kind")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, chunks, ready = None, [], None
+        now, chunks, ready, best = None, [], None, Nearest(top)
         for batch in batches:
             block, stream, kind = (batch.column(i).to_numpy() for i in range(3))
             if not len(block):
                 continue
             edges = np.flatnonzero((block[1:] != block[:-1]) | (stream[1:] != stream[:-1]) | (kind[1:] != kind[:-1])) + 1
             for lo, hi in zip([0, *edges], [*edges, len(block)], strict=True):
-                if (block[lo], stream[lo]) != now:
+                if now is None or (block[lo], stream[lo]) != now:
+                    if now is not None and stream[lo] != now[1]:
+                        yield from best.batches()
                     now, chunks, ready = (block[lo], stream[lo]), [], None
                 some = batch.slice(lo, hi - lo)
                 x, ids, cells = _matrix(some.column(5), width), some.column(4).to_numpy(), some.column(6)
@@ -237,7 +275,8 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                     for i, one in enumerate(lists[low : low + 256]):
                         open_cells[i, one] = True
                     i, j = nearest(q, ready[0], open_cells[:, ready[2]] & (q_ids[:, None] != ready[1][None]), top)
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (asked[low + i], q_ids[i], ready[1][j], products(q[i], ready[0][j]))], ["asked", "query_id", "vec_id", "score"])
+                    best.add(asked[low + i], q_ids[i], ready[1][j], products(q[i], ready[0][j]))
+        yield from best.batches()
 
     near = dealt.mapInArrow(rank, "asked long, query_id long, vec_id long, score double")
     by_score = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
