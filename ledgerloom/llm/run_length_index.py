@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.llm import bytescan, repeats
 from ledgerloom.llm.repeats import salted_join
@@ -37,6 +37,7 @@ GRAM = 32
 BUCKET_BYTES = 1 << 19
 HOT_BYTES = 1 << 18
 STEPS = (16, 4, 1)
+BUCKET = pa.struct([("part", pa.int64()), ("slot", pa.int64())])
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -161,13 +162,13 @@ def repeated_starts(regions: list[bytes], weights: np.ndarray, span: int) -> tup
 def _cut_regions(span: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):
-            out = {"anchor": [], "cover": [], "c": [], "region": []}
+            out = {"anchor": [], "cover": [], "c": [], "bucket": [], "region": []}
             for text, runs in zip(bytescan.column(batch, "text"), batch.column(1).to_pylist(), strict=True):
                 for run in runs:
-                    for name in ("anchor", "cover", "c"):
+                    for name in ("anchor", "cover", "c", "bucket"):
                         out[name].append(run[name])
                     out["region"].append(text[run["pos"] : run["pos"] + run["n"] - 1 + span])
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            types = (pa.int64(), pa.int64(), pa.int64(), BUCKET, pa.binary())
             if out["anchor"]:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
@@ -220,58 +221,62 @@ def _split_regions(span: int, gram: int, step: int):
     return scan
 
 
-def _packed(held: DataFrame, bucket_bytes: int) -> DataFrame:
-    """anchor and bucket: anchors dealt to buckets of at most bucket_bytes and one anchor's regions. held: anchor, held (bytes).
+def _bucketed(contents: DataFrame, size: Column, bucket_bytes: int, most: float) -> DataFrame:
+    """contents (anchor, cover, ...) with bucket: anchors dealt to buckets of at most bucket_bytes and one anchor's contents.
 
-    Anchors are dealt to groups of some 64 buckets by their hash, and filled in within each group.
+    Anchors with more than `most` bytes get none. The others are dealt to groups of some 64 buckets by their hash, and
+    filled in within each group.
     """
-    total = held.agg(F.sum("held")).first()[0] or 0
-    groups = max(1, total // (64 * bucket_bytes))
-    upto = F.sum("held").over(Window.partitionBy("part").orderBy("anchor").rowsBetween(Window.unboundedPreceding, 0))
-    dealt = held.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(groups))).withColumn("slot", F.floor((upto - F.col("held")) / bucket_bytes))
-    return dealt.select("anchor", F.struct("part", "slot").alias("bucket"))
+    held = contents.groupBy("anchor").agg(F.sum(size).alias("held"), F.count("*").alias("c"))
+    held = materialize(held.withColumn("cold", F.when(F.col("held") <= most, F.col("held")).otherwise(0)), "held")
+    groups = max(1, (held.agg(F.sum("cold")).first()[0] or 0) // (64 * bucket_bytes))
+    upto = F.sum("cold").over(Window.partitionBy("part").orderBy("anchor").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(groups))).withColumn("slot", F.floor((upto - F.col("cold")) / bucket_bytes).cast("long"))
+    dealt = materialize(dealt.select("anchor", "c", F.when(F.col("held") <= most, F.struct("part", "slot")).alias("bucket")), "buckets")
+    return salted_join(contents, dealt, ["anchor"], ["cover"])
 
 
 def repeated_windows(regions: DataFrame, span: int, gram: int, bucket_bytes: int, hot_bytes: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """(anchor, cover, from_shift, to_shift): window starts of regions at which a string starts that starts elsewhere too.
 
-    regions: anchor, cover, c (how many equal ones there are), at (see _split_regions) and region, each content once.
+    regions: anchor, cover, c (how many equal ones there are), bucket (null: to be cut), at (see _split_regions) and region.
     """
-    found_schema = "anchor long, cover long, from_shift long, to_shift long"
-    held = materialize(regions.groupBy("anchor").agg(F.sum(F.length("region") + 1).alias("held"), F.count("*").alias("c")), "held")
-    # With no step left each anchor is one window, and has one content.
-    cold = held.filter(F.col("held") <= hot_bytes) if steps else held
-    buckets = materialize(_packed(cold, bucket_bytes), "buckets")
-    found = regions.select("anchor", "cover", "c", "region").join(buckets.hint("merge"), "anchor").groupBy("bucket").applyInArrow(_index_bucket(span), found_schema)
-    hot = held.filter(F.col("held") > hot_bytes).select("anchor", "c")
-    if not steps or hot.isEmpty():
+    names = "anchor long, cover long, from_shift long, to_shift long"
+    cold = regions.filter("bucket is not null").select("bucket", "anchor", "cover", "c", "region")
+    found = materialize(cold.groupBy("bucket").applyInArrow(_index_bucket(span), names), "found")
+    hot = regions.filter("bucket is null").select("anchor", "cover", "c", "at", "region")
+    if hot.isEmpty():
         return found
-    found = materialize(found, "found")
     names = "core long, content long, c long, anchor long, cover long, shift long, at long, region binary"
-    of_hot = salted_join(regions, hot, ["anchor"], ["cover"], "left_semi")
-    pieces = materialize(of_hot.select("anchor", "cover", "c", "at", "region").mapInArrow(_split_regions(span, gram, steps[0]), names), "pieces")
+    pieces = materialize(hot.mapInArrow(_split_regions(span, gram, steps[0]), names), "pieces")
     distinct = pieces.groupBy(F.col("core").alias("anchor"), F.col("content").alias("cover")).agg(F.sum("c").alias("c"), F.count("*").alias("rows"), F.any_value(F.struct("at", "region")).alias("own"))
-    distinct = materialize(distinct.select("anchor", "cover", "c", "rows", "own.*"), "distinct")
-    finer = materialize(repeated_windows(distinct.drop("rows"), span, gram, bucket_bytes, hot_bytes, steps[1:]), "finer")
-    finer = finer.select(F.col("anchor").alias("core"), F.col("cover").alias("content"), "from_shift", "to_shift")
+    distinct = materialize(distinct.select("anchor", "cover", F.col("c").alias("times"), "rows", "own.*"), "distinct")
+    # The last step leaves one content to each core: none is cut again.
+    bucketed = _bucketed(distinct, F.length("region") + 1, bucket_bytes, hot_bytes if len(steps) > 1 else float("inf"))
+    bucketed = materialize(bucketed.select("anchor", "cover", F.col("times").alias("c"), "bucket", "at", "region"), "bucketed")
+    finer = repeated_windows(bucketed, span, gram, bucket_bytes, hot_bytes, steps[1:]).withColumnsRenamed({"anchor": "core", "cover": "content"})
     of_piece = finer.groupBy("core", "content").agg(F.collect_list(F.struct("from_shift", "to_shift")).alias("shifts"))  # at most one for each window of a piece
     often = distinct.select(F.col("anchor").alias("core"), F.col("cover").alias("content"), F.col("rows").alias("c"))
     of_piece = materialize(of_piece.join(often.hint("merge"), ["core", "content"]), "of_piece")
     back = salted_join(pieces.drop("region", "c"), of_piece, ["core", "content"], ["anchor", "cover", "shift"]).select("anchor", "cover", "shift", F.inline("shifts"))
-    return found.unionByName(back.select("anchor", "cover", (F.col("shift") + F.col("from_shift")).alias("from_shift"), (F.col("shift") + F.col("to_shift")).alias("to_shift")))
+    back = back.select("anchor", "cover", (F.col("shift") + F.col("from_shift")).alias("from_shift"), (F.col("shift") + F.col("to_shift")).alias("to_shift"))
+    return found.unionByName(materialize(back, "back"))
 
 
 def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc, key, lo, hi): half-open byte intervals that repeated strings cover. rows: as from repeats.keyed()."""
     runs = materialize(repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=False), across_docs=False), "runs")
-    covers = materialize(runs.groupBy("anchor", "cover").agg(F.count("*").alias("c"), F.min(F.struct("doc", "key", "pos", "n")).alias("own")), "covers")
-    per_key = covers.select("anchor", "cover", "c", "own.*").groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", "c", "pos", "n")).alias("runs"))
-    # Rows equal in id and text share their runs; one of them gives the regions.
-    regions = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("text", "runs").mapInArrow(_cut_regions(span), "anchor long, cover long, c long, region binary")
+    covers = materialize(runs.groupBy("anchor", "cover").agg(F.count("*").alias("times"), F.min(F.struct("doc", "key", "pos", "n")).alias("own")), "covers")
+    # Sizes are known from the runs, so buckets are chosen before any text moves.
+    bucketed = _bucketed(covers.select("anchor", "cover", "times", "own.*"), F.col("n") + span, bucket_bytes, hot_bytes)
+    per_key = bucketed.groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", F.col("times").alias("c"), "bucket", "pos", "n")).alias("runs"))
+    # Of rows equal in id and text each gives its regions; they hold the same strings, which repeat in any case.
+    schema = "anchor long, cover long, c long, bucket struct<part: long, slot: long>, region binary"
+    regions = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("text", "runs").mapInArrow(_cut_regions(span), schema)
     regions = materialize(regions.withColumn("at", F.lit(None).cast("long")), "regions")
-    found = materialize(repeated_windows(regions, span, gram, bucket_bytes, hot_bytes), "found")
+    found = repeated_windows(regions, span, gram, bucket_bytes, hot_bytes)
     of_run = found.groupBy("anchor", "cover").agg(F.collect_set(F.struct("from_shift", "to_shift")).alias("shifts"))  # at most one for each window of a run
-    of_run = materialize(of_run.join(covers.select("anchor", "cover", "c").hint("merge"), ["anchor", "cover"]), "of_run")
+    of_run = materialize(of_run.join(covers.select("anchor", "cover", F.col("times").alias("c")).hint("merge"), ["anchor", "cover"]), "of_run")
     back = salted_join(runs, of_run, ["anchor", "cover"], ["doc", "key", "pos"]).select("doc", "key", "pos", F.inline("shifts"))
     return back.select("doc", "key", (F.col("pos") + F.col("from_shift")).alias("lo"), (F.col("pos") + F.col("to_shift") - 1 + span).alias("hi"))
 
