@@ -16,7 +16,7 @@ that shares most buckets with others, which the source of a group of edited copi
 their weighted Jaccard similarity is at least the threshold, and classes are connected components. Pairs within a class need no comparison.
 All other pairs of texts in large buckets that still hold several classes are found by an exact similarity join
 (`_prefixes`), which leaves out only pairs that cannot reach the threshold, and are compared until each pair is of one
-class or has failed. No task holds a group, and hot buckets, leaders and shingles are salted; but texts that are nearly at
+class or has failed. No task holds a group, and hot buckets and leaders are salted; but texts that are nearly at
 the threshold to many of other classes cost a comparison for each pair.
 
 Defined results: texts without words are copies of each other if equal, and of nothing else; null text is empty; a
@@ -44,7 +44,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
-SLICES = 16
+SLICES = 1024
 DAMPING = 0.5
 RARE = 1024
 SMALL = 8
@@ -88,30 +88,40 @@ def _bucket(shingle: np.ndarray) -> np.ndarray:
 
 def _count_frequencies(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, waiting, n = np.zeros(BUCKETS, np.uint32), [], 0
         for batch in bytescan.parts(batches):
             texts = bytescan.column(batch, "text")
             for low, high in _pieces(texts):
-                total += np.bincount(_bucket(shingles(texts[low:high], width)[1]), minlength=BUCKETS)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], ["slice", "counts"])
+                waiting.append(_bucket(shingles(texts[low:high], width)[1]))
+                n += len(waiting[-1])
+                if n > BUCKETS:
+                    total += np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.uint32)
+                    waiting, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.uint32)
+        slices = total.reshape(SLICES, -1)
+        held = np.flatnonzero(slices.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([slices[i].tobytes() for i in held], pa.binary())], ["slice", "counts"])
 
     return count
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(BUCKETS // SLICES, np.int64)
-    for value in table.column("counts"):
-        total += np.frombuffer(value.as_buffer(), np.int64)
-    return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of slices as they stream in: at most SLICES short arrays are held, however many parts the corpus has."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if i not in total:
+                total[i] = np.zeros(BUCKETS // SLICES, np.int64)
+            total[i] += np.frombuffer(value.as_buffer(), np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
 
 def frequencies(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
     """The number of documents with a shingle in each counter: BUCKETS numbers, whatever the corpus."""
     counts = rows.select("text").mapInArrow(_count_frequencies(width), "slice long, counts binary")
-    got = counts.groupBy("slice").applyInArrow(_add, "slice long, counts binary").collect()
     df = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
-    for r in got:
+    for r in counts.repartition("slice").mapInArrow(_add, "slice long, counts binary").collect():
         df[r["slice"]] = np.frombuffer(r["counts"], np.int64)
     return df.ravel()
 
@@ -278,8 +288,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         prefixes = materialize(prefixes, "prefixes")
         a, b = (prefixes.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "total", "rest"))) for x in "ab")
         reaches = F.least("rest_a", "rest_b") * (1 + threshold) >= (F.col("total_a") + F.col("total_b")) * (threshold * (1 - SLACK))
-        often = materialize(prefixes.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1"), "often")
-        met = salted_join(a, b, ["shingle"], ["node_a"], counts=often).filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & reaches)
+        # A plain join of two written tables, of which adaptive execution splits a hot shingle's side.
+        met = a.join(b.hint("merge"), "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & reaches)
         met = materialize(met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct(), "met")
         # Each text first meets those of its candidates that have most candidates. What is of one class by then is done.
         degree = materialize(met.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "degree")

@@ -66,15 +66,17 @@ def anchored_runs(rows: DataFrame, span: int, gram: int, by_word: bool) -> DataF
 def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with keys. counts (or keys itself): the number of rows of each key in column c, each key once.
 
-    Keys that hold more than one in HOT_KEYS of all rows are spread: keys' rows are repeated for SALTS salts, of which rows take
-    one by their hash of the columns `spread`. There are fewer than HOT_KEYS such keys whatever the table, so they may be broadcast.
+    Keys that hold more than one in HOT_KEYS of all rows are spread over salts, one more for each such share of the rows, at
+    most SALTS: keys' rows are repeated for all salts, of which rows take one by their hash of the columns `spread`. There are
+    fewer than HOT_KEYS such keys whatever the table, so they may be broadcast, and fewer than 2 * HOT_KEYS rows are added to unique keys.
     """
     counts = keys if counts is None else counts
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    hot = F.broadcast(counts.filter(F.col("c") > total // HOT_KEYS).select(*on, F.lit(True).alias("hot_key")))
-    drawn = rows.join(hot, on, "left").withColumn("salt", F.when(F.col("hot_key"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("hot_key")
-    every = F.sequence(F.lit(0).cast("long"), F.when(F.col("hot_key"), F.lit(SALTS - 1)).otherwise(0).cast("long"))
-    dealt = keys.drop("c").join(hot, on, "left").withColumn("salt", F.explode(every)).drop("hot_key")
+    share = max(1, (counts.agg(F.sum("c")).first()[0] or 0) // HOT_KEYS)
+    salts = F.least(F.lit(SALTS), F.ceil(F.col("c") / share)).cast("long")
+    hot = F.broadcast(counts.filter(F.col("c") > share).select(*on, salts.alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    drawn = rows.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64(*spread), salts)).drop("salts")
+    dealt = keys.drop("c").join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
     return drawn.join(dealt.hint("merge"), [*on, "salt"], how).drop("salt")
 
 
