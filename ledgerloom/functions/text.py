@@ -12,23 +12,65 @@ TARGET_PATTERNS = {
     "products": ("주요.{0,3}제품", "제품.{0,3}서비스"),
     "revenue": ("매출", "수주.{0,3}현황"),
 }
+LEADING_GROUP = r"^\s*[\(\[\{].{1,30}?[\)\]\}]\s*"
+LEADING_NUMERAL = r"^[①-⑳ⅠⅡⅢⅣⅤ㈠-㉃]+\s*"
+WORD_GAP = r"[\s ·\-/,\.]+"
 FILLERS = ("등", "및", "의", "이", "가", "을", "를", "에", "도", "는", "은", "와", "과")
 MIN_KEYWORD = 3
 MIN_SECTION = 300
 
 
+# Named character references that filings use.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "middot": "·", "copy": "©", "reg": "®", "times": "×", "ndash": "–", "mdash": "—", "hellip": "…"}
+_BLANK = r"[\s\u00a0\u3000]"
+
+
+def unescaped(s: Column) -> Column:
+    """Character references as their characters: numeric ones, and the named ones above."""
+    point = lambda digits: F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+    def piece(x: Column) -> Column:
+        decimal, hexadecimal = F.regexp_extract(x, r"^&#(\d{1,7});", 1), F.regexp_extract(x, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
+        sign = F.when(decimal != "", point(F.hex(decimal.cast("long")))).when(hexadecimal != "", point(hexadecimal))
+        return F.when(sign.isNotNull(), F.concat(sign, F.regexp_replace(x, r"^&#\w+;", ""))).otherwise(x)
+
+    numbered = F.when(s.contains("&#"), F.array_join(F.transform(F.split(s, "(?=&#)"), piece), "")).otherwise(s)
+    for name, sign in ENTITIES.items():
+        numbered = F.replace(numbered, F.lit(f"&{name};"), F.lit(sign))
+    return F.replace(numbered, F.lit("&amp;"), F.lit("&"))
+
+
+def stripped(s: Column) -> Column:
+    return F.regexp_replace(s, f"^{_BLANK}+|{_BLANK}+$", "")
+
+
+def _pieces(markup: Column) -> Column:
+    """The stripped texts between tags."""
+    return F.filter(F.transform(F.split(markup, "<[^>]*>"), lambda x: stripped(unescaped(x))), lambda x: x != "")
+
+
+def _table(markup: Column) -> Column:
+    """A line for each row with any text: its cells, each stripped of white space around tags, with tabs between them."""
+    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|$)"), 1), lambda c: F.array_join(_pieces(c), ""))
+    rows = F.transform(F.regexp_extract_all(markup, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|$)"), 1), cells)
+    lines = F.transform(F.filter(rows, lambda r: F.exists(r, lambda c: c != "")), lambda r: F.array_join(r, "\t"))
+    return stripped(F.array_join(lines, "\n"))
+
+
 def html_text(html: Column) -> Column:
-    """Text of a page: scripts and styles go, table rows become lines with tabs between cells, other tags become line ends."""
-    s = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>", "")
-    s = F.regexp_replace(s, r"(?i)</t[dh]\s*>", "\t")
-    s = F.regexp_replace(s, "<[^>]*>", "\n")
-    return s
+    """Text of a page: comments, scripts and styles go; a table gives a line a row with tabs between cells; elsewhere each text between tags is stripped and begins a line.
+
+    A table in a table's cell ends the outer one.
+    """
+    s = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    parts = F.split(s, r"(?i)(?=<table\b)|(?<=</table>)")
+    texts = F.transform(parts, lambda x: F.when(x.rlike(r"(?i)^<table\b"), _table(x)).otherwise(F.array_join(_pieces(x), "\n")))
+    return F.array_join(F.filter(texts, lambda x: x != ""), "\n")
 
 
 def html_lines(html: Column) -> Column:
-    """Non-blank trimmed lines."""
-    lines = F.transform(F.split(html_text(html), "[\\r\\n]+"), lambda x: F.regexp_replace(x, "^[ \\t]+|[ \\t]+$", ""))
-    return F.filter(lines, lambda x: x != "")
+    """The lines that are not blank."""
+    return F.filter(F.split(html_text(html), "\r\n|[\r\n]"), lambda x: stripped(x) != "")
 
 
 def header_text(line: Column) -> Column:
@@ -48,8 +90,45 @@ def header_target(title: Column, patterns: dict[str, tuple[str, ...]] | None = N
 
 def keyword_pattern(header: Column) -> Column:
     """A pattern from a header's telling words, a gap of up to three characters between them; null if too little is left."""
-    core = F.regexp_replace(header, r"^\s*[\(\[\{].{1,30}?[\)\]\}]\s*", "")
-    core = F.trim(F.regexp_replace(core, r"^[①-⑳ⅠⅡⅢⅣⅤ㈠-㉃]+\s*", ""))
-    words = F.filter(F.split(core, r"[\s ·\-/,\.]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*FILLERS))
+    core = F.regexp_replace(header, LEADING_GROUP, "")
+    core = F.trim(F.regexp_replace(core, LEADING_NUMERAL, ""))
+    words = F.filter(F.split(core, WORD_GAP), lambda w: (F.length(w) >= 2) & ~w.isin(*FILLERS))
     escaped = F.transform(words, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"))
     return F.when(F.length(F.array_join(words, "")) >= MIN_KEYWORD, F.array_join(escaped, ".{0,3}"))
+
+
+# ---- what notes are written with. The signs that names can't hold, and the longest name.
+
+UNSAFE = r'[\\/:*?"<>|#^\[\]]'
+NAME_MAX = 60
+
+
+def safe_name(s: Column) -> Column:
+    """A label without characters that file names or links can't hold."""
+    return F.trim(F.regexp_replace(F.regexp_replace(s, UNSAFE, " "), r"(?U)\s+", " "))
+
+
+def note_name(label: Column) -> Column:
+    """A note's file name: the safe label; a long one is cut and ends in a hash of the whole label."""
+    safe = safe_name(label)
+    return F.when(F.length(safe) <= NAME_MAX, safe).otherwise(F.concat_ws(" ", F.trim(F.substring(safe, 1, NAME_MAX)), F.substring(F.sha1(label.cast("binary")), 1, 6)))
+
+
+def wikilink(label: Column) -> Column:
+    """[[name]], or [[name|label]] where the name had to be cut."""
+    name, safe = note_name(label), safe_name(label)
+    return F.when(name == safe, F.concat(F.lit("[["), name, F.lit("]]"))).otherwise(F.concat(F.lit("[["), name, F.lit("|"), safe, F.lit("]]")))
+
+
+def yaml_string(s: Column) -> Column:
+    """A double-quoted scalar."""
+    return F.concat(F.lit('"'), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def general(v: Column) -> Column:
+    """A number of 0 to a million with six significant digits and no trailing zeros."""
+    v = v.cast("double")
+    form = lambda digits: F.format_string(f"%.{digits}f", v)
+    size = F.abs(v)
+    fixed = F.when(size >= 100_000, form(0)).when(size >= 10_000, form(1)).when(size >= 1000, form(2)).when(size >= 100, form(3)).when(size >= 10, form(4)).when(size >= 1, form(5)).otherwise(form(6))
+    return F.when(v.isNotNull(), F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,3 +20,21 @@ def first_of(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
 
 def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that executors share (spark.checkpoint.dir) and read back: a base that several branches read.
+
+    Only a local session that names no folder (tests) gets a temporary one.
+    """
+    spark = df.sparkSession
+    setting = "spark.checkpoint.dir"
+    folder = spark.conf.get(setting, None) or spark.sparkContext.getConf().get(setting)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {setting} to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set(setting, folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

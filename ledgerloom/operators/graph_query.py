@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions import ids, normalize
-from ledgerloom.operators.common import first_of
+from ledgerloom.operators.common import first_of, written
 
 
 def resolve_concept(nodes: DataFrame, aliases: DataFrame, concept: str, kind: str | None = None, strict: bool = False) -> DataFrame:
     """id of the nodes that a name stands for: its alias if there is one, else all nodes with that label (strict: the least)."""
     norm = normalize.normalize_alias(F.lit(concept))
-    by_alias = aliases.filter(F.col("alias_norm") == norm).select(F.col("node_id").alias("id"), F.lit(0).alias("tier"))
+    by_alias = aliases.filter(F.col("alias_norm") == norm).select(F.col("node_id").alias("id"))
     labelled = nodes if kind is None else nodes.filter(F.col("kind") == kind)
-    by_label = labelled.filter(F.lower("label") == norm).select("id", F.lit(1).alias("tier"))
-    both = by_alias.unionByName(by_label)
-    best = both.agg(F.min("tier").alias("tier"))  # one row
-    found = both.join(F.broadcast(best), "tier").select("id").distinct()
+    # Nodes are scanned once; what decides between the two is at most one row.
+    known = F.broadcast(by_alias.limit(1).select(F.lit(True).alias("known")))
+    by_label = labelled.filter(F.lower("label") == norm).select("id").join(known, F.col("known"), "left_anti")
+    found = by_alias.unionByName(by_label).distinct()
     return found.agg(F.min("id").alias("id")).filter("id is not null") if strict else found
 
 
@@ -50,7 +50,7 @@ def screen(nodes: DataFrame, edges: DataFrame, facts: DataFrame, aliases: DataFr
     matched = primary.join(concept_ids, "id", "left_semi").select("company_id")
     positive = consecutive_positive(facts, metric, since, fs_div).select("company_id")
     found = matched.join(positive, "company_id", "left_semi").distinct()
-    return found.join(nodes.select(F.col("id").alias("company_id"), "label"), "company_id", "left")
+    return found.join(nodes.filter("kind = 'company'").select(F.col("id").alias("company_id"), "label"), "company_id", "left")
 
 
 def stakes(edges: DataFrame) -> DataFrame:
@@ -82,10 +82,15 @@ def stake_changes(edges: DataFrame) -> DataFrame:
 
 def ownership_closure(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """Extension: (holder_id, company_id, hops) reachable over latest holdings within a number of hops."""
-    step = owned_companies(edges).select("holder_id", "company_id")
+    step = written(owned_companies(edges).select("holder_id", "company_id"), "holdings")  # read again for each hop
     out = front = step.withColumn("hops", F.lit(1))
     for hops in range(2, rounds + 1):
         nxt = front.select("holder_id", F.col("company_id").alias("via")).join(step.withColumnRenamed("holder_id", "via"), "via")
         front = nxt.select("holder_id", "company_id", F.lit(hops).alias("hops")).distinct()
         out = out.unionByName(front)
     return out.groupBy("holder_id", "company_id").agg(F.min("hops").alias("hops"))
+
+
+def fiscal_years(edges: DataFrame) -> DataFrame:
+    """company_id, year: the four-digit periods of each company's edges, as the years that it has reported."""
+    return edges.filter(F.col("period").rlike(r"^\d{4}$")).select(F.col("subject_id").alias("company_id"), F.col("period").alias("year")).distinct()

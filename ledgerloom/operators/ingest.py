@@ -33,6 +33,7 @@ METRIC_BY_NAME = {
     "투자활동현금흐름": "cf_investing", "투자활동으로인한현금흐름": "cf_investing",
     "재무활동현금흐름": "cf_financing", "재무활동으로인한현금흐름": "cf_financing",
 }
+# The same table keyed by statement, as a row names its statement and asks for the metrics allowed there.
 STATEMENTS = {"BS": ("assets", "liabilities", "equity", "shares_outstanding"), "IS": ("revenue", "operating_income", "net_income", "eps"), "CIS": ("revenue", "operating_income", "net_income", "eps"), "CF": ("cf_operating", "cf_investing", "cf_financing")}
 
 
@@ -137,4 +138,56 @@ def link_sectors(profiles: DataFrame, names: DataFrame) -> DataFrame:
 
 def common_shares(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The first row of a key whose kind starts as common stock."""
-    return first_of(rows.filter(F.col("se").startswith("보통")), keys, [F.col("ordinal")])
+    return first_of(rows.filter(F.trim("se").startswith("보통")), keys, [F.col("ordinal")])
+
+
+def holder_nodes(rows: DataFrame, company_code: Column) -> DataFrame:
+    """Nodes (id, kind, label, attrs) of a company's holders; external companies say so. The last row of a name gives the label."""
+    parsed = rows.select("ordinal", company_code.alias("code"), F.trim("nm").alias("name"), "relate").filter(~normalize.is_summary(F.col("name")) & (F.coalesce("name", F.lit("")) != ""))
+    company = normalize.classify_shareholder(F.col("name"), F.col("relate")) == "company"
+    node = F.when(company, ids.external_company_id(F.col("name"))).otherwise(ids.person_id(F.col("name"), F.col("code")))
+    none = F.lit(None).cast("map<string,string>")
+    found = parsed.select("ordinal", node.alias("id"), F.when(company, "company").otherwise("person").alias("kind"), F.col("name").alias("label"), F.when(company, F.create_map(F.lit("external"), F.lit("true"))).otherwise(none).alias("attrs"))
+    return first_of(found, ["id"], [F.desc("ordinal")]).drop("ordinal")
+
+
+def investment_nodes(rows: DataFrame, compat: bool = False) -> DataFrame:
+    """Nodes of the companies that others hold stakes in; all are external until they are resolved."""
+    parsed = rows.select("ordinal", F.trim("inv_prm").alias("name")).filter(F.coalesce("name", F.lit("")) != "")
+    parsed = parsed if compat else parsed.filter(~normalize.is_summary(F.col("name")))
+    found = parsed.select("ordinal", ids.external_company_id(F.col("name")).alias("id"), F.lit("company").alias("kind"), F.col("name").alias("label"), F.create_map(F.lit("external"), F.lit("true")).alias("attrs"))
+    return first_of(found, ["id"], [F.desc("ordinal")]).drop("ordinal")
+
+
+def equity_edges(holders: DataFrame, investments: DataFrame, report_code: str = "11011", compat: bool = False) -> DataFrame:
+    """All stakes of the companies' annual reports, from both tables, with where each comes from.
+
+    holders and investments: raw rows with ordinal, corp_code and bsns_year, of any number of companies and years.
+    """
+    code, year = F.col("corp_code"), F.col("bsns_year")
+    null = lambda kind: F.lit(None).cast(kind)
+    of = lambda c: F.concat(F.lit("dart:"), c, F.lit(":"), F.col("period"), F.lit(f":{report_code}"))
+    held = holder_edges(holders, code, year).withColumns({"affiliation_type": null("string"), "purpose": null("string"), "source_ref": of(F.substring_index("object_id", ":", -1))})
+    own = investment_edges(investments, code, year, compat).withColumns({"relation": null("string"), "is_largest": null("boolean"), "source_ref": of(F.substring_index("subject_id", ":", -1))})
+    both = held.unionByName(own)
+    qualifier = F.struct("stake_pct", "shares", F.nullif(F.trim("relation"), F.lit("")).alias("relation"), "is_largest", "affiliation_type", F.nullif(F.trim("purpose"), F.lit("")).alias("purpose"))
+    return both.select("subject_id", F.lit("OWNS_STAKE_IN").alias("predicate"), "object_id", "period", qualifier.alias("qualifier"), F.lit("dart_api").alias("source_type"), "source_ref", F.lit("api").alias("method"), F.lit(1.0).alias("confidence"))
+
+
+def share_facts(rows: DataFrame) -> DataFrame:
+    """Facts of shares outstanding: each report's first row of common stock. rows: ordinal, corp_code, bsns_year, reprt_code, se, istc_totqy."""
+    first = common_shares(rows, ["corp_code", "bsns_year", "reprt_code"])
+    amount = normalize.parse_amount(F.col("istc_totqy"))
+    found = first.select(ids.company_id(F.col("corp_code")).alias("company_id"), "bsns_year", ids.report_period(F.col("reprt_code")).alias("fiscal_period"), F.lit("CFS").alias("fs_div"), F.lit("shares_outstanding").alias("metric_key"), amount.alias("amount"))
+    return found.filter("amount is not null and fiscal_period is not null")
+
+
+def unseen_reports(extractions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Extractions (with rcept_no) of reports that no edge comes from yet, so that a report is not ingested twice."""
+    seen = edges.filter("source_ref is not null").select(F.col("source_ref").alias("rcept_no")).distinct()
+    return extractions.join(seen, "rcept_no", "left_anti")
+
+
+def accepted_extractions(extractions: DataFrame) -> DataFrame:
+    """Extractions without a problem (see rejected_extractions)."""
+    return extractions.join(rejected_extractions(extractions).select("company_code").distinct(), "company_code", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.operators.common import first_of, union
 from ledgerloom.operators.graph_query import stakes
@@ -14,10 +14,11 @@ MAX_STAKES = 100.5
 
 def interim_equals_fy(facts: DataFrame, metrics: tuple[str, ...] = STOCK_METRICS) -> DataFrame:
     """Interim facts whose amount is that of the same year's FY: a sign of a wrong period."""
-    keys = ["company_id", "bsns_year", "metric_key", "fs_div"]
-    wanted = facts.filter(F.col("metric_key").isin(*metrics)).select(*keys, "fiscal_period", "amount")
-    whole = wanted.filter("fiscal_period = 'FY'").select(*keys, "amount")
-    return wanted.filter("fiscal_period <> 'FY'").join(whole, [*keys, "amount"], "left_semi")
+    # Facts of one key and amount meet: at most one for each period, so one pass and no self-join.
+    keys = ["company_id", "bsns_year", "metric_key", "fs_div", "amount"]
+    wanted = facts.filter(F.col("metric_key").isin(*metrics) & F.col("amount").isNotNull())
+    met = wanted.groupBy(*keys).agg(F.collect_set("fiscal_period").alias("periods")).filter(F.array_contains("periods", "FY") & (F.size("periods") > 1))
+    return met.select("company_id", "bsns_year", "metric_key", "fs_div", F.explode(F.array_remove("periods", "FY")).alias("fiscal_period"), "amount")
 
 
 def duplicate_edges(edges: DataFrame) -> DataFrame:
@@ -70,16 +71,26 @@ def overstake(edges: DataFrame) -> DataFrame:
 
 
 def verify_ownership(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The gate's figures in one row, and ok."""
+    """The gate's figures in one row, and ok. Edges and nodes are read once each."""
     largest = F.col("is_largest") & F.col("stake_pct").isNotNull()
-    held = stakes(edges).groupBy("company_id", "period").agg(
-        F.count("*").alias("n"), F.count_if(F.col("stake_pct").isNull()).alias("nulls"), F.count_if(largest).alias("k"), F.sum(F.when(largest, F.col("stake_pct").cast("decimal(20,6)"))).alias("total"),
+    # Each stake counts for its company, with its figures, and for its holder, as a mention.
+    side = lambda who, held: F.struct(F.col(who).alias("id"), F.lit(held).alias("held"))
+    both = stakes(edges).select(F.explode(F.array(side("company_id", True), side("holder_id", False))).alias("x"), "period", "stake_pct", largest.alias("largest"))
+    both = both.select("x.*", F.when(F.col("x.held"), F.col("period")).alias("period"), "stake_pct", "largest")
+    per = both.groupBy("id", "held", "period").agg(
+        F.count("*").alias("n"), F.count_if(F.col("stake_pct").isNull()).alias("nulls"), F.count_if("largest").alias("k"), F.sum(F.when(F.col("largest"), F.col("stake_pct").cast("decimal(20,6)"))).alias("total"),
     )
-    # The latest period with any largest holder comes first.
-    latest = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc(F.col("k") > 0), F.desc("period"))) == 1
-    flagged = held.withColumn("over", latest & F.coalesce(F.col("total") > MAX_STAKES, F.lit(False)))
-    owns = flagged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("owns_edges"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_stake_pct_edges"), F.count_if("over").alias("overstake_companies"))
-    kinds = nodes.agg(F.count_if(F.col("kind") == "person").alias("person_nodes"), F.count_if(F.col("id").like("company:ext:%")).alias("external_company_nodes"))
-    # Each side has exactly one row.
-    row = coverage(nodes, edges).join(owns, F.lit(True)).join(kinds, F.lit(True))
+    # The latest period with any largest holder decides.
+    latest = F.max_by("total", F.when(F.col("held") & (F.col("k") > 0), F.col("period")))
+    seen = per.groupBy("id").agg(F.sum(F.when(F.col("held"), F.col("n"))).alias("n"), F.sum(F.when(F.col("held"), F.col("nulls"))).alias("nulls"), F.coalesce(latest > MAX_STAKES, F.lit(False)).alias("over"), F.lit(True).alias("hit"))
+    outside = F.col("id").like("company:ext:%")
+    listed = (F.col("kind") == "company") & ~outside & (F.coalesce(F.col("attrs")["dart_code"], F.lit("")) != "")
+    kinds = nodes.select("id", listed.alias("listed"), (F.col("kind") == "person").alias("person"), outside.alias("outside"))
+    figures = kinds.join(seen, "id", "full_outer").agg(
+        F.count_if("listed").alias("companies_total"), F.count_if(F.col("listed") & F.col("hit")).alias("companies_with_ownership"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("owns_edges"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("null_stake_pct_edges"), F.count_if("over").alias("overstake_companies"),
+        F.count_if("person").alias("person_nodes"), F.count_if("outside").alias("external_company_nodes"),
+    )
+    share = F.coalesce(F.try_divide(F.col("companies_with_ownership").cast("double"), F.col("companies_total").cast("double")), F.lit(0.0))
+    row = figures.withColumn("coverage", F.round(share, 4))
     return row.withColumn("ok", (F.col("coverage") >= MIN_COVERAGE) & (F.col("overstake_companies") == 0))

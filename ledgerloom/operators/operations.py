@@ -87,3 +87,78 @@ def years_with_floor(years: DataFrame, key: str, year: int, n: int) -> DataFrame
     """The years on record and the n most recent ones, a sorted array for each key."""
     recent = F.array(*(F.lit(y) for y in range(year - n + 1, year + 1)))
     return years.groupBy(key).agg(F.array_sort(F.array_union(F.collect_set("year"), recent)).alias("years"))
+
+
+def report_targets(companies: DataFrame, reported: DataFrame, codes: tuple[str, ...], year: int, n: int = 3, years: list[str] | None = None) -> DataFrame:
+    """corp_code, bsns_year, reprt_code of the reports to ask for.
+
+    For each company the years that it has reported (company_id, year) and the n most recent ones, or the given years alone; each with
+    all report codes. companies: company_id, corp_code. Both lists are short and given, so they are an explode.
+    """
+    if years is not None:
+        wanted = companies.select("corp_code", F.explode(F.array(*map(F.lit, years))).alias("bsns_year"))
+    else:
+        recent = F.array(*(F.lit(str(y)) for y in range(year - n + 1, year + 1)))
+        own = companies.join(reported, "company_id").select("corp_code", F.col("year").alias("bsns_year"))
+        wanted = own.unionByName(companies.select("corp_code", F.explode(recent).alias("bsns_year"))).distinct()
+    return wanted.select("corp_code", "bsns_year", F.explode(F.array(*map(F.lit, codes))).alias("reprt_code"))
+
+
+def ticker_codes(stocks: DataFrame, master: DataFrame) -> DataFrame:
+    """ticker, corp_code, found: the register's code of each stock, null and found = false where the register lacks it.
+
+    Of several entries with one stock code the first by corp_code counts; entries without a stock code are of unlisted companies.
+    """
+    listed = master.filter(F.trim("stock_code") != "").groupBy(F.trim("stock_code").alias("ticker")).agg(F.min("corp_code").alias("corp_code"))
+    return stocks.select("ticker").distinct().join(listed, "ticker", "left").withColumn("found", F.col("corp_code").isNotNull())
+
+
+def run_batch(queue: DataFrame, outcomes: DataFrame, now: Column, budget: int, max_targets: int = 500, minutes: int = STALE_MINUTES) -> DataFrame:
+    """The queue after a batch, with picked: whether a target was in it.
+
+    Stale targets are reset first; the batch is the next pending ones within the budget; outcomes (id, outcome, message, level, chars)
+    say how their runs went. A target without an outcome was stopped by a rate limit and stays pending, its attempts as they were.
+    """
+    ready = reset_stale(queue, now, minutes)
+    picked = queue_next(ready, budget, max_targets).select("id", F.lit(True).alias("picked"))
+    joined = ready.join(F.broadcast(picked), "id", "left").join(outcomes, "id", "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
+    ran = F.col("picked") & F.col("outcome").isNotNull()
+    status, tries = transition(F.col("attempts"), F.col("outcome"), F.col("message"))
+    cost = normalize.cost_estimate(F.col("chars"))
+    done = ran & (F.col("outcome") == "ok")
+    changed = {
+        "status": F.when(ran, status).otherwise(F.col("status")), "attempts": F.when(ran, tries).otherwise(F.col("attempts")).cast("int"),
+        "last_attempt_at": F.when(ran, now).otherwise(F.col("last_attempt_at")), "last_error": F.when(ran & ~done, F.col("message")).when(done, F.lit(None)).otherwise(F.col("last_error")),
+        "escalation_level": F.when(done, F.col("level")).otherwise(F.col("escalation_level")), "cost_estimate_usd": F.when(done, cost).otherwise(F.col("cost_estimate_usd")),
+    }
+    out = joined.withColumns({"_ran": ran} | changed)
+    return out.select(*(c for c in queue.columns), "picked", F.col("_ran").alias("processed"))
+
+
+def batch_summary(after: DataFrame, budget: int) -> DataFrame:
+    """One row of counters over a queue from run_batch."""
+    of = lambda status: F.count_if(F.col("processed") & (F.col("status") == status)).alias(status)
+    counts = after.agg(F.count_if("processed").alias("processed"), of("done"), of("skipped"), of("failed"), F.count_if(F.col("picked") & ~F.col("processed")).alias("rate_limit_hits"), F.count_if(F.col("status") == "pending").alias("pending_remaining"))
+    return counts.withColumn("budget_remaining", F.lit(budget) - F.col("processed"))
+
+
+def escalation_counts(queue: DataFrame) -> DataFrame:
+    """escalation_level, n of what is done."""
+    return queue.filter("status = 'done'").groupBy("escalation_level").agg(F.count("*").alias("n"))
+
+
+def recent_changes(stocks: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """One row: stocks created, and stocks delisted, in the last days."""
+    since = now - F.make_dt_interval(days=F.lit(days))
+    return stocks.agg(F.count_if(F.col("created_at") >= since).alias("created"), F.count_if(F.col("delisted_at") >= since.cast("date")).alias("delisted"))
+
+
+def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows drawn at random by a seeded hash of their key; reruns agree. A top-n: each task keeps n rows."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return rows.withColumn("_drawn", drawn).orderBy("_drawn", key).limit(n).drop("_drawn")
+
+
+def universe_of_stocks(stocks: DataFrame) -> DataFrame:
+    """corp_code of all stocks that are listed now and linked to the register, each once."""
+    return stocks.filter("delisted_at is null and corp_code is not null").select("corp_code").distinct()

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.functions import ids
 from ledgerloom.operators.common import first_of
 
 EDGE_KEY = ["subject_id", "predicate", "object_id", "period"]
@@ -20,7 +21,6 @@ def latest_wins(current: DataFrame, batch: DataFrame, keys: list[str], order: li
     """
     newest = first_of(batch, keys, order)
     on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    joined = current.alias("o").join(newest.alias("n"), on, "full_outer")
     fresh = F.col("n._new").isNotNull()
     joined = current.alias("o").join(newest.withColumn("_new", F.lit(1)).alias("n"), on, "full_outer")
     pick = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in keep else F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
@@ -28,10 +28,11 @@ def latest_wins(current: DataFrame, batch: DataFrame, keys: list[str], order: li
 
 
 def upsert_nodes(nodes: DataFrame, batch: DataFrame, order: list[Column]) -> DataFrame:
-    """Labels always change; attributes only if the batch has some."""
-    attrs = nodes.select("id", F.col("attrs").alias("_attrs"))
-    merged = latest_wins(nodes, batch.select(*nodes.columns, *(c for c in batch.columns if c not in nodes.columns)), ["id"], order)
-    return merged.join(attrs, "id", "left").withColumn("attrs", F.coalesce("attrs", "_attrs")).drop("_attrs").select(*nodes.columns)
+    """Labels always change; attributes only if the batch has some. One join."""
+    newest = first_of(batch, ["id"], order).select(F.col("id"), *(F.col(c).alias(f"_{c}") for c in nodes.columns if c != "id"), F.lit(True).alias("_new"))
+    joined = nodes.join(newest, "id", "full_outer")
+    pick = lambda c: F.coalesce(f"_{c}", c) if c == "attrs" else F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c))
+    return joined.select("id", *(pick(c).alias(c) for c in nodes.columns if c != "id"))
 
 
 def upsert_edges(edges: DataFrame, batch: DataFrame, order: list[Column]) -> DataFrame:
@@ -82,10 +83,48 @@ def alias_mapping(nodes: DataFrame, aliases: DataFrame, kind: str, alias_norm: C
     if barred_prefix:
         targets = targets.filter(~F.col("node_id").startswith(barred_prefix))
     found = sources.select(F.col("id").alias("old_id"), alias_norm.alias("alias_norm")).join(targets.select("alias_norm", F.col("node_id").alias("new_id")), "alias_norm")
-    return found.join(nodes.select(F.col("id").alias("new_id")), "new_id", "left_semi").filter("old_id <> new_id").select("old_id", "new_id")
+    existing = nodes.filter(F.col("id").startswith(target_prefix)).select(F.col("id").alias("new_id"))
+    return found.filter("old_id <> new_id").join(existing, "new_id", "left_semi").select("old_id", "new_id")
 
 
 def seed_aliases(nodes: DataFrame, seeds: DataFrame, order: list[Column]) -> DataFrame:
     """alias_norm, node_id from seeds (node_id, variants, normalised by the caller); targets must exist, the last of equal aliases wins."""
     rows = seeds.select("*", F.explode("variants").alias("alias_norm")).join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
     return first_of(rows, ["alias_norm"], order).select("alias_norm", "node_id")
+
+
+def renamespace(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with global segments split by company: company A's edge to segment:x leads to segment:A:x instead.
+
+    Segments that an alias leads to are shared on purpose and stay. Of edges that collide the one that was there stays, then the
+    first by order. Global segments that no edge leads to any more go.
+    """
+    is_global = F.size(F.split("id", ":")) == 2
+    split_up = nodes.filter((F.col("kind") == "segment") & is_global).join(aliases.select(F.col("node_id").alias("id")), "id", "left_anti")
+    split_up = split_up.select(F.col("id").alias("object_id"), F.coalesce(F.col("attrs")["name"], F.col("label")).alias("_name"), F.col("label").alias("_label"))
+    marked = edges.join(split_up, "object_id", "left")
+    moves = (F.col("predicate") == "HAS_SEGMENT") & F.col("subject_id").startswith("company:") & F.col("_name").isNotNull()
+    marked = marked.withColumn("_code", F.when(moves, F.substring("subject_id", len("company:") + 1, 1 << 20))).withColumn("_old", F.col("object_id"))
+    marked = marked.withColumn("object_id", F.when(moves, ids.segment_id(F.col("_name"), F.col("_code"))).otherwise(F.col("object_id")))
+    out = first_of(marked.withColumn("_moved", moves.cast("int")), EDGE_KEY, [F.col("_moved"), *order])
+    attrs = F.create_map(F.lit("company"), F.col("_code"), F.lit("name"), F.col("_name"))
+    created = marked.filter("_code is not null").select(F.col("object_id").alias("id"), F.lit("segment").alias("kind"), F.col("_label").alias("label"), attrs.alias("attrs"))
+    created = first_of(created, ["id"], [F.col("label")]).join(nodes.select("id"), "id", "left_anti")
+    used = out.select(F.col("object_id").alias("id")).distinct()
+    gone = split_up.select(F.col("object_id").alias("id")).join(used, "id", "left_anti")
+    return nodes.join(gone, "id", "left_anti").unionByName(created.select(*nodes.columns)), out.select(*edges.columns)
+
+
+def canonical_owners(seeds: DataFrame) -> DataFrame:
+    """Nodes (id, kind, label, attrs) of the owners in an alias seed (canonical): persons that stand for all spellings of one name."""
+    rows = seeds.select(ids.canonical_person_id(F.col("canonical")).alias("id"), F.lit("person").alias("kind"), F.col("canonical").alias("label"), F.create_map(F.lit("canonical"), F.lit("true")).alias("attrs"))
+    return first_of(rows, ["id"], [F.col("label")])
+
+
+def mark_unresolved(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """nodes with attrs.resolved = false on customers that no mapping (old_id) leads away from."""
+    left = nodes.join(mapping.select(F.col("old_id").alias("id"), F.lit(True).alias("_mapped")).distinct(), "id", "left")
+    said = F.create_map(F.lit("resolved"), F.lit("false"))
+    others = F.map_filter(F.coalesce("attrs", F.create_map().cast("map<string,string>")), lambda k, _: k != "resolved")
+    unresolved = (F.col("kind") == "customer") & F.col("_mapped").isNull()
+    return left.withColumn("attrs", F.when(unresolved, F.map_concat(others, said)).otherwise(F.col("attrs"))).select(*nodes.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import ids, normalize, text
 from ledgerloom.operators import evaluation, graph_query, ingest, integrity, operations, projection, sections, upsert
-from ledgerloom.operators.common import union
+from ledgerloom.operators.common import union, written
 from ledgerloom.plans.star import AMOUNT, SQL, Star, with_views
 from ledgerloom.streaming import incremental
 
@@ -139,7 +139,8 @@ _ISSUES = f"""issues AS (
 
 def _issues(s: Star) -> DataFrame:
     nodes = s.companies().filter("nation >= 5").withColumnRenamed("company_id", "id")
-    return integrity.check_integrity(nodes, _line_edges(s), _coarse(s), ("revenue", "operating_income"), "operating_income")
+    facts = written(_coarse(s), "facts")  # three checks read them
+    return integrity.check_integrity(nodes, _line_edges(s), facts, ("revenue", "operating_income"), "operating_income")
 
 
 @query(with_views("facts", "companies") + f"{_COARSE}, {_ISSUES} SELECT * FROM issues")
@@ -271,16 +272,93 @@ def metric_of(s: Star) -> DataFrame:
     return s.table("part").select("p_partkey", ingest.metric_of(account, name, statement).alias("metric"))
 
 
+def _investments(s: Star) -> DataFrame:
+    """Orders as stakes in other companies."""
+    name = F.when(F.col("o_orderstatus") == "P", "합계").otherwise(F.concat(F.lit("Target "), (F.col("o_orderkey") % 23).cast("string"), F.lit(" Inc")))
+    stake = F.when(F.col("o_orderpriority").startswith("1"), "-").otherwise(F.format_string("%.2f", F.col("o_orderkey") % 100 + 0.5))
+    return s.table("orders").select(F.col("o_orderkey").alias("ordinal"), s.code("o_custkey").alias("corp_code"), F.year("o_orderdate").cast("string").alias("bsns_year"), name.alias("inv_prm"), F.col("o_orderpriority").alias("invstmnt_purps"), stake.alias("trmend_blce_qota_rt"), F.format_string("%,d", F.col("o_orderkey")).alias("trmend_blce_qy"))
+
+
+_INVESTED = """invested AS (SELECT 'company:' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS subject_id, 'company:ext:target-' || o_orderkey % 23 || '-inc' AS object_id, CAST(year(o_orderdate) AS VARCHAR) AS period, CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderkey % 100 + 0.5 END AS stake_pct, o_orderkey AS shares, o_orderpriority AS purpose
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 23, year(o_orderdate) ORDER BY o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'P') WHERE rn = 1)"""
+
+
+@query(f"WITH {_INVESTED} SELECT *, CASE WHEN stake_pct >= 50 THEN '자회사' WHEN stake_pct >= 20 THEN '관계회사' ELSE '기타' END AS affiliation_type FROM invested")
+def investment_edges(s: Star) -> DataFrame:
+    return double(ingest.investment_edges(_investments(s), F.col("corp_code"), F.col("bsns_year")), "stake_pct")
+
+
+@query("SELECT 'company:ext:target-' || o_orderkey % 23 || '-inc' AS id, 'company' AS kind, 'Target ' || o_orderkey % 23 || ' Inc' AS label, 'true' AS external FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderkey % 23")
+def investment_nodes(s: Star) -> DataFrame:
+    return ingest.investment_nodes(_investments(s)).select("id", "kind", "label", F.col("attrs")["external"].alias("external"))
+
+
+def _holders(s: Star) -> DataFrame:
+    """Lines as holders of the companies that sold them."""
+    name = F.when(F.col("l_linenumber") == 7, "계").when(F.col("l_returnflag") == "R", F.concat(F.lit("Fund "), (F.col("l_partkey") % 9).cast("string"), F.lit(" Ltd."))).otherwise(F.concat(F.lit("Kim "), (F.col("l_partkey") % 9).cast("string")))
+    ordinal = F.struct(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_partkey").alias("c"), F.col("l_quantity").alias("d"))
+    return s.table("lineitem").select(ordinal.alias("ordinal"), s.code("l_suppkey").alias("corp_code"), F.year("l_shipdate").cast("string").alias("bsns_year"), name.alias("nm"), F.when(F.col("l_linestatus") == "F", "본인").otherwise(" ").alias("relate"), F.format_string("%.1f", F.col("l_quantity")).alias("trmend_posesn_stock_qota_rt"), F.lit("-").alias("trmend_posesn_stock_co"))
+
+
+_HELD = """held AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'company:ext:fund-' || l_partkey % 9 || '-ltd' ELSE 'person:' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || ':kim-' || l_partkey % 9 END AS subject_id, 'company:' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS object_id, CAST(year(l_shipdate) AS VARCHAR) AS period, max(l_quantity) AS stake_pct FROM lineitem WHERE l_linenumber <> 7 GROUP BY ALL)"""
+
+
+@query(f"WITH {_INVESTED}, {_HELD} SELECT subject_id, object_id, period, CAST(stake_pct AS DOUBLE) AS stake_pct, 'dart:' || right(object_id, 8) || ':' || period || ':11011' AS source_ref FROM held UNION ALL SELECT subject_id, object_id, period, CAST(stake_pct AS DOUBLE), 'dart:' || right(subject_id, 8) || ':' || period || ':11011' FROM invested")
+def equity_edges(s: Star) -> DataFrame:
+    return ingest.equity_edges(_holders(s), _investments(s)).select("subject_id", "object_id", "period", F.col("qualifier.stake_pct").alias("stake_pct"), "source_ref")
+
+
+@query("SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'company:ext:fund-' || l_partkey % 9 || '-ltd' ELSE 'person:' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || ':kim-' || l_partkey % 9 END AS id, CASE WHEN l_returnflag = 'R' THEN 'company' ELSE 'person' END AS kind, CASE WHEN l_returnflag = 'R' THEN 'Fund ' || l_partkey % 9 || ' Ltd.' ELSE 'Kim ' || l_partkey % 9 END AS label FROM lineitem WHERE l_linenumber <> 7")
+def holder_nodes(s: Star) -> DataFrame:
+    return ingest.holder_nodes(_holders(s), F.col("corp_code")).select("id", "kind", "label")
+
+
+@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 14, '0') AS rcept_no FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def unseen_reports(s: Star) -> DataFrame:
+    edges = s.table("lineitem").select(F.when(F.col("l_returnflag") == "R", F.lpad(F.col("l_orderkey").cast("string"), 14, "0")).alias("source_ref"))
+    return ingest.unseen_reports(s.listed().select("rcept_no"), edges)
+
+
+@query("SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS company_code, CASE WHEN p_size > 40 THEN 'share' WHEN p_brand LIKE '%3' THEN 'tier' ELSE 'region' END AS problem FROM part WHERE p_size > 40 OR p_brand LIKE '%3' OR p_type LIKE '%BRASS'")
+def rejected_extractions(s: Star) -> DataFrame:
+    record = F.struct(
+        F.array(F.struct(F.col("p_name").alias("name_ko"), (F.col("p_size") * 2.5).alias("share_pct"))).alias("segments"),
+        F.array(F.struct(F.lit(None).cast("double").alias("revenue_share_pct"), F.when(F.col("p_brand").endswith("3"), "3차").otherwise("unknown").alias("tier"))).alias("customers"),
+        F.array(F.struct(F.when(F.col("p_type").endswith("BRASS"), "XX").otherwise("KR").alias("region_code"), F.lit(50.0).alias("share_pct"))).alias("geographic"),
+    )
+    return ingest.rejected_extractions(s.table("part").select(s.code("p_partkey").alias("company_code"), record.alias("record")))
+
+
 # ---- upserts and resolution
 
-@query("""WITH batch AS (SELECT o_custkey AS id, o_totalprice AS v, o_orderkey AS at_ FROM orders), last AS (SELECT id, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at_ DESC, v DESC) AS rn FROM batch) WHERE rn = 1)
-SELECT coalesce(c_custkey, id) AS id, CASE WHEN id IS NOT NULL THEN v ELSE c_acctbal END AS v, coalesce(c_name, 'new') AS first_seen FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) FULL JOIN last ON c_custkey = id""")
+@query("""WITH batch AS (SELECT 2 * o_custkey AS id, o_totalprice AS v, o_orderkey AS at_ FROM orders), last AS (SELECT id, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at_ DESC, v DESC) AS rn FROM batch) WHERE rn = 1)
+SELECT coalesce(c_custkey, id) AS id, CASE WHEN id IS NOT NULL THEN v ELSE c_acctbal END AS v, coalesce(c_name, 'new') AS first_seen FROM customer FULL JOIN last ON c_custkey = id""")
 def upsert_latest_wins(s: Star) -> DataFrame:
-    current = s.table("customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("first_seen"))
-    batch = s.table("orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("v"), F.lit("new").alias("first_seen"), F.col("o_orderkey").alias("at"))
+    # Keys of the batch are doubled, so that some are known, some are new, and some customers get nothing.
+    current = s.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("first_seen"))
+    batch = s.table("orders").select((2 * F.col("o_custkey")).alias("id"), F.col("o_totalprice").alias("v"), F.lit("new").alias("first_seen"), F.col("o_orderkey").alias("at"))
     return upsert.latest_wins(current, batch, ["id"], [F.desc("at"), F.desc("v")], keep=("first_seen",))
 
 
+@query("""WITH batch AS (SELECT 'company:' || lpad(CAST(s_suppkey + 40 AS VARCHAR), 8, '0') AS id, upper(s_name) AS label, s_nationkey < 10 AS has FROM supplier), old AS (SELECT 'company:' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS id, s_name AS label, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS code FROM supplier)
+SELECT coalesce(b.id, o.id) AS id, 'company' AS kind, coalesce(b.label, o.label) AS label, CASE WHEN b.has THEN 'new' ELSE o.code END AS code FROM old o FULL JOIN batch b ON o.id = b.id""")
+def upsert_nodes(s: Star) -> DataFrame:
+    nodes = s.nodes().filter("kind = 'company'")
+    attrs = F.when(F.col("s_nationkey") < 10, F.create_map(F.lit("dart_code"), F.lit("new")))
+    batch = s.table("supplier").select(ids.company_id(F.lpad((F.col("s_suppkey") + 40).cast("string"), 8, "0")).alias("id"), F.lit("company").alias("kind"), F.upper("s_name").alias("label"), attrs.alias("attrs"))
+    return upsert.upsert_nodes(nodes, batch, [F.col("label")]).select("id", "kind", "label", F.col("attrs")["dart_code"].alias("code"))
+
+
+@query(with_views("facts") + """, batch AS (SELECT company_id, CAST(CAST(bsns_year AS INT) + 3 AS VARCHAR) AS bsns_year, fiscal_period, fs_div, metric_key, 2 * amount AS amount FROM facts)
+SELECT coalesce(f.company_id, b.company_id) AS company_id, coalesce(f.bsns_year, b.bsns_year) AS bsns_year, coalesce(f.fiscal_period, b.fiscal_period) AS fiscal_period, coalesce(f.fs_div, b.fs_div) AS fs_div, coalesce(f.metric_key, b.metric_key) AS metric_key,
+  CAST(coalesce(b.amount, f.amount) AS DOUBLE) AS amount, CASE WHEN f.company_id IS NULL THEN 'batch' ELSE 'first' END AS source_ref
+FROM facts f FULL JOIN batch b ON f.company_id = b.company_id AND f.bsns_year = b.bsns_year AND f.fiscal_period = b.fiscal_period AND f.fs_div = b.fs_div AND f.metric_key = b.metric_key""")
+def upsert_facts(s: Star) -> DataFrame:
+    facts = s.facts().withColumn("source_ref", F.lit("first"))
+    batch = s.facts().withColumns({"bsns_year": (F.col("bsns_year").cast("int") + 3).cast("string"), "amount": 2 * F.col("amount"), "source_ref": F.lit("batch")})
+    return double(upsert.upsert_facts(facts, batch, [F.col("amount")]), "amount")
+
+
 @query(with_views("companies") + " SELECT company_id AS subject_id, 'IN_SECTOR' AS predicate, CASE WHEN nation < 5 THEN 'sector:new' ELSE 'sector:' || nation END AS object_id FROM companies")
 def exclusive_edge(s: Star) -> DataFrame:
     old = s.sector_edges().select("subject_id", "predicate", "object_id")
@@ -370,10 +448,35 @@ def merge_owners(s: Star) -> DataFrame:
     return upsert.alias_mapping(persons.unionByName(canonical), aliases, "person", normalize.normalize_alias(F.col("label")), "person:")
 
 
-@query(with_views("seg") + " SELECT subject_id, predicate, 'segment:' || right(subject_id, 8) || ':' || substr(object_id, 9) AS object_id, period, share_pct FROM seg")
+_SPLIT = "split_up AS (SELECT subject_id, predicate, CASE WHEN object_id = 'segment:brand-19' THEN object_id ELSE 'segment:' || right(subject_id, 8) || ':' || substr(object_id, 9) END AS object_id, object_id AS old_id, period, share_pct FROM seg)"
+
+
+def _renamespaced(s: Star) -> tuple[DataFrame, DataFrame]:
+    return upsert.renamespace(s.nodes(), s.segment_edges(), s.aliases(), [F.col("_old")])
+
+
+@query(with_views("seg") + f", {_SPLIT} SELECT subject_id, predicate, object_id, period, share_pct FROM split_up")
 def renamespace_segments(s: Star) -> DataFrame:
-    edges = s.segment_edges().select("subject_id", "predicate", "object_id", "period", F.col("qualifier.share_pct").alias("share_pct"))
-    return edges.withColumn("object_id", ids.node_id("segment", F.substring_index("subject_id", ":", -1), F.substring_index("object_id", ":", -1)))
+    return _renamespaced(s)[1].select("subject_id", "predicate", "object_id", "period", F.col("qualifier.share_pct").alias("share_pct"))
+
+
+@query(with_views("seg", "companies") + f""", {_SPLIT}, brands AS (SELECT DISTINCT 'segment:' || replace(lower(p_brand), '#', '-') AS id, p_brand AS label FROM part)
+SELECT company_id AS id, 'company' AS kind, label, NULL AS company FROM companies UNION ALL SELECT 'person:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0'), 'person', c_name, NULL FROM customer
+UNION ALL SELECT id, 'segment', label, NULL FROM brands WHERE id = 'segment:brand-19' OR id IN (SELECT object_id FROM split_up)
+UNION ALL SELECT DISTINCT object_id, 'segment', label, right(subject_id, 8) FROM split_up JOIN brands ON id = old_id WHERE object_id <> old_id""")
+def renamespace_nodes(s: Star) -> DataFrame:
+    return _renamespaced(s)[0].select("id", "kind", "label", F.col("attrs")["company"].alias("company"))
+
+
+@query(f"WITH {_MAPPED} SELECT 'customer:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, CASE WHEN 'customer:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') IN (SELECT old_id FROM mapping) THEN NULL ELSE 'false' END AS resolved FROM customer")
+def mark_unresolved(s: Star) -> DataFrame:
+    nodes = _customers(s).withColumn("attrs", F.lit(None).cast("map<string,string>"))
+    return upsert.mark_unresolved(nodes, _customer_mapping(s)).select("id", F.col("attrs")["resolved"].alias("resolved"))
+
+
+@query("SELECT DISTINCT 'person:owner-' || c_nationkey AS id, 'person' AS kind, 'Owner ' || c_nationkey AS label FROM customer")
+def canonical_owners(s: Star) -> DataFrame:
+    return upsert.canonical_owners(s.table("customer").select(F.concat(F.lit("Owner "), F.col("c_nationkey").cast("string")).alias("canonical"))).select("id", "kind", "label")
 
 
 @query("""WITH seeds AS (SELECT p_partkey AS ordinal, CASE WHEN p_size % 5 = 0 THEN 'segment:none' ELSE 'segment:' || replace(lower(p_brand), '#', '-') END AS node_id, unnest([lower(p_type), lower(p_brand)]) AS alias_norm FROM part)
@@ -393,10 +496,10 @@ def slug(s: Star) -> DataFrame:
     return s.table("part").select("p_partkey", ids.segment_id(raw).alias("slug"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 300), '[\\s\\x{00A0}\\x{3000}]+', ' ', 'g'))) AS alias FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, length(alias) AS chars, md5(alias) AS digest FROM (SELECT doc_id, lower(trim(regexp_replace(text, '[\\s\\x{000B}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS alias FROM documents)")
 def normalize_alias(s: Star) -> DataFrame:
-    # The label of a document is its first 300 characters: a label is short by definition.
-    return s.table("documents").filter("lang = 'en'").select("doc_id", normalize.normalize_alias(F.substring("text", 1, 300)).alias("alias"))
+    alias = s.table("documents").select("doc_id", normalize.normalize_alias(F.col("text")).alias("alias"))
+    return alias.select("doc_id", F.length("alias").cast("long").alias("chars"), F.md5(F.col("alias").cast("binary")).alias("digest"))
 
 
 @query("SELECT c_custkey, replace(lower(c_name), ',', ' ') AS norm FROM customer")
@@ -463,9 +566,15 @@ def fin_ratios(s: Star) -> DataFrame:
 
 # ---- text
 
-@query("""SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, md5(array_to_string(lines, chr(10))) AS digest FROM (SELECT page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>', '', 'g'), '(?i)</t[dh]\\s*>', chr(9), 'g'), '<[^>]*>', chr(10), 'g'), '[\\r\\n]+'), lambda x: regexp_replace(x, '^[ \\t]+|[ \\t]+$', '', 'g')), lambda x: x <> '') AS lines FROM pages)""")
+# The plain pages have no tables: one with markup in its cells, an empty row and character references is put behind each.
+_TABLE = "<p>a &lt;&#44277;&amp;&#xAC00;</p><table border=1><tr><td> {0} </td><th><b>x</b> y&amp;z</th></tr><tr><td> </td></tr><TR><td>&nbsp;</td><td>two<br> words</td></TR></table> after"
+
+
+@query(r"""WITH plain AS (SELECT page_id, list_concat(list_filter(flatten(list_transform(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]*>'), lambda x: string_split_regex(trim(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13)), '\r?\n'))), lambda x: trim(x, chr(32) || chr(9)) <> ''), ['a <공&가', page_id || chr(9) || 'xy&z', chr(9) || 'twowords', 'after']) AS lines FROM pages)
+SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, md5(array_to_string(lines, chr(10))) AS digest FROM plain""".replace("\\\\", "\\"))
 def html_lines(s: Star) -> DataFrame:
-    lines = text.html_lines(F.col("html"))
+    before, after = _TABLE.split("{0}")
+    lines = text.html_lines(F.concat("html", F.lit(before), F.col("page_id").cast("string"), F.lit(after)))
     return s.table("pages").select("page_id", lines.alias("lines")).select("page_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("digest"))
 
 
@@ -556,21 +665,23 @@ def daily_budget(s: Star) -> DataFrame:
     return operations.within_budget(calls, "ts", [F.col("ts"), F.col("event_id")], "cost", 100).select("event_id", "day", "used")
 
 
-@query(with_views("listed") + " SELECT corp_code, rcept_no, substr(report_nm, 16, 4) AS period FROM listed WHERE report_nm LIKE 'annual%' AND CAST(corp_code AS INT) % 2 = 0 AND CAST(rcept_no AS BIGINT) % 3 <> 0")
+@query(with_views("listed") + " SELECT corp_code, rcept_no, substr(report_nm, 16, 4) AS period FROM listed WHERE report_nm LIKE 'annual%' AND rcept_dt >= '19960101' AND corp_code IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def incremental_new(s: Star) -> DataFrame:
     listed = s.listed()
-    known = listed.filter(F.col("rcept_no").cast("long") % 3 == 0).select("rcept_no")
-    members = listed.filter(F.col("corp_code").cast("int") % 2 == 0).select("corp_code").distinct()
+    known = listed.filter("rcept_dt < '19960101'").select("rcept_no")
+    members = s.table("customer").filter("c_mktsegment <> 'BUILDING'").select(s.code("c_custkey").alias("corp_code"))
     return operations.new_reports(listed, members, known, "annual").select("corp_code", "rcept_no", "period")
 
 
-@query("""WITH had AS (SELECT p_partkey AS ticker, p_size % 7 = 0 AS gone FROM part WHERE p_partkey % 3 < 2), today AS (SELECT p_partkey AS ticker FROM part WHERE p_partkey % 5 > 0)
-SELECT coalesce(h.ticker, t.ticker) AS ticker, CASE WHEN t.ticker IS NULL THEN 'delisted' WHEN t.ticker % 11 = 0 THEN 'unlinked' WHEN h.ticker IS NULL THEN 'added' WHEN gone THEN 'relisted' ELSE 'updated' END AS change FROM had h FULL JOIN today t ON h.ticker = t.ticker WHERE t.ticker IS NOT NULL OR NOT gone""")
+@query("""WITH had AS (SELECT p_partkey AS ticker, p_size % 7 = 0 AS gone FROM part), today AS (SELECT p_partkey + 70 AS ticker, p_size FROM part)
+SELECT coalesce(h.ticker, t.ticker) AS ticker, CASE WHEN t.ticker IS NULL THEN 'delisted' WHEN t.p_size = 11 THEN 'unlinked' WHEN h.ticker IS NULL THEN 'added' WHEN gone THEN 'relisted' ELSE 'updated' END AS change FROM had h FULL JOIN today t ON h.ticker = t.ticker WHERE t.ticker IS NOT NULL OR NOT gone""")
 def lifecycle_diff(s: Star) -> DataFrame:
+    # Today's tickers are those on record, moved on by 70: some are gone, some are new.
     part = s.table("part").select(F.col("p_partkey").alias("ticker"), "p_size")
-    had = part.filter("ticker % 3 < 2").select("ticker", F.when(F.col("p_size") % 7 == 0, F.lit("2024-01-01")).cast("date").alias("delisted_at"))
-    today = operations.listing(part.filter("ticker % 5 > 0 and ticker % 2 = 0"), part.filter("ticker % 5 > 0"))
-    return operations.lifecycle(had, today, part.filter("ticker % 11 > 0"))
+    had = part.select("ticker", F.when(F.col("p_size") % 7 == 0, F.lit("2024-01-01")).cast("date").alias("delisted_at"))
+    moved = part.withColumn("ticker", F.col("ticker") + 70)
+    today = operations.listing(moved.filter("p_size < 30"), moved.filter("p_size > 20"))
+    return operations.lifecycle(had, today, moved.filter("p_size <> 11"))
 
 
 @query(with_views("companies", "queue") + " SELECT dart_code AS corp_code, y AS period FROM companies JOIN (SELECT unnest(['2022', '2023', '2024']) AS y) ON true WHERE NOT EXISTS (SELECT 1 FROM queue q WHERE q.corp_code = dart_code AND q.period = y)")
@@ -599,17 +710,95 @@ def latest_report(s: Star) -> DataFrame:
     return operations.latest_report(s.listed(), "annual")
 
 
+@query(with_views("seg") + " SELECT DISTINCT subject_id AS company_id, period AS year FROM seg WHERE share_pct >= 4")
+def fiscal_years(s: Star) -> DataFrame:
+    half = s.segment_edges().withColumn("period", F.when(F.col("qualifier.share_pct") < 4, F.concat("period", F.lit("H1"))).otherwise(F.col("period")))
+    return graph_query.fiscal_years(half)
+
+
+@query(with_views("seg", "companies") + """ SELECT corp_code, bsns_year, reprt_code FROM (SELECT DISTINCT right(subject_id, 8) AS corp_code, period AS bsns_year FROM seg UNION SELECT dart_code, y FROM companies, (SELECT unnest(['1998', '1999', '2000']) AS y)) , (SELECT unnest(['11011', '11013']) AS reprt_code)""")
+def report_targets(s: Star) -> DataFrame:
+    companies = s.companies().select("company_id", F.col("dart_code").alias("corp_code"))
+    return operations.report_targets(companies, graph_query.fiscal_years(s.segment_edges()), ("11011", "11013"), 2000, 3)
+
+
+@query("SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS ticker, lpad(CAST(min(c_custkey) AS VARCHAR), 8, '0') AS corp_code, min(c_custkey) IS NOT NULL AS found FROM part LEFT JOIN (SELECT * FROM customer WHERE c_nationkey > 3) ON c_custkey // 2 = p_partkey GROUP BY p_partkey")
+def ticker_codes(s: Star) -> DataFrame:
+    stock = F.when(F.col("c_nationkey") > 3, F.lpad(F.floor(F.col("c_custkey") / 2).cast("string"), 6, "0")).otherwise(" ")
+    master = s.table("customer").select(s.code("c_custkey").alias("corp_code"), stock.alias("stock_code"))
+    return operations.ticker_codes(s.table("part").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("ticker")), master)
+
+
+_BATCH = """ready AS (SELECT * REPLACE (CASE WHEN status = 'in_progress' AND last_attempt_at < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 180 MINUTES THEN 'pending' ELSE status END AS status) FROM queue),
+batch AS (SELECT id FROM ready WHERE status = 'pending' ORDER BY id LIMIT 300),
+after AS (SELECT r.id, CASE WHEN b.id IS NULL OR r.id % 5 = 4 THEN attempts ELSE attempts + 1 END AS attempts, b.id IS NOT NULL AS picked, b.id IS NOT NULL AND r.id % 5 < 4 AS processed,
+  CASE WHEN b.id IS NULL OR r.id % 5 = 4 THEN status WHEN r.id % 5 = 0 THEN 'done' WHEN r.id % 5 = 1 THEN 'failed' WHEN r.id % 5 = 3 THEN 'skipped' WHEN attempts + 1 < 3 THEN 'pending' ELSE 'failed' END AS status FROM ready r LEFT JOIN batch b ON r.id = b.id)"""
+
+
+def _after_batch(s: Star) -> DataFrame:
+    k = F.col("event_id") % 5
+    outcome = F.when(k == 0, "ok").when(k == 1, "extract_error").when(k < 4, "fetch_error")
+    outcomes = s.table("events").select(F.col("event_id").alias("id"), outcome.alias("outcome"), F.when(k == 3, "no report found").otherwise("timeout").alias("message"), F.lit("regex").alias("level"), F.lit(1000).alias("chars")).filter("outcome is not null")
+    queue = s.queue().withColumns({"last_error": F.lit(None).cast("string"), "escalation_level": F.lit(None).cast("string")})
+    return operations.run_batch(queue, outcomes, F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'"), 300)
+
+
+@query(with_views("queue") + f", {_BATCH} SELECT id, attempts, status, picked, processed FROM after")
+def run_batch(s: Star) -> DataFrame:
+    return _after_batch(s).select("id", "attempts", "status", "picked", "processed")
+
+
+@query(with_views("queue") + f", {_BATCH} SELECT count(*) FILTER (processed) AS processed, count(*) FILTER (processed AND status = 'done') AS done, count(*) FILTER (processed AND status = 'skipped') AS skipped, count(*) FILTER (processed AND status = 'failed') AS failed, count(*) FILTER (picked AND NOT processed) AS rate_limit_hits, count(*) FILTER (status = 'pending') AS pending_remaining, 300 - count(*) FILTER (processed) AS budget_remaining FROM after")
+def batch_summary(s: Star) -> DataFrame:
+    return operations.batch_summary(_after_batch(s), 300)
+
+
+@query("SELECT CASE WHEN user_id % 4 = 0 THEN 'full_text' WHEN user_id % 4 = 1 THEN NULL ELSE 'regex' END AS escalation_level, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL")
+def escalation_counts(s: Star) -> DataFrame:
+    level = F.when(F.col("corp_code").cast("int") % 4 == 1, F.lit(None)).when(F.col("corp_code").cast("int") % 4 >= 2, "regex").otherwise("full_text")
+    return operations.escalation_counts(s.queue().withColumn("escalation_level", level))
+
+
+@query("SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAYS) AS created, count(*) FILTER (event_type = 'error' AND CAST(ts AS DATE) >= DATE '2024-01-13') AS delisted FROM events")
+def recent_changes(s: Star) -> DataFrame:
+    stocks = s.table("events").select(F.col("ts").alias("created_at"), F.when(F.col("event_type") == "error", F.to_date("ts")).alias("delisted_at"))
+    return operations.recent_changes(stocks, F.expr("TIMESTAMP_NTZ '2024-01-20 12:00:00'"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 100")
+def random_sample(s: Star) -> DataFrame:
+    return operations.sample(s.table("orders"), "o_orderkey", 100, 7).select("o_orderkey")
+
+
+@query("SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS corp_code FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND c_nationkey > 3")
+def universe_of_stocks(s: Star) -> DataFrame:
+    rows = s.table("orders").join(s.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    gone = F.when(F.col("o_orderstatus") == "F", F.to_date("o_orderdate"))
+    return operations.universe_of_stocks(rows.select(F.when(F.col("c_nationkey") > 3, s.code("c_custkey")).alias("corp_code"), gone.alias("delisted_at")))
+
+
 # ---- projections
 
-@query(with_views("seg", "facts") + """ SELECT subject_id, predicate, object_id, period, CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS fs_div FROM seg
-UNION ALL SELECT company_id, 'REPORTS', 'metric:' || metric_key, bsns_year || fiscal_period, CAST(CAST(amount AS DECIMAL(22,2)) AS DOUBLE), fs_div FROM facts""")
+@query(with_views("seg", "facts") + """ SELECT subject_id, predicate, object_id, period, share_pct, CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS fs_div, CAST(NULL AS VARCHAR) AS period_node, 'llm' AS source_type, 0.5 AS confidence FROM seg
+UNION ALL SELECT company_id, 'REPORTS', 'metric:' || metric_key, bsns_year || fiscal_period, NULL, CAST(CAST(amount AS DECIMAL(22,2)) AS DOUBLE), fs_div, 'period:' || bsns_year || fiscal_period, 'dart_api', 1.0 FROM facts""")
 def graph_export(s: Star) -> DataFrame:
-    return double(projection.graph_export(s.segment_edges(), s.facts()), "amount")
+    edges = s.segment_edges().withColumns({"source_type": F.lit("llm"), "confidence": F.lit(0.5)})
+    facts = s.facts().withColumns({"amount": F.col("amount").cast("decimal(22,2)"), "source_type": F.lit("dart_api"), "confidence": F.lit(1.0)})
+    said = lambda c: F.get_json_object("qualifier", f"$.{c}").alias(c)
+    return projection.graph_export(edges, facts).select("subject_id", "predicate", "object_id", "period", said("share_pct").cast("double").alias("share_pct"), said("amount").cast("double").alias("amount"), said("fs_div"), said("period_node"), "source_type", "confidence")
+
+
+_SHORT = "short AS (SELECT subject_id, predicate, object_id, period, floor(share_pct * 100) / 100 AS share FROM seg)"
 
 
-@query(with_views("seg") + " SELECT object_id, array_to_string(list_sort(list_distinct(list(predicate || ' ' || subject_id))), '|') AS referrers, count(DISTINCT subject_id) AS n FROM seg GROUP BY object_id")
+def _short_shares(s: Star) -> DataFrame:
+    """Segment edges with shares of two places, which both engines print alike."""
+    return s.segment_edges().withColumn("qualifier", F.col("qualifier").withField("share_pct", F.floor(F.col("qualifier.share_pct") * 100) / 100))
+
+
+@query(with_views("seg") + f", {_SHORT} SELECT object_id, array_to_string(list_sort(list_distinct(list(predicate || ' ' || subject_id || ' ' || format('{{:g}}', share)))), '|') AS referrers, count(DISTINCT (subject_id, share)) AS n FROM short GROUP BY object_id")
 def backlinks(s: Star) -> DataFrame:
-    return projection.backlinks(s.segment_edges())
+    return projection.backlinks(_short_shares(s))
 
 
 @query(with_views("stake") + f", {_OWNED} SELECT holder_id, array_to_string(list_sort(list(DISTINCT company_id)), ',') AS companies, count(DISTINCT company_id) AS n FROM owned GROUP BY holder_id")
@@ -641,9 +830,72 @@ def company_card(s: Star) -> DataFrame:
     return _cards(s)
 
 
-@query(with_views("companies", "seg", "stake", "facts") + f", {_CARD} SELECT company_id, '---' || chr(10) || 'company: ' || company_id || chr(10) || 'segments: ' || segments || chr(10) || 'holders: ' || holders || chr(10) || 'periods: ' || periods || chr(10) || 'issues: ' || issues || chr(10) || '---' || chr(10) || '# ' || label || chr(10) AS note FROM card")
+_EOK = "format('{{:,.0f}}', CAST({} AS DOUBLE) / 1e8) || '억'"
+_TABLES = f"""{_PREFERRED}, {_WIDE}, keyed AS (SELECT *, {_KEY} AS key FROM wide),
+tables AS (SELECT company_id, list(bsns_year || fiscal_period ORDER BY key) AS periods, chr(10) || '## 재무 (연결 우선, 단위 억원)' || chr(10) || chr(10) || '| 지표 | ' || string_agg(bsns_year || ' ' || fiscal_period, ' | ' ORDER BY key) || ' |' || chr(10) || '|------|' || repeat('------|', count(*)) || chr(10)
+  || '| 매출액 | ' || string_agg({_EOK.format("revenue")}, ' | ' ORDER BY key) || ' |' || chr(10) || '| 영업이익 | ' || string_agg({_EOK.format("operating_income")}, ' | ' ORDER BY key) || ' |' || chr(10)
+  || '| 영업이익률 | ' || string_agg(format('{{:.1f}}', CAST(operating_income AS DOUBLE) / CAST(revenue AS DOUBLE) * 100) || '%', ' | ' ORDER BY key) || ' |' || chr(10) || '| 부채비율 | ' || string_agg('—', ' | ' ORDER BY key) || ' |' || chr(10) || '| ROE | ' || string_agg('—', ' | ' ORDER BY key) || ' |' || chr(10) || chr(10)
+  || string_agg('revenue_' || bsns_year || fiscal_period || ':: ' || format('{{:.0f}}', CAST(revenue AS DOUBLE)) || chr(10) || 'operating_income_' || bsns_year || fiscal_period || ':: ' || format('{{:.0f}}', CAST(operating_income AS DOUBLE)), chr(10) ORDER BY key) AS tables FROM keyed GROUP BY company_id)"""
+_MILLIONS = ", facts AS (SELECT company_id, bsns_year, fiscal_period, fs_div, metric_key, CAST(floor(amount * 1000) AS DECIMAL(18,0)) AS amount FROM facts0)"
+_FACTS0 = with_views("facts").replace("facts AS (", "facts0 AS (")
+
+
+def _round_facts(s: Star) -> DataFrame:
+    """Facts in whole numbers large enough for the notes' unit."""
+    return s.facts().withColumn("amount", F.floor(F.col("amount") * 1000).cast("decimal(18,0)"))
+
+
+@query(_FACTS0 + f"{_MILLIONS}, {_TABLES} SELECT company_id, array_to_string(periods, ',') AS periods, tables FROM tables")
+def financial_tables(s: Star) -> DataFrame:
+    return projection.financial_tables(_round_facts(s)).withColumn("periods", F.array_join("periods", ","))
+
+
+def _note_edges(s: Star) -> DataFrame:
+    stakes = s.stake_edges().withColumn("qualifier", F.col("qualifier").withField("stake_pct", F.floor(F.col("qualifier.stake_pct") * 100) / 100))
+    return union(_short_shares(s), stakes, s.sector_edges())
+
+
+def _note_nodes(s: Star) -> DataFrame:
+    sectors = s.table("nation").select(ids.sector_id(F.col("n_nationkey").cast("string")).alias("id"), F.lit("sector").alias("kind"), F.col("n_name").alias("label"), F.create_map().cast("map<string,string>").alias("attrs"))
+    return union(s.nodes(), sectors)
+
+
+_SAFE = "trim(regexp_replace(regexp_replace({}, '[\\\\/:*?\"<>|#^\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_LAST_SEG = f"{_SHORT}, lastseg AS (SELECT subject_id, object_id, share, '[[' || {_SAFE.format('p_brand')} || ']]' AS link FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, object_id ORDER BY period DESC) AS rn FROM short) JOIN (SELECT DISTINCT p_brand, 'segment:' || replace(lower(p_brand), '#', '-') AS sid FROM part) ON sid = object_id WHERE rn = 1)"
+
+
+@query(_FACTS0 + ", " + ", ".join(SQL[n] for n in ("seg", "stake", "companies")) + f"""{_MILLIONS}, {_TABLES}, {_LAST_SEG}, {_OWNED},
+segs AS (SELECT subject_id AS company_id, count(*) AS n, string_agg('- ' || link || ' — ' || format('{{:g}}', share) || '%', chr(10) ORDER BY object_id) AS lines FROM lastseg GROUP BY ALL),
+held AS (SELECT company_id, string_agg('- [[' || {_SAFE.format('c_name')} || ']]' || ' — ' || format('{{:g}}', floor(stake_pct * 100) / 100) || '%', chr(10) ORDER BY holder_id) AS lines FROM owned JOIN customer ON holder_id = 'person:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') GROUP BY ALL),
+bad AS (SELECT company_id, count(*) AS n FROM facts WHERE metric_key = 'operating_income' AND amount <= 0 GROUP BY ALL)
+SELECT c.company_id, {_SAFE.format('label')} AS name, array_to_string(['---', 'type: "company"', 'dart_code: "' || dart_code || '"', 'name: "' || label || '"', 'ticker: ""', 'market: ""', 'sector: "' || n_name || '"',
+  'periods: [' || coalesce(array_to_string(periods, ', '), '') || ']', 'report_count: ' || coalesce(len(periods), 0), 'segment_count: ' || coalesce(segs.n, 0), 'customer_count: 0', 'issue_count: ' || coalesce(bad.n, 0), 'tags: [company]', '---', '# ' || label, '', '> 섹터: [[' || n_name || ']]', '',
+  '', '## 세그먼트', '', coalesce(segs.lines, '- (없음)'), '', '## 고객사', '', '- (없음)', '', '## 지역 노출', '', '- (없음)', '', '## 지분구조', '', '### 주주 (최대주주·특수관계인)', '', coalesce(held.lines, '- (없음)'), '', '### 타법인 출자', '', '- (없음)'], chr(10)) || coalesce(chr(10) || tables, '') || chr(10) AS note
+FROM companies c JOIN nation ON n_nationkey = nation LEFT JOIN segs USING (company_id) LEFT JOIN held USING (company_id) LEFT JOIN tables USING (company_id) LEFT JOIN bad USING (company_id)""")
 def company_notes(s: Star) -> DataFrame:
-    return projection.company_notes(_cards(s))
+    facts = _round_facts(s)
+    issues = integrity.nonpositive_equity(facts, "operating_income").withColumnRenamed("company_id", "subject")
+    return projection.company_notes(_note_nodes(s), _note_edges(s), facts, issues)
+
+
+@query(with_views("seg", "companies") + f""", {_LAST_SEG}, refs AS (SELECT object_id, count(*) AS n, string_agg('- [[' || {_SAFE.format('label')} || ']] (세그먼트) — ' || format('{{:g}}', share) || '%', chr(10) ORDER BY label, share) AS lines FROM lastseg JOIN companies ON company_id = subject_id GROUP BY ALL)
+SELECT id AS node_id, {_SAFE.format('b')} AS name, '---' || chr(10) || 'type: "segment"' || chr(10) || 'name: "' || b || '"' || chr(10) || 'tags: [segment]' || chr(10) || '---' || chr(10) || '# ' || b || chr(10) || chr(10) || chr(10) || '## 이 segment를 가리키는 회사 (' || coalesce(n, 0) || ')' || chr(10) || chr(10) || coalesce(lines, '- (참조 없음)') || chr(10) AS note
+FROM (SELECT DISTINCT 'segment:' || replace(lower(p_brand), '#', '-') AS id, p_brand AS b FROM part) LEFT JOIN refs ON object_id = id""")
+def concept_notes(s: Star) -> DataFrame:
+    return projection.concept_notes(_note_nodes(s), _short_shares(s), ("segment",))
+
+
+@query(f"""WITH labels AS (SELECT p_partkey, p_name || ': "' || p_type || '"/[' || repeat(p_brand || ' ', CAST(p_size % 8 AS INT)) || ']' AS label FROM part), safe AS (SELECT *, {_SAFE.format('label')} AS s FROM labels),
+named AS (SELECT *, CASE WHEN length(s) <= 60 THEN s ELSE trim(left(s, 60)) || ' ' || left(sha1(label), 6) END AS name FROM safe)
+SELECT p_partkey, name, CASE WHEN name = s THEN '[[' || name || ']]' ELSE '[[' || name || '|' || s || ']]' END AS link, '"' || replace(replace(label, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' AS scalar, format('{{:g}}', p_partkey / 8.0) AS number FROM named""")
+def note_helpers(s: Star) -> DataFrame:
+    label = F.concat("p_name", F.lit(': "'), "p_type", F.lit('"/['), F.expr("repeat(concat(p_brand, ' '), p_size % 8)"), F.lit("]"))
+    return s.table("part").select("p_partkey", text.note_name(label).alias("name"), text.wikilink(label).alias("link"), text.yaml_string(label).alias("scalar"), text.general(F.col("p_partkey") / 8).alias("number"))
+
+
+@query(with_views("seg", "facts") + " SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(DISTINCT p_brand) FROM part) AS nodes, (SELECT count(*) FROM seg) + (SELECT count(*) FROM facts) AS edges")
+def export_counts(s: Star) -> DataFrame:
+    return projection.export_counts(s.nodes(), projection.graph_export(s.segment_edges(), s.facts()))
 
 
 # ---- extensions: not in the reference today
@@ -656,12 +908,13 @@ def e5_summary(s: Star) -> DataFrame:
     return ranked.filter("rn <= 5").select("company_id", "object_id", "share_pct")
 
 
-@query("""WITH t AS (SELECT lower(p_name) AS k, p_retailprice AS t FROM part WHERE p_partkey % 3 > 0), f AS (SELECT lower(p_name) AS k, p_retailprice + 1 AS f FROM part WHERE p_partkey % 2 > 0),
+@query("""WITH t AS (SELECT lower(p_name) AS k, p_retailprice AS t FROM part), f AS (SELECT lower(CASE WHEN p_size > 30 THEN p_name || ' alt' ELSE p_name END) AS k, p_retailprice + 1 AS f FROM part),
 c AS (SELECT count(CASE WHEN t IS NOT NULL AND f IS NOT NULL THEN 1 END) AS matched, count(t) AS truth_n, count(f) AS found_n, round(avg(abs(t - f)), 6) AS share_mae FROM t FULL JOIN f ON t.k = f.k)
 SELECT *, round(CAST(matched AS DOUBLE) / truth_n, 6) AS recall, round(CAST(matched AS DOUBLE) / found_n, 6) AS precision FROM c""")
 def extraction_eval(s: Star) -> DataFrame:
     part = s.table("part")
-    return evaluation.match_quality(part.filter("p_partkey % 3 > 0"), part.filter("p_partkey % 2 > 0").withColumn("p_retailprice", F.col("p_retailprice") + 1), "p_name", "p_retailprice")
+    found = part.withColumns({"p_name": F.when(F.col("p_size") > 30, F.concat("p_name", F.lit(" alt"))).otherwise(F.col("p_name")), "p_retailprice": F.col("p_retailprice") + 1})
+    return evaluation.match_quality(part, found, "p_name", "p_retailprice")
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stdev FROM events GROUP BY event_type")
