@@ -47,8 +47,8 @@ SHARD_BYTES = 32 << 20
 PER_SHARD = 64
 ROW_BYTES = 32  # what a record has besides its ids
 LONG_PIECE = 64
-CACHE_SLOTS = 1 << 22
-CACHE_PIECES = 1 << 21
+CACHE_SLOTS = 1 << 21
+CACHE_PIECES = 1 << 20
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<qB")
 

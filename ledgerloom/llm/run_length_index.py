@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.llm import bytescan, repeats
 from ledgerloom.llm.repeats import salted_join
-from ledgerloom.llm.scratch import materialize
+from ledgerloom.llm.scratch import materialize, scope
 
 SPAN = 200
 GRAM = 32
@@ -265,18 +265,19 @@ def repeated_windows(regions: DataFrame, span: int, gram: int, bucket_bytes: int
 
 def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc, key, lo, hi): half-open byte intervals that repeated strings cover. rows: as from repeats.keyed()."""
-    runs = materialize(repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=False), across_docs=False), "runs")
-    covers = materialize(runs.groupBy("anchor", "cover").agg(F.count("*").alias("times"), F.min(F.struct("doc", "key", "pos", "n")).alias("own")), "covers")
-    # Sizes are known from the runs, so buckets are chosen before any text moves.
-    bucketed = _bucketed(covers.select("anchor", "cover", "times", "own.*"), F.col("n") + span, bucket_bytes, hot_bytes)
-    per_key = bucketed.groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", F.col("times").alias("c"), "bucket", "pos", "n")).alias("runs"))
-    # Of rows equal in id and text each gives its regions; they hold the same strings, which repeat in any case.
-    schema = "anchor long, cover long, c long, bucket struct<part: long, slot: long>, region binary"
-    regions = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("text", "runs").mapInArrow(_cut_regions(span), schema)
-    regions = materialize(regions.withColumn("at", F.lit(None).cast("long")), "regions")
-    found = repeated_windows(regions, span, gram, bucket_bytes, hot_bytes)
-    of_run = found.groupBy("anchor", "cover").agg(F.collect_set(F.struct("from_shift", "to_shift")).alias("shifts"))  # at most one for each window of a run
-    of_run = materialize(of_run.join(covers.select("anchor", "cover", F.col("times").alias("c")).hint("merge"), ["anchor", "cover"]), "of_run")
+    with scope(rows.sparkSession) as keep:
+        runs = keep(materialize(repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=False), across_docs=False), "runs"))
+        covers = materialize(runs.groupBy("anchor", "cover").agg(F.count("*").alias("times"), F.min(F.struct("doc", "key", "pos", "n")).alias("own")), "covers")
+        # Sizes are known from the runs, so buckets are chosen before any text moves.
+        bucketed = _bucketed(covers.select("anchor", "cover", "times", "own.*"), F.col("n") + span, bucket_bytes, hot_bytes)
+        per_key = bucketed.groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", F.col("times").alias("c"), "bucket", "pos", "n")).alias("runs"))
+        # Of rows equal in id and text each gives its regions; they hold the same strings, which repeat in any case.
+        schema = "anchor long, cover long, c long, bucket struct<part: long, slot: long>, region binary"
+        regions = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("text", "runs").mapInArrow(_cut_regions(span), schema)
+        regions = materialize(regions.withColumn("at", F.lit(None).cast("long")), "regions")
+        found = repeated_windows(regions, span, gram, bucket_bytes, hot_bytes)
+        of_run = found.groupBy("anchor", "cover").agg(F.collect_set(F.struct("from_shift", "to_shift")).alias("shifts"))  # at most one for each window of a run
+        of_run = keep(materialize(of_run.join(covers.select("anchor", "cover", F.col("times").alias("c")).hint("merge"), ["anchor", "cover"]), "of_run"))
     back = salted_join(runs, of_run, ["anchor", "cover"], ["doc", "key", "pos"]).select("doc", "key", "pos", F.inline("shifts"))
     return back.select("doc", "key", (F.col("pos") + F.col("from_shift")).alias("lo"), (F.col("pos") + F.col("to_shift") - 1 + span).alias("hi"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.llm import bytescan, repeats
-from ledgerloom.llm.scratch import materialize
+from ledgerloom.llm.scratch import materialize, scope
 
 SPAN = 50
 GRAM = 12
@@ -52,24 +52,25 @@ def _window_hashes(span: int):
 
 def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc, key, lo, hi): half-open word intervals that windows with an earlier copy cover. rows: as from repeats.keyed()."""
-    runs = repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=True), across_docs=True)
-    runs = materialize(runs, "runs")
-    covers = runs.groupBy("anchor", "cover").agg(F.min("doc").alias("first_doc"), F.count("*").alias("c"), F.min(F.struct("doc", "key", "pos", "n")).alias("own"))
-    covers = materialize(covers, "covers")
-    end = F.col("pos") + F.col("n") - 1 + span
-    whole = repeats.salted_join(runs, covers.select("anchor", "cover", "first_doc", "c"), ["anchor", "cover"], ["doc", "key", "pos"])
-    whole = whole.filter("doc > first_doc").select("doc", "key", F.col("pos").alias("lo"), end.alias("hi"))
-
-    several = materialize(covers.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1"), "several")
-    unsettled = repeats.salted_join(covers.select("anchor", "cover", "own.*"), several, ["anchor"], ["cover"], "left_semi")
-    per_key = materialize(unsettled, "unsettled").groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", "pos", "n")).alias("runs"))
-    # Equal rows share a key and give equal windows, which the counts below don't mind.
-    texts = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("doc", "text", "runs")
-    windows = materialize(texts.mapInArrow(_window_hashes(span), "anchor long, window long, cover long, doc long, shift long"), "windows")
-    firsts = windows.groupBy("anchor", "window").agg(F.min("doc").alias("lo_doc"), F.max("doc").alias("hi_doc"), F.count("*").alias("c")).filter("lo_doc < hi_doc")
-    firsts = materialize(firsts.select("anchor", "window", "lo_doc", "c"), "firsts")
-    later = repeats.salted_join(windows, firsts, ["anchor", "window"], ["cover", "doc", "shift"]).filter("doc > lo_doc").select("anchor", "cover", "doc", "shift").distinct()
-    later = materialize(later, "later")
+    with scope(rows.sparkSession) as keep:
+        runs = repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=True), across_docs=True)
+        runs = keep(materialize(runs, "runs"))
+        covers = runs.groupBy("anchor", "cover").agg(F.min("doc").alias("first_doc"), F.count("*").alias("c"), F.min(F.struct("doc", "key", "pos", "n")).alias("own"))
+        covers = keep(materialize(covers, "covers"))
+        end = F.col("pos") + F.col("n") - 1 + span
+        whole = repeats.salted_join(runs, covers.select("anchor", "cover", "first_doc", "c"), ["anchor", "cover"], ["doc", "key", "pos"])
+        whole = whole.filter("doc > first_doc").select("doc", "key", F.col("pos").alias("lo"), end.alias("hi"))
+
+        several = materialize(covers.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1"), "several")
+        unsettled = repeats.salted_join(covers.select("anchor", "cover", "own.*"), several, ["anchor"], ["cover"], "left_semi")
+        per_key = materialize(unsettled, "unsettled").groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", "pos", "n")).alias("runs"))
+        # Equal rows share a key and give equal windows, which the counts below don't mind.
+        texts = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("doc", "text", "runs")
+        windows = materialize(texts.mapInArrow(_window_hashes(span), "anchor long, window long, cover long, doc long, shift long"), "windows")
+        firsts = windows.groupBy("anchor", "window").agg(F.min("doc").alias("lo_doc"), F.max("doc").alias("hi_doc"), F.count("*").alias("c")).filter("lo_doc < hi_doc")
+        firsts = materialize(firsts.select("anchor", "window", "lo_doc", "c"), "firsts")
+        later = repeats.salted_join(windows, firsts, ["anchor", "window"], ["cover", "doc", "shift"]).filter("doc > lo_doc").select("anchor", "cover", "doc", "shift").distinct()
+        later = keep(materialize(later, "later"))
     # Holds for each run with this content in this document; runs of it in later documents are removed as a whole.
     single = runs.join(later, ["anchor", "cover", "doc"]).select("doc", "key", (F.col("pos") + F.col("shift")).alias("lo"), (F.col("pos") + F.col("shift") + span).alias("hi"))
     return whole.unionByName(single)

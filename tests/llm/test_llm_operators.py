@@ -461,20 +461,76 @@ def test_registered_queries(spark):
         assert rows(found[name](spark, DATA), *want.columns) == sorted(want.fetchall(), key=repr)
 
 
-def test_pipeline(spark):
+def test_ftrl_is_the_plain_rule():
+    rng = np.random.default_rng(31)
+    features = [np.unique(rng.integers(0, 40, 6)) for _ in range(300)]
+    labels = np.array([float(3 in x or 5 in x) for x in features])
+    got = toxicity.fit(features, labels, alpha=0.5, l1=1.5, epochs=3)
+    n, z = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if i >= 0 and abs(z[i]) <= 1.5:
+            return 0.0
+        return -(z[i] - (np.sign(z[i]) * 1.5 if i >= 0 else 0)) / ((1 + n[i] ** 0.5) / 0.5 + 1)
+
+    for _ in range(3):
+        for x, y in zip(features, labels):
+            at = [*map(int, x), -1]  # -1 is the bias
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert dict(zip(got.place.tolist(), got.weight)) == pytest.approx(want) and got.bias == pytest.approx(weight(-1))
+    assert 0 < len(want) < 40
+
+
+def test_pipeline_stages_against_plain_versions(spark):
     import corpus_pipeline
 
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    ids, kept = [{r["doc_id"] for r in docs.collect()}], docs
-    for name, stage in corpus_pipeline.STAGES:
-        kept = corpus_pipeline.scratch.materialize(stage(spark, kept, DATA), name)
-        assert name == "token_records" or kept.columns == docs.columns
-        ids.append({r["doc_id"] for r in kept.collect()})
-        assert ids[-1] <= ids[-2]
-    toxic = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/labels.parquet").filter("toxic = 0").collect()}
-    assert len(toxic & ids[1]) >= 0.98 * len(toxic)
+    whole = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))).collect()}
+    kept = stages["toxicity"](spark, docs, DATA)
+    assert kept.columns == docs.columns and pairs(kept) == [(i, t) for i, t in pairs(docs) if whole[i]["score"] < 0.3]
+    one = stages["near_dedup"](spark, kept, DATA)
+    want = brute.near_classes(pairs(kept), brute.idf_weights(pairs(kept)))
+    assert one.columns == docs.columns and pairs(one) == [(i, t) for i, t in pairs(kept) if want[i] == i]
+    clean = stages["decontamination"](spark, one, DATA)
+    hit = {r[0] for r in brute.decontaminate(pairs(one), [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]) if r[5]}
+    assert clean.columns == docs.columns and pairs(clean) == [(i, t) for i, t in pairs(one) if i not in hit]
+    mixed = corpus_pipeline.scratch.materialize(stages["mixing"](spark, clean, DATA), "mixed")
+    taken, size, largest = collections.Counter(), collections.Counter(), 0
+    for r in clean.collect():
+        size[r["source"]] += len(brute.BLANK.findall(r["text"].encode()))
+        largest = max(largest, len(brute.BLANK.findall(r["text"].encode())))
+    for r in mixed.collect():
+        taken[r["source"]] += len(brute.BLANK.findall(r["text"].encode()))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    for name, aim in zip(names, mixing.targets([size[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])):
+        assert abs(taken[name] - aim) <= largest / 2 + 1
+    got = [tuple(r) for r in stages["token_records"](spark, mixed, DATA).select("doc_id", "n_tokens", "ids_crc32").collect()]
+    assert sorted(got) == sorted((i, n, c) for i, _, n, c in brute.records(pairs(mixed), queries.tokenizer_path()))
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
     again = corpus_pipeline.run(spark, DATA)
-    assert rows(again, "doc_id", "start", "n_tokens", "ids_crc32") == rows(kept, "doc_id", "start", "n_tokens", "ids_crc32")
+    assert rows(again, "doc_id", "start", "n_tokens", "ids_crc32") == rows(corpus_pipeline.run(spark, DATA), "doc_id", "start", "n_tokens", "ids_crc32")
+    odd = spark.read.parquet(f"{DATA}/documents.parquet").limit(30).withColumns({"key": F.lit("k"), "size": F.lit(1)})
+    nothing = [(None, None), (None, "kata loso"), (None, "kata loso"), (1, ""), (1, "")]
+    odd = odd.unionByName(spark.createDataFrame(nothing, "doc_id long, text string"), allowMissingColumns=True)
+    for name, table in (("odd", odd), ("empty", odd.filter("false"))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{DATA}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert bool(got) == (name == "odd")
+        assert len([r for r in got if r["doc_id"] is None]) <= 3 and all(r["n_tokens"] > 1 for r in got)
 
 
 def thue_morse(n, zero="a", one="b"):
