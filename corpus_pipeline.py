@@ -1,4 +1,9 @@
-"""A training-data pipeline over documents: five operators, each on all that its predecessor kept."""
+"""A training-data pipeline over documents: five operators, each on all that its predecessor kept.
+
+Defined results: an empty table gives no rows; null and empty texts score by the bias alone, are copies of each other by
+the rules of near_dedup, hold no benchmark passage, have size 0 and so leave in mixing; rows with a null doc_id are documents
+like others; extra columns stay as they are until the last stage. Without labels no document is toxic.
+"""
 
 from __future__ import annotations
 
@@ -41,12 +46,16 @@ STAGES = [
     ("token_records", encoded),
 ]
 
-#: SQL can't express these stages; tests/llm compares them with plain versions.
+#: SQL can't express these stages; tests/llm compares each with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch.scope(spark) as keep:
+            docs = keep(scratch.materialize(stage(spark, before, sf_dir), f"stage-{name}"))
+        if name != STAGES[0][0]:
+            scratch.remove(spark, before._scratch_path)
     return STAGES[-1][1](spark, docs, sf_dir)
