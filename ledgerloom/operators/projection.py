@@ -12,7 +12,7 @@ from ledgerloom.operators.graph_query import owned_companies
 def graph_export(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """Edges, and facts as REPORTS edges from a company to a metric. qualifier is JSON, without what is null."""
     known = lambda frame, c, kind: F.col(c) if c in frame.columns else F.lit(None).cast(kind)
-    own = edges.select("subject_id", "predicate", "object_id", "period", F.to_json("qualifier").alias("qualifier"), known(edges, "source_type", "string").alias("source_type"), known(edges, "confidence", "double").alias("confidence"))
+    own = edges.select("subject_id", "predicate", "object_id", "period", (F.to_json("qualifier") if "qualifier" in edges.columns else F.lit(None).cast("string")).alias("qualifier"), known(edges, "source_type", "string").alias("source_type"), known(edges, "confidence", "double").alias("confidence"))
     said = F.struct(F.col("amount").cast("double").alias("amount"), "fs_div", F.col("metric_key").alias("metric"), ids.period_id(F.col("bsns_year"), F.col("fiscal_period")).alias("period_node"))
     reports = facts.select(
         F.col("company_id").alias("subject_id"), F.lit("REPORTS").alias("predicate"), ids.metric_id(F.col("metric_key")).alias("object_id"), F.concat("bsns_year", "fiscal_period").alias("period"),

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.schema import STATEMENT_ROWS
+from ledgerloom.schema import INVESTMENT_ROWS, SHAREHOLDER_ROWS, STATEMENT_ROWS
 
 MASTER = "corp_code string, corp_name string, stock_code string, modify_date string"
+PROFILE = "corp_code string, corp_name string, stock_code string, induty_code string"
+SHARES = "se string, istc_totqy string, distb_stock_co string"
 LISTED = "corp_code string, corp_name string, stock_code string, corp_cls string, report_nm string, rcept_no string, flr_nm string, rcept_dt string, rm string"
 
 
@@ -37,19 +40,88 @@ def company_master_zip(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, MASTER)
 
 
+def _page(fields: str, more: str = "") -> str:
+    return f"status string, message string{more}, list array<struct<{', '.join(f.strip().replace(' ', ': ') for f in fields.split(','))}>>"
+
+
+def _rows_of(status: Column, rows: Column, empty: tuple[str, ...] | None) -> Column:
+    """rows if the status is good, nothing for the statuses in empty (None: for all others), else an error."""
+    nothing = F.lit(False) if empty == () else F.lit(True) if empty is None else status.isin(*empty)
+    return F.when(status == "000", rows).when(nothing, F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("status "), F.coalesce(status, F.lit("null")))))
+
+
 def listing_pages(spark: SparkSession, path: str) -> DataFrame:
     """Filings of all landed pages; pages with another status than 000 or 013 (nothing found) fail the read."""
-    page = f"status string, message string, page_no int, total_page int, list array<struct<{', '.join(c.replace(' ', ': ') for c in LISTED.split(', '))}>>"
-    pages = spark.read.schema(page).option("multiLine", True).json(path)
-    checked = F.when(F.col("status").isin("000", "013"), F.col("list")).otherwise(F.raise_error(F.concat(F.lit("status "), "status")))
-    return pages.select(F.explode(checked).alias("x")).select("x.*")
+    pages = spark.read.schema(_page(LISTED, ", page_no int, total_page int")).option("multiLine", True).json(path)
+    return pages.select(F.explode(_rows_of(F.col("status"), F.col("list"), ("013",))).alias("x")).select("x.*")
+
+
+def missing_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page_no of the pages that a listing should have (1 to total_page) but that have not landed. Listings are told apart by their folder."""
+    folder = F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1)
+    pages = spark.read.schema("page_no int, total_page int").option("multiLine", True).json(path).select(folder.alias("folder"), "page_no", "total_page").filter("total_page > 0")
+    wanted = pages.groupBy("folder").agg(F.max("total_page").alias("n")).select("folder", F.explode(F.sequence(F.lit(1), "n")).alias("page_no"))
+    return wanted.join(pages, ["folder", "page_no"], "left_anti")
+
+
+KEYS = ("corp_code", "bsns_year", "reprt_code")
+
+
+def _keyed(spark: SparkSession, path: str, fields: str, empty: tuple[str, ...] | None) -> DataFrame:
+    """Rows of landed answers under corp_code=.../bsns_year=.../reprt_code=..., which say what was asked, with ordinal: the place in its answer."""
+    own = ", ".join(f.strip() for f in fields.split(",") if f.split()[0] not in KEYS)
+    schema = _page(own) + "".join(f", {k} string" for k in KEYS)
+    pages = spark.read.schema(schema).option("multiLine", True).option("basePath", path).json(path)
+    rows = pages.select(*KEYS, F.posexplode(_rows_of(F.col("status"), F.col("list"), empty)).alias("ordinal", "x"))
+    return rows.select(*KEYS, "ordinal", "x.*")
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statement rows, all cells as strings."""
-    page = f"status string, message string, list array<struct<{', '.join(c.replace(' ', ': ') for c in STATEMENT_ROWS.split(', '))}>>"
-    pages = spark.read.schema(page).option("multiLine", True).json(path)
-    return pages.filter("status = '000'").select(F.explode("list").alias("x")).select("x.*")
+    """Statement rows, all cells as strings. 013 means that there are none; any other status but 000 fails the read."""
+    pages = spark.read.schema(_page(STATEMENT_ROWS)).option("multiLine", True).json(path)
+    return pages.select(F.explode(_rows_of(F.col("status"), F.col("list"), ("013",))).alias("x")).select("x.*")
+
+
+def report_statements(spark: SparkSession, path: str) -> DataFrame:
+    """The same with corp_code, bsns_year and reprt_code of the request, from landed folders."""
+    return _keyed(spark, path, STATEMENT_ROWS, ("013",))
+
+
+def largest_shareholders(spark: SparkSession, path: str) -> DataFrame:
+    """Raw rows of companies' largest shareholders. Answers with any other status hold nothing."""
+    return _keyed(spark, path, SHAREHOLDER_ROWS, None)
+
+
+def other_investments(spark: SparkSession, path: str) -> DataFrame:
+    """Raw rows of companies' stakes in others."""
+    return _keyed(spark, path, INVESTMENT_ROWS, None)
+
+
+def share_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Raw rows of companies' numbers of shares."""
+    return _keyed(spark, path, SHARES, None)
+
+
+def company_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Profiles, one a company: corp_code, corp_name, stock_code, induty_code. Answers with a bad status are left out."""
+    raw = spark.read.schema(f"status string, {PROFILE}").option("multiLine", True).json(path)
+    return raw.filter("status = '000'").drop("status").dropDuplicates(["corp_code"])
+
+
+def sector_names(spark: SparkSession, path: str) -> DataFrame:
+    """code, name of an industry classification in CSV (code,name)."""
+    rows = spark.read.schema("code string, name string").csv(path).select(F.trim("code").alias("code"), F.trim("name").alias("name"))
+    return rows.filter("code <> '' and code <> 'code'").dropDuplicates(["code"])
+
+
+def alias_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """group (customers, segments, owners, external_companies), target (a code or a canonical name) and variants of a seed file."""
+    entry = "array<struct<corp: string, canonical: string, variants: array<string>>>"
+    groups = ("customers", "segments", "owners", "external_companies")
+    raw = spark.read.schema(", ".join(f"{g} {entry}" for g in groups)).option("multiLine", True).json(path)
+    parts = F.array(*(F.struct(F.lit(g).alias("group"), F.col(g).alias("entries")) for g in groups))
+    rows = raw.select(F.explode(parts).alias("p")).select("p.group", F.explode("p.entries").alias("e"))
+    return rows.select("group", F.coalesce("e.corp", "e.canonical").alias("target"), "e.variants")
 
 
 def universe(spark: SparkSession, path: str) -> DataFrame:
@@ -60,36 +132,48 @@ def universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def filing_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, html: the business section of the main report in each zipped filing.
+    """path, html, problem: the business section of the main report in each zipped filing, or why there is none.
 
     The main report is the first XML whose first 4 KiB name the annual report's code and title, else the largest; the
     section is the first whose title's note has the form D-...-2-0-0, else the last with the section's name and numeral.
+    Markup that is not well-formed is read by `loose_sections`.
     """
 
-    def section(content: bytes) -> str | None:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            found = [(n, z.read(n)) for n in z.namelist() if n.lower().endswith(".xml")]
+    def section(content: bytes) -> tuple[str | None, str | None]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                found = [(n, z.read(n)) for n in z.namelist() if n.lower().endswith(".xml")]
+        except zipfile.BadZipFile:
+            return None, "no zip archive"
         if not found:
-            return None
+            return None, "no XML in the archive"
         main = next((x for _, x in found if b'ACODE="11011"' in x[:4096] and "사업보고서".encode() in x[:4096]), max((x for _, x in found), key=len))
         try:
-            root = ET.fromstring(main)
+            parts = []
+            for part in ET.fromstring(main).iter("SECTION-1"):
+                title = part.find("TITLE")
+                words = "".join(title.itertext()) if title is not None else ""
+                parts.append((words, (title.get("AASSOCNOTE") or "") if title is not None else "", ET.tostring(part, encoding="unicode")))
         except ET.ParseError:
-            return None
-        named, noted = None, None
-        for part in root.iter("SECTION-1"):
-            title = part.find("TITLE")
-            words = "".join(title.itertext()) if title is not None else ""
-            note = (title.get("AASSOCNOTE") or "") if title is not None else ""
-            if noted is None and note.startswith("D-") and note.endswith("-2-0-0"):
-                noted = part
-            if "사업의 내용" in words and ("II" in words or "Ⅱ" in words):
-                named = part
-        chosen = noted if noted is not None else named
-        return None if chosen is None else f"<html><body>{ET.tostring(chosen, encoding='unicode')}</body></html>"
+            parts = loose_sections(main.decode("utf-8", "replace"))
+        noted = next((body for _, note, body in parts if note.startswith("D-") and note.endswith("-2-0-0")), None)
+        named = [body for words, _, body in parts if "사업의 내용" in words and ("II" in words or "Ⅱ" in words)]
+        chosen = noted if noted is not None else named[-1] if named else None
+        return (None, "no business section") if chosen is None else (f"<html><body>{chosen}</body></html>", None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([section(c) for c in batch.column(1).to_pylist()], pa.string())], ["path", "html"])
+            out = [section(c) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in zip(*out, strict=True))] if out else [pa.array([], pa.string())] * 3, ["path", "html", "problem"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, html string, problem string")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, html string")
+def loose_sections(markup: str) -> list[tuple[str, str, str]]:
+    """(title's words, title's note, markup) of each SECTION-1 in markup that need not be well-formed: a section ends where the next begins."""
+    out = []
+    for body in re.findall(r"<SECTION-1\b.*?(?=<SECTION-1\b|</SECTION-1\s*>|\Z)", markup, re.DOTALL):
+        title = re.search(r"<TITLE\b([^>]*)>(.*?)</TITLE\s*>", body, re.DOTALL)
+        note = re.search(r'AASSOCNOTE\s*=\s*"([^"]*)"', title[1]) if title else None
+        out.append((re.sub(r"<[^>]*>", "", title[2]) if title else "", note[1] if note else "", body))
+    return out

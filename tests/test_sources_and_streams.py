@@ -72,3 +72,39 @@ def test_export(spark, tmp_path):
     sinks.export_graph(nodes, edges, facts, str(tmp_path / "g"))
     assert spark.read.json(str(tmp_path / "g/edges")).filter("predicate = 'REPORTS'").first()["object_id"] == "metric:revenue"
     assert spark.read.json(str(tmp_path / "g/nodes")).count() == 2
+
+
+def test_bad_answers(spark, tmp_path):
+    (tmp_path / "s1.json").write_text(json.dumps({"status": "013", "message": "none"}))
+    assert landing.statements(spark, str(tmp_path / "s1.json")).collect() == []
+    (tmp_path / "s2.json").write_text(json.dumps({"status": "020", "message": "limit"}))
+    with pytest.raises(Exception, match="status 020"):
+        landing.statements(spark, str(tmp_path / "s2.json")).collect()
+    for i, total in ((1, 3), (3, 3)):
+        (tmp_path / "list").mkdir(exist_ok=True)
+        (tmp_path / "list" / f"{i}.json").write_text(json.dumps({"status": "000", "page_no": i, "total_page": total, "list": []}))
+    assert [r["page_no"] for r in landing.missing_pages(spark, str(tmp_path / "list")).collect()] == [2]
+
+
+def test_bad_filings(spark, tmp_path):
+    broken = '<DOC ACODE="11011">사업보고서<SECTION-1><TITLE>Ⅰ. 개요</TITLE></SECTION-1><SECTION-1><TITLE AASSOCNOTE="D-0-2-0-0">Ⅱ. 사업의 내용</TITLE><P>본문 & 끝<BR></SECTION-1></DOC>'
+    for name, text in (("a", broken), ("b", "<DOC/>")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("m.xml", text)
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("m.txt", "x")
+    (tmp_path / "d.zip").write_bytes(b"no zip")
+    got = {r["path"][-5]: (r["html"], r["problem"]) for r in landing.filing_documents(spark, f"{tmp_path}/*.zip").collect()}
+    assert "본문 & 끝" in got["a"][0] and got["a"][1] is None
+    assert {k: v[1] for k, v in got.items() if k != "a"} == {"b": "no business section", "c": "no XML in the archive", "d": "no zip archive"}
+
+
+def test_seeds_and_names(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"customers": [{"corp": "00000001", "variants": ["A", "B"]}], "owners": [{"canonical": "Kim", "variants": ["K"]}]}))
+    assert {(r["group"], r["target"], tuple(r["variants"])) for r in landing.alias_seeds(spark, str(tmp_path / "a.json")).collect()} == {("customers", "00000001", ("A", "B")), ("owners", "Kim", ("K",))}
+    (tmp_path / "k.csv").write_text("code,name\n264,통신장비\n 26 ,전자\n")
+    assert {tuple(r) for r in landing.sector_names(spark, str(tmp_path / "k.csv")).collect()} == {("264", "통신장비"), ("26", "전자")}
+    (tmp_path / "p.json").write_text(json.dumps({"status": "000", "corp_code": "00000001", "corp_name": "a", "stock_code": "", "induty_code": "264"}))
+    assert landing.company_profiles(spark, str(tmp_path / "p.json")).first()["induty_code"] == "264"
+    master = spark.createDataFrame([("1",), ("2",)], "corp_code string")
+    assert sinks.sync_master(master, str(tmp_path / "master")) == 2
