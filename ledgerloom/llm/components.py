@@ -25,15 +25,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component. edges: columns u and v, of any ordered type, in any direction."""
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") > F.col("v")).distinct()
-    seen = None
+    before = None
     while True:
         with scope(edges.sparkSession) as keep:
-            after = keep(materialize(_star(materialize(_star(edges, large=True), "large"), large=False), "small"))
-        if seen is not None:
-            remove(edges.sparkSession, edges._scratch_path)
-        edges = after
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen:
+            edges = keep(materialize(_star(materialize(_star(edges, large=True), "large"), large=False), "small"))
+        if before is not None:
+            remove(edges.sparkSession, before._scratch_path)
+        before = edges
+        # Done once all is stars: no node leads to two others, and none that leads to another is led to.
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leads")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leads")))).alias("e")).select("e.*")
+        open_nodes = ends.groupBy("node").agg(F.sum("leads").alias("leads"), F.count("*").alias("n")).filter("leads > 1 or (leads = 1 and n > 1)")
+        if open_nodes.isEmpty():
             labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
             return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
-        seen = state

@@ -267,7 +267,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             pairs = materialize(pairs.distinct(), "pairs")
             both = pairs
             for x, other in ("uv", "vu"):  # a leader stands in very many pairs
-                often = materialize(pairs.groupBy(x).agg(F.count("*").alias("c")).filter("c > 1"), "often")
+                often = pairs.groupBy(x).agg(F.count("*").alias("c"))
                 both = salted_join(both, held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), [x], [other], counts=often)
             return materialize(both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(weights, width, threshold), f"u {NODE}, v {NODE}"), "links")
 

@@ -71,7 +71,10 @@ def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: list[st
     fewer than HOT_KEYS such keys whatever the table, so they may be broadcast, and fewer than 2 * HOT_KEYS rows are added to unique keys.
     """
     counts = keys if counts is None else counts
-    share = max(1, (counts.agg(F.sum("c")).first()[0] or 0) // HOT_KEYS)
+    total, most = counts.agg(F.sum("c"), F.max("c")).first()
+    share = max(1, (total or 0) // HOT_KEYS)
+    if (most or 0) <= share:
+        return rows.join(keys.drop("c").hint("merge"), on, how)
     salts = F.least(F.lit(SALTS), F.ceil(F.col("c") / share)).cast("long")
     hot = F.broadcast(counts.filter(F.col("c") > share).select(*on, salts.alias("salts")))
     salts = F.coalesce("salts", F.lit(1).cast("long"))
