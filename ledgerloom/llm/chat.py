@@ -45,7 +45,10 @@ def maximal(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def _turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    return conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).filter("conv is not null")
+    return conversations.select(
+        F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"),
+        F.col(text_col).cast("string").alias("text")
+    ).filter("conv is not null")
 
 
 def _kept(prefixes: DataFrame) -> DataFrame:

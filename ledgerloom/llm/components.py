@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
             remove(edges.sparkSession, before._scratch_path)
         before = edges
         # Done once all is stars: no node leads to two others, and none that leads to another is led to.
-        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leads")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leads")))).alias("e")).select("e.*")
+        ends = edges.select(
+            F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leads")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leads")))).alias("e")
+        ).select("e.*")
         open_nodes = ends.groupBy("node").agg(F.sum("leads").alias("leads"), F.count("*").alias("n")).filter("leads > 1 or (leads = 1 and n > 1)")
         if open_nodes.isEmpty():
             labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -161,14 +161,23 @@ def _parts(rows: DataFrame, scanners: Iterator) -> DataFrame:
                         hi.append([b for _, b in ranges])
                         names.append(sorted(owners))
                 at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["doc", "key", "lo", "hi", "items"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())),
+                        pa.array(names, pa.list_(pa.string()))
+                    ],
+                    ["doc", "key", "lo", "hi", "items"]
+                )
 
         part = materialize(rows.select("doc", "key", "text").mapInArrow(partly, "doc long, key long, lo array<long>, hi array<long>, items array<string>"), "hits")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    span: int = SPAN, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """docs, all columns and rows as they are, without the documents that hold a window. A single block takes no shuffle."""
     blocks, scanners = _blocks(benchmark, item_col, item_text_col, span, block_chars)
     longest = max(map(len, docs.columns))
@@ -188,7 +197,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return docs.withColumn(mark, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(judge, docs.schema)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, block_chars: int = BLOCK_CHARS, with_spans: bool = False) -> DataFrame:
+def scan(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    span: int = SPAN, block_chars: int = BLOCK_CHARS, with_spans: bool = False
+) -> DataFrame:
     """doc_id, n_words, n_hit (words inside a hit), n_items, items_sha256, contaminated and, if asked for, spans (bytes of the original)."""
     blocks, scanners = _blocks(benchmark, item_col, item_text_col, span, block_chars)
     rows = repeats.keyed(docs, id_col, text_col)
@@ -206,12 +218,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         return rows.select("id", "text").mapInArrow(whole, schema)
 
     # Equal rows have equal hits; one of them is kept for each block.
-    per_key = _parts(rows, scanners).distinct().groupBy("doc", "key").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"), F.flatten(F.collect_list("items")).alias("items"))
+    per_key = _parts(rows, scanners).distinct().groupBy("doc", "key").agg(
+        F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"), F.flatten(F.collect_list("items")).alias("items")
+    )
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):
             texts = bytescan.column(batch, "text")
-            found = [(len(normalised(t)), list(zip(a or (), b or (), strict=True)), set(c or ())) for t, a, b, c in zip(texts, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            found = [
+                (
+                    len(normalised(t)), list(zip(a or (), b or (), strict=True)), set(c or ())
+                ) for t, a, b, c in zip(texts, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+            ]
             yield _batch(batch.column(0), found, [_original(t, r) if r else [] for t, (_, r, _) in zip(texts, found, strict=True)] if with_spans else None)
 
     return rows.join(per_key.hint("merge"), ["doc", "key"], "left").select("id", "text", "lo", "hi", "items").mapInArrow(united, schema)

@@ -174,13 +174,19 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed
     members = F.coalesce(F.col(source_col).cast("array<string>"), none) if listed else F.array(F.col(source_col).cast("string"))
     pattern = F.array_sort(F.array_distinct(F.when(F.size(members) > 0, members).otherwise(none)))
     text = F.col(text_col).cast("string")
-    return docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), pattern.alias("pattern"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("u"))
+    return docs.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), pattern.alias("pattern"), word_count(text).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("u")
+    )
 
 
 def _numbered(sources: DataFrame) -> DataFrame:
     """Adds rank, from 0, in code-point order with null last. Only one row a partition is summed up in one place."""
     parted = sources.repartitionByRange(F.col("named").asc_nulls_last()).sortWithinPartitions(F.col("named").asc_nulls_last())
-    parted = materialize(parted.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "numbered")
+    parted = materialize(
+        parted.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)),
+        "numbered"
+    )
     counts = parted.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return parted.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
@@ -249,7 +255,9 @@ def _decided(rows: DataFrame, weights: tuple, max_repeats: int):
     entries = entries.withColumn("start", F.col("before") + F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n"))
     # The last entry of which at least half a row fits, and how many of its rows are taken.
     fit = F.floor((F.col("rest") - F.col("start")) / F.col("size") + 0.5)
-    last = entries.withColumn("fit", F.least("n", fit).cast("long")).filter("fit >= 1").groupBy("pattern").agg(F.max_by(F.struct("u", "doc_id", "size", "n", "fit"), F.struct("u", "doc_id", "size")).alias("last"))
+    last = entries.withColumn("fit", F.least("n", fit).cast("long")).filter("fit >= 1").groupBy("pattern").agg(
+        F.max_by(F.struct("u", "doc_id", "size", "n", "fit"), F.struct("u", "doc_id", "size")).alias("last")
+    )
     plan = materialize(plan.drop("rest").join(small(cut.select("pattern", "cut_bin")), "pattern", "left").join(small(last), "pattern", "left"), "plan")
 
     def attach(table: DataFrame) -> DataFrame:
@@ -264,7 +272,9 @@ def _decided(rows: DataFrame, weights: tuple, max_repeats: int):
             counts = equal.groupBy("pattern", "part", "fit").agg(F.count("*").alias("n"))
             counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("pattern").orderBy("part")) - F.col("n")).filter("before < fit and before + n >= fit")
             at = F.row_number().over(Window.partitionBy("pattern", "part").orderBy("number"))
-            upto = equal.join(small(counts.select("pattern", "part", "before")), ["pattern", "part"]).withColumn("at", at + F.col("before")).filter("at = fit").select("pattern", F.col("number").alias("upto"))
+            upto = equal.join(
+                small(counts.select("pattern", "part", "before")), ["pattern", "part"]
+            ).withColumn("at", at + F.col("before")).filter("at = fit").select("pattern", F.col("number").alias("upto"))
             table = table.join(small(materialize(upto, "upto")), "pattern", "left")
             fits = F.coalesce(F.col("number") <= F.col("upto"), F.lit(True))
         marked = table.join(small(plan), "pattern").withColumn("bin", bin_of)
@@ -276,14 +286,20 @@ def _decided(rows: DataFrame, weights: tuple, max_repeats: int):
     return attach
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS,
+    max_repeats: int = MAX_REPEATS, seed: int = SEED
+) -> DataFrame:
     """doc_id, size, source_size and target (of its first source), taken (words, repeats counted). source_col: a string, or an array of strings."""
     rows = materialize(_prepared(docs, id_col, text_col, source_col, seed).drop("row"), "sized")
     out = _decided(rows, weights, max_repeats)(rows)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def apply(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS,
+    max_repeats: int = MAX_REPEATS, seed: int = SEED
+) -> DataFrame:
     """The mixture: docs' columns, each row as often as it is taken."""
     prepared = _prepared(docs, id_col, text_col, source_col, seed)
     attach = _decided(materialize(prepared.drop("row"), "sized"), weights, max_repeats)

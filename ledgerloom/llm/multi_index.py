@@ -188,7 +188,10 @@ def packed(held: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     return first, parts
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, fit_rows: int = FIT_ROWS) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, centroids: int = CENTROIDS,
+    share: float = SHARE, least: int = LEAST, fit_rows: int = FIT_ROWS
+) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest, by inner product, ties to the smaller id."""
     rows = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col)
@@ -240,8 +243,13 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     visits = materialize(numbered.mapInArrow(visit, "asked long, id long, x array<double>, visits array<struct<block: long, cells: array<int>>>"), "visits")
     of_cell = lambda numbers: F.get(F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>"), F.col("cell").cast("int")).cast("long")
     in_part = F.pmod(F.xxhash64(F.lit(3), "id"), of_cell(parts))
-    vectors = indexed.select((of_cell(first_block) + in_part).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1)).cast("array<long>")).alias("stream"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("asked"), "id", "x", F.array(F.col("cell").cast("int")).alias("cells"))
-    asking = visits.select(F.pmod(F.xxhash64("asked"), F.lit(streams)).alias("stream"), F.lit(1).cast("long").alias("kind"), "asked", "id", "x", F.inline("visits")).select("block", "stream", "kind", "asked", "id", "x", "cells")
+    vectors = indexed.select(
+        (of_cell(first_block) + in_part).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(streams - 1)).cast("array<long>")).alias("stream"),
+        F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("asked"), "id", "x", F.array(F.col("cell").cast("int")).alias("cells")
+    )
+    asking = visits.select(
+        F.pmod(F.xxhash64("asked"), F.lit(streams)).alias("stream"), F.lit(1).cast("long").alias("kind"), "asked", "id", "x", F.inline("visits")
+    ).select("block", "stream", "kind", "asked", "id", "x", "cells")
     # A stream's blocks are dealt to groups, each worked through by one task, which keeps the nearest so far of the stream's queries.
     blocks = int((first_block + parts).max())
     groups = max(min(blocks, 16), blocks // 16)

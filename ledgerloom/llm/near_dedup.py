@@ -233,7 +233,10 @@ def _prefixes(weights: np.ndarray, df: np.ndarray, width: int, threshold: float)
                 rest = np.repeat(total + before[begin], sizes) - before[:-1]
                 at = np.flatnonzero((rest >= threshold * total[owner] * (1 - SLACK)) & (df[counter] > 1))
                 of = pa.array(owner[at] + low)
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[at].view(np.int64)), batch.column("node").take(of), batch.column("label").take(of), pa.array(total[owner[at]]), pa.array(rest[at])], ["shingle", "node", "label", "total", "rest"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingle[at].view(np.int64)), batch.column("node").take(of), batch.column("label").take(of), pa.array(total[owner[at]]), pa.array(rest[at])],
+                    ["shingle", "node", "label", "total", "rest"]
+                )
 
     return prefixes
 
@@ -244,7 +247,10 @@ NODE = "struct<doc: long, h: long>"
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     """One row a document: id, h (its text's hash), label (the (doc, h) of the text that names its class)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(9), text).alias("h2"), text.alias("text"))
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NO_ID)).alias("doc"), F.xxhash64(text).alias("h"),
+        F.xxhash64(F.lit(9), text).alias("h2"), text.alias("text")
+    )
     with scope(docs.sparkSession) as keep:
         weights = weight_table(rows, width)
         signed = keep(materialize(rows.mapInArrow(_sign(weights, width), "doc long, h long, h2 long, bands array<long>"), "signed"))
@@ -273,7 +279,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
         few = members.filter(F.col("size") <= small).select("band", "node")
         pairs = few.select("band", F.col("node").alias("u")).join(few.select("band", F.col("node").alias("v")), "band").filter(F.col("u") < F.col("v")).select("u", "v")
-        many = materialize(members.filter(F.col("size") > small).select("band", "node", F.struct("shared", (-F.col("node.doc")).alias("d"), (-F.col("node.h")).alias("h")).alias("rank")), "many")
+        many = materialize(
+            members.filter(F.col("size") > small).select("band", "node", F.struct("shared", (-F.col("node.doc")).alias("d"), (-F.col("node.h")).alias("h")).alias("rank")),
+            "many"
+        )
         lead = materialize(many.groupBy("band").agg(F.max_by("node", "rank").alias("v")), "lead")
         star = salted_join(many, lead, ["band"], ["node"], counts=of_band).filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
         links = verified(pairs.unionByName(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
@@ -285,7 +294,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         open_nodes = materialize(salted_join(named, open_bands, ["band"], ["node"], "left_semi").select("node", "label").distinct(), "open")
         if not open_nodes.isEmpty():
             open_texts = materialize(held.join(open_nodes.hint("merge"), "node").select("node", "label", "text"), "open_texts")
-            prefixes = open_texts.mapInArrow(_prefixes(weights, frequencies(open_texts, width), width, threshold), f"shingle long, node {NODE}, label {NODE}, total double, rest double")
+            prefixes = open_texts.mapInArrow(
+                _prefixes(weights, frequencies(open_texts, width), width, threshold),
+                f"shingle long, node {NODE}, label {NODE}, total double, rest double"
+            )
             prefixes = materialize(prefixes, "prefixes")
             a, b = (prefixes.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "total", "rest"))) for x in "ab")
             reaches = F.least("rest_a", "rest_b") * (1 + threshold) >= (F.col("total_a") + F.col("total_b")) * (threshold * (1 - SLACK))
@@ -321,7 +333,9 @@ def _id(column: str) -> F.Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), kept (it names its class)."""
     found = classes(docs, id_col, text_col, threshold)
-    return found.select(_id("doc").alias("doc_id"), F.col("label.doc").alias("c"), (F.struct("doc", "h") == F.col("label")).alias("kept")).select("doc_id", _id("c").alias("class_id"), "kept")
+    return found.select(
+        _id("doc").alias("doc_id"), F.col("label.doc").alias("c"), (F.struct("doc", "h") == F.col("label")).alias("kept")
+    ).select("doc_id", _id("c").alias("class_id"), "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -285,7 +285,10 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
                     at, before = after, before + len(ids)
                 kinds = (pa.string(), *[pa.int64()] * 6)
                 columns = zip(*out, strict=True) if out else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "doc_id", "offset", "length", "tokens_before", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                    ["shard", "doc_id", "offset", "length", "tokens_before", "n_tokens", "ids_crc32"]
+                )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/shards").select("path", "content")
     return files.mapInArrow(scan, "shard string, doc_id long, offset long, length long, tokens_before long, n_tokens long, ids_crc32 long")
@@ -303,7 +306,10 @@ def shuffled_order(index: DataFrame, seed: int) -> DataFrame:
     return index.orderBy(F.xxhash64(F.lit(seed), "shard", "offset"), "shard", "offset")
 
 
-def encode(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
+    shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """Writes the records (to the shared folder, if none is named) and returns doc_id, start, n_tokens, ids_crc32, shard, offset, length."""
     folder = folder or scratch.new_path(docs.sparkSession, "records")
     index = write(docs, folder, tokenizer_path, id_col, text_col, end_id, shard_bytes)

@@ -53,7 +53,10 @@ def _scanner(span: int, gram: int, by_word: bool) -> Callable:
                     values = np.frombuffer(b"".join(texts[low:high]), np.uint8)
                 owner, start, n, anchor, cover = bytescan.anchor_runs(values, first, count, span, gram)
                 if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, cover, docs[low + owner], keys[low + owner], start - first[owner], n)], ["anchor", "cover", "doc", "key", "pos", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (anchor, cover, docs[low + owner], keys[low + owner], start - first[owner], n)],
+                        ["anchor", "cover", "doc", "key", "pos", "n"]
+                    )
 
     return scan
 

@@ -206,7 +206,9 @@ def _split_regions(span: int, gram: int, step: int):
                 lo, hi = bounds[:-1], bounds[1:]
                 first = (place + lo) // step * step - place  # where the whole piece begins, even if its first windows are another run's
                 salt = np.array([first + place, np.full(len(lo), anchors[i])]).T.astype(np.int64)
-                core = bytescan.slice_hashes(raw, first + step - 1, first + span) ^ bytescan.slice_hashes(salt.ravel(), np.arange(0, 2 * len(lo), 2), np.arange(2, 2 * len(lo) + 2, 2))
+                core = bytescan.slice_hashes(raw, first + step - 1, first + span) ^ bytescan.slice_hashes(
+                    salt.ravel(), np.arange(0, 2 * len(lo), 2), np.arange(2, 2 * len(lo) + 2, 2)
+                )
                 extent = bytescan.mix(((lo - first) * (step + 1) + hi - lo).astype(np.uint64)).view(np.int64)
                 out["core"].append(core)
                 out["content"].append(bytescan.slice_hashes(raw, lo, hi - 1 + span) ^ extent)
@@ -216,7 +218,10 @@ def _split_regions(span: int, gram: int, step: int):
                 out["at"].append(lo + place)
                 out["region"] += [region[x : y - 1 + span] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
             if out["core"]:
-                yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.binary()) if name == "region" else pa.array(np.concatenate(value)) for name, value in out.items()], list(out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out["region"], pa.binary()) if name == "region" else pa.array(np.concatenate(value)) for name, value in out.items()],
+                    list(out)
+                )
 
     return scan
 
@@ -249,7 +254,9 @@ def repeated_windows(regions: DataFrame, span: int, gram: int, bucket_bytes: int
         return found
     names = "core long, content long, c long, anchor long, cover long, shift long, at long, region binary"
     pieces = materialize(hot.mapInArrow(_split_regions(span, gram, steps[0]), names), "pieces")
-    distinct = pieces.groupBy(F.col("core").alias("anchor"), F.col("content").alias("cover")).agg(F.sum("c").alias("c"), F.count("*").alias("rows"), F.any_value(F.struct("at", "region")).alias("own"))
+    distinct = pieces.groupBy(F.col("core").alias("anchor"), F.col("content").alias("cover")).agg(
+        F.sum("c").alias("c"), F.count("*").alias("rows"), F.any_value(F.struct("at", "region")).alias("own")
+    )
     distinct = materialize(distinct.select("anchor", "cover", F.col("c").alias("times"), "rows", "own.*"), "distinct")
     # The last step leaves one content to each core: none is cut again.
     bucketed = _bucketed(distinct, F.length("region") + 1, bucket_bytes, hot_bytes if len(steps) > 1 else float("inf"))

@@ -42,7 +42,14 @@ def _window_hashes(span: int):
                 for i in range(low, high):
                     for run in runs[i]:
                         at = np.arange(run["pos"], run["pos"] + run["n"]) + words.first[i - low]
-                        for values, x in zip(out, (np.full(len(at), run["anchor"]), rolling.of(at, at + span).view(np.int64), np.full(len(at), run["cover"]), np.full(len(at), docs[i]), np.arange(run["n"])), strict=True):
+                        for values, x in zip(
+                            out,
+                            (
+                                np.full(len(at), run["anchor"]), rolling.of(at, at + span).view(np.int64), np.full(len(at), run["cover"]),
+                                np.full(len(at), docs[i]), np.arange(run["n"])
+                            ),
+                            strict=True
+                        ):
                             values.append(x)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["anchor", "window", "cover", "doc", "shift"])

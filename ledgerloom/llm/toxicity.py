@@ -150,7 +150,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):
             value = model.score(bytescan.column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(value), pa.array((value >= threshold).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"]
+            )
 
     return rows.mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
 

@@ -83,7 +83,9 @@ def train(table: DataFrame, url_col: str = "url", label_col: str = "blocked") ->
     one = rows.agg(F.sort_array(F.collect_list(F.struct("host", "path", "y", "at"))).alias("rows"))
     # For each place, the examples that hold it (with repeats), so that a step is two passes over short arrays.
     numbered = one.select(F.posexplode("rows").alias("example", "row")).select("example", F.explode("row.at").alias("place"))
-    by_place = numbered.groupBy("place").agg(F.sort_array(F.collect_list("example")).alias("examples")).agg(F.map_from_entries(F.collect_list(F.struct("place", "examples"))).alias("held"))
+    by_place = numbered.groupBy("place").agg(F.sort_array(F.collect_list("example")).alias("examples")).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "examples"))).alias("held")
+    )
     empty = F.array().cast("array<int>")
     holders = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at(F.col("held"), i), empty))
     both = one.join(by_place.select(holders.alias("holders")), F.lit(True))  # one row each

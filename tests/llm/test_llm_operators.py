@@ -28,7 +28,10 @@ def fixture():
     passage = words(rng, 70)
     docs += [(100 + i, f"{words(rng, 20)}\n{passage}\t{words(rng, 10)}") for i in range(12)]
     docs += [(200 + i, docs[20 + i][1]) for i in range(6)]
-    docs += [(300, None), (301, ""), (302, " \n\t "), (303, "\u3000한 국 어 日本"), (304, words(rng, 30_000)), (None, passage), (None, None), (5, docs[5][1]), (5, docs[6][1]), (305, "a" * 5000), (306, passage * 3), (307, "<|endoftext|> x")]
+    docs += [
+        (300, None), (301, ""), (302, " \n\t "), (303, "\u3000한 국 어 日本"), (304, words(rng, 30_000)), (None, passage), (None, None), (5, docs[5][1]),
+        (5, docs[6][1]), (305, "a" * 5000), (306, passage * 3), (307, "<|endoftext|> x")
+    ]
     return docs
 
 
@@ -116,7 +119,10 @@ def test_records(docs, empty, tmp_path):
 def test_pieces_are_the_tokenizers():
     t = records.PieceTokenizer(queries.tokenizer_path())
     rng = random.Random(3)
-    texts = ["", " ", "a  b", "don't 've", "日本 語 の\u3000テ é à", "x\u00a0y \u2028 z", *("".join(rng.choice(list(" \n\t\u00a0\u3000ab1'é語<|.")) for _ in range(rng.randint(0, 60))) for _ in range(400))]
+    texts = [
+        "", " ", "a  b", "don't 've", "日本 語 の\u3000テ é à", "x\u00a0y \u2028 z",
+        *("".join(rng.choice(list(" \n\t\u00a0\u3000ab1'é語<|.")) for _ in range(rng.randint(0, 60))) for _ in range(400))
+    ]
     for _ in range(2):  # the second time from the cache
         assert [list(x) for x in t.encode([x.encode() for x in texts])] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
@@ -415,7 +421,11 @@ def test_mixing_of_many_and_of_overlapping_sources(spark, monkeypatch, small):
 
 
 def test_chat(spark):
-    made = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (4, 0, "user", None), (5, 0, "user", ""), (6, 0, None, "hi"), (7, 0, "user", "hi"), (7, 1, "assistant", "yo"), (7, 2, "user", "more"), (8, None, "user", "x"), (8, None, "user", "x"), (None, 0, "user", "lost")]
+    made = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", "more"),
+        (3, 0, "user", "hi"), (4, 0, "user", None), (5, 0, "user", ""), (6, 0, None, "hi"), (7, 0, "user", "hi"), (7, 1, "assistant", "yo"),
+        (7, 2, "user", "more"), (8, None, "user", "x"), (8, None, "user", "x"), (None, 0, "user", "lost")
+    ]
     table = spark.createDataFrame([(*m, "z") for m in made], "conv_id long, turn long, role string, text string, at string")
     got = {r["conv_id"]: r for r in chat.format_maximal(table).collect()}
     assert set(got) == {2, 4, 5, 6, 8} and got[2]["n_turns"] == 3 and got[8]["n_turns"] == 2
@@ -429,7 +439,11 @@ def test_chat(spark):
 def test_url_filter(spark):
     weights = url_filter.train(url_filter.labelled(spark))
     assert np.allclose(weights, url_filter.plain_weights())
-    urls = ["https://A.Example.com/en/x", "http://www.example.com/en/", "https://x.net/fr/1", "https://notexample.com/en/", "http://spam-farm.example.org/en/9", "http://blog.thero.example.org/en/9?x=1", "https://x.net?q#f", "plain", None, "", "http://É.NET/es/", "x://com/"]
+    urls = [
+        "https://A.Example.com/en/x", "http://www.example.com/en/", "https://x.net/fr/1", "https://notexample.com/en/",
+        "http://spam-farm.example.org/en/9", "http://blog.thero.example.org/en/9?x=1", "https://x.net?q#f", "plain", None, "", "http://É.NET/es/",
+        "x://com/"
+    ]
     table = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r["page_id"]: r for r in url_filter.judge(table, weights).collect()}
     assert [got[i]["rule"] for i in range(4)] == ["example.com/en/", "www.example.com/en/", "net/fr/", "com/"]
