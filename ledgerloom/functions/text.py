@@ -51,7 +51,9 @@ def _pieces(markup: Column) -> Column:
 
 def _table(markup: Column) -> Column:
     """A line for each row with any text: its cells, each stripped of white space around tags, with tabs between them."""
-    cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|$)"), 1), lambda c: F.array_join(_pieces(c), ""))
+    cells = lambda row: F.transform(F.regexp_extract_all(
+        row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|$)"), 1
+    ), lambda c: F.array_join(_pieces(c), ""))
     rows = F.transform(F.regexp_extract_all(markup, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|$)"), 1), cells)
     lines = F.transform(F.filter(rows, lambda r: F.exists(r, lambda c: c != "")), lambda r: F.array_join(r, "\t"))
     return stripped(F.array_join(lines, "\n"))

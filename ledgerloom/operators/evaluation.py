@@ -10,7 +10,10 @@ def match_quality(truth: DataFrame, found: DataFrame, key: str, share: str) -> D
     t = truth.select(F.lower(key).alias("k"), F.col(share).alias("t"))
     f = found.select(F.lower(key).alias("k"), F.col(share).alias("f"))
     both = t.withColumn("in_t", F.lit(1)).join(f.withColumn("in_f", F.lit(1)), "k", "full_outer")
-    counts = both.agg(F.count(F.expr("CASE WHEN in_t = 1 AND in_f = 1 THEN 1 END")).alias("matched"), F.count("in_t").alias("truth_n"), F.count("in_f").alias("found_n"), F.round(F.avg(F.abs(F.col("t") - F.col("f"))), 6).alias("share_mae"))
+    counts = both.agg(
+        F.count(F.expr("CASE WHEN in_t = 1 AND in_f = 1 THEN 1 END")).alias("matched"), F.count("in_t").alias("truth_n"),
+        F.count("in_f").alias("found_n"), F.round(F.avg(F.abs(F.col("t") - F.col("f"))), 6).alias("share_mae")
+    )
     div = lambda n: F.round(F.try_divide(F.col("matched").cast("double"), F.col(n).cast("double")), 6)
     return counts.withColumns({"recall": div("truth_n"), "precision": div("found_n")})
 

@@ -55,7 +55,10 @@ def screen(nodes: DataFrame, edges: DataFrame, facts: DataFrame, aliases: DataFr
 
 def stakes(edges: DataFrame) -> DataFrame:
     owns = edges.filter("predicate = 'OWNS_STAKE_IN'")
-    return owns.select(F.col("subject_id").alias("holder_id"), F.col("object_id").alias("company_id"), F.coalesce("period", F.lit("")).alias("period"), F.col("qualifier.stake_pct").alias("stake_pct"), F.coalesce("qualifier.is_largest", F.lit(False)).alias("is_largest"))
+    return owns.select(
+        F.col("subject_id").alias("holder_id"), F.col("object_id").alias("company_id"), F.coalesce("period", F.lit("")).alias("period"),
+        F.col("qualifier.stake_pct").alias("stake_pct"), F.coalesce("qualifier.is_largest", F.lit(False)).alias("is_largest")
+    )
 
 
 def largest_shareholders(edges: DataFrame) -> DataFrame:

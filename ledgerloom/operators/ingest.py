@@ -34,7 +34,10 @@ METRIC_BY_NAME = {
     "재무활동현금흐름": "cf_financing", "재무활동으로인한현금흐름": "cf_financing",
 }
 # The same table keyed by statement, as a row names its statement and asks for the metrics allowed there.
-STATEMENTS = {"BS": ("assets", "liabilities", "equity", "shares_outstanding"), "IS": ("revenue", "operating_income", "net_income", "eps"), "CIS": ("revenue", "operating_income", "net_income", "eps"), "CF": ("cf_operating", "cf_investing", "cf_financing")}
+STATEMENTS = {
+    "BS": ("assets", "liabilities", "equity", "shares_outstanding"), "IS": ("revenue", "operating_income", "net_income", "eps"),
+    "CIS": ("revenue", "operating_income", "net_income", "eps"), "CF": ("cf_operating", "cf_investing", "cf_financing")
+}
 
 
 def _looked_up(table: dict[str, str], key: Column) -> Column:
@@ -48,7 +51,10 @@ def metric_of(account_id: Column, account_name: Column, statement: Column) -> Co
     return F.when(F.array_contains(allowed, metric), metric)
 
 
-def unpivot_years(rows: DataFrame, keys: list[str], year: str = "bsns_year", amounts: tuple[str, str, str] = ("current", "previous", "before"), flow: Column | None = None) -> DataFrame:
+def unpivot_years(
+    rows: DataFrame, keys: list[str], year: str = "bsns_year", amounts: tuple[str, str, str] = ("current", "previous", "before"),
+    flow: Column | None = None
+) -> DataFrame:
     """A row each for the year, the year before and the one before that; rows that are no flow give the year alone. Missing amounts go."""
     steps = F.array(*(F.struct(F.lit(i).alias("back"), F.col(c).alias("amount")) for i, c in enumerate(amounts)))
     out = rows.select(*keys, F.col(year).alias("_year"), (flow if flow is not None else F.lit(True)).alias("_flow"), F.explode(steps).alias("s"))
@@ -85,17 +91,26 @@ def holder_edges(rows: DataFrame, company_code: Column, year: Column) -> DataFra
     ).filter(~normalize.is_summary(F.col("name")) & (F.coalesce("name", F.lit("")) != ""))
     kind = normalize.classify_shareholder(F.col("name"), F.col("relate"))
     holder = F.when(kind == "company", ids.external_company_id(F.col("name"))).otherwise(ids.person_id(F.col("name"), F.col("code")))
-    edges = parsed.select("ordinal", holder.alias("subject_id"), ids.company_id(F.col("code")).alias("object_id"), "period", "stake_pct", "shares", F.col("relate").alias("relation"), normalize.is_largest(F.col("relate")).alias("is_largest"))
+    edges = parsed.select(
+        "ordinal", holder.alias("subject_id"), ids.company_id(F.col("code")).alias("object_id"), "period", "stake_pct", "shares",
+        F.col("relate").alias("relation"), normalize.is_largest(F.col("relate")).alias("is_largest")
+    )
     return first_of(edges, ["subject_id", "object_id", "period"], [F.desc_nulls_last("stake_pct"), F.col("ordinal")]).drop("ordinal")
 
 
 def investment_edges(rows: DataFrame, company_code: Column, year: Column, compat: bool = False) -> DataFrame:
     """A company's stakes in others; the last row of a name wins. compat keeps summary rows."""
-    parsed = rows.select("ordinal", company_code.alias("code"), year.alias("period"), F.trim("inv_prm").alias("name"), F.col("invstmnt_purps").alias("purpose"), normalize.parse_percent(F.col("trmend_blce_qota_rt")).alias("stake_pct"), normalize.parse_count(F.col("trmend_blce_qy")).alias("shares"))
+    parsed = rows.select(
+        "ordinal", company_code.alias("code"), year.alias("period"), F.trim("inv_prm").alias("name"), F.col("invstmnt_purps").alias("purpose"),
+        normalize.parse_percent(F.col("trmend_blce_qota_rt")).alias("stake_pct"), normalize.parse_count(F.col("trmend_blce_qy")).alias("shares")
+    )
     parsed = parsed.filter(F.coalesce("name", F.lit("")) != "")
     if not compat:
         parsed = parsed.filter(~normalize.is_summary(F.col("name")))
-    edges = parsed.select("ordinal", ids.company_id(F.col("code")).alias("subject_id"), ids.external_company_id(F.col("name")).alias("object_id"), "period", "stake_pct", "shares", normalize.affiliation(F.col("stake_pct")).alias("affiliation_type"), "purpose")
+    edges = parsed.select(
+        "ordinal", ids.company_id(F.col("code")).alias("subject_id"), ids.external_company_id(F.col("name")).alias("object_id"), "period",
+        "stake_pct", "shares", normalize.affiliation(F.col("stake_pct")).alias("affiliation_type"), "purpose"
+    )
     return first_of(edges, ["subject_id", "object_id", "period"], [F.desc("ordinal")]).drop("ordinal")
 
 
@@ -143,11 +158,16 @@ def common_shares(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def holder_nodes(rows: DataFrame, company_code: Column) -> DataFrame:
     """Nodes (id, kind, label, attrs) of a company's holders; external companies say so. The last row of a name gives the label."""
-    parsed = rows.select("ordinal", company_code.alias("code"), F.trim("nm").alias("name"), "relate").filter(~normalize.is_summary(F.col("name")) & (F.coalesce("name", F.lit("")) != ""))
+    parsed = rows.select("ordinal", company_code.alias("code"), F.trim("nm").alias("name"), "relate").filter(
+        ~normalize.is_summary(F.col("name")) & (F.coalesce("name", F.lit("")) != "")
+    )
     company = normalize.classify_shareholder(F.col("name"), F.col("relate")) == "company"
     node = F.when(company, ids.external_company_id(F.col("name"))).otherwise(ids.person_id(F.col("name"), F.col("code")))
     none = F.lit(None).cast("map<string,string>")
-    found = parsed.select("ordinal", node.alias("id"), F.when(company, "company").otherwise("person").alias("kind"), F.col("name").alias("label"), F.when(company, F.create_map(F.lit("external"), F.lit("true"))).otherwise(none).alias("attrs"))
+    found = parsed.select(
+        "ordinal", node.alias("id"), F.when(company, "company").otherwise("person").alias("kind"), F.col("name").alias("label"),
+        F.when(company, F.create_map(F.lit("external"), F.lit("true"))).otherwise(none).alias("attrs")
+    )
     return first_of(found, ["id"], [F.desc("ordinal")]).drop("ordinal")
 
 
@@ -155,7 +175,10 @@ def investment_nodes(rows: DataFrame, compat: bool = False) -> DataFrame:
     """Nodes of the companies that others hold stakes in; all are external until they are resolved."""
     parsed = rows.select("ordinal", F.trim("inv_prm").alias("name")).filter(F.coalesce("name", F.lit("")) != "")
     parsed = parsed if compat else parsed.filter(~normalize.is_summary(F.col("name")))
-    found = parsed.select("ordinal", ids.external_company_id(F.col("name")).alias("id"), F.lit("company").alias("kind"), F.col("name").alias("label"), F.create_map(F.lit("external"), F.lit("true")).alias("attrs"))
+    found = parsed.select(
+        "ordinal", ids.external_company_id(F.col("name")).alias("id"), F.lit("company").alias("kind"), F.col("name").alias("label"),
+        F.create_map(F.lit("external"), F.lit("true")).alias("attrs")
+    )
     return first_of(found, ["id"], [F.desc("ordinal")]).drop("ordinal")
 
 
@@ -168,17 +191,28 @@ def equity_edges(holders: DataFrame, investments: DataFrame, report_code: str =
     null = lambda kind: F.lit(None).cast(kind)
     of = lambda c: F.concat(F.lit("dart:"), c, F.lit(":"), F.col("period"), F.lit(f":{report_code}"))
     held = holder_edges(holders, code, year).withColumns({"affiliation_type": null("string"), "purpose": null("string"), "source_ref": of(F.substring_index("object_id", ":", -1))})
-    own = investment_edges(investments, code, year, compat).withColumns({"relation": null("string"), "is_largest": null("boolean"), "source_ref": of(F.substring_index("subject_id", ":", -1))})
+    own = investment_edges(investments, code, year, compat).withColumns(
+        {"relation": null("string"), "is_largest": null("boolean"), "source_ref": of(F.substring_index("subject_id", ":", -1))}
+    )
     both = held.unionByName(own)
-    qualifier = F.struct("stake_pct", "shares", F.nullif(F.trim("relation"), F.lit("")).alias("relation"), "is_largest", "affiliation_type", F.nullif(F.trim("purpose"), F.lit("")).alias("purpose"))
-    return both.select("subject_id", F.lit("OWNS_STAKE_IN").alias("predicate"), "object_id", "period", qualifier.alias("qualifier"), F.lit("dart_api").alias("source_type"), "source_ref", F.lit("api").alias("method"), F.lit(1.0).alias("confidence"))
+    qualifier = F.struct(
+        "stake_pct", "shares", F.nullif(F.trim("relation"), F.lit("")).alias("relation"), "is_largest", "affiliation_type",
+        F.nullif(F.trim("purpose"), F.lit("")).alias("purpose")
+    )
+    return both.select(
+        "subject_id", F.lit("OWNS_STAKE_IN").alias("predicate"), "object_id", "period", qualifier.alias("qualifier"),
+        F.lit("dart_api").alias("source_type"), "source_ref", F.lit("api").alias("method"), F.lit(1.0).alias("confidence")
+    )
 
 
 def share_facts(rows: DataFrame) -> DataFrame:
     """Facts of shares outstanding: each report's first row of common stock. rows: ordinal, corp_code, bsns_year, reprt_code, se, istc_totqy."""
     first = common_shares(rows, ["corp_code", "bsns_year", "reprt_code"])
     amount = normalize.parse_amount(F.col("istc_totqy"))
-    found = first.select(ids.company_id(F.col("corp_code")).alias("company_id"), "bsns_year", ids.report_period(F.col("reprt_code")).alias("fiscal_period"), F.lit("CFS").alias("fs_div"), F.lit("shares_outstanding").alias("metric_key"), amount.alias("amount"))
+    found = first.select(
+        ids.company_id(F.col("corp_code")).alias("company_id"), "bsns_year", ids.report_period(F.col("reprt_code")).alias("fiscal_period"),
+        F.lit("CFS").alias("fs_div"), F.lit("shares_outstanding").alias("metric_key"), amount.alias("amount")
+    )
     return found.filter("amount is not null and fiscal_period is not null")
 
 

@@ -38,7 +38,10 @@ def check_integrity(nodes: DataFrame, edges: DataFrame, facts: DataFrame, stock_
     """code, severity, subject, detail of all findings."""
 
     def issues(df: DataFrame, code: str, severity: str, subject: str, *detail: str) -> DataFrame:
-        return df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(subject).alias("subject"), F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in detail)).alias("detail"))
+        return df.select(
+            F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(subject).alias("subject"),
+            F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in detail)).alias("detail")
+        )
 
     return union(
         issues(interim_equals_fy(facts, stock_metrics), "interim_bs_equals_fy", "error", "company_id", "bsns_year", "metric_key", "fiscal_period", "fs_div"),
@@ -78,11 +81,16 @@ def verify_ownership(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = stakes(edges).select(F.explode(F.array(side("company_id", True), side("holder_id", False))).alias("x"), "period", "stake_pct", largest.alias("largest"))
     both = both.select("x.*", F.when(F.col("x.held"), F.col("period")).alias("period"), "stake_pct", "largest")
     per = both.groupBy("id", "held", "period").agg(
-        F.count("*").alias("n"), F.count_if(F.col("stake_pct").isNull()).alias("nulls"), F.count_if("largest").alias("k"), F.sum(F.when(F.col("largest"), F.col("stake_pct").cast("decimal(20,6)"))).alias("total"),
+        F.count("*").alias("n"), F.count_if(F.col("stake_pct").isNull()).alias("nulls"), F.count_if("largest").alias("k"), F.sum(
+            F.when(F.col("largest"), F.col("stake_pct").cast("decimal(20,6)"))
+        ).alias("total"),
     )
     # The latest period with any largest holder decides.
     latest = F.max_by("total", F.when(F.col("held") & (F.col("k") > 0), F.col("period")))
-    seen = per.groupBy("id").agg(F.sum(F.when(F.col("held"), F.col("n"))).alias("n"), F.sum(F.when(F.col("held"), F.col("nulls"))).alias("nulls"), F.coalesce(latest > MAX_STAKES, F.lit(False)).alias("over"), F.lit(True).alias("hit"))
+    seen = per.groupBy("id").agg(
+        F.sum(F.when(F.col("held"), F.col("n"))).alias("n"), F.sum(F.when(F.col("held"), F.col("nulls"))).alias("nulls"),
+        F.coalesce(latest > MAX_STAKES, F.lit(False)).alias("over"), F.lit(True).alias("hit")
+    )
     outside = F.col("id").like("company:ext:%")
     listed = (F.col("kind") == "company") & ~outside & (F.coalesce(F.col("attrs")["dart_code"], F.lit("")) != "")
     kinds = nodes.select("id", listed.alias("listed"), (F.col("kind") == "person").alias("person"), outside.alias("outside"))

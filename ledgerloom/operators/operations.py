@@ -48,7 +48,9 @@ def new_reports(listed: DataFrame, universe: DataFrame, known: DataFrame, prefix
 def lifecycle(existing: DataFrame, listed: DataFrame, registered: DataFrame) -> DataFrame:
     """ticker, change (added, relisted, updated, delisted, unlinked) of stocks against today's listing, in one full join."""
     reg = registered.select("ticker").distinct().withColumn("known", F.lit(True))
-    both = existing.select("ticker", F.lit(True).alias("had"), F.col("delisted_at").isNotNull().alias("gone")).join(listed.select("ticker", "market"), "ticker", "full_outer").join(reg, "ticker", "left")
+    both = existing.select(
+        "ticker", F.lit(True).alias("had"), F.col("delisted_at").isNotNull().alias("gone")
+    ).join(listed.select("ticker", "market"), "ticker", "full_outer").join(reg, "ticker", "left")
     change = (
         F.when(F.col("market").isNull() & ~F.col("gone"), "delisted").when(F.col("market").isNotNull() & F.col("known").isNull(), "unlinked")
         .when(F.col("market").isNotNull() & F.col("had").isNull(), "added").when(F.col("market").isNotNull() & F.col("gone"), "relisted")
@@ -138,7 +140,11 @@ def run_batch(queue: DataFrame, outcomes: DataFrame, now: Column, budget: int, m
 def batch_summary(after: DataFrame, budget: int) -> DataFrame:
     """One row of counters over a queue from run_batch."""
     of = lambda status: F.count_if(F.col("processed") & (F.col("status") == status)).alias(status)
-    counts = after.agg(F.count_if("processed").alias("processed"), of("done"), of("skipped"), of("failed"), F.count_if(F.col("picked") & ~F.col("processed")).alias("rate_limit_hits"), F.count_if(F.col("status") == "pending").alias("pending_remaining"))
+    counts = after.agg(
+        F.count_if("processed").alias("processed"), of("done"), of("skipped"), of("failed"),
+        F.count_if(F.col("picked") & ~F.col("processed")).alias("rate_limit_hits"),
+        F.count_if(F.col("status") == "pending").alias("pending_remaining")
+    )
     return counts.withColumn("budget_remaining", F.lit(budget) - F.col("processed"))
 
 

@@ -12,8 +12,15 @@ from ledgerloom.operators.graph_query import owned_companies
 def graph_export(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """Edges, and facts as REPORTS edges from a company to a metric. qualifier is JSON, without what is null."""
     known = lambda frame, c, kind: F.col(c) if c in frame.columns else F.lit(None).cast(kind)
-    own = edges.select("subject_id", "predicate", "object_id", "period", (F.to_json("qualifier") if "qualifier" in edges.columns else F.lit(None).cast("string")).alias("qualifier"), known(edges, "source_type", "string").alias("source_type"), known(edges, "confidence", "double").alias("confidence"))
-    said = F.struct(F.col("amount").cast("double").alias("amount"), "fs_div", F.col("metric_key").alias("metric"), ids.period_id(F.col("bsns_year"), F.col("fiscal_period")).alias("period_node"))
+    own = edges.select(
+        "subject_id", "predicate", "object_id", "period",
+        (F.to_json("qualifier") if "qualifier" in edges.columns else F.lit(None).cast("string")).alias("qualifier"),
+        known(edges, "source_type", "string").alias("source_type"), known(edges, "confidence", "double").alias("confidence")
+    )
+    said = F.struct(
+        F.col("amount").cast("double").alias("amount"), "fs_div", F.col("metric_key").alias("metric"),
+        ids.period_id(F.col("bsns_year"), F.col("fiscal_period")).alias("period_node")
+    )
     reports = facts.select(
         F.col("company_id").alias("subject_id"), F.lit("REPORTS").alias("predicate"), ids.metric_id(F.col("metric_key")).alias("object_id"), F.concat("bsns_year", "fiscal_period").alias("period"),
         F.to_json(said).alias("qualifier"), known(facts, "source_type", "string").alias("source_type"), known(facts, "confidence", "double").alias("confidence"),
@@ -35,7 +42,9 @@ def backlinks(edges: DataFrame) -> DataFrame:
 
 def person_holdings(edges: DataFrame) -> DataFrame:
     """holder_id, companies (sorted), n."""
-    return owned_companies(edges).groupBy("holder_id").agg(F.array_join(F.array_sort(F.collect_set("company_id")), ",").alias("companies"), F.countDistinct("company_id").alias("n"))
+    return owned_companies(edges).groupBy("holder_id").agg(
+        F.array_join(F.array_sort(F.collect_set("company_id")), ",").alias("companies"), F.countDistinct("company_id").alias("n")
+    )
 
 
 def company_index(nodes: DataFrame, sectors: DataFrame, facts: DataFrame) -> DataFrame:
@@ -53,7 +62,9 @@ def company_card(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues: D
     """
     side = lambda who, segment, holder: F.struct(F.col(who).alias("company_id"), segment.alias("segment"), holder.alias("holder"))
     none = F.lit(None).cast("string")
-    of_edge = F.when(F.col("predicate") == "HAS_SEGMENT", side("subject_id", F.lit(1), none)).when(F.col("predicate") == "OWNS_STAKE_IN", side("object_id", F.lit(0), F.col("subject_id")))
+    of_edge = F.when(F.col("predicate") == "HAS_SEGMENT", side("subject_id", F.lit(1), none)).when(
+        F.col("predicate") == "OWNS_STAKE_IN", side("object_id", F.lit(0), F.col("subject_id"))
+    )
     per_holder = edges.select(of_edge.alias("x")).filter("x is not null").select("x.*").groupBy("company_id", "holder").agg(F.sum("segment").alias("segments"))
     linked = per_holder.groupBy("company_id").agg(F.sum("segments").alias("segments"), F.count("holder").alias("holders"))
     periods = facts.groupBy("company_id", "bsns_year", "fiscal_period").agg(F.lit(1).alias("one")).groupBy("company_id").agg(F.count("*").alias("periods"))
@@ -97,7 +108,10 @@ def financial_tables(facts: DataFrame) -> DataFrame:
     best = first_of(facts, ["company_id", "bsns_year", "fiscal_period", "metric_key"], [F.desc(F.col("fs_div") == "CFS"), F.col("amount")])
     per = best.groupBy("company_id", "bsns_year", "fiscal_period").agg(F.map_from_entries(F.collect_list(F.struct("metric_key", F.col("amount").cast("double")))).alias("m"))
     period = F.struct(ids.period_key(F.col("bsns_year"), F.col("fiscal_period")).alias("key"), F.col("bsns_year").alias("y"), F.col("fiscal_period").alias("fp"), "m")
-    rows = per.groupBy("company_id").agg(F.sort_array(F.collect_list(F.struct(period.key.alias("key"), period.y.alias("y"), period.fp.alias("fp"))), True).alias("order"), F.collect_list(period).alias("all"))
+    rows = per.groupBy("company_id").agg(
+        F.sort_array(F.collect_list(F.struct(period.key.alias("key"), period.y.alias("y"), period.fp.alias("fp"))), True).alias("order"),
+        F.collect_list(period).alias("all")
+    )
     at = lambda o: F.filter("all", lambda p: p["key"] == o["key"])[0]
     rows = rows.select("company_id", F.transform("order", at).alias("p"))
 
@@ -105,7 +119,10 @@ def financial_tables(facts: DataFrame) -> DataFrame:
         return F.exists("p", lambda p: F.coalesce(*(p["m"][k] for k in keys)).isNotNull())
 
     row = lambda label, cell: F.concat(F.lit(f"| {label} | "), F.array_join(F.transform("p", cell), " | "), F.lit(" |"))
-    head = F.concat(F.lit("| 지표 | "), F.array_join(F.transform("p", lambda p: F.concat_ws(" ", p["y"], p["fp"])), " | "), F.lit(" |\n|------|"), F.repeat(F.lit("------|"), F.size("p")))
+    head = F.concat(
+        F.lit("| 지표 | "), F.array_join(F.transform("p", lambda p: F.concat_ws(" ", p["y"], p["fp"])), " | "), F.lit(" |\n|------|"),
+        F.repeat(F.lit("------|"), F.size("p"))
+    )
     amount = lambda key, form: lambda p: F.coalesce(form(p["m"][key]), F.lit("—"))
     eok = lambda v: F.concat(F.format_number(v / 1e8, 0), F.lit("억"))
     unit = lambda sign: lambda v: F.concat(F.format_number(v, 0), F.lit(sign))
@@ -120,8 +137,18 @@ def financial_tables(facts: DataFrame) -> DataFrame:
     cash = table("현금흐름 (단위 억원)", list(CASH_LABELS), *(line(k, v, eok) for k, v in CASH_LABELS.items()))
     eps = table("주당 지표", ["eps"], line("eps", "EPS (원/주)", unit("원")))
     shares = table("발행주식수", ["shares_outstanding"], line("shares_outstanding", "발행주식수", unit("주")))
-    inline = F.array_join(F.flatten(F.transform("p", lambda p: F.filter(F.array(*(F.when(p["m"][k].isNotNull(), F.concat(F.lit(f"{k}_"), p["y"], p["fp"], F.lit(":: "), F.format_string("%.0f", p["m"][k]))) for k in (*KPI_LABELS, *CASH_LABELS, "eps", "shares_outstanding"))), lambda x: x.isNotNull()))), "\n")
-    return rows.select("company_id", F.transform("p", lambda p: F.concat(p["y"], p["fp"])).alias("periods"), F.concat_ws("\n", main, cash, eps, shares, F.nullif(inline, F.lit(""))).alias("tables"))
+    inline = F.array_join(
+        F.flatten(
+            F.transform("p", lambda p: F.filter(F.array(
+                *(F.when(p["m"][k].isNotNull(), F.concat(F.lit(f"{k}_"), p["y"], p["fp"], F.lit(":: "), F.format_string("%.0f", p["m"][k]))) for k in (*KPI_LABELS, *CASH_LABELS, "eps", "shares_outstanding"))
+            ), lambda x: x.isNotNull()))
+        ),
+        "\n"
+    )
+    return rows.select(
+        "company_id", F.transform("p", lambda p: F.concat(p["y"], p["fp"])).alias("periods"),
+        F.concat_ws("\n", main, cash, eps, shares, F.nullif(inline, F.lit(""))).alias("tables")
+    )
 
 
 def latest_links(edges: DataFrame) -> DataFrame:
@@ -138,32 +165,52 @@ def company_notes(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues:
     last = latest_links(edges)
     field = lambda c, kind: (F.col(f"qualifier.{c}") if c in last.schema["qualifier"].dataType.fieldNames() else F.lit(None).cast(kind)).alias(c)
     fields = [field("share_pct", "double"), field("stake_pct", "double"), field("relation", "string"), field("affiliation_type", "string")]
-    ends = F.explode(F.array(F.struct(F.col("subject_id").alias("company_id"), F.col("object_id").alias("other"), F.lit(False).alias("inbound")), F.struct(F.col("object_id").alias("company_id"), F.col("subject_id").alias("other"), F.lit(True).alias("inbound"))))
-    links = last.select("predicate", *fields, ends.alias("x")).select("predicate", "share_pct", "stake_pct", "relation", "affiliation_type", "x.*").filter("not inbound or predicate = 'OWNS_STAKE_IN'")
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("subject_id").alias("company_id"), F.col("object_id").alias("other"), F.lit(False).alias("inbound")),
+            F.struct(F.col("object_id").alias("company_id"), F.col("subject_id").alias("other"), F.lit(True).alias("inbound"))
+        )
+    )
+    links = last.select("predicate", *fields, ends.alias("x")).select(
+        "predicate", "share_pct", "stake_pct", "relation", "affiliation_type", "x.*"
+    ).filter("not inbound or predicate = 'OWNS_STAKE_IN'")
     links = links.join(label, "other", "left")
     link = text.wikilink(F.coalesce("other_label", "other"))
     percent = lambda c: F.coalesce(F.concat(F.lit(" — "), text.general(F.col(c)), F.lit("%")), F.lit(""))
-    said = F.when(F.col("inbound"), F.concat(F.coalesce(F.concat(F.lit(" ("), F.nullif("relation", F.lit("")), F.lit(")")), F.lit("")), percent("stake_pct"))).when(F.col("predicate") == "OWNS_STAKE_IN", F.concat(F.coalesce(F.concat(F.lit(" ["), F.nullif("affiliation_type", F.lit("")), F.lit("]")), F.lit("")), percent("stake_pct"))).when(F.col("predicate").isin("HAS_SEGMENT", "EXPOSED_TO"), percent("share_pct")).otherwise("")
+    said = F.when(F.col("inbound"), F.concat(F.coalesce(F.concat(F.lit(" ("), F.nullif("relation", F.lit("")), F.lit(")")), F.lit("")), percent("stake_pct"))).when(
+        F.col("predicate") == "OWNS_STAKE_IN",
+        F.concat(F.coalesce(F.concat(F.lit(" ["), F.nullif("affiliation_type", F.lit("")), F.lit("]")), F.lit("")), percent("stake_pct"))
+    ).when(F.col("predicate").isin("HAS_SEGMENT", "EXPOSED_TO"), percent("share_pct")).otherwise("")
     links = links.withColumn("line", F.concat(F.lit("- "), link, said))
     lines = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("other", "line")))), lambda x: x["line"])
     of = lambda predicate: (F.col("predicate") == predicate) & ~F.col("inbound")
     gathered = links.groupBy("company_id").agg(
         lines(of("HAS_SEGMENT")).alias("segments"), lines(of("SELLS_TO")).alias("customers"), lines(of("EXPOSED_TO")).alias("regions"), lines(F.col("inbound")).alias("holders"), lines(of("OWNS_STAKE_IN")).alias("holdings"),
-        F.min(F.when(of("IN_SECTOR"), F.coalesce("other_label", "other"))).alias("sector"), F.min(F.when(of("ISSUES_STOCK"), F.struct("other", F.col("attrs")["ticker"].alias("ticker"), F.col("attrs")["market"].alias("market")))).alias("stock"),
+        F.min(F.when(of("IN_SECTOR"), F.coalesce("other_label", "other"))).alias("sector"), F.min(
+            F.when(of("ISSUES_STOCK"), F.struct("other", F.col("attrs")["ticker"].alias("ticker"), F.col("attrs")["market"].alias("market")))
+        ).alias("stock"),
     )
     found = issues.groupBy(F.col("subject").alias("company_id")).agg(F.count("*").alias("issues"))
-    rows = nodes.filter("kind = 'company'").select(F.col("id").alias("company_id"), F.coalesce("label", "id").alias("label"), F.coalesce(F.col("attrs")["dart_code"], F.lit("")).alias("code"))
+    rows = nodes.filter("kind = 'company'").select(
+        F.col("id").alias("company_id"), F.coalesce("label", "id").alias("label"), F.coalesce(F.col("attrs")["dart_code"], F.lit("")).alias("code")
+    )
     rows = rows.join(gathered, "company_id", "left").join(financial_tables(facts), "company_id", "left").join(found, "company_id", "left")
     none = F.array().cast("array<string>")
     listed = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_join(c, "\n")).otherwise(NONE_LINE)
     count = lambda c: F.size(F.coalesce(c, none)).cast("string")
     text_of = lambda c: text.yaml_string(F.coalesce(c, F.lit("")))
     note = F.concat_ws(
-        "\n", F.lit('---\ntype: "company"'), F.concat(F.lit('dart_code: "'), "code", F.lit('"')), F.concat(F.lit("name: "), text_of("label")), F.concat(F.lit("ticker: "), text_of(F.col("stock.ticker"))),
-        F.concat(F.lit("market: "), text_of(F.col("stock.market"))), F.concat(F.lit("sector: "), text_of("sector")), F.concat(F.lit("periods: ["), F.array_join(F.coalesce("periods", none), ", "), F.lit("]")),
+        "\n", F.lit('---\ntype: "company"'), F.concat(F.lit('dart_code: "'), "code", F.lit('"')), F.concat(F.lit("name: "), text_of("label")), F.concat(
+            F.lit("ticker: "), text_of(F.col("stock.ticker"))
+        ),
+        F.concat(F.lit("market: "), text_of(F.col("stock.market"))), F.concat(F.lit("sector: "), text_of("sector")), F.concat(
+            F.lit("periods: ["), F.array_join(F.coalesce("periods", none), ", "), F.lit("]")
+        ),
         F.concat(F.lit("report_count: "), count("periods")), F.concat(F.lit("segment_count: "), count("segments")), F.concat(F.lit("customer_count: "), count("customers")),
         F.concat(F.lit("issue_count: "), F.coalesce("issues", F.lit(0)).cast("string")), F.lit("tags: [company]\n---"), F.concat(F.lit("# "), "label", F.lit("\n")),
-        F.concat(F.lit("> 섹터: "), text.wikilink(F.col("sector")), F.lit("\n")), F.lit("\n## 세그먼트\n"), listed("segments"), F.lit("\n## 고객사\n"), listed("customers"), F.lit("\n## 지역 노출\n"), listed("regions"),
+        F.concat(
+            F.lit("> 섹터: "), text.wikilink(F.col("sector")), F.lit("\n")
+        ), F.lit("\n## 세그먼트\n"), listed("segments"), F.lit("\n## 고객사\n"), listed("customers"), F.lit("\n## 지역 노출\n"), listed("regions"),
         F.lit("\n## 지분구조\n\n### 주주 (최대주주·특수관계인)\n"), listed("holders"), F.lit("\n### 타법인 출자\n"), listed("holdings"), F.col("tables"),
     )
     return rows.select("company_id", text.note_name(F.col("label")).alias("name"), F.concat(note, F.lit("\n")).alias("note"))
@@ -176,8 +223,14 @@ def concept_notes(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = (
     relation = F.create_map(*(F.lit(x) for pair in RELATION_LABELS.items() for x in pair))[F.col("predicate")]
     share = F.when(F.col("predicate").isin("HAS_SEGMENT", "EXPOSED_TO"), F.col("qualifier.share_pct"))
     line = F.concat(F.lit("- "), text.wikilink(F.col("company")), F.lit(" ("), relation, F.lit(")"), F.coalesce(F.concat(F.lit(" — "), text.general(share), F.lit("%")), F.lit("")))
-    refs = last.groupBy(F.col("object_id").alias("id")).agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_set(F.struct("company", relation.alias("r"), line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    refs = last.groupBy(F.col("object_id").alias("id")).agg(
+        F.count("*").alias("n"),
+        F.transform(F.sort_array(F.collect_set(F.struct("company", relation.alias("r"), line.alias("line")))), lambda x: x["line"]).alias("lines")
+    )
     rows = nodes.filter(F.col("kind").isin(*kinds)).select("id", "kind", F.coalesce("label", "id").alias("label")).join(refs, "id", "left")
     body = F.coalesce(F.array_join("lines", "\n"), F.lit("- (참조 없음)"))
-    note = F.concat(F.lit('---\ntype: "'), "kind", F.lit('"\nname: '), text.yaml_string(F.col("label")), F.lit("\ntags: ["), "kind", F.lit("]\n---\n# "), "label", F.lit("\n\n\n## 이 "), "kind", F.lit("를 가리키는 회사 ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(")\n\n"), body, F.lit("\n"))
+    note = F.concat(
+        F.lit('---\ntype: "'), "kind", F.lit('"\nname: '), text.yaml_string(F.col("label")), F.lit("\ntags: ["), "kind", F.lit("]\n---\n# "), "label",
+        F.lit("\n\n\n## 이 "), "kind", F.lit("를 가리키는 회사 ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(")\n\n"), body, F.lit("\n")
+    )
     return rows.select(F.col("id").alias("node_id"), text.note_name(F.col("label")).alias("name"), note.alias("note"))

@@ -33,7 +33,10 @@ def bodies(lines: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("doc", F.col("head").alias("line_no"), "title", body.alias("body"), F.length(body).alias("chars"))
 
 
-def sections(docs: DataFrame, doc_col: str, lines: Column, patterns: dict[str, tuple[str, ...]] | None = None, fallback: DataFrame | None = None, least: int = text.MIN_SECTION) -> DataFrame:
+def sections(
+    docs: DataFrame, doc_col: str, lines: Column, patterns: dict[str, tuple[str, ...]] | None = None, fallback: DataFrame | None = None,
+    least: int = text.MIN_SECTION
+) -> DataFrame:
     """A row a document: level (regex, regex+llm, full_text), skipped, invalid, output.
 
     The first header of each target counts. fallback (doc, target, choice) answers, for documents with missing or short
@@ -44,7 +47,9 @@ def sections(docs: DataFrame, doc_col: str, lines: Column, patterns: dict[str, t
     found = headers(rows)
     held = bodies(rows, found).withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("line_no")))
     targets = {t: (patterns or text.TARGET_PATTERNS)[t] for t in (patterns or text.TARGET_PATTERNS)}
-    matched = first_of(held.withColumn("target", text.header_target(F.col("title"), targets)).filter("target is not null"), ["doc", "target"], [F.col("line_no")]).withColumn("by", F.lit("regex"))
+    matched = first_of(
+        held.withColumn("target", text.header_target(F.col("title"), targets)).filter("target is not null"), ["doc", "target"], [F.col("line_no")]
+    ).withColumn("by", F.lit("regex"))
     if fallback is not None:
         used = matched.filter(F.col("chars") >= least).select("doc", "line_no")
         open_ = held.join(used, ["doc", "line_no"], "left_anti").withColumn("choice", F.row_number().over(Window.partitionBy("doc").orderBy("line_no")))
@@ -65,7 +70,10 @@ def sections(docs: DataFrame, doc_col: str, lines: Column, patterns: dict[str, t
     full = F.col("got").isNull() | (F.size("invalid") > 0)
     output = F.when(full, F.col("whole")).otherwise(F.array_join(F.transform("parts", lambda p: p["part"]), "\n"))
     level = F.when(full, "full_text").when(F.col("asked") == 1, "regex+llm").otherwise("regex")
-    return out.select("doc", level.alias("level"), F.array_except(F.array_sort(order), F.coalesce("got", none)).alias("skipped"), F.coalesce("invalid", none).alias("invalid"), output.alias("output"), F.length(output).alias("output_chars"))
+    return out.select(
+        "doc", level.alias("level"), F.array_except(F.array_sort(order), F.coalesce("got", none)).alias("skipped"),
+        F.coalesce("invalid", none).alias("invalid"), output.alias("output"), F.length(output).alias("output_chars")
+    )
 
 
 def consolidate_patterns(entries: DataFrame) -> DataFrame:

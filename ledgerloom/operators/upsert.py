@@ -74,7 +74,10 @@ def customer_mapping(nodes: DataFrame, aliases: DataFrame, alias_norm: Column, c
     return found.join(companies.select(F.col("id").alias("new_id")), "new_id", "left_semi").select("old_id", "new_id")
 
 
-def alias_mapping(nodes: DataFrame, aliases: DataFrame, kind: str, alias_norm: Column, target_prefix: str, source_prefix: str | None = None, barred_prefix: str | None = None) -> DataFrame:
+def alias_mapping(
+    nodes: DataFrame, aliases: DataFrame, kind: str, alias_norm: Column, target_prefix: str, source_prefix: str | None = None,
+    barred_prefix: str | None = None
+) -> DataFrame:
     """old_id, new_id of nodes of a kind whose alias leads to another existing node with a prefix."""
     sources = nodes.filter(F.col("kind") == kind)
     if source_prefix:
@@ -117,7 +120,10 @@ def renamespace(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, order: l
 
 def canonical_owners(seeds: DataFrame) -> DataFrame:
     """Nodes (id, kind, label, attrs) of the owners in an alias seed (canonical): persons that stand for all spellings of one name."""
-    rows = seeds.select(ids.canonical_person_id(F.col("canonical")).alias("id"), F.lit("person").alias("kind"), F.col("canonical").alias("label"), F.create_map(F.lit("canonical"), F.lit("true")).alias("attrs"))
+    rows = seeds.select(
+        ids.canonical_person_id(F.col("canonical")).alias("id"), F.lit("person").alias("kind"), F.col("canonical").alias("label"),
+        F.create_map(F.lit("canonical"), F.lit("true")).alias("attrs")
+    )
     return first_of(rows, ["id"], [F.col("label")])
 
 

@@ -58,7 +58,9 @@ def consecutive_positive(s: Star) -> DataFrame:
     return double(graph_query.consecutive_positive(s.facts(), "operating_income", SINCE), "least")
 
 
-@query(with_views("seg", "facts", "companies") + f", {_PRIMARY}, {_POSITIVE} SELECT company_id, label FROM companies WHERE company_id IN (SELECT company_id FROM prim WHERE period = '2001' AND segment_id = 'segment:brand-19') AND company_id IN (SELECT company_id FROM positive)")
+@query(
+    with_views("seg", "facts", "companies") + f", {_PRIMARY}, {_POSITIVE} SELECT company_id, label FROM companies WHERE company_id IN (SELECT company_id FROM prim WHERE period = '2001' AND segment_id = 'segment:brand-19') AND company_id IN (SELECT company_id FROM positive)"
+)
 def screen(s: Star) -> DataFrame:
     return graph_query.screen(s.nodes(), s.segment_edges(), s.facts(), s.aliases(), CONCEPT, SINCE)
 
@@ -88,7 +90,10 @@ SELECT holder_id, company_id, min(hops) AS hops FROM (SELECT holder_id, company_
 def ownership_closure(s: Star) -> DataFrame:
     big = s.segment_edges().filter("qualifier.share_pct >= 8")
     first = big.select("subject_id", F.lit("OWNS_STAKE_IN").alias("predicate"), "object_id", "period", "qualifier")
-    second = big.select(F.col("object_id").alias("subject_id"), F.lit("OWNS_STAKE_IN").alias("predicate"), F.concat(F.lit("group:"), F.expr("right(object_id, 1)")).alias("object_id"), "period", "qualifier")
+    second = big.select(
+        F.col("object_id").alias("subject_id"), F.lit("OWNS_STAKE_IN").alias("predicate"),
+        F.concat(F.lit("group:"), F.expr("right(object_id, 1)")).alias("object_id"), "period", "qualifier"
+    )
     return graph_query.ownership_closure(first.unionByName(second), rounds=3)
 
 
@@ -109,7 +114,10 @@ def interim_equals_fy(s: Star) -> DataFrame:
 
 
 def _line_edges(s: Star) -> DataFrame:
-    return s.table("lineitem").select(F.col("l_orderkey").cast("string").alias("subject_id"), F.lit("HAS_SEGMENT").alias("predicate"), F.col("l_linenumber").cast("string").alias("object_id"), F.when(F.col("l_linestatus") == "F", F.lit("F")).alias("period"))
+    return s.table("lineitem").select(
+        F.col("l_orderkey").cast("string").alias("subject_id"), F.lit("HAS_SEGMENT").alias("predicate"),
+        F.col("l_linenumber").cast("string").alias("object_id"), F.when(F.col("l_linestatus") == "F", F.lit("F")).alias("period")
+    )
 
 
 _DUPLICATES = "SELECT CAST(l_orderkey AS VARCHAR) AS subject_id, 'HAS_SEGMENT' AS predicate, CAST(l_linenumber AS VARCHAR) AS object_id, CASE WHEN l_linestatus = 'F' THEN 'F' END AS period, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1"
@@ -125,7 +133,9 @@ def orphan_fact(s: Star) -> DataFrame:
     return integrity.orphan_facts(s.facts(), s.companies().filter("nation >= 5").withColumnRenamed("company_id", "id"))
 
 
-@query(with_views("facts") + " SELECT company_id, bsns_year, fiscal_period, fs_div, CAST(amount AS DOUBLE) AS amount FROM facts WHERE metric_key = 'operating_income' AND amount <= 0")
+@query(
+    with_views("facts") + " SELECT company_id, bsns_year, fiscal_period, fs_div, CAST(amount AS DOUBLE) AS amount FROM facts WHERE metric_key = 'operating_income' AND amount <= 0"
+)
 def nonpositive_equity(s: Star) -> DataFrame:
     return double(integrity.nonpositive_equity(s.facts(), "operating_income"), "amount")
 
@@ -148,7 +158,9 @@ def integrity_union(s: Star) -> DataFrame:
     return _issues(s)
 
 
-@query(with_views("facts", "companies") + f"{_COARSE}, {_ISSUES} SELECT severity, CASE severity WHEN 'error' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END AS place, count(*) AS n FROM issues GROUP BY ALL")
+@query(
+    with_views("facts", "companies") + f"{_COARSE}, {_ISSUES} SELECT severity, CASE severity WHEN 'error' THEN 1 WHEN 'warn' THEN 2 ELSE 3 END AS place, count(*) AS n FROM issues GROUP BY ALL"
+)
 def qa_summary(s: Star) -> DataFrame:
     return projection.qa_summary(_issues(s))
 
@@ -194,13 +206,17 @@ def _three_years(s: Star) -> DataFrame:
     return yearly.select("l_suppkey", F.col("y").cast("string").alias("bsns_year"), "current", back(1).alias("previous"), back(2).alias("before"))
 
 
-@query(f"WITH {_YEARLY} SELECT r.l_suppkey, CAST(r.y AS VARCHAR) AS report_year, CAST(d.y AS VARCHAR) AS bsns_year, CAST(d.amount AS DOUBLE) AS amount FROM yearly r JOIN yearly d ON r.l_suppkey = d.l_suppkey AND d.y BETWEEN r.y - 2 AND r.y AND (r.l_suppkey % 3 > 0 OR d.y = r.y)")
+@query(
+    f"WITH {_YEARLY} SELECT r.l_suppkey, CAST(r.y AS VARCHAR) AS report_year, CAST(d.y AS VARCHAR) AS bsns_year, CAST(d.amount AS DOUBLE) AS amount FROM yearly r JOIN yearly d ON r.l_suppkey = d.l_suppkey AND d.y BETWEEN r.y - 2 AND r.y AND (r.l_suppkey % 3 > 0 OR d.y = r.y)"
+)
 def fact_unpivot(s: Star) -> DataFrame:
     rows = _three_years(s).withColumn("report_year", F.col("bsns_year"))
     return double(ingest.unpivot_years(rows, ["l_suppkey", "report_year"], flow=F.col("l_suppkey") % 3 > 0), "amount")
 
 
-@query(with_views("facts") + " SELECT company_id, bsns_year, fiscal_period, fs_div, metric_key, CAST(amount AS DOUBLE) AS amount FROM facts f WHERE fs_div = 'CFS' OR NOT EXISTS (SELECT 1 FROM facts c WHERE c.company_id = f.company_id AND c.bsns_year = f.bsns_year AND c.fiscal_period = f.fiscal_period AND c.fs_div = 'CFS')")
+@query(
+    with_views("facts") + " SELECT company_id, bsns_year, fiscal_period, fs_div, metric_key, CAST(amount AS DOUBLE) AS amount FROM facts f WHERE fs_div = 'CFS' OR NOT EXISTS (SELECT 1 FROM facts c WHERE c.company_id = f.company_id AND c.bsns_year = f.bsns_year AND c.fiscal_period = f.fiscal_period AND c.fs_div = 'CFS')"
+)
 def fs_div_fallback(s: Star) -> DataFrame:
     return double(ingest.prefer_consolidated(s.facts(), ["company_id", "bsns_year", "fiscal_period"]), "amount")
 
@@ -224,7 +240,9 @@ def max_stake_holder(s: Star) -> DataFrame:
     relate = F.when(line == 1, "최대주주 본인").when(line == 2, "계열회사 임원").otherwise("계열회사")
     percent = F.when(F.col("l_tax") > 0.01, F.concat(F.format_string("%.4f", F.col("l_tax") * 100), F.lit("%"))).otherwise("-")
     rows = s.table("lineitem").select(
-        F.struct((F.col("l_orderkey") * 10 + line).alias("a"), F.col("l_quantity").alias("b"), relate.alias("c")).alias("ordinal"), s.code("l_suppkey").alias("corp_code"), F.year("l_shipdate").cast("string").alias("year"),
+        F.struct(
+            (F.col("l_orderkey") * 10 + line).alias("a"), F.col("l_quantity").alias("b"), relate.alias("c")
+        ).alias("ordinal"), s.code("l_suppkey").alias("corp_code"), F.year("l_shipdate").cast("string").alias("year"),
         name.alias("nm"), relate.alias("relate"), percent.alias("trmend_posesn_stock_qota_rt"), F.format_string("%,.0f", F.col("l_quantity")).alias("trmend_posesn_stock_co"),
     )
     return ingest.holder_edges(rows, F.col("corp_code"), F.col("year"))
@@ -238,32 +256,45 @@ def structure_explode(s: Star) -> DataFrame:
     one = s.segment_edges().select(F.expr("right(subject_id, 8)").alias("company_code"), F.struct(
         F.col("period"),
         F.array(F.struct(name.alias("name_ko"), share.alias("share_pct"))).alias("segments"),
-        F.array(F.struct(F.concat(name, F.lit(" Co.")).alias("name_raw"), (share / 2).alias("revenue_share_pct"), F.when(share > 5, "1차").otherwise("unknown").alias("tier"))).alias("customers"),
+        F.array(
+            F.struct(F.concat(name, F.lit(" Co.")).alias("name_raw"), (share / 2).alias("revenue_share_pct"), F.when(share > 5, "1차").otherwise("unknown").alias("tier"))
+        ).alias("customers"),
         F.array(F.struct(F.lit("KR").alias("region_code"), F.when(share > 4, share).alias("share_pct"))).alias("geographic"),
     ).alias("record"))
     return ingest.structure_edges(one)
 
 
-@query("SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS company_code, 'sector:' || s_nationkey AS sector_id, coalesce(n_name, 'KSIC ' || s_nationkey) AS label FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = s_nationkey")
+@query(
+    "SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS company_code, 'sector:' || s_nationkey AS sector_id, coalesce(n_name, 'KSIC ' || s_nationkey) AS label FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = s_nationkey"
+)
 def link_sector(s: Star) -> DataFrame:
     profiles = s.companies().select(F.col("dart_code").alias("company_code"), F.col("nation").cast("string").alias("code"))
     names = s.table("nation").filter("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
     return ingest.link_sectors(profiles, names)
 
 
-@query("SELECT 'company:' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS subject_id, 'ISSUES_STOCK' AS predicate, 'stock:' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS object_id FROM supplier JOIN part ON s_suppkey = p_partkey AND p_size > 10")
+@query(
+    "SELECT 'company:' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS subject_id, 'ISSUES_STOCK' AS predicate, 'stock:' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS object_id FROM supplier JOIN part ON s_suppkey = p_partkey AND p_size > 10"
+)
 def link_stock(s: Star) -> DataFrame:
     stocks = s.table("part").filter("p_size > 10").select(s.code("p_partkey").alias("dart_code"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("ticker"))
     return ingest.link(s.companies(), stocks, "dart_code", "ISSUES_STOCK", F.col("company_id"), ids.stock_id(F.col("ticker")))
 
 
-@query("SELECT l_suppkey, ordinal, se, shares FROM (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS ordinal, CASE WHEN l_returnflag = 'A' THEN '우선주' ELSE '보통주' END AS se, CAST(l_quantity AS BIGINT) AS shares, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_quantity) AS rn FROM lineitem WHERE l_returnflag <> 'A') WHERE rn = 1")
+@query(
+    "SELECT l_suppkey, ordinal, se, shares FROM (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS ordinal, CASE WHEN l_returnflag = 'A' THEN '우선주' ELSE '보통주' END AS se, CAST(l_quantity AS BIGINT) AS shares, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_quantity) AS rn FROM lineitem WHERE l_returnflag <> 'A') WHERE rn = 1"
+)
 def shares_first_common(s: Star) -> DataFrame:
-    rows = s.table("lineitem").select("l_suppkey", F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("a"), "l_quantity").alias("ordinal"), F.when(F.col("l_returnflag") == "A", "우선주").otherwise("보통주").alias("se"), F.col("l_quantity").cast("long").alias("shares"))
+    rows = s.table("lineitem").select(
+        "l_suppkey", F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("a"), "l_quantity").alias("ordinal"),
+        F.when(F.col("l_returnflag") == "A", "우선주").otherwise("보통주").alias("se"), F.col("l_quantity").cast("long").alias("shares")
+    )
     return ingest.common_shares(rows, ["l_suppkey"]).select("l_suppkey", F.col("ordinal.a").alias("ordinal"), "se", "shares")
 
 
-@query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'revenue' WHEN 1 THEN 'operating_income' WHEN 2 THEN 'equity' WHEN 3 THEN NULL WHEN 4 THEN 'net_income' ELSE NULL END AS metric FROM part""")
+@query(
+    """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'revenue' WHEN 1 THEN 'operating_income' WHEN 2 THEN 'equity' WHEN 3 THEN NULL WHEN 4 THEN 'net_income' ELSE NULL END AS metric FROM part"""
+)
 def metric_of(s: Star) -> DataFrame:
     k = F.col("p_size") % 6
     account = F.when(k == 0, "ifrs-full_Revenue").when(k == 2, "ifrs-full_Equity").when(k == 3, "ifrs-full_Equity").when(k == 5, "ifrs-full_GrossProfit").otherwise("")
@@ -276,7 +307,11 @@ def _investments(s: Star) -> DataFrame:
     """Orders as stakes in other companies."""
     name = F.when(F.col("o_orderstatus") == "P", "합계").otherwise(F.concat(F.lit("Target "), (F.col("o_orderkey") % 23).cast("string"), F.lit(" Inc")))
     stake = F.when(F.col("o_orderpriority").startswith("1"), "-").otherwise(F.format_string("%.2f", F.col("o_orderkey") % 100 + 0.5))
-    return s.table("orders").select(F.col("o_orderkey").alias("ordinal"), s.code("o_custkey").alias("corp_code"), F.year("o_orderdate").cast("string").alias("bsns_year"), name.alias("inv_prm"), F.col("o_orderpriority").alias("invstmnt_purps"), stake.alias("trmend_blce_qota_rt"), F.format_string("%,d", F.col("o_orderkey")).alias("trmend_blce_qy"))
+    return s.table("orders").select(
+        F.col("o_orderkey").alias("ordinal"), s.code("o_custkey").alias("corp_code"), F.year("o_orderdate").cast("string").alias("bsns_year"),
+        name.alias("inv_prm"), F.col("o_orderpriority").alias("invstmnt_purps"), stake.alias("trmend_blce_qota_rt"),
+        F.format_string("%,d", F.col("o_orderkey")).alias("trmend_blce_qy")
+    )
 
 
 _INVESTED = """invested AS (SELECT 'company:' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS subject_id, 'company:ext:target-' || o_orderkey % 23 || '-inc' AS object_id, CAST(year(o_orderdate) AS VARCHAR) AS period, CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderkey % 100 + 0.5 END AS stake_pct, o_orderkey AS shares, o_orderpriority AS purpose
@@ -288,27 +323,39 @@ def investment_edges(s: Star) -> DataFrame:
     return double(ingest.investment_edges(_investments(s), F.col("corp_code"), F.col("bsns_year")), "stake_pct")
 
 
-@query("SELECT 'company:ext:target-' || o_orderkey % 23 || '-inc' AS id, 'company' AS kind, 'Target ' || o_orderkey % 23 || ' Inc' AS label, 'true' AS external FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderkey % 23")
+@query(
+    "SELECT 'company:ext:target-' || o_orderkey % 23 || '-inc' AS id, 'company' AS kind, 'Target ' || o_orderkey % 23 || ' Inc' AS label, 'true' AS external FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderkey % 23"
+)
 def investment_nodes(s: Star) -> DataFrame:
     return ingest.investment_nodes(_investments(s)).select("id", "kind", "label", F.col("attrs")["external"].alias("external"))
 
 
 def _holders(s: Star) -> DataFrame:
     """Lines as holders of the companies that sold them."""
-    name = F.when(F.col("l_linenumber") == 7, "계").when(F.col("l_returnflag") == "R", F.concat(F.lit("Fund "), (F.col("l_partkey") % 9).cast("string"), F.lit(" Ltd."))).otherwise(F.concat(F.lit("Kim "), (F.col("l_partkey") % 9).cast("string")))
+    name = F.when(F.col("l_linenumber") == 7, "계").when(
+        F.col("l_returnflag") == "R", F.concat(F.lit("Fund "), (F.col("l_partkey") % 9).cast("string"), F.lit(" Ltd."))
+    ).otherwise(F.concat(F.lit("Kim "), (F.col("l_partkey") % 9).cast("string")))
     ordinal = F.struct(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_partkey").alias("c"), F.col("l_quantity").alias("d"))
-    return s.table("lineitem").select(ordinal.alias("ordinal"), s.code("l_suppkey").alias("corp_code"), F.year("l_shipdate").cast("string").alias("bsns_year"), name.alias("nm"), F.when(F.col("l_linestatus") == "F", "본인").otherwise(" ").alias("relate"), F.format_string("%.1f", F.col("l_quantity")).alias("trmend_posesn_stock_qota_rt"), F.lit("-").alias("trmend_posesn_stock_co"))
+    return s.table("lineitem").select(
+        ordinal.alias("ordinal"), s.code("l_suppkey").alias("corp_code"), F.year("l_shipdate").cast("string").alias("bsns_year"), name.alias("nm"),
+        F.when(F.col("l_linestatus") == "F", "본인").otherwise(" ").alias("relate"),
+        F.format_string("%.1f", F.col("l_quantity")).alias("trmend_posesn_stock_qota_rt"), F.lit("-").alias("trmend_posesn_stock_co")
+    )
 
 
 _HELD = """held AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'company:ext:fund-' || l_partkey % 9 || '-ltd' ELSE 'person:' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || ':kim-' || l_partkey % 9 END AS subject_id, 'company:' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') AS object_id, CAST(year(l_shipdate) AS VARCHAR) AS period, max(l_quantity) AS stake_pct FROM lineitem WHERE l_linenumber <> 7 GROUP BY ALL)"""
 
 
-@query(f"WITH {_INVESTED}, {_HELD} SELECT subject_id, object_id, period, CAST(stake_pct AS DOUBLE) AS stake_pct, 'dart:' || right(object_id, 8) || ':' || period || ':11011' AS source_ref FROM held UNION ALL SELECT subject_id, object_id, period, CAST(stake_pct AS DOUBLE), 'dart:' || right(subject_id, 8) || ':' || period || ':11011' FROM invested")
+@query(
+    f"WITH {_INVESTED}, {_HELD} SELECT subject_id, object_id, period, CAST(stake_pct AS DOUBLE) AS stake_pct, 'dart:' || right(object_id, 8) || ':' || period || ':11011' AS source_ref FROM held UNION ALL SELECT subject_id, object_id, period, CAST(stake_pct AS DOUBLE), 'dart:' || right(subject_id, 8) || ':' || period || ':11011' FROM invested"
+)
 def equity_edges(s: Star) -> DataFrame:
     return ingest.equity_edges(_holders(s), _investments(s)).select("subject_id", "object_id", "period", F.col("qualifier.stake_pct").alias("stake_pct"), "source_ref")
 
 
-@query("SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'company:ext:fund-' || l_partkey % 9 || '-ltd' ELSE 'person:' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || ':kim-' || l_partkey % 9 END AS id, CASE WHEN l_returnflag = 'R' THEN 'company' ELSE 'person' END AS kind, CASE WHEN l_returnflag = 'R' THEN 'Fund ' || l_partkey % 9 || ' Ltd.' ELSE 'Kim ' || l_partkey % 9 END AS label FROM lineitem WHERE l_linenumber <> 7")
+@query(
+    "SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'company:ext:fund-' || l_partkey % 9 || '-ltd' ELSE 'person:' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || ':kim-' || l_partkey % 9 END AS id, CASE WHEN l_returnflag = 'R' THEN 'company' ELSE 'person' END AS kind, CASE WHEN l_returnflag = 'R' THEN 'Fund ' || l_partkey % 9 || ' Ltd.' ELSE 'Kim ' || l_partkey % 9 END AS label FROM lineitem WHERE l_linenumber <> 7"
+)
 def holder_nodes(s: Star) -> DataFrame:
     return ingest.holder_nodes(_holders(s), F.col("corp_code")).select("id", "kind", "label")
 
@@ -319,11 +366,15 @@ def unseen_reports(s: Star) -> DataFrame:
     return ingest.unseen_reports(s.listed().select("rcept_no"), edges)
 
 
-@query("SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS company_code, CASE WHEN p_size > 40 THEN 'share' WHEN p_brand LIKE '%3' THEN 'tier' ELSE 'region' END AS problem FROM part WHERE p_size > 40 OR p_brand LIKE '%3' OR p_type LIKE '%BRASS'")
+@query(
+    "SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS company_code, CASE WHEN p_size > 40 THEN 'share' WHEN p_brand LIKE '%3' THEN 'tier' ELSE 'region' END AS problem FROM part WHERE p_size > 40 OR p_brand LIKE '%3' OR p_type LIKE '%BRASS'"
+)
 def rejected_extractions(s: Star) -> DataFrame:
     record = F.struct(
         F.array(F.struct(F.col("p_name").alias("name_ko"), (F.col("p_size") * 2.5).alias("share_pct"))).alias("segments"),
-        F.array(F.struct(F.lit(None).cast("double").alias("revenue_share_pct"), F.when(F.col("p_brand").endswith("3"), "3차").otherwise("unknown").alias("tier"))).alias("customers"),
+        F.array(
+            F.struct(F.lit(None).cast("double").alias("revenue_share_pct"), F.when(F.col("p_brand").endswith("3"), "3차").otherwise("unknown").alias("tier"))
+        ).alias("customers"),
         F.array(F.struct(F.when(F.col("p_type").endswith("BRASS"), "XX").otherwise("KR").alias("region_code"), F.lit(50.0).alias("share_pct"))).alias("geographic"),
     )
     return ingest.rejected_extractions(s.table("part").select(s.code("p_partkey").alias("company_code"), record.alias("record")))
@@ -345,7 +396,10 @@ SELECT coalesce(b.id, o.id) AS id, 'company' AS kind, coalesce(b.label, o.label)
 def upsert_nodes(s: Star) -> DataFrame:
     nodes = s.nodes().filter("kind = 'company'")
     attrs = F.when(F.col("s_nationkey") < 10, F.create_map(F.lit("dart_code"), F.lit("new")))
-    batch = s.table("supplier").select(ids.company_id(F.lpad((F.col("s_suppkey") + 40).cast("string"), 8, "0")).alias("id"), F.lit("company").alias("kind"), F.upper("s_name").alias("label"), attrs.alias("attrs"))
+    batch = s.table("supplier").select(
+        ids.company_id(F.lpad((F.col("s_suppkey") + 40).cast("string"), 8, "0")).alias("id"), F.lit("company").alias("kind"),
+        F.upper("s_name").alias("label"), attrs.alias("attrs")
+    )
     return upsert.upsert_nodes(nodes, batch, [F.col("label")]).select("id", "kind", "label", F.col("attrs")["dart_code"].alias("code"))
 
 
@@ -359,7 +413,9 @@ def upsert_facts(s: Star) -> DataFrame:
     return double(upsert.upsert_facts(facts, batch, [F.col("amount")]), "amount")
 
 
-@query(with_views("companies") + " SELECT company_id AS subject_id, 'IN_SECTOR' AS predicate, CASE WHEN nation < 5 THEN 'sector:new' ELSE 'sector:' || nation END AS object_id FROM companies")
+@query(
+    with_views("companies") + " SELECT company_id AS subject_id, 'IN_SECTOR' AS predicate, CASE WHEN nation < 5 THEN 'sector:new' ELSE 'sector:' || nation END AS object_id FROM companies"
+)
 def exclusive_edge(s: Star) -> DataFrame:
     old = s.sector_edges().select("subject_id", "predicate", "object_id")
     new = s.companies().filter("nation < 5").select(F.col("company_id").alias("subject_id"), F.lit("IN_SECTOR").alias("predicate"), F.lit("sector:new").alias("object_id"))
@@ -379,7 +435,10 @@ _MAPPED = """mapping AS (SELECT 'customer:' || lpad(CAST(c_custkey AS VARCHAR),
 def _customer_mapping(s: Star) -> DataFrame:
     company = s.companies().select(F.col("company_id").alias("id"), F.lit("company").alias("kind"), F.concat("label", F.lit(" Co., Ltd.")).alias("label"))
     nodes = company.unionByName(_customers(s))
-    aliased = s.table("customer").filter("c_custkey % 10 = 0").select(normalize.normalize_alias(F.concat(F.lit("(주) Supplier#"), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0"))).alias("alias_norm"), F.lit("company:00000001").alias("node_id")).distinct()
+    aliased = s.table("customer").filter("c_custkey % 10 = 0").select(
+        normalize.normalize_alias(F.concat(F.lit("(주) Supplier#"), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0"))).alias("alias_norm"),
+        F.lit("company:00000001").alias("node_id")
+    ).distinct()
     return upsert.customer_mapping(nodes, aliased, normalize.normalize_alias(F.col("label")), normalize.normalize_corp_name(F.col("label")))
 
 
@@ -389,7 +448,11 @@ def resolve_customers(s: Star) -> DataFrame:
 
 
 def _sales(s: Star) -> DataFrame:
-    rows = s.table("orders").select(F.concat(F.lit("company:"), s.code("o_custkey")).alias("subject_id"), F.lit("SELLS_TO").alias("predicate"), F.concat(F.lit("customer:"), s.code("o_custkey")).alias("object_id"), F.year("o_orderdate").cast("string").alias("period"), F.col("o_orderkey").alias("id"))
+    rows = s.table("orders").select(
+        F.concat(F.lit("company:"), s.code("o_custkey")).alias("subject_id"), F.lit("SELLS_TO").alias("predicate"),
+        F.concat(F.lit("customer:"), s.code("o_custkey")).alias("object_id"), F.year("o_orderdate").cast("string").alias("period"),
+        F.col("o_orderkey").alias("id")
+    )
     return rows.groupBy("subject_id", "predicate", "object_id", "period").agg(F.min("id").alias("id"))
 
 
@@ -404,7 +467,10 @@ def repoint_customers(s: Star) -> DataFrame:
 def _folding(s: Star) -> DataFrame:
     """Aliases that fold each brand into the first of its decade."""
     brand = s.table("part").select("p_brand").distinct()
-    return brand.select(normalize.normalize_alias(F.col("p_brand")).alias("alias_norm"), F.concat(F.lit("segment:brand-"), F.expr("substr(p_brand, 7, 1)"), F.lit("1")).alias("node_id"))
+    return brand.select(
+        normalize.normalize_alias(F.col("p_brand")).alias("alias_norm"),
+        F.concat(F.lit("segment:brand-"), F.expr("substr(p_brand, 7, 1)"), F.lit("1")).alias("node_id")
+    )
 
 
 @query(with_views("seg") + """, mapping AS (SELECT * FROM (SELECT DISTINCT object_id AS old_id, 'segment:brand-' || substr(object_id, 15, 1) || '1' AS new_id FROM seg) WHERE old_id <> new_id AND new_id IN (SELECT 'segment:' || replace(lower(p_brand), '#', '-') FROM part))
@@ -418,11 +484,19 @@ def merge_segments(s: Star) -> DataFrame:
 def _external(s: Star) -> tuple[DataFrame, DataFrame]:
     """Stakes among external companies, and a mapping of some of them to companies."""
     ext = lambda c: F.concat(F.lit("company:ext:"), (F.col(c) % 400).cast("string"))
-    edges = s.table("orders").groupBy(ext("o_custkey").alias("subject_id"), ext("o_orderkey").alias("object_id"), F.year("o_orderdate").cast("string").alias("period")).agg(F.min("o_orderkey").alias("id"))
+    edges = s.table("orders").groupBy(
+        ext("o_custkey").alias("subject_id"), ext("o_orderkey").alias("object_id"), F.year("o_orderdate").cast("string").alias("period")
+    ).agg(F.min("o_orderkey").alias("id"))
     edges = edges.select("subject_id", F.lit("OWNS_STAKE_IN").alias("predicate"), "object_id", "period", "id")
     company = s.companies().select(F.col("company_id").alias("id"), F.lit("company").alias("kind"), "label")
-    outside = s.spark.range(400).select(F.concat(F.lit("company:ext:"), F.col("id").cast("string")).alias("id"), F.lit("company").alias("kind"), F.concat(F.lit("Ext "), F.col("id").cast("string")).alias("label"))
-    aliases = s.spark.range(400).filter("id % 5 = 0").select(F.concat(F.lit("ext "), F.col("id").cast("string")).alias("alias_norm"), F.concat(F.lit("company:"), F.lpad((F.col("id") % 90).cast("string"), 8, "0")).alias("node_id"))
+    outside = s.spark.range(400).select(
+        F.concat(F.lit("company:ext:"), F.col("id").cast("string")).alias("id"), F.lit("company").alias("kind"),
+        F.concat(F.lit("Ext "), F.col("id").cast("string")).alias("label")
+    )
+    aliases = s.spark.range(400).filter("id % 5 = 0").select(
+        F.concat(F.lit("ext "), F.col("id").cast("string")).alias("alias_norm"),
+        F.concat(F.lit("company:"), F.lpad((F.col("id") % 90).cast("string"), 8, "0")).alias("node_id")
+    )
     mapping = upsert.alias_mapping(company.unionByName(outside), aliases, "company", normalize.normalize_alias(F.col("label")), "company:", "company:ext:", "company:ext:")
     return edges, mapping
 
@@ -441,7 +515,10 @@ def resolve_external_both_ends(s: Star) -> DataFrame:
 SELECT id AS old_id, 'person:' || replace(label, ' ', '-') AS new_id FROM persons WHERE CAST(replace(label, 'owner ', '') AS INT) < 30""")
 def merge_owners(s: Star) -> DataFrame:
     label = F.concat(F.lit("Owner "), (F.col("c_custkey") % 50).cast("string"))
-    persons = s.table("customer").select(F.concat(F.lit("person:"), s.code("c_nationkey"), F.lit(":"), F.col("c_custkey").cast("string")).alias("id"), F.lit("person").alias("kind"), label.alias("label"))
+    persons = s.table("customer").select(
+        F.concat(F.lit("person:"), s.code("c_nationkey"), F.lit(":"), F.col("c_custkey").cast("string")).alias("id"), F.lit("person").alias("kind"),
+        label.alias("label")
+    )
     owners = s.spark.range(30).select(F.concat(F.lit("Owner "), F.col("id").cast("string")).alias("name"))
     canonical = owners.select(ids.canonical_person_id(F.col("name")).alias("id"), F.lit("owner").alias("kind"), F.col("name").alias("label"))
     aliases = owners.select(normalize.normalize_alias(F.col("name")).alias("alias_norm"), ids.canonical_person_id(F.col("name")).alias("node_id"))
@@ -468,7 +545,9 @@ def renamespace_nodes(s: Star) -> DataFrame:
     return _renamespaced(s)[0].select("id", "kind", "label", F.col("attrs")["company"].alias("company"))
 
 
-@query(f"WITH {_MAPPED} SELECT 'customer:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, CASE WHEN 'customer:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') IN (SELECT old_id FROM mapping) THEN NULL ELSE 'false' END AS resolved FROM customer")
+@query(
+    f"WITH {_MAPPED} SELECT 'customer:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, CASE WHEN 'customer:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') IN (SELECT old_id FROM mapping) THEN NULL ELSE 'false' END AS resolved FROM customer"
+)
 def mark_unresolved(s: Star) -> DataFrame:
     nodes = _customers(s).withColumn("attrs", F.lit(None).cast("map<string,string>"))
     return upsert.mark_unresolved(nodes, _customer_mapping(s)).select("id", F.col("attrs")["resolved"].alias("resolved"))
@@ -490,13 +569,17 @@ def alias_seed(s: Star) -> DataFrame:
 
 # ---- scalar functions
 
-@query("""SELECT p_partkey, 'segment:' || CASE WHEN length(b) <= 48 THEN b ELSE trim(left(b, 41), '-') || '-' || left(sha1(raw), 6) END AS slug FROM (SELECT p_partkey, raw, trim(regexp_replace(lower(trim(raw)), '[^0-9a-z가-힣]+', '-', 'g'), '-') AS b FROM (SELECT p_partkey, ' ' || p_name || ' (' || p_type || ') 반도체 & ' || repeat(p_brand || ' ', p_size % 4) AS raw FROM part))""")
+@query(
+    """SELECT p_partkey, 'segment:' || CASE WHEN length(b) <= 48 THEN b ELSE trim(left(b, 41), '-') || '-' || left(sha1(raw), 6) END AS slug FROM (SELECT p_partkey, raw, trim(regexp_replace(lower(trim(raw)), '[^0-9a-z가-힣]+', '-', 'g'), '-') AS b FROM (SELECT p_partkey, ' ' || p_name || ' (' || p_type || ') 반도체 & ' || repeat(p_brand || ' ', p_size % 4) AS raw FROM part))"""
+)
 def slug(s: Star) -> DataFrame:
     raw = F.concat(F.lit(" "), "p_name", F.lit(" ("), "p_type", F.lit(") 반도체 & "), F.expr("repeat(concat(p_brand, ' '), p_size % 4)"))
     return s.table("part").select("p_partkey", ids.segment_id(raw).alias("slug"))
 
 
-@query("SELECT doc_id, length(alias) AS chars, md5(alias) AS digest FROM (SELECT doc_id, lower(trim(regexp_replace(text, '[\\s\\x{000B}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS alias FROM documents)")
+@query(
+    "SELECT doc_id, length(alias) AS chars, md5(alias) AS digest FROM (SELECT doc_id, lower(trim(regexp_replace(text, '[\\s\\x{000B}\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS alias FROM documents)"
+)
 def normalize_alias(s: Star) -> DataFrame:
     alias = s.table("documents").select("doc_id", normalize.normalize_alias(F.col("text")).alias("alias"))
     return alias.select("doc_id", F.length("alias").cast("long").alias("chars"), F.md5(F.col("alias").cast("binary")).alias("digest"))
@@ -505,7 +588,9 @@ def normalize_alias(s: Star) -> DataFrame:
 @query("SELECT c_custkey, replace(lower(c_name), ',', ' ') AS norm FROM customer")
 def normalize_corp(s: Star) -> DataFrame:
     form = F.col("c_custkey") % 5
-    named = F.when(form == 0, F.concat(F.lit("(주) "), "c_name")).when(form == 1, F.concat("c_name", F.lit(" Co., Ltd."))).when(form == 2, F.concat("c_name", F.lit(", Inc."))).when(form == 3, F.concat(F.lit("㈜"), "c_name", F.lit("  Corp"))).otherwise(F.concat("c_name", F.lit(" Company")))
+    named = F.when(form == 0, F.concat(F.lit("(주) "), "c_name")).when(form == 1, F.concat("c_name", F.lit(" Co., Ltd."))).when(form == 2, F.concat("c_name", F.lit(", Inc."))).when(
+        form == 3, F.concat(F.lit("㈜"), "c_name", F.lit("  Corp"))
+    ).otherwise(F.concat("c_name", F.lit(" Company")))
     return s.table("customer").select("c_custkey", normalize.normalize_corp_name(named).alias("norm"))
 
 
@@ -517,12 +602,16 @@ def classify_holder(s: Star) -> DataFrame:
     return s.table("customer").select("c_custkey", normalize.classify_shareholder(name, relation).alias("kind"))
 
 
-@query(with_views("stake") + " SELECT holder_id, company_id, period, CASE WHEN stake_pct * 20 >= 50 THEN '자회사' WHEN stake_pct * 20 >= 20 THEN '관계회사' ELSE '기타' END AS affiliation FROM stake")
+@query(
+    with_views("stake") + " SELECT holder_id, company_id, period, CASE WHEN stake_pct * 20 >= 50 THEN '자회사' WHEN stake_pct * 20 >= 20 THEN '관계회사' ELSE '기타' END AS affiliation FROM stake"
+)
 def affiliation(s: Star) -> DataFrame:
     return graph_query.stakes(s.stake_edges()).select("holder_id", "company_id", "period", normalize.affiliation(F.col("stake_pct") * 20).alias("affiliation"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN NULL WHEN o_orderkey % 10 = 2 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(22,2)) AS DOUBLE) END AS amount FROM orders")
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN NULL WHEN o_orderkey % 10 = 2 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(22,2)) AS DOUBLE) END AS amount FROM orders"
+)
 def parse_amount(s: Star) -> DataFrame:
     k = F.col("o_orderkey") % 10
     raw = F.when(k == 0, "-").when(k == 1, " ").when(k == 2, "12d").otherwise(F.format_number(F.col("o_totalprice").cast("decimal(22,2)"), 2))
@@ -552,14 +641,20 @@ def period_key(s: Star) -> DataFrame:
 _WIDE = "wide AS (SELECT company_id, bsns_year, fiscal_period, max(CASE WHEN metric_key = 'revenue' THEN amount END) AS revenue, max(CASE WHEN metric_key = 'operating_income' THEN amount END) AS operating_income FROM pref GROUP BY ALL)"
 
 
-@query(with_views("facts") + f", {_PREFERRED}, {_WIDE} SELECT company_id, bsns_year, fiscal_period, CAST(revenue AS DOUBLE) AS revenue, CAST(operating_income AS DOUBLE) AS operating_income FROM wide")
+@query(
+    with_views("facts") + f", {_PREFERRED}, {_WIDE} SELECT company_id, bsns_year, fiscal_period, CAST(revenue AS DOUBLE) AS revenue, CAST(operating_income AS DOUBLE) AS operating_income FROM wide"
+)
 def fin_pivot(s: Star) -> DataFrame:
     return double(projection.financial_pivot(s.facts(), ["revenue", "operating_income"]), "revenue", "operating_income")
 
 
-@query(with_views("facts") + f", {_PREFERRED}, {_WIDE} SELECT company_id, bsns_year, fiscal_period, round(100 * CAST(operating_income AS DOUBLE) / CAST(revenue AS DOUBLE), 6) AS opm, CASE WHEN operating_income <> 0 THEN round(100 * CAST(revenue AS DOUBLE) / CAST(operating_income AS DOUBLE), 6) END AS debt_ratio FROM wide")
+@query(
+    with_views("facts") + f", {_PREFERRED}, {_WIDE} SELECT company_id, bsns_year, fiscal_period, round(100 * CAST(operating_income AS DOUBLE) / CAST(revenue AS DOUBLE), 6) AS opm, CASE WHEN operating_income <> 0 THEN round(100 * CAST(revenue AS DOUBLE) / CAST(operating_income AS DOUBLE), 6) END AS debt_ratio FROM wide"
+)
 def fin_ratios(s: Star) -> DataFrame:
-    wide = projection.financial_pivot(s.facts(), ["revenue", "operating_income"]).withColumns({"liabilities": F.col("revenue"), "equity": F.col("operating_income"), "net_income": F.col("revenue")})
+    wide = projection.financial_pivot(s.facts(), ["revenue", "operating_income"]).withColumns(
+        {"liabilities": F.col("revenue"), "equity": F.col("operating_income"), "net_income": F.col("revenue")}
+    )
     out = projection.financial_ratios(wide)
     return out.select("company_id", "bsns_year", "fiscal_period", F.round("opm", 6).alias("opm"), F.round("debt_ratio", 6).alias("debt_ratio"))
 
@@ -575,7 +670,9 @@ SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, md5(array_to_string(lines
 def html_lines(s: Star) -> DataFrame:
     before, after = _TABLE.split("{0}")
     lines = text.html_lines(F.concat("html", F.lit(before), F.col("page_id").cast("string"), F.lit(after)))
-    return s.table("pages").select("page_id", lines.alias("lines")).select("page_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("digest"))
+    return s.table("pages").select("page_id", lines.alias("lines")).select(
+        "page_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n").cast("binary")).alias("digest")
+    )
 
 
 _TITLES = ("사업의 개요", "주요 제품 등", "매출 및 수주", "기타")
@@ -586,7 +683,9 @@ def _filings(s: Star) -> DataFrame:
     title = F.get(F.array(*map(F.lit, _TITLES)), (F.col("turn") % 4).cast("int"))
     head = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), title)
     part = F.struct("turn", F.concat(head, F.lit("\n"), F.regexp_replace("text", "\n", " ")).alias("body"))
-    return s.table("conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.split(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["body"]), "\n"), "\n").alias("lines"))
+    return s.table("conversations").groupBy(F.col("conv_id").alias("doc")).agg(
+        F.split(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["body"]), "\n"), "\n").alias("lines")
+    )
 
 
 _FILED = "filed AS (SELECT conv_id AS doc, turn, (['사업의 개요', '주요 제품 등', '매출 및 수주', '기타'])[turn % 4 + 1] AS title, replace(text, chr(10), ' ') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE turn < 9)"
@@ -613,18 +712,28 @@ def escalation_level(s: Star) -> DataFrame:
 
 
 def _observed(s: Star) -> DataFrame:
-    return s.table("events").select(F.get(F.array(*map(F.lit, sections.TARGETS)), (F.col("user_id") % 3).cast("int")).alias("target"), F.concat(F.lit("re"), (F.col("user_id") % 40).cast("string")).alias("regex"), F.col("event_type").alias("header"), F.col("event_id").alias("at"), (F.col("event_type") == "error").alias("refuted"), F.array(F.col("event_type")).alias("samples"), F.lit(1).alias("confirmed_count"), F.when(F.col("event_id") % 2 == 0, "learned").otherwise("code_baseline").alias("source"), F.col("event_id").alias("ordinal"))
+    return s.table("events").select(
+        F.get(F.array(*map(F.lit, sections.TARGETS)), (F.col("user_id") % 3).cast("int")).alias("target"),
+        F.concat(F.lit("re"), (F.col("user_id") % 40).cast("string")).alias("regex"), F.col("event_type").alias("header"),
+        F.col("event_id").alias("at"), (F.col("event_type") == "error").alias("refuted"), F.array(F.col("event_type")).alias("samples"),
+        F.lit(1).alias("confirmed_count"), F.when(F.col("event_id") % 2 == 0, "learned").otherwise("code_baseline").alias("source"),
+        F.col("event_id").alias("ordinal")
+    )
 
 
 _OBSERVED = "observed AS (SELECT (['overview', 'products', 'revenue'])[user_id % 3 + 1] AS target, 're' || user_id % 40 AS regex, event_type AS header, event_id AS at_, event_type = 'error' AS refuted, CASE WHEN event_id % 2 = 0 THEN 'learned' ELSE 'code_baseline' END AS source FROM events)"
 
 
-@query(f"WITH {_OBSERVED} SELECT target, regex, array_to_string(list_sort(list_distinct(list(header))), ',') AS samples, count(*) AS confirmed_count, arg_min(source, at_) AS source FROM observed GROUP BY target, regex")
+@query(
+    f"WITH {_OBSERVED} SELECT target, regex, array_to_string(list_sort(list_distinct(list(header))), ',') AS samples, count(*) AS confirmed_count, arg_min(source, at_) AS source FROM observed GROUP BY target, regex"
+)
 def pattern_consolidate(s: Star) -> DataFrame:
     return sections.consolidate_patterns(_observed(s)).withColumn("samples", F.array_join("samples", ","))
 
 
-@query(f"WITH {_OBSERVED} SELECT target, regex, count(*) AS seen, array_to_string(list_sort(list_distinct(list(header))), ',') AS headers, min(at_) AS first_seen, max(at_) AS last_seen, bool_or(refuted) AS refuted, count(*) >= 3 AND NOT bool_or(refuted) AS promoted FROM observed GROUP BY target, regex")
+@query(
+    f"WITH {_OBSERVED} SELECT target, regex, count(*) AS seen, array_to_string(list_sort(list_distinct(list(header))), ',') AS headers, min(at_) AS first_seen, max(at_) AS last_seen, bool_or(refuted) AS refuted, count(*) >= 3 AND NOT bool_or(refuted) AS promoted FROM observed GROUP BY target, regex"
+)
 def proposal_promote(s: Star) -> DataFrame:
     return sections.promote_proposals(_observed(s)).withColumn("headers", F.array_join("headers", ","))
 
@@ -646,7 +755,9 @@ def queue_next(s: Star) -> DataFrame:
 _OUTCOME = "CASE id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'extract_error' ELSE 'fetch_error' END"
 
 
-@query(with_views("queue") + f" SELECT id, attempts + 1 AS attempts, CASE WHEN id % 4 = 0 THEN 'done' WHEN id % 4 = 1 THEN 'failed' WHEN id % 4 = 3 THEN 'skipped' WHEN attempts + 1 < 3 THEN 'pending' ELSE 'failed' END AS status FROM queue WHERE {_OUTCOME} IS NOT NULL")
+@query(
+    with_views("queue") + f" SELECT id, attempts + 1 AS attempts, CASE WHEN id % 4 = 0 THEN 'done' WHEN id % 4 = 1 THEN 'failed' WHEN id % 4 = 3 THEN 'skipped' WHEN attempts + 1 < 3 THEN 'pending' ELSE 'failed' END AS status FROM queue WHERE {_OUTCOME} IS NOT NULL"
+)
 def queue_transition(s: Star) -> DataFrame:
     k = F.col("id") % 4
     outcome = F.when(k == 0, "ok").when(k == 1, "extract_error").otherwise("fetch_error")
@@ -654,18 +765,24 @@ def queue_transition(s: Star) -> DataFrame:
     return s.queue().select("id", attempts.alias("attempts"), status.alias("status"))
 
 
-@query(with_views("queue") + " SELECT id, CASE WHEN status = 'in_progress' AND last_attempt_at < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 180 MINUTES THEN 'pending' ELSE status END AS status FROM queue")
+@query(
+    with_views("queue") + " SELECT id, CASE WHEN status = 'in_progress' AND last_attempt_at < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 180 MINUTES THEN 'pending' ELSE status END AS status FROM queue"
+)
 def stale_reset(s: Star) -> DataFrame:
     return operations.reset_stale(s.queue(), F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'")).select("id", "status")
 
 
-@query("SELECT event_id, day, used FROM (SELECT event_id, CAST(ts + INTERVAL 9 HOURS AS DATE) AS day, CAST(sum(event_id % 3 + 1) OVER (PARTITION BY CAST(ts + INTERVAL 9 HOURS AS DATE) ORDER BY ts, event_id) AS BIGINT) AS used FROM events) WHERE used <= 100")
+@query(
+    "SELECT event_id, day, used FROM (SELECT event_id, CAST(ts + INTERVAL 9 HOURS AS DATE) AS day, CAST(sum(event_id % 3 + 1) OVER (PARTITION BY CAST(ts + INTERVAL 9 HOURS AS DATE) ORDER BY ts, event_id) AS BIGINT) AS used FROM events) WHERE used <= 100"
+)
 def daily_budget(s: Star) -> DataFrame:
     calls = s.table("events").select("event_id", "ts", (F.col("event_id") % 3 + 1).alias("cost"))
     return operations.within_budget(calls, "ts", [F.col("ts"), F.col("event_id")], "cost", 100).select("event_id", "day", "used")
 
 
-@query(with_views("listed") + " SELECT corp_code, rcept_no, substr(report_nm, 16, 4) AS period FROM listed WHERE report_nm LIKE 'annual%' AND rcept_dt >= '19960101' AND corp_code IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer WHERE c_mktsegment <> 'BUILDING')")
+@query(
+    with_views("listed") + " SELECT corp_code, rcept_no, substr(report_nm, 16, 4) AS period FROM listed WHERE report_nm LIKE 'annual%' AND rcept_dt >= '19960101' AND corp_code IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer WHERE c_mktsegment <> 'BUILDING')"
+)
 def incremental_new(s: Star) -> DataFrame:
     listed = s.listed()
     known = listed.filter("rcept_dt < '19960101'").select("rcept_no")
@@ -684,7 +801,9 @@ def lifecycle_diff(s: Star) -> DataFrame:
     return operations.lifecycle(had, today, moved.filter("p_size <> 11"))
 
 
-@query(with_views("companies", "queue") + " SELECT dart_code AS corp_code, y AS period FROM companies JOIN (SELECT unnest(['2022', '2023', '2024']) AS y) ON true WHERE NOT EXISTS (SELECT 1 FROM queue q WHERE q.corp_code = dart_code AND q.period = y)")
+@query(
+    with_views("companies", "queue") + " SELECT dart_code AS corp_code, y AS period FROM companies JOIN (SELECT unnest(['2022', '2023', '2024']) AS y) ON true WHERE NOT EXISTS (SELECT 1 FROM queue q WHERE q.corp_code = dart_code AND q.period = y)"
+)
 def enrol_targets(s: Star) -> DataFrame:
     return operations.enrol(s.companies().select(F.col("dart_code").alias("corp_code")), ["2022", "2023", "2024"], s.queue())
 
@@ -699,13 +818,17 @@ def top_cost(s: Star) -> DataFrame:
     return operations.top_cost(s.queue()).select("id", F.col("cost_estimate_usd").cast("double").alias("cost"))
 
 
-@query("SELECT l_suppkey, array_to_string(list_sort(list_distinct(list_concat(list(DISTINCT year(l_shipdate)), [2024, 2025, 2026]))), ',') AS years FROM lineitem GROUP BY l_suppkey")
+@query(
+    "SELECT l_suppkey, array_to_string(list_sort(list_distinct(list_concat(list(DISTINCT year(l_shipdate)), [2024, 2025, 2026]))), ',') AS years FROM lineitem GROUP BY l_suppkey"
+)
 def years_union_floor(s: Star) -> DataFrame:
     rows = s.table("lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"))
     return operations.years_with_floor(rows, "l_suppkey", 2026, 3).select("l_suppkey", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
-@query(with_views("listed") + " SELECT corp_code, substr(report_nm, 16, 4) AS period, arg_max(rcept_no, rcept_dt || rcept_no) AS rcept_no FROM listed WHERE report_nm LIKE 'annual%' GROUP BY ALL")
+@query(
+    with_views("listed") + " SELECT corp_code, substr(report_nm, 16, 4) AS period, arg_max(rcept_no, rcept_dt || rcept_no) AS rcept_no FROM listed WHERE report_nm LIKE 'annual%' GROUP BY ALL"
+)
 def latest_report(s: Star) -> DataFrame:
     return operations.latest_report(s.listed(), "annual")
 
@@ -716,13 +839,17 @@ def fiscal_years(s: Star) -> DataFrame:
     return graph_query.fiscal_years(half)
 
 
-@query(with_views("seg", "companies") + """ SELECT corp_code, bsns_year, reprt_code FROM (SELECT DISTINCT right(subject_id, 8) AS corp_code, period AS bsns_year FROM seg UNION SELECT dart_code, y FROM companies, (SELECT unnest(['1998', '1999', '2000']) AS y)) , (SELECT unnest(['11011', '11013']) AS reprt_code)""")
+@query(
+    with_views("seg", "companies") + """ SELECT corp_code, bsns_year, reprt_code FROM (SELECT DISTINCT right(subject_id, 8) AS corp_code, period AS bsns_year FROM seg UNION SELECT dart_code, y FROM companies, (SELECT unnest(['1998', '1999', '2000']) AS y)) , (SELECT unnest(['11011', '11013']) AS reprt_code)"""
+)
 def report_targets(s: Star) -> DataFrame:
     companies = s.companies().select("company_id", F.col("dart_code").alias("corp_code"))
     return operations.report_targets(companies, graph_query.fiscal_years(s.segment_edges()), ("11011", "11013"), 2000, 3)
 
 
-@query("SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS ticker, lpad(CAST(min(c_custkey) AS VARCHAR), 8, '0') AS corp_code, min(c_custkey) IS NOT NULL AS found FROM part LEFT JOIN (SELECT * FROM customer WHERE c_nationkey > 3) ON c_custkey // 2 = p_partkey GROUP BY p_partkey")
+@query(
+    "SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS ticker, lpad(CAST(min(c_custkey) AS VARCHAR), 8, '0') AS corp_code, min(c_custkey) IS NOT NULL AS found FROM part LEFT JOIN (SELECT * FROM customer WHERE c_nationkey > 3) ON c_custkey // 2 = p_partkey GROUP BY p_partkey"
+)
 def ticker_codes(s: Star) -> DataFrame:
     stock = F.when(F.col("c_nationkey") > 3, F.lpad(F.floor(F.col("c_custkey") / 2).cast("string"), 6, "0")).otherwise(" ")
     master = s.table("customer").select(s.code("c_custkey").alias("corp_code"), stock.alias("stock_code"))
@@ -738,7 +865,10 @@ after AS (SELECT r.id, CASE WHEN b.id IS NULL OR r.id % 5 = 4 THEN attempts ELSE
 def _after_batch(s: Star) -> DataFrame:
     k = F.col("event_id") % 5
     outcome = F.when(k == 0, "ok").when(k == 1, "extract_error").when(k < 4, "fetch_error")
-    outcomes = s.table("events").select(F.col("event_id").alias("id"), outcome.alias("outcome"), F.when(k == 3, "no report found").otherwise("timeout").alias("message"), F.lit("regex").alias("level"), F.lit(1000).alias("chars")).filter("outcome is not null")
+    outcomes = s.table("events").select(
+        F.col("event_id").alias("id"), outcome.alias("outcome"), F.when(k == 3, "no report found").otherwise("timeout").alias("message"),
+        F.lit("regex").alias("level"), F.lit(1000).alias("chars")
+    ).filter("outcome is not null")
     queue = s.queue().withColumns({"last_error": F.lit(None).cast("string"), "escalation_level": F.lit(None).cast("string")})
     return operations.run_batch(queue, outcomes, F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'"), 300)
 
@@ -748,18 +878,24 @@ def run_batch(s: Star) -> DataFrame:
     return _after_batch(s).select("id", "attempts", "status", "picked", "processed")
 
 
-@query(with_views("queue") + f", {_BATCH} SELECT count(*) FILTER (processed) AS processed, count(*) FILTER (processed AND status = 'done') AS done, count(*) FILTER (processed AND status = 'skipped') AS skipped, count(*) FILTER (processed AND status = 'failed') AS failed, count(*) FILTER (picked AND NOT processed) AS rate_limit_hits, count(*) FILTER (status = 'pending') AS pending_remaining, 300 - count(*) FILTER (processed) AS budget_remaining FROM after")
+@query(
+    with_views("queue") + f", {_BATCH} SELECT count(*) FILTER (processed) AS processed, count(*) FILTER (processed AND status = 'done') AS done, count(*) FILTER (processed AND status = 'skipped') AS skipped, count(*) FILTER (processed AND status = 'failed') AS failed, count(*) FILTER (picked AND NOT processed) AS rate_limit_hits, count(*) FILTER (status = 'pending') AS pending_remaining, 300 - count(*) FILTER (processed) AS budget_remaining FROM after"
+)
 def batch_summary(s: Star) -> DataFrame:
     return operations.batch_summary(_after_batch(s), 300)
 
 
-@query("SELECT CASE WHEN user_id % 4 = 0 THEN 'full_text' WHEN user_id % 4 = 1 THEN NULL ELSE 'regex' END AS escalation_level, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL")
+@query(
+    "SELECT CASE WHEN user_id % 4 = 0 THEN 'full_text' WHEN user_id % 4 = 1 THEN NULL ELSE 'regex' END AS escalation_level, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY ALL"
+)
 def escalation_counts(s: Star) -> DataFrame:
     level = F.when(F.col("corp_code").cast("int") % 4 == 1, F.lit(None)).when(F.col("corp_code").cast("int") % 4 >= 2, "regex").otherwise("full_text")
     return operations.escalation_counts(s.queue().withColumn("escalation_level", level))
 
 
-@query("SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAYS) AS created, count(*) FILTER (event_type = 'error' AND CAST(ts AS DATE) >= DATE '2024-01-13') AS delisted FROM events")
+@query(
+    "SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7 DAYS) AS created, count(*) FILTER (event_type = 'error' AND CAST(ts AS DATE) >= DATE '2024-01-13') AS delisted FROM events"
+)
 def recent_changes(s: Star) -> DataFrame:
     stocks = s.table("events").select(F.col("ts").alias("created_at"), F.when(F.col("event_type") == "error", F.to_date("ts")).alias("delisted_at"))
     return operations.recent_changes(stocks, F.expr("TIMESTAMP_NTZ '2024-01-20 12:00:00'"))
@@ -785,7 +921,10 @@ def graph_export(s: Star) -> DataFrame:
     edges = s.segment_edges().withColumns({"source_type": F.lit("llm"), "confidence": F.lit(0.5)})
     facts = s.facts().withColumns({"amount": F.col("amount").cast("decimal(22,2)"), "source_type": F.lit("dart_api"), "confidence": F.lit(1.0)})
     said = lambda c: F.get_json_object("qualifier", f"$.{c}").alias(c)
-    return projection.graph_export(edges, facts).select("subject_id", "predicate", "object_id", "period", said("share_pct").cast("double").alias("share_pct"), said("amount").cast("double").alias("amount"), said("fs_div"), said("period_node"), "source_type", "confidence")
+    return projection.graph_export(edges, facts).select(
+        "subject_id", "predicate", "object_id", "period", said("share_pct").cast("double").alias("share_pct"),
+        said("amount").cast("double").alias("amount"), said("fs_div"), said("period_node"), "source_type", "confidence"
+    )
 
 
 _SHORT = "short AS (SELECT subject_id, predicate, object_id, period, floor(share_pct * 100) / 100 AS share FROM seg)"
@@ -796,17 +935,23 @@ def _short_shares(s: Star) -> DataFrame:
     return s.segment_edges().withColumn("qualifier", F.col("qualifier").withField("share_pct", F.floor(F.col("qualifier.share_pct") * 100) / 100))
 
 
-@query(with_views("seg") + f", {_SHORT} SELECT object_id, array_to_string(list_sort(list_distinct(list(predicate || ' ' || subject_id || ' ' || format('{{:g}}', share)))), '|') AS referrers, count(DISTINCT (subject_id, share)) AS n FROM short GROUP BY object_id")
+@query(
+    with_views("seg") + f", {_SHORT} SELECT object_id, array_to_string(list_sort(list_distinct(list(predicate || ' ' || subject_id || ' ' || format('{{:g}}', share)))), '|') AS referrers, count(DISTINCT (subject_id, share)) AS n FROM short GROUP BY object_id"
+)
 def backlinks(s: Star) -> DataFrame:
     return projection.backlinks(_short_shares(s))
 
 
-@query(with_views("stake") + f", {_OWNED} SELECT holder_id, array_to_string(list_sort(list(DISTINCT company_id)), ',') AS companies, count(DISTINCT company_id) AS n FROM owned GROUP BY holder_id")
+@query(
+    with_views("stake") + f", {_OWNED} SELECT holder_id, array_to_string(list_sort(list(DISTINCT company_id)), ',') AS companies, count(DISTINCT company_id) AS n FROM owned GROUP BY holder_id"
+)
 def person_holdings(s: Star) -> DataFrame:
     return projection.person_holdings(s.stake_edges())
 
 
-@query(with_views("companies", "facts") + " SELECT company_id, label, coalesce(n_name, '—') AS sector, coalesce(years, '—') AS years FROM companies LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = nation LEFT JOIN (SELECT company_id, array_to_string(list_sort(list(DISTINCT bsns_year)), ',') AS years FROM facts WHERE fs_div = 'CFS' GROUP BY company_id) USING (company_id)")
+@query(
+    with_views("companies", "facts") + " SELECT company_id, label, coalesce(n_name, '—') AS sector, coalesce(years, '—') AS years FROM companies LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = nation LEFT JOIN (SELECT company_id, array_to_string(list_sort(list(DISTINCT bsns_year)), ',') AS years FROM facts WHERE fs_div = 'CFS' GROUP BY company_id) USING (company_id)"
+)
 def company_index(s: Star) -> DataFrame:
     names = s.table("nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("sector"))
     sectors = s.companies().join(names, "nation").select("company_id", "sector")
@@ -856,7 +1001,10 @@ def _note_edges(s: Star) -> DataFrame:
 
 
 def _note_nodes(s: Star) -> DataFrame:
-    sectors = s.table("nation").select(ids.sector_id(F.col("n_nationkey").cast("string")).alias("id"), F.lit("sector").alias("kind"), F.col("n_name").alias("label"), F.create_map().cast("map<string,string>").alias("attrs"))
+    sectors = s.table("nation").select(
+        ids.sector_id(F.col("n_nationkey").cast("string")).alias("id"), F.lit("sector").alias("kind"), F.col("n_name").alias("label"),
+        F.create_map().cast("map<string,string>").alias("attrs")
+    )
     return union(s.nodes(), sectors)
 
 
@@ -890,17 +1038,24 @@ named AS (SELECT *, CASE WHEN length(s) <= 60 THEN s ELSE trim(left(s, 60)) || '
 SELECT p_partkey, name, CASE WHEN name = s THEN '[[' || name || ']]' ELSE '[[' || name || '|' || s || ']]' END AS link, '"' || replace(replace(label, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' AS scalar, format('{{:g}}', p_partkey / 8.0) AS number FROM named""")
 def note_helpers(s: Star) -> DataFrame:
     label = F.concat("p_name", F.lit(': "'), "p_type", F.lit('"/['), F.expr("repeat(concat(p_brand, ' '), p_size % 8)"), F.lit("]"))
-    return s.table("part").select("p_partkey", text.note_name(label).alias("name"), text.wikilink(label).alias("link"), text.yaml_string(label).alias("scalar"), text.general(F.col("p_partkey") / 8).alias("number"))
+    return s.table("part").select(
+        "p_partkey", text.note_name(label).alias("name"), text.wikilink(label).alias("link"), text.yaml_string(label).alias("scalar"),
+        text.general(F.col("p_partkey") / 8).alias("number")
+    )
 
 
-@query(with_views("seg", "facts") + " SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(DISTINCT p_brand) FROM part) AS nodes, (SELECT count(*) FROM seg) + (SELECT count(*) FROM facts) AS edges")
+@query(
+    with_views("seg", "facts") + " SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(DISTINCT p_brand) FROM part) AS nodes, (SELECT count(*) FROM seg) + (SELECT count(*) FROM facts) AS edges"
+)
 def export_counts(s: Star) -> DataFrame:
     return projection.export_counts(s.nodes(), projection.graph_export(s.segment_edges(), s.facts()))
 
 
 # ---- extensions: not in the reference today
 
-@query(with_views("seg") + " SELECT subject_id AS company_id, object_id, share_pct FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY share_pct DESC NULLS LAST, object_id) AS rn FROM seg JOIN (SELECT subject_id, max(period) AS period FROM seg GROUP BY ALL) USING (subject_id, period)) WHERE rn <= 5")
+@query(
+    with_views("seg") + " SELECT subject_id AS company_id, object_id, share_pct FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY share_pct DESC NULLS LAST, object_id) AS rn FROM seg JOIN (SELECT subject_id, max(period) AS period FROM seg GROUP BY ALL) USING (subject_id, period)) WHERE rn <= 5"
+)
 def e5_summary(s: Star) -> DataFrame:
     edges = s.segment_edges().select(F.col("subject_id").alias("company_id"), "object_id", "period", F.col("qualifier.share_pct").alias("share_pct"))
     latest = edges.groupBy("company_id").agg(F.max("period").alias("period"))

@@ -42,11 +42,18 @@ def _facts_of(wanted: DataFrame, statements: DataFrame, shares: DataFrame) -> Da
     return first_of(both, upsert.FACT_KEY, [F.desc("report_year"), F.col("amount")])
 
 
-def ingest_financials(nodes: DataFrame, edges: DataFrame, facts: DataFrame, statements: DataFrame, shares: DataFrame, year: int, n: int = 3, years: list[str] | None = None) -> DataFrame:
+def ingest_financials(
+    nodes: DataFrame, edges: DataFrame, facts: DataFrame, statements: DataFrame, shares: DataFrame, year: int, n: int = 3,
+    years: list[str] | None = None
+) -> DataFrame:
     """facts after the landed answers (statements and shares by corp_code, bsns_year, reprt_code) for all targets are upserted."""
     new = _facts_of(targets(nodes, edges, REPORT_CODES, year, n, years), statements, shares)
     fixed = {"currency": "KRW", "source_type": "dart_api", "method": "api"}
-    full = new.withColumns({c: F.lit(v) for c, v in fixed.items()} | {"source_ref": F.concat(F.lit("dart:"), F.substring_index("company_id", ":", -1), F.lit(":"), "report_year"), "confidence": F.lit(1.0)})
+    full = new.withColumns(
+        {c: F.lit(v) for c, v in fixed.items()} | {
+            "source_ref": F.concat(F.lit("dart:"), F.substring_index("company_id", ":", -1), F.lit(":"), "report_year"), "confidence": F.lit(1.0)
+        }
+    )
     batch = full.select(*(F.col(c).cast(facts.schema[c].dataType).alias(c) if c in full.columns else F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns))
     return upsert.upsert_facts(facts, batch, [F.col("amount")])
 
@@ -57,7 +64,9 @@ def rebuild_financials(nodes: DataFrame, edges: DataFrame, facts: DataFrame, sta
     return fresh, integrity.check_integrity(nodes, edges, fresh)
 
 
-def ingest_equity(nodes: DataFrame, edges: DataFrame, holders: DataFrame, investments: DataFrame, year: int, n: int = 3, years: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def ingest_equity(
+    nodes: DataFrame, edges: DataFrame, holders: DataFrame, investments: DataFrame, year: int, n: int = 3, years: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after the landed holders and investments of all targets' annual reports are upserted."""
     keys = ["corp_code", "bsns_year", "reprt_code"]
     wanted = targets(nodes, edges, ANNUAL, year, n, years)
@@ -83,7 +92,10 @@ class Run:
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def run_pipeline(tables: dict[str, DataFrame], landed: dict[str, DataFrame], year: int, n: int = 3, skip: tuple[str, ...] = (), publish: Callable[[str, DataFrame], DataFrame] | None = None) -> Run:
+def run_pipeline(
+    tables: dict[str, DataFrame], landed: dict[str, DataFrame], year: int, n: int = 3, skip: tuple[str, ...] = (),
+    publish: Callable[[str, DataFrame], DataFrame] | None = None
+) -> Run:
     """Structure, financials, equity and export, in this order, each unless it is in skip.
 
     tables: nodes, edges and facts. landed: extractions (company_code, rcept_no, record), statements, shares, holders, investments.

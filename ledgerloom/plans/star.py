@@ -29,21 +29,36 @@ class Star:
 
     def companies(self) -> DataFrame:
         """company_id, label, dart_code, nation."""
-        return self.table("supplier").select(ids.company_id(self.code("s_suppkey")).alias("company_id"), F.col("s_name").alias("label"), self.code("s_suppkey").alias("dart_code"), F.col("s_nationkey").alias("nation"))
+        return self.table("supplier").select(
+            ids.company_id(self.code("s_suppkey")).alias("company_id"), F.col("s_name").alias("label"), self.code("s_suppkey").alias("dart_code"),
+            F.col("s_nationkey").alias("nation")
+        )
 
     def nodes(self) -> DataFrame:
         company = self.companies().select(F.col("company_id").alias("id"), F.lit("company").alias("kind"), "label", F.create_map(F.lit("dart_code"), "dart_code").alias("attrs"))
         none = F.create_map().cast("map<string,string>")
-        segment = self.table("part").select("p_brand").distinct().select(ids.segment_id(F.col("p_brand")).alias("id"), F.lit("segment").alias("kind"), F.col("p_brand").alias("label"), none.alias("attrs"))
-        person = self.table("customer").select(ids.node_id("person", self.code("c_custkey")).alias("id"), F.lit("person").alias("kind"), F.col("c_name").alias("label"), none.alias("attrs"))
+        segment = self.table("part").select("p_brand").distinct().select(
+            ids.segment_id(F.col("p_brand")).alias("id"), F.lit("segment").alias("kind"), F.col("p_brand").alias("label"), none.alias("attrs")
+        )
+        person = self.table("customer").select(
+            ids.node_id("person", self.code("c_custkey")).alias("id"), F.lit("person").alias("kind"), F.col("c_name").alias("label"),
+            none.alias("attrs")
+        )
         return union(company, segment, person)
 
     def segment_edges(self) -> DataFrame:
         lines = self.table("lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").cast("string").alias("period"), F.expr(AMOUNT).alias("amt"))
-        sold = lines.join(self.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand", "period").agg(F.sum("amt").alias("amt"))
+        sold = lines.join(
+            self.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
+        ).groupBy("l_suppkey", "p_brand", "period").agg(F.sum("amt").alias("amt"))
         whole = F.expr("sum(amt) OVER (PARTITION BY l_suppkey, period)")
         share = F.round(100 * F.col("amt").cast("double") / whole.cast("double"), 6)
-        return self._edges(sold.select(ids.company_id(self.code("l_suppkey")).alias("subject_id"), F.lit("HAS_SEGMENT").alias("predicate"), ids.segment_id(F.col("p_brand")).alias("object_id"), "period", share.alias("share_pct")))
+        return self._edges(
+            sold.select(
+                ids.company_id(self.code("l_suppkey")).alias("subject_id"), F.lit("HAS_SEGMENT").alias("predicate"),
+                ids.segment_id(F.col("p_brand")).alias("object_id"), "period", share.alias("share_pct")
+            )
+        )
 
     def stake_edges(self) -> DataFrame:
         lines = self.table("lineitem").select("l_orderkey", "l_suppkey", F.expr(AMOUNT).alias("amt"))
@@ -51,10 +66,19 @@ class Star:
         bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey", "period").agg(F.sum("amt").alias("amt"))
         whole = F.expr("sum(amt) OVER (PARTITION BY l_suppkey, period)")
         stake = F.round(100 * F.col("amt").cast("double") / whole.cast("double"), 6)
-        return self._edges(bought.select(ids.node_id("person", self.code("o_custkey")).alias("subject_id"), F.lit("OWNS_STAKE_IN").alias("predicate"), ids.company_id(self.code("l_suppkey")).alias("object_id"), "period", stake.alias("stake_pct"), (F.col("o_custkey") % 2 == 0).alias("is_largest")))
+        return self._edges(
+            bought.select(
+                ids.node_id("person", self.code("o_custkey")).alias("subject_id"), F.lit("OWNS_STAKE_IN").alias("predicate"),
+                ids.company_id(self.code("l_suppkey")).alias("object_id"), "period", stake.alias("stake_pct"),
+                (F.col("o_custkey") % 2 == 0).alias("is_largest")
+            )
+        )
 
     def sector_edges(self) -> DataFrame:
-        rows = self.companies().select(F.col("company_id").alias("subject_id"), F.lit("IN_SECTOR").alias("predicate"), ids.sector_id(F.col("nation").cast("string")).alias("object_id"), F.lit(None).cast("string").alias("period"))
+        rows = self.companies().select(
+            F.col("company_id").alias("subject_id"), F.lit("IN_SECTOR").alias("predicate"),
+            ids.sector_id(F.col("nation").cast("string")).alias("object_id"), F.lit(None).cast("string").alias("period")
+        )
         return self._edges(rows)
 
     @staticmethod
@@ -69,7 +93,11 @@ class Star:
     def facts(self) -> DataFrame:
         quarter = F.quarter("l_shipdate")
         period = F.when(quarter == 1, "Q1").when(quarter == 2, "H1").when(quarter == 3, "Q3").otherwise("FY")
-        lines = self.table("lineitem").select(ids.company_id(self.code("l_suppkey")).alias("company_id"), F.year("l_shipdate").cast("string").alias("bsns_year"), period.alias("fiscal_period"), F.when(F.col("l_linestatus") == "F", "CFS").otherwise("OFS").alias("fs_div"), "l_returnflag", F.expr(AMOUNT).alias("amt"))
+        lines = self.table("lineitem").select(
+            ids.company_id(self.code("l_suppkey")).alias("company_id"), F.year("l_shipdate").cast("string").alias("bsns_year"),
+            period.alias("fiscal_period"), F.when(F.col("l_linestatus") == "F", "CFS").otherwise("OFS").alias("fs_div"), "l_returnflag",
+            F.expr(AMOUNT).alias("amt")
+        )
         signed = F.when(F.col("l_returnflag") == "R", -F.col("amt")).otherwise(F.col("amt"))
         sums = lines.groupBy("company_id", "bsns_year", "fiscal_period", "fs_div").agg(F.sum("amt").alias("revenue"), F.sum(signed).alias("operating_income"))
         return sums.unpivot(["company_id", "bsns_year", "fiscal_period", "fs_div"], ["revenue", "operating_income"], "metric_key", "amount")
@@ -82,13 +110,21 @@ class Star:
         kind = F.col("event_type")
         status = F.when(kind == "view", "pending").when(kind == "click", "in_progress").when(kind == "purchase", "done").when(kind == "signup", "skipped").otherwise("failed")
         cost = F.round(F.lit("0.05").cast("decimal(8,4)") + F.col("event_id").cast("decimal(12,0)") * F.lit("0.000009").cast("decimal(8,6)"), 4).cast("decimal(8,4)")
-        return self.table("events").select(F.col("event_id").alias("id"), F.lpad(F.col("user_id").cast("string"), 8, "0").alias("corp_code"), F.year("ts").cast("string").alias("period"), status.alias("status"), (F.col("event_id") % 4).cast("int").alias("attempts"), F.col("ts").alias("last_attempt_at"), cost.alias("cost_estimate_usd"))
+        return self.table("events").select(
+            F.col("event_id").alias("id"), F.lpad(F.col("user_id").cast("string"), 8, "0").alias("corp_code"),
+            F.year("ts").cast("string").alias("period"), status.alias("status"), (F.col("event_id") % 4).cast("int").alias("attempts"),
+            F.col("ts").alias("last_attempt_at"), cost.alias("cost_estimate_usd")
+        )
 
     def listed(self) -> DataFrame:
         """Orders as filed reports."""
         year = F.year("o_orderdate").cast("string")
         kind = F.when(F.col("o_orderpriority").startswith("1"), "quarterly").otherwise("annual")
-        return self.table("orders").select(F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("corp_code"), F.concat(kind, F.lit(" report ("), year, F.lit(".12)")).alias("report_nm"), F.lpad(F.col("o_orderkey").cast("string"), 14, "0").alias("rcept_no"), F.date_format("o_orderdate", "yyyyMMdd").alias("rcept_dt"))
+        return self.table("orders").select(
+            F.lpad(F.col("o_custkey").cast("string"), 8, "0").alias("corp_code"),
+            F.concat(kind, F.lit(" report ("), year, F.lit(".12)")).alias("report_nm"),
+            F.lpad(F.col("o_orderkey").cast("string"), 14, "0").alias("rcept_no"), F.date_format("o_orderdate", "yyyyMMdd").alias("rcept_dt")
+        )
 
 
 _ID = "lpad(CAST({} AS VARCHAR), 8, '0')"

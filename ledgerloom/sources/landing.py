@@ -34,7 +34,11 @@ def company_master_zip(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0).to_pylist():
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in (n for n in z.namelist() if n.lower().endswith(".xml")):
-                        out += [{c: (item.findtext(c) or "").strip() for c in ("corp_code", "corp_name", "stock_code", "modify_date")} for item in ET.fromstring(z.read(name)).iter("list")]
+                        out += [
+                            {
+                                c: (item.findtext(c) or "").strip() for c in ("corp_code", "corp_name", "stock_code", "modify_date")
+                            } for item in ET.fromstring(z.read(name)).iter("list")
+                        ]
             yield pa.RecordBatch.from_pylist(out, pa.schema([(c, pa.string()) for c in ("corp_code", "corp_name", "stock_code", "modify_date")]))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, MASTER)
@@ -164,7 +168,10 @@ def filing_documents(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [section(c) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in zip(*out, strict=True))] if out else [pa.array([], pa.string())] * 3, ["path", "html", "problem"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x, pa.string()) for x in zip(*out, strict=True))] if out else [pa.array([], pa.string())] * 3,
+                ["path", "html", "problem"]
+            )
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, html string, problem string")
 

@@ -15,13 +15,26 @@ def edges(spark, rows):
 
 
 def facts(spark, rows):
-    return spark.createDataFrame([(*r[:5], Decimal(r[5])) for r in rows], "company_id string, bsns_year string, fiscal_period string, fs_div string, metric_key string, amount decimal(22,2)")
+    return spark.createDataFrame(
+        [(*r[:5], Decimal(r[5])) for r in rows],
+        "company_id string, bsns_year string, fiscal_period string, fs_div string, metric_key string, amount decimal(22,2)"
+    )
 
 
 def test_screen(spark):
-    nodes = spark.createDataFrame([("A", "company", "a"), ("B", "company", "b"), ("C", "company", "c"), ("segment:hbm", "segment", "HBM"), ("segment:x", "segment", "X")], "id string, kind string, label string")
+    nodes = spark.createDataFrame(
+        [("A", "company", "a"), ("B", "company", "b"), ("C", "company", "c"), ("segment:hbm", "segment", "HBM"), ("segment:x", "segment", "X")],
+        "id string, kind string, label string"
+    )
     aliases = spark.createDataFrame([("hbm", "segment:hbm")], "alias_norm string, node_id string")
-    e = edges(spark, [("A", "HAS_SEGMENT", "segment:hbm", "2024", 60.0, None, None), ("A", "HAS_SEGMENT", "segment:x", "2024", None, None, None), ("B", "HAS_SEGMENT", "segment:hbm", "2024", 70.0, None, None), ("C", "HAS_SEGMENT", "segment:hbm", "2024", 20.0, None, None), ("C", "HAS_SEGMENT", "segment:x", "2024", 80.0, None, None)])
+    e = edges(
+        spark,
+        [
+            ("A", "HAS_SEGMENT", "segment:hbm", "2024", 60.0, None, None), ("A", "HAS_SEGMENT", "segment:x", "2024", None, None, None),
+            ("B", "HAS_SEGMENT", "segment:hbm", "2024", 70.0, None, None), ("C", "HAS_SEGMENT", "segment:hbm", "2024", 20.0, None, None),
+            ("C", "HAS_SEGMENT", "segment:x", "2024", 80.0, None, None)
+        ]
+    )
     amounts = {"A": (10, 20, 30), "B": (-5, 5, 10), "C": (10, 10, 10)}
     f = facts(spark, [(c, "2024", p, "CFS", "operating_income", v) for c, vs in amounts.items() for p, v in zip(("H1", "Q3", "FY"), vs)])
     assert [r["company_id"] for r in graph_query.screen(nodes, e, f, aliases, "HBM", "2024H1").collect()] == ["A"]
@@ -29,15 +42,27 @@ def test_screen(spark):
 
 
 def test_holders(spark):
-    e = edges(spark, [("p1", "OWNS_STAKE_IN", "A", "2023", None, 5.0, True), ("p2", "OWNS_STAKE_IN", "A", "2023", None, 8.0, False), ("p3", "OWNS_STAKE_IN", "A", "2023", None, None, False), ("p1", "OWNS_STAKE_IN", "A", "2022", None, 2.5, True)])
+    e = edges(
+        spark,
+        [
+            ("p1", "OWNS_STAKE_IN", "A", "2023", None, 5.0, True), ("p2", "OWNS_STAKE_IN", "A", "2023", None, 8.0, False),
+            ("p3", "OWNS_STAKE_IN", "A", "2023", None, None, False), ("p1", "OWNS_STAKE_IN", "A", "2022", None, 2.5, True)
+        ]
+    )
     assert [r["holder_id"] for r in graph_query.largest_shareholders(e).orderBy("place").collect()] == ["p2", "p1", "p3"]
     assert [(r["holder_id"], r["delta"]) for r in graph_query.stake_changes(e).collect()] == [("p1", 2.5)]
 
 
 def test_integrity(spark):
-    f = facts(spark, [("A", "2024", "FY", "CFS", "assets", 100), ("A", "2024", "H1", "CFS", "assets", 100), ("A", "2024", "Q1", "CFS", "assets", 95), ("Z", "2024", "FY", "CFS", "equity", 0)])
+    f = facts(
+        spark,
+        [("A", "2024", "FY", "CFS", "assets", 100), ("A", "2024", "H1", "CFS", "assets", 100), ("A", "2024", "Q1", "CFS", "assets", 95), ("Z", "2024", "FY", "CFS", "equity", 0)]
+    )
     nodes = spark.createDataFrame([("A", "company", {"dart_code": "1"}), ("B", "company", {"dart_code": "2"})], "id string, kind string, attrs map<string,string>")
-    e = edges(spark, [("x", "OWNS_STAKE_IN", "A", None, None, 70.0, True), ("y", "OWNS_STAKE_IN", "A", None, None, 60.0, True), ("x", "OWNS_STAKE_IN", "A", None, None, 70.0, False)])
+    e = edges(
+        spark,
+        [("x", "OWNS_STAKE_IN", "A", None, None, 70.0, True), ("y", "OWNS_STAKE_IN", "A", None, None, 60.0, True), ("x", "OWNS_STAKE_IN", "A", None, None, 70.0, False)]
+    )
     found = {(r["code"], r["severity"], r["subject"]) for r in integrity.check_integrity(nodes, e, f).collect()}
     assert found == {("interim_bs_equals_fy", "error", "A"), ("duplicate_edge", "error", "x"), ("orphan_fact", "warn", "Z"), ("negative_or_zero_equity", "info", "Z")}
     row = integrity.verify_ownership(nodes, e).first()
@@ -46,14 +71,24 @@ def test_integrity(spark):
 
 
 def test_statements(spark):
-    raw = [("2024", "IS", "ifrs-full_Revenue", "", "3", "2", "1", "CFS"), ("2024", "BS", "ifrs-full_Equity", "", "9", "8", "7", "CFS"), ("2024", "SCE", "ifrs-full_Equity", "", "5", "5", "5", "CFS"), ("2024", "CF", "", "당기순이익", "4", "4", "4", "CFS"), ("2024", "CIS", "", "당기순이익", "-5,000", "", "-", "CFS"), ("2024", "IS", "x", "매출총이익", "1", "1", "1", "CFS")]
-    rows = spark.createDataFrame(raw, "bsns_year string, sj_div string, account_id string, account_nm string, thstrm_amount string, frmtrm_amount string, bfefrmtrm_amount string, fs_div string")
+    raw = [
+        ("2024", "IS", "ifrs-full_Revenue", "", "3", "2", "1", "CFS"), ("2024", "BS", "ifrs-full_Equity", "", "9", "8", "7", "CFS"),
+        ("2024", "SCE", "ifrs-full_Equity", "", "5", "5", "5", "CFS"), ("2024", "CF", "", "당기순이익", "4", "4", "4", "CFS"),
+        ("2024", "CIS", "", "당기순이익", "-5,000", "", "-", "CFS"), ("2024", "IS", "x", "매출총이익", "1", "1", "1", "CFS")
+    ]
+    rows = spark.createDataFrame(
+        raw,
+        "bsns_year string, sj_div string, account_id string, account_nm string, thstrm_amount string, frmtrm_amount string, bfefrmtrm_amount string, fs_div string"
+    )
     got = {(r["metric_key"], r["bsns_year"], float(r["amount"])) for r in ingest.parse_statements(rows, F.lit("11011"), F.lit("1")).collect()}
     assert got == {("revenue", "2024", 3), ("revenue", "2023", 2), ("revenue", "2022", 1), ("equity", "2024", 9), ("net_income", "2024", -5000)}
 
 
 def test_holder_rows(spark):
-    rows = spark.createDataFrame([(1, "홍길동", "본인", "10.5", "100"), (2, "홍길동", "본인", "12.5%", "1,000"), (3, "계", "", "100", "1"), (4, "현대투자", "계열회사", "-", "")], "ordinal long, nm string, relate string, trmend_posesn_stock_qota_rt string, trmend_posesn_stock_co string")
+    rows = spark.createDataFrame(
+        [(1, "홍길동", "본인", "10.5", "100"), (2, "홍길동", "본인", "12.5%", "1,000"), (3, "계", "", "100", "1"), (4, "현대투자", "계열회사", "-", "")],
+        "ordinal long, nm string, relate string, trmend_posesn_stock_qota_rt string, trmend_posesn_stock_co string"
+    )
     got = {(r["subject_id"], r["stake_pct"], r["shares"], r["is_largest"]) for r in ingest.holder_edges(rows, F.lit("00000001"), F.lit("2024")).collect()}
     assert got == {("person:00000001:홍길동", 12.5, 1000, True), ("company:ext:현대투자", None, None, False)}
 
@@ -70,13 +105,21 @@ def test_upsert_is_idempotent_and_null_safe(spark):
 
 
 def test_repoint_merges_conflicts(spark):
-    e = spark.createDataFrame([("s", "SELLS_TO", "customer:raw", "2024", 1), ("s", "SELLS_TO", "company:1", "2024", 2), ("s", "SELLS_TO", "customer:raw", "2023", 3)], "subject_id string, predicate string, object_id string, period string, id int")
+    e = spark.createDataFrame(
+        [("s", "SELLS_TO", "customer:raw", "2024", 1), ("s", "SELLS_TO", "company:1", "2024", 2), ("s", "SELLS_TO", "customer:raw", "2023", 3)],
+        "subject_id string, predicate string, object_id string, period string, id int"
+    )
     mapping = spark.createDataFrame([("customer:raw", "company:1")], "old_id string, new_id string")
-    assert sorted(map(tuple, upsert.repoint(e, mapping, "object_id", [F.col("id")]).collect())) == [("s", "SELLS_TO", "company:1", "2023", 3), ("s", "SELLS_TO", "company:1", "2024", 2)]
+    assert sorted(map(tuple, upsert.repoint(e, mapping, "object_id", [F.col("id")]).collect())) == [
+        ("s", "SELLS_TO", "company:1", "2023", 3), ("s", "SELLS_TO", "company:1", "2024", 2)
+    ]
 
 
 def test_customer_aliases_do_not_fall_back(spark):
-    nodes = spark.createDataFrame([("company:1", "company", "현대"), ("customer:a", "customer", "현대(주)"), ("customer:b", "customer", "모름"), ("customer:c", "customer", "현대 주식회사")], "id string, kind string, label string")
+    nodes = spark.createDataFrame(
+        [("company:1", "company", "현대"), ("customer:a", "customer", "현대(주)"), ("customer:b", "customer", "모름"), ("customer:c", "customer", "현대 주식회사")],
+        "id string, kind string, label string"
+    )
     aliases = spark.createDataFrame([("현대 주식회사", "company:gone")], "alias_norm string, node_id string")
     got = upsert.customer_mapping(nodes, aliases, normalize.normalize_alias(F.col("label")), normalize.normalize_corp_name(F.col("label")))
     assert [tuple(r) for r in got.collect()] == [("customer:a", "company:1")]
@@ -112,7 +155,10 @@ def test_queue_and_lifecycle(spark):
     got = dict(map(tuple, operations.lifecycle(had, both, spark.createDataFrame([("1",), ("2",), ("4",)], "ticker string")).collect()))
     assert got == {"1": "updated", "2": "relisted", "3": "delisted", "4": "added", "5": "unlinked"}
     status, attempts = operations.transition(F.col("a"), F.col("o"), F.col("m"))
-    rows = spark.createDataFrame([(0, "ok", ""), (1, "fetch_error", "x"), (2, "fetch_error", "x"), (0, "extract_error", "x"), (0, "fetch_error", "no report")], "a int, o string, m string")
+    rows = spark.createDataFrame(
+        [(0, "ok", ""), (1, "fetch_error", "x"), (2, "fetch_error", "x"), (0, "extract_error", "x"), (0, "fetch_error", "no report")],
+        "a int, o string, m string"
+    )
     assert [r[0] for r in rows.select(status).collect()] == ["done", "pending", "failed", "failed", "skipped"]
     years = spark.createDataFrame([("A", 2019), ("B", 2020)], "corp string, year int")
     assert dict(map(tuple, operations.years_with_floor(years, "corp", 2026, 3).collect())) == {"A": [2019, 2024, 2025, 2026], "B": [2020, 2024, 2025, 2026]}

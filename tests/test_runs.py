@@ -19,14 +19,26 @@ def land(root, kind, code, year, report, rows, status="000"):
 
 @pytest.fixture
 def landed(spark, tmp_path):
-    account = lambda div, sj, name, *amounts: dict(zip(("fs_div", "sj_div", "account_id", "account_nm", "thstrm_amount", "frmtrm_amount", "bfefrmtrm_amount"), (div, sj, "", name, *amounts)))
-    land(tmp_path, "statements", "00000007", "2025", "11011", [account("OFS", "IS", "매출액", "1", "1", "1"), account("CFS", "IS", "매출액", "30", "20", "10"), account("CFS", "BS", "자산총계", "9", "8", "7")])
+    account = lambda div, sj, name, *amounts: dict(
+        zip(("fs_div", "sj_div", "account_id", "account_nm", "thstrm_amount", "frmtrm_amount", "bfefrmtrm_amount"), (div, sj, "", name, *amounts))
+    )
+    land(
+        tmp_path, "statements", "00000007", "2025", "11011",
+        [account("OFS", "IS", "매출액", "1", "1", "1"), account("CFS", "IS", "매출액", "30", "20", "10"), account("CFS", "BS", "자산총계", "9", "8", "7")]
+    )
     land(tmp_path, "statements", "00000007", "2026", "11012", [account("OFS", "BS", "자산총계", "5,000", "-", "")])
     land(tmp_path, "statements", "00000007", "2019", "11011", [account("CFS", "IS", "매출액", "3", "2", "1")])
     land(tmp_path, "statements", "00000008", "2025", "11011", [], "013")
     land(tmp_path, "statements", "00000009", "2025", "11011", [account("CFS", "IS", "매출액", "1", "1", "1")])  # not in the register
     land(tmp_path, "shares", "00000007", "2025", "11011", [{"se": "합계", "istc_totqy": "9"}, {"se": " 보통주", "istc_totqy": "1,234"}, {"se": "보통주", "istc_totqy": "5"}])
-    land(tmp_path, "holders", "00000007", "2025", "11011", [{"nm": "홍길동", "relate": "본인", "trmend_posesn_stock_co": "10", "trmend_posesn_stock_qota_rt": "1.5"}, {"nm": "홍길동", "relate": "본인", "trmend_posesn_stock_co": "20", "trmend_posesn_stock_qota_rt": "12.5"}, {"nm": "합계", "relate": "", "trmend_posesn_stock_co": "30", "trmend_posesn_stock_qota_rt": "14"}])
+    land(
+        tmp_path, "holders", "00000007", "2025", "11011",
+        [
+            {"nm": "홍길동", "relate": "본인", "trmend_posesn_stock_co": "10", "trmend_posesn_stock_qota_rt": "1.5"},
+            {"nm": "홍길동", "relate": "본인", "trmend_posesn_stock_co": "20", "trmend_posesn_stock_qota_rt": "12.5"},
+            {"nm": "합계", "relate": "", "trmend_posesn_stock_co": "30", "trmend_posesn_stock_qota_rt": "14"}
+        ]
+    )
     land(tmp_path, "investments", "00000007", "2025", "11011", [{"inv_prm": "(주)갑", "invstmnt_purps": "경영참여", "trmend_blce_qy": "7", "trmend_blce_qota_rt": "51"}])
     land(tmp_path, "investments", "00000008", "2025", "11011", [], "800")
     read = {"statements": landing.report_statements, "shares": landing.share_counts, "holders": landing.largest_shareholders, "investments": landing.other_investments}
@@ -35,8 +47,17 @@ def landed(spark, tmp_path):
 
 @pytest.fixture
 def tables(spark):
-    nodes = spark.createDataFrame([("company:00000007", "company", "Seven", {"dart_code": "00000007"}), ("company:00000008", "company", "Eight", {"dart_code": "00000008"}), ("company:ext:갑", "company", "Gap", {"external": "true", "seen": "1"})], schema.NODES)
-    edges = spark.createDataFrame([("company:00000007", "HAS_SEGMENT", "segment:x", p) for p in ("2019", "2020H1")], "subject_id string, predicate string, object_id string, period string")
+    nodes = spark.createDataFrame(
+        [
+            ("company:00000007", "company", "Seven", {"dart_code": "00000007"}), ("company:00000008", "company", "Eight", {"dart_code": "00000008"}),
+            ("company:ext:갑", "company", "Gap", {"external": "true", "seen": "1"})
+        ],
+        schema.NODES
+    )
+    edges = spark.createDataFrame(
+        [("company:00000007", "HAS_SEGMENT", "segment:x", p) for p in ("2019", "2020H1")],
+        "subject_id string, predicate string, object_id string, period string"
+    )
     rest = spark.createDataFrame([], schema.EDGES)
     edges = edges.unionByName(rest, allowMissingColumns=True).select(*rest.columns)
     return {"nodes": nodes, "edges": edges, "facts": spark.createDataFrame([], schema.FACTS)}
@@ -49,7 +70,11 @@ def test_targets(tables):
     assert {tuple(r) for r in runs.targets(tables["nodes"], tables["edges"], ("11011",), 2026, years=["2001"]).collect()} == {(c, "2001", "11011") for c in years}
 
 
-FACTS = {("revenue", "2025", "FY", "CFS", 30), ("revenue", "2024", "FY", "CFS", 20), ("revenue", "2023", "FY", "CFS", 10), ("revenue", "2019", "FY", "CFS", 3), ("revenue", "2018", "FY", "CFS", 2), ("revenue", "2017", "FY", "CFS", 1), ("assets", "2025", "FY", "CFS", 9), ("assets", "2026", "H1", "OFS", 5000), ("shares_outstanding", "2025", "FY", "CFS", 1234)}
+FACTS = {
+    ("revenue", "2025", "FY", "CFS", 30), ("revenue", "2024", "FY", "CFS", 20), ("revenue", "2023", "FY", "CFS", 10),
+    ("revenue", "2019", "FY", "CFS", 3), ("revenue", "2018", "FY", "CFS", 2), ("revenue", "2017", "FY", "CFS", 1), ("assets", "2025", "FY", "CFS", 9),
+    ("assets", "2026", "H1", "OFS", 5000), ("shares_outstanding", "2025", "FY", "CFS", 1234)
+}
 
 
 def flat(facts):
@@ -69,7 +94,10 @@ def test_financials(tables, landed):
 def test_equity(tables, landed):
     nodes, edges = runs.ingest_equity(tables["nodes"], tables["edges"], landed["holders"], landed["investments"], 2026)
     own = {(r["subject_id"], r["object_id"], r["period"], r["qualifier"]["stake_pct"], r["source_ref"]) for r in edges.filter("predicate = 'OWNS_STAKE_IN'").collect()}
-    assert own == {("person:00000007:홍길동", "company:00000007", "2025", 12.5, "dart:00000007:2025:11011"), ("company:00000007", "company:ext:주-갑", "2025", 51.0, "dart:00000007:2025:11011")}
+    assert own == {
+        ("person:00000007:홍길동", "company:00000007", "2025", 12.5, "dart:00000007:2025:11011"),
+        ("company:00000007", "company:ext:주-갑", "2025", 51.0, "dart:00000007:2025:11011")
+    }
     by_id = {r["id"]: r for r in nodes.collect()}
     assert by_id["company:ext:주-갑"]["attrs"] == {"external": "true"} and by_id["person:00000007:홍길동"]["kind"] == "person"
     assert by_id["company:00000007"]["attrs"] == {"dart_code": "00000007"} and edges.count() == 4
@@ -79,7 +107,10 @@ def test_equity(tables, landed):
 
 def test_pipeline(spark, tables, landed):
     record = ("2024", [("HBM", 60.0, None, [])], [("Big Co", 10.0, "1차")], [("KR", 40.0)])
-    extractions = spark.createDataFrame([("00000007", "r1", record), ("00000008", "r2", ("2024", [("X", 160.0, None, [])], [], []))], f"company_code string, rcept_no string, record {schema.EXTRACTION}")
+    extractions = spark.createDataFrame(
+        [("00000007", "r1", record), ("00000008", "r2", ("2024", [("X", 160.0, None, [])], [], []))],
+        f"company_code string, rcept_no string, record {schema.EXTRACTION}"
+    )
     done = runs.run_pipeline(tables, landed | {"extractions": extractions}, 2026)
     assert done.ran == ["structure", "financials", "equity", "export"] and done.skipped == []
     kinds = {r["predicate"]: r["count"] for r in done.tables["export"].groupBy("predicate").count().collect()}

@@ -28,7 +28,10 @@ def test_filing(spark, tmp_path):
 
 
 def test_pages_and_universe(spark, tmp_path):
-    row = {"corp_code": "00000001", "corp_name": "a", "stock_code": "", "corp_cls": "E", "report_nm": "사업보고서 (2023.12)", "rcept_no": "1", "flr_nm": "", "rcept_dt": "20240301", "rm": ""}
+    row = {
+        "corp_code": "00000001", "corp_name": "a", "stock_code": "", "corp_cls": "E", "report_nm": "사업보고서 (2023.12)", "rcept_no": "1", "flr_nm": "",
+        "rcept_dt": "20240301", "rm": ""
+    }
     (tmp_path / "p1.json").write_text(json.dumps({"status": "000", "message": "", "page_no": 1, "total_page": 2, "list": [row]}))
     (tmp_path / "p2.json").write_text(json.dumps({"status": "013", "message": "", "page_no": 2, "total_page": 2}))
     assert landing.listing_pages(spark, f"{tmp_path}/p*.json").count() == 1
@@ -68,7 +71,10 @@ def test_windows_on_a_stream(spark, tmp_path):
 def test_export(spark, tmp_path):
     nodes = spark.createDataFrame([("b", "company"), ("a", "company")], "id string, kind string")
     edges = spark.createDataFrame([("a", "P", "b", None)], "subject_id string, predicate string, object_id string, period string")
-    facts = spark.createDataFrame([("a", "2024", "FY", "CFS", "revenue", 1)], "company_id string, bsns_year string, fiscal_period string, fs_div string, metric_key string, amount int")
+    facts = spark.createDataFrame(
+        [("a", "2024", "FY", "CFS", "revenue", 1)],
+        "company_id string, bsns_year string, fiscal_period string, fs_div string, metric_key string, amount int"
+    )
     sinks.export_graph(nodes, edges, facts, str(tmp_path / "g"))
     assert spark.read.json(str(tmp_path / "g/edges")).filter("predicate = 'REPORTS'").first()["object_id"] == "metric:revenue"
     assert spark.read.json(str(tmp_path / "g/nodes")).count() == 2
@@ -101,7 +107,9 @@ def test_bad_filings(spark, tmp_path):
 
 def test_seeds_and_names(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"customers": [{"corp": "00000001", "variants": ["A", "B"]}], "owners": [{"canonical": "Kim", "variants": ["K"]}]}))
-    assert {(r["group"], r["target"], tuple(r["variants"])) for r in landing.alias_seeds(spark, str(tmp_path / "a.json")).collect()} == {("customers", "00000001", ("A", "B")), ("owners", "Kim", ("K",))}
+    assert {
+        (r["group"], r["target"], tuple(r["variants"])) for r in landing.alias_seeds(spark, str(tmp_path / "a.json")).collect()
+    } == {("customers", "00000001", ("A", "B")), ("owners", "Kim", ("K",))}
     (tmp_path / "k.csv").write_text("code,name\n264,통신장비\n 26 ,전자\n")
     assert {tuple(r) for r in landing.sector_names(spark, str(tmp_path / "k.csv")).collect()} == {("264", "통신장비"), ("26", "전자")}
     (tmp_path / "p.json").write_text(json.dumps({"status": "000", "corp_code": "00000001", "corp_name": "a", "stock_code": "", "induty_code": "264"}))
