@@ -75,6 +75,12 @@ def html_lines(html: Column) -> Column:
     return F.filter(F.split(html_text(html), "\r\n|[\r\n]"), lambda x: stripped(x) != "")
 
 
+def content_lines(html: Column) -> Column:
+    """The lines that are not blank, of all text between tags, tables' cells included as lines of their own."""
+    s = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    return F.filter(F.flatten(F.transform(_pieces(s), lambda x: F.split(x, "\r\n|[\r\n]"))), lambda x: stripped(x) != "")
+
+
 def header_text(line: Column) -> Column:
     """The title of a numbered header line, or null."""
     found = F.regexp_extract(line, HEADER, 1)

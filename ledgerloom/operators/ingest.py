@@ -225,3 +225,33 @@ def unseen_reports(extractions: DataFrame, edges: DataFrame) -> DataFrame:
 def accepted_extractions(extractions: DataFrame) -> DataFrame:
     """Extractions without a problem (see rejected_extractions)."""
     return extractions.join(rejected_extractions(extractions).select("company_code").distinct(), "company_code", "left_anti")
+
+
+# The labels of metric nodes.
+METRIC_LABELS = {
+    "revenue": "매출액", "operating_income": "영업이익", "net_income": "당기순이익", "assets": "자산총계", "liabilities": "부채총계", "equity": "자본총계",
+    "eps": "기본주당순이익", "cf_operating": "영업활동현금흐름", "cf_investing": "투자활동현금흐름", "cf_financing": "재무활동현금흐름", "shares_outstanding": "발행주식수",
+}
+
+
+def fact_nodes(facts: DataFrame) -> DataFrame:
+    """Nodes (id, kind, label) of the metrics and periods that facts refer to, each once."""
+    metrics = facts.select("metric_key").distinct()
+    metrics = metrics.select(
+        ids.metric_id(F.col("metric_key")).alias("id"), F.lit("metric").alias("kind"),
+        F.coalesce(_looked_up(METRIC_LABELS, F.col("metric_key")), "metric_key").alias("label")
+    )
+    periods = facts.select("bsns_year", "fiscal_period").distinct()
+    periods = periods.select(
+        ids.period_id(F.col("bsns_year"), F.col("fiscal_period")).alias("id"), F.lit("period").alias("kind"),
+        F.concat_ws(" ", "bsns_year", "fiscal_period").alias("label")
+    )
+    return metrics.unionByName(periods)
+
+
+def missing_companies(codes: DataFrame, nodes: DataFrame, master: DataFrame) -> DataFrame:
+    """Nodes (id, kind, label, attrs) of companies that are asked for (corp_code) and have no node: named by the register, else by the code."""
+    wanted = codes.select("corp_code").distinct().withColumn("id", ids.company_id(F.col("corp_code"))).join(nodes.select("id"), "id", "left_anti")
+    named = wanted.join(master.groupBy("corp_code").agg(F.min("corp_name").alias("name")), "corp_code", "left")
+    label = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("corp_code"))
+    return named.select("id", F.lit("company").alias("kind"), label.alias("label"), F.create_map(F.lit("dart_code"), F.col("corp_code")).alias("attrs"))

@@ -80,9 +80,15 @@ def top_cost(queue: DataFrame, n: int = 10) -> DataFrame:
 
 
 def latest_report(listed: DataFrame, prefix: str) -> DataFrame:
-    """corp_code, period, rcept_no: the last filed report of a kind for each company and period."""
-    named = listed.filter(F.col("report_nm").startswith(prefix)).withColumn("period", normalize.year_of_report(F.col("report_nm"))).filter("period is not null")
-    return named.groupBy("corp_code", "period").agg(F.max_by("rcept_no", F.struct("rcept_dt", "rcept_no")).alias("rcept_no"))
+    """corp_code, period, rcept_no: the last filed report of a kind for each company and period.
+
+    Only filings from January to the first of July of the year after the period count; later ones are of another year's business.
+    """
+    named = listed.filter(F.col("report_nm").startswith(prefix)).withColumn("period", normalize.year_of_report(F.col("report_nm")))
+    after = (F.col("period").cast("int") + 1).cast("string")
+    inside = F.col("rcept_dt").between(F.concat(after, F.lit("0101")), F.concat(after, F.lit("0701")))
+    wanted = named.filter(F.col("period").isNotNull() & inside)
+    return wanted.groupBy("corp_code", "period").agg(F.max_by("rcept_no", F.struct("rcept_dt", "rcept_no")).alias("rcept_no"))
 
 
 def years_with_floor(years: DataFrame, key: str, year: int, n: int) -> DataFrame:
@@ -168,3 +174,21 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 def universe_of_stocks(stocks: DataFrame) -> DataFrame:
     """corp_code of all stocks that are listed now and linked to the register, each once."""
     return stocks.filter("delisted_at is null and corp_code is not null").select("corp_code").distinct()
+
+
+CALLS_PER_TARGET = 2
+COST_PER_TARGET = 0.25
+
+
+def enrol_estimate(companies: DataFrame, periods: list[str], queue: DataFrame) -> DataFrame:
+    """One row: targets that enrol would add, those that the queue holds already, and what the new ones would cost in calls and dollars."""
+    wanted = companies.select("corp_code").distinct().select("corp_code", F.explode(F.array(*map(F.lit, periods))).alias("period"))
+    known = queue.select("corp_code", "period").distinct().withColumn("known", F.lit(True))
+    counts = wanted.join(known, ["corp_code", "period"], "left").agg(F.count_if(F.col("known").isNull()).alias("added"), F.count("known").alias("skipped"))
+    return counts.withColumns({"calls": F.col("added") * CALLS_PER_TARGET, "cost": F.col("added") * COST_PER_TARGET})
+
+
+def relative_date(spec: Column, today: Column) -> Column:
+    """today, yesterday, or an ISO date; null for anything else."""
+    said = F.lower(F.trim(spec))
+    return F.when(said == "today", today).when(said == "yesterday", F.date_sub(today, 1)).otherwise(said.try_cast("date"))

@@ -75,12 +75,43 @@ def company_card(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues: D
     return rows.na.fill(0, ["segments", "holders", "periods", "issues"])
 
 
+SEVERITIES = ("error", "warn", "info")
+
+
 def qa_summary(issues: DataFrame) -> DataFrame:
     """severity, place (error, warn, info), n."""
     place = F.when(F.col("severity") == "error", 1).when(F.col("severity") == "warn", 2).otherwise(3)
     return issues.groupBy("severity").agg(F.count("*").alias("n")).select("severity", place.alias("place"), "n")
 
 
+def qa_report(issues: DataFrame) -> DataFrame:
+    """place, subject, line: the report's lines; ordered by place, then subject and line, they are the text.
+
+    A row a finding, in a table for each severity that has any, from errors to notes, under a head with the counts.
+    """
+    counts = issues.agg(F.count("*").alias("n"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
+    said = F.array_join(F.array(*(F.concat(F.lit(f"{s}: "), F.col(s).cast("string")) for s in SEVERITIES)), " · ")
+    head = F.concat(F.lit('---\ntype: "qa-report"\ntags: [qa-report]\n---\n# 온톨로지 무결성 리포트\n\n\n- 총 이슈: '), F.col("n").cast("string"), F.lit("\n- "), said, F.lit("\n"))
+    tables = [
+        F.when(
+            F.col(s) > 0,
+            F.struct(
+                F.lit(10 * (i + 1)).alias("place"),
+                F.concat(F.lit(f"\n## {s} ("), F.col(s).cast("string"), F.lit(")\n\n| code | subject | message |\n|------|---------|---------|")).alias("line")
+            )
+        ) for i, s in enumerate(SEVERITIES)
+    ]
+    none = F.when(F.col("n") == 0, F.struct(F.lit(1).alias("place"), F.lit("\n무결성 이슈 없음 ✅\n").alias("line")))
+    heads = counts.select(F.explode(F.array(F.struct(F.lit(0).alias("place"), head.alias("line")), none, *tables)).alias("x")).filter("x is not null")
+    heads = heads.select("x.place", F.lit("").alias("subject"), "x.line")
+    row = F.concat(
+        F.lit("| "), "code", F.lit(" | "), F.coalesce("subject", F.lit("—")), F.lit(" | "),
+        F.replace(F.coalesce("detail", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit(" |")
+    )
+    place = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")) * 10 + 1
+    return heads.unionByName(issues.select(place.cast("int").alias("place"), F.coalesce("subject", F.lit("")).alias("subject"), row.alias("line")))
+
+
 def financial_pivot(facts: DataFrame, metrics: list[str]) -> DataFrame:
     """company_id, bsns_year, fiscal_period and a column a metric; the consolidated amount is preferred."""
     best = first_of(facts, ["company_id", "bsns_year", "fiscal_period", "metric_key"], [F.desc(F.col("fs_div") == "CFS"), F.col("amount")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text
@@ -91,3 +93,36 @@ def promote_proposals(observed: DataFrame, least: int = 3) -> DataFrame:
         F.count("*").alias("seen"), F.array_sort(F.collect_set("header")).alias("headers"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.coalesce(F.bool_or("refuted"), F.lit(False)).alias("refuted"),
     )
     return summed.withColumn("promoted", (F.col("seen") >= least) & ~F.col("refuted"))
+
+
+def known_patterns(baseline: DataFrame, stored: DataFrame) -> DataFrame:
+    """All patterns in use: the built-in ones, and of the stored ones those that were learned. Columns of baseline."""
+    return consolidate_patterns(baseline.unionByName(stored.filter("source = 'learned'").select(*baseline.columns)))
+
+
+def pattern_problem(target: str, regex: str) -> str | None:
+    """Why a pattern can't be added, or None: its target is unknown, or it isn't a regular expression that says something."""
+    if target not in TARGETS:
+        return f"unknown target {target}"
+    try:
+        found = re.compile(regex)
+    except re.error as e:
+        return f"no regular expression: {e}"
+    return "matches everything" if found.search("") else None
+
+
+def pattern_stats(patterns: DataFrame) -> DataFrame:
+    """target, source, n."""
+    return patterns.groupBy("target", "source").agg(F.count("*").alias("n"))
+
+
+def validate_proposals(proposals: DataFrame, fixtures: DataFrame, least: int = 3) -> DataFrame:
+    """Proposals (as from promote_proposals) with promoted and tag, checked against fixtures (target, header): headers that a target has.
+
+    A proposal whose pattern hits a header of another target is rejected and tagged with that target; fixtures are few.
+    """
+    others = fixtures.select(F.col("target").alias("other"), "header").distinct()
+    met = proposals.join(F.broadcast(others), (F.col("target") != F.col("other")) & F.expr("header rlike regex"), "left")
+    judged = met.groupBy(*(c for c in proposals.columns if c != "promoted")).agg(F.min("other").alias("hit"))
+    tag = F.when(F.col("hit").isNotNull(), F.concat(F.lit("__rejected_by:"), "hit"))
+    return judged.withColumns({"promoted": (F.col("seen") >= least) & ~F.col("refuted") & F.col("hit").isNull(), "tag": tag}).drop("hit")

@@ -165,6 +165,14 @@ def qa_summary(s: Star) -> DataFrame:
     return projection.qa_summary(_issues(s))
 
 
+@query(with_views("facts", "companies") + f"""{_COARSE}, {_ISSUES}, n AS (SELECT severity, count(*) AS n FROM issues GROUP BY ALL), of AS (SELECT coalesce(sum(n), 0) AS total, coalesce(max(n) FILTER (severity = 'error'), 0) AS e, coalesce(max(n) FILTER (severity = 'warn'), 0) AS w, coalesce(max(n) FILTER (severity = 'info'), 0) AS i FROM n)
+SELECT CAST(CASE severity WHEN 'error' THEN 11 WHEN 'warn' THEN 21 ELSE 31 END AS INT) AS place, subject, '| ' || code || ' | ' || subject || ' | ' || detail || ' |' AS line FROM issues
+UNION ALL SELECT CAST(CASE severity WHEN 'error' THEN 10 WHEN 'warn' THEN 20 ELSE 30 END AS INT), '', chr(10) || '## ' || severity || ' (' || n || ')' || chr(10) || chr(10) || '| code | subject | message |' || chr(10) || '|------|---------|---------|' FROM n
+UNION ALL SELECT 0, '', array_to_string(['---', 'type: "qa-report"', 'tags: [qa-report]', '---', '# 온톨로지 무결성 리포트', '', '', '- 총 이슈: ' || total, '- error: ' || e || ' · warn: ' || w || ' · info: ' || i, ''], chr(10)) FROM of""")
+def qa_report(s: Star) -> DataFrame:
+    return projection.qa_report(_issues(s))
+
+
 _PART_STAKES = ", st AS (SELECT * FROM stake WHERE stake_pct < 20)"
 _COVERAGE = "cover AS (SELECT count(*) AS companies_total, count(*) FILTER (company_id IN (SELECT company_id FROM st UNION SELECT holder_id FROM st)) AS companies_with_ownership FROM companies)"
 
@@ -826,11 +834,52 @@ def years_union_floor(s: Star) -> DataFrame:
     return operations.years_with_floor(rows, "l_suppkey", 2026, 3).select("l_suppkey", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
+_FILED_LATER = "later AS (SELECT corp_code, report_nm, rcept_no, strftime(strptime(rcept_dt, '%Y%m%d') + INTERVAL 9 MONTH, '%Y%m%d') AS rcept_dt FROM listed)"
+
+
 @query(
-    with_views("listed") + " SELECT corp_code, substr(report_nm, 16, 4) AS period, arg_max(rcept_no, rcept_dt || rcept_no) AS rcept_no FROM listed WHERE report_nm LIKE 'annual%' GROUP BY ALL"
+    with_views("listed") + f", {_FILED_LATER} SELECT corp_code, substr(report_nm, 16, 4) AS period, arg_max(rcept_no, rcept_dt || rcept_no) AS rcept_no FROM later WHERE report_nm LIKE 'annual%' AND CAST(substr(rcept_dt, 1, 4) AS INT) = CAST(substr(report_nm, 16, 4) AS INT) + 1 AND substr(rcept_dt, 5) <= '0701' GROUP BY ALL"
 )
 def latest_report(s: Star) -> DataFrame:
-    return operations.latest_report(s.listed(), "annual")
+    filed = F.add_months(F.to_date("rcept_dt", "yyyyMMdd"), 9)
+    return operations.latest_report(s.listed().withColumn("rcept_dt", F.date_format(filed, "yyyyMMdd")), "annual")
+
+
+@query(
+    with_views("companies", "queue") + " SELECT count(*) FILTER (q IS NULL) AS added, count(q) AS skipped, 2 * count(*) FILTER (q IS NULL) AS calls, 0.25 * count(*) FILTER (q IS NULL) AS cost FROM (SELECT dart_code, y FROM companies, (SELECT unnest(['2023', '2024']) AS y)) LEFT JOIN (SELECT DISTINCT corp_code, period, 1 AS q FROM queue) ON corp_code = dart_code AND period = y"
+)
+def enrol_estimate(s: Star) -> DataFrame:
+    return operations.enrol_estimate(s.companies().select(F.col("dart_code").alias("corp_code")), ["2023", "2024"], s.queue())
+
+
+@query(
+    "SELECT event_id, CASE event_type WHEN 'view' THEN DATE '2024-02-01' WHEN 'click' THEN DATE '2024-01-31' WHEN 'error' THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events"
+)
+def relative_date(s: Star) -> DataFrame:
+    kind = F.col("event_type")
+    spec = F.when(kind == "view", "today").when(kind == "click", " Yesterday").when(kind == "error", "soon").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return s.table("events").select("event_id", operations.relative_date(spec, F.lit("2024-02-01").cast("date")).alias("day"))
+
+
+@query(
+    with_views("facts") + " SELECT DISTINCT 'metric:' || metric_key AS id, 'metric' AS kind, CASE metric_key WHEN 'revenue' THEN '매출액' ELSE '영업이익' END AS label FROM facts UNION SELECT 'period:' || bsns_year || fiscal_period, 'period', bsns_year || ' ' || fiscal_period FROM facts"
+)
+def fact_nodes(s: Star) -> DataFrame:
+    return ingest.fact_nodes(s.facts())
+
+
+@query(
+    "SELECT DISTINCT 'company:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, 'company' AS kind, coalesce(p_name, lpad(CAST(c_custkey AS VARCHAR), 8, '0')) AS label, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS code FROM customer LEFT JOIN part ON p_partkey = c_custkey AND p_size > 20 WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)"
+)
+def missing_companies(s: Star) -> DataFrame:
+    master = s.table("part").select(s.code("p_partkey").alias("corp_code"), F.when(F.col("p_size") > 20, F.col("p_name")).otherwise(" ").alias("corp_name"))
+    found = ingest.missing_companies(s.table("customer").select(s.code("c_custkey").alias("corp_code")), s.nodes(), master)
+    return found.select("id", "kind", "label", F.col("attrs")["dart_code"].alias("code"))
+
+
+@query(f"WITH {_OBSERVED} SELECT target, source, count(*) AS n FROM observed GROUP BY ALL")
+def pattern_stats(s: Star) -> DataFrame:
+    return sections.pattern_stats(_observed(s))
 
 
 @query(with_views("seg") + " SELECT DISTINCT subject_id AS company_id, period AS year FROM seg WHERE share_pct >= 4")

@@ -129,10 +129,14 @@ def alias_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def universe(spark: SparkSession, path: str) -> DataFrame:
-    """corp_code of a list of eight-digit codes, one a line; # starts a comment. Any other line fails the read."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("code")).filter("code <> ''")
-    checked = F.when(F.col("code").rlike(r"^\d{8}$"), F.col("code")).otherwise(F.raise_error(F.concat(F.lit("bad code: "), "code")))
-    return lines.select(checked.alias("corp_code")).distinct()
+    """corp_code, line of a list of eight-digit codes, one a line, each code where it stands first; # starts a comment. Any other line fails the read."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).select(
+        (F.col("at") + 1).alias("line"), F.trim(F.regexp_replace("value", "#.*", "")).alias("code")
+    )
+    bad = F.raise_error(F.concat(F.lit("bad code in line "), F.col("line").cast("string"), F.lit(": "), "code"))
+    checked = F.when(F.col("code").rlike(r"^\d{8}$"), F.col("code")).otherwise(bad)
+    return lines.filter("code <> ''").select(checked.alias("corp_code"), "line").groupBy("corp_code").agg(F.min("line").alias("line"))
 
 
 def filing_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,9 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import normalize
+from ledgerloom.functions import normalize, text
 from ledgerloom.operators import graph_query, ingest, integrity, operations, sections, upsert
+from ledgerloom.sources import sinks
 
 
 def edges(spark, rows):
@@ -162,3 +163,45 @@ def test_queue_and_lifecycle(spark):
     assert [r[0] for r in rows.select(status).collect()] == ["done", "pending", "failed", "failed", "skipped"]
     years = spark.createDataFrame([("A", 2019), ("B", 2020)], "corp string, year int")
     assert dict(map(tuple, operations.years_with_floor(years, "corp", 2026, 3).collect())) == {"A": [2019, 2024, 2025, 2026], "B": [2020, 2024, 2025, 2026]}
+
+
+def test_pattern_store_and_validation(spark):
+    fields = "target string, regex string, samples array<string>, confirmed_count int, source string, ordinal int"
+    baseline = spark.createDataFrame([("overview", "사업.{0,3}개요", [], 0, "code_baseline", 0)], fields)
+    stored = spark.createDataFrame([("overview", "회사.{0,3}소개", ["회사의 소개"], 4, "learned", 1), ("revenue", "old", [], 1, "code_baseline", 2)], fields)
+    known = {(r["target"], r["regex"], r["source"]) for r in sections.known_patterns(baseline, stored).collect()}
+    assert known == {("overview", "사업.{0,3}개요", "code_baseline"), ("overview", "회사.{0,3}소개", "learned")}
+    assert sections.pattern_problem("overview", "회사") is None
+    assert "unknown" in sections.pattern_problem("people", "x") and "no regular" in sections.pattern_problem("overview", "(") and "everything" in sections.pattern_problem("overview", "x*")
+    seen = [("overview", "개요", i, False) for i in range(3)] + [("overview", "매출", i, False) for i in range(3)] + [("products", "제품", 1, False)]
+    observed = spark.createDataFrame(seen, "target string, regex string, at int, refuted boolean").withColumn("header", F.col("regex"))
+    fixtures = spark.createDataFrame([("overview", "사업의 개요"), ("revenue", "매출 및 수주"), ("products", "주요 제품")], "target string, header string")
+    judged = {(r["target"], r["regex"]): (r["promoted"], r["tag"]) for r in sections.validate_proposals(sections.promote_proposals(observed), fixtures).collect()}
+    assert judged == {("overview", "개요"): (True, None), ("overview", "매출"): (False, "__rejected_by:revenue"), ("products", "제품"): (False, None)}
+
+
+def test_publish_checked(spark, tmp_path):
+    good = spark.createDataFrame([(1,)], "x int")
+    bad = spark.createDataFrame([(-1,)], "x int")
+    negative = lambda df: df.filter("x < 0")
+    assert sinks.publish_checked(good, f"{tmp_path}/stage", f"{tmp_path}/out", negative).isEmpty()
+    assert sinks.publish_checked(bad, f"{tmp_path}/stage", f"{tmp_path}/out", negative).count() == 1
+    assert [r[0] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [1]
+    (tmp_path / "m.zip").write_text("x")
+    assert sinks.is_fresh(spark, f"{tmp_path}/m.zip", 1) and not sinks.is_fresh(spark, f"{tmp_path}/m.zip", 0)
+
+
+def test_resolution_marks_and_drops(spark):
+    nodes = spark.createDataFrame([("customer:a", "customer", "A", {"k": "v"}), ("customer:b", "customer", "B", None), ("company:1", "company", "A", None)], "id string, kind string, label string, attrs map<string,string>")
+    mapping = spark.createDataFrame([("customer:a", "company:1")], "old_id string, new_id string")
+    got = {r["id"]: r["attrs"] for r in upsert.mark_unresolved(nodes, mapping).collect()}
+    assert got == {"customer:a": {"k": "v"}, "customer:b": {"resolved": "false"}, "company:1": None}
+    assert {r["id"] for r in upsert.drop_nodes(nodes, mapping).collect()} == {"customer:b", "company:1"}
+    sales = edges(spark, [("company:2", "SELLS_TO", "customer:a", "2024", 1.0, None, None)]).withColumn("qualifier", F.col("qualifier").withField("buyer_raw", F.lit(None).cast("string")))
+    moved = upsert.repoint(sales, mapping, "object_id", [F.col("period")], buyer_raw=F.lit("A")).first()
+    assert moved["object_id"] == "company:1" and moved["qualifier"]["buyer_raw"] == "A"
+
+
+def test_content_lines(spark):
+    page = "<h1>1. 개요</h1><script>no</script><table><tr><td>a</td><td> b </td></tr></table>\n<p> c\n\n d</p>"
+    assert spark.createDataFrame([(page,)], "h string").select(text.content_lines(F.col("h"))).first()[0] == ["1. 개요", "a", "b", "c", " d"]

@@ -36,9 +36,9 @@ def test_pages_and_universe(spark, tmp_path):
     (tmp_path / "p2.json").write_text(json.dumps({"status": "013", "message": "", "page_no": 2, "total_page": 2}))
     assert landing.listing_pages(spark, f"{tmp_path}/p*.json").count() == 1
     (tmp_path / "u.txt").write_text("# all\n00000001 # one\n00000001\n\n00000002\n")
-    assert {r[0] for r in landing.universe(spark, str(tmp_path / "u.txt")).collect()} == {"00000001", "00000002"}
+    assert {tuple(r) for r in landing.universe(spark, str(tmp_path / "u.txt")).collect()} == {("00000001", 2), ("00000002", 5)}
     (tmp_path / "bad.txt").write_text("123\n")
-    with pytest.raises(Exception, match="bad code"):
+    with pytest.raises(Exception, match="bad code in line 1"):
         landing.universe(spark, str(tmp_path / "bad.txt")).collect()
 
 
