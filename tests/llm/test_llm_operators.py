@@ -83,10 +83,10 @@ def test_decontaminate(spark, docs, empty):
     bench = spark.createDataFrame([(i, t, "t") for i, t in items], "item_id long, text string, doc_id string")
     want = sorted(brute.decontaminate(fixture(), items), key=repr)
     assert rows(decontaminate.scan(docs, bench)) == want
-    assert rows(decontaminate.scan(docs, bench, block_chars=80)) == want
+    assert rows(decontaminate.scan(docs, bench, block_chars=300)) == want
     assert not any(r["contaminated"] for r in decontaminate.scan(docs, bench.filter("false")).collect())
     assert decontaminate.scan(empty, bench).collect() == []
-    clean = rows(decontaminate.keep_clean(docs, bench, block_chars=80))
+    clean = rows(decontaminate.keep_clean(docs, bench, block_chars=300))
     assert collections.Counter(r[0] for r in clean) == collections.Counter(r[0] for r in want if not r[5])
     spans = decontaminate.scan(docs, bench, with_spans=True).filter("doc_id = 3").first()["spans"]
     raw = texts[3].encode()
@@ -170,9 +170,8 @@ def test_near_duplicates(spark, empty):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(table).collect()}
     assert {i: r["class_id"] for i, r in got.items()} == want
     assert sum(r["kept"] for r in got.values()) == len(set(want.values()))
-    for small in (2, 100):
-        again = near_dedup.classes(table, small=small)
-        assert {r["doc"]: r["label"]["doc"] for r in again.collect()} == want
+    again = near_dedup.classes(table, small=2)
+    assert {r["doc"]: r["label"]["doc"] for r in again.collect()} == want
     kept = near_dedup.keep_one(table)
     assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert near_dedup.near_duplicates(empty).collect() == []
@@ -532,8 +531,6 @@ def test_pipeline_stages_against_plain_versions(spark):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    again = corpus_pipeline.run(spark, DATA)
-    assert rows(again, "doc_id", "start", "n_tokens", "ids_crc32") == rows(corpus_pipeline.run(spark, DATA), "doc_id", "start", "n_tokens", "ids_crc32")
     odd = spark.read.parquet(f"{DATA}/documents.parquet").limit(30).withColumns({"key": F.lit("k"), "size": F.lit(1)})
     nothing = [(None, None), (None, "kata loso"), (None, "kata loso"), (1, ""), (1, "")]
     odd = odd.unionByName(spark.createDataFrame(nothing, "doc_id long, text string"), allowMissingColumns=True)
@@ -544,6 +541,9 @@ def test_pipeline(spark, tmp_path):
             spark.read.parquet(f"{DATA}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
         got = corpus_pipeline.run(spark, folder).collect()
         assert bool(got) == (name == "odd")
+        if got:  # reruns agree
+            again = corpus_pipeline.run(spark, folder).collect()
+            assert sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in again) == sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in got)
         assert len([r for r in got if r["doc_id"] is None]) <= 3 and all(r["n_tokens"] > 1 for r in got)
 
 
