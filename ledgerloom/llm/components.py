@@ -12,10 +12,10 @@ from ledgerloom.llm.repeats import salted_join
 from ledgerloom.llm.scratch import materialize, remove, scope
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Links the greater (large) or lesser neighbours of each node to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "least")
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "least", rows)
     linked = salted_join(both, least, ["u"], ["v"])  # a node may have a third of all edges
     moved = (linked.filter(F.col("v") > F.col("u")) if large else linked).select(F.col("v").alias("u"), F.col("m").alias("v"))
     out = moved if large else moved.unionByName(least.select("u", F.col("m").alias("v")))
@@ -25,13 +25,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component. edges: columns u and v, of any ordered type, in any direction."""
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") > F.col("v")).distinct()
-    before = None
+    edges = materialize(edges, "edges")
+    rows = 2 * edges.count()  # no step makes more
     while True:
-        with scope(edges.sparkSession) as keep:
-            edges = keep(materialize(_star(materialize(_star(edges, large=True), "large"), large=False), "small"))
-        if before is not None:
-            remove(edges.sparkSession, before._scratch_path)
         before = edges
+        with scope(edges.sparkSession) as keep:
+            large = materialize(_star(edges, True, rows), "large", rows)
+            edges = keep(materialize(_star(large, False, rows), "small", rows))
+        remove(edges.sparkSession, before._scratch_path)
         # Done once all is stars: no node leads to two others, and none that leads to another is led to.
         ends = edges.select(
             F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leads")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leads")))).alias("e")

@@ -49,6 +49,7 @@ DAMPING = 0.5
 RARE = 1024
 SMALL = 8
 FIRST = 4  # candidates of a text that are compared in the first round over the large buckets
+PAIRS_A_TASK = 4000
 SLACK = 1e-6  # for rounding
 _DOC_BITS = 16
 _SHINGLE = np.uint64((1 << 48) - 1)
@@ -271,11 +272,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
         def verified(pairs: DataFrame) -> DataFrame:
             pairs = materialize(pairs.distinct(), "pairs")
-            both = pairs
+            both, n = pairs, pairs.count()
             for x, other in ("uv", "vu"):  # a leader stands in very many pairs
-                often = pairs.groupBy(x).agg(F.count("*").alias("c"))
+                often = materialize(pairs.groupBy(x).agg(F.count("*").alias("c")), "often", n)
                 both = salted_join(both, held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), [x], [other], counts=often)
-            return materialize(both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(weights, width, threshold), f"u {NODE}, v {NODE}"), "links")
+            linked = both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(weights, width, threshold), f"u {NODE}, v {NODE}")
+            return materialize(linked, "links", n, PAIRS_A_TASK)
+
+        def named_by(links: DataFrame) -> DataFrame:
+            return materialize(components(links), "labels", 2 * links.count())
 
         few = members.filter(F.col("size") <= small).select("band", "node")
         pairs = few.select("band", F.col("node").alias("u")).join(few.select("band", F.col("node").alias("v")), "band").filter(F.col("u") < F.col("v")).select("u", "v")
@@ -283,15 +288,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             members.filter(F.col("size") > small).select("band", "node", F.struct("shared", (-F.col("node.doc")).alias("d"), (-F.col("node.h")).alias("h")).alias("rank")),
             "many"
         )
-        lead = materialize(many.groupBy("band").agg(F.max_by("node", "rank").alias("v")), "lead")
+        n_many = many.count()
+        lead = materialize(many.groupBy("band").agg(F.max_by("node", "rank").alias("v")), "lead", n_many)
         star = salted_join(many, lead, ["band"], ["node"], counts=of_band).filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
         links = verified(pairs.unionByName(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
-        label = materialize(components(links), "labels")
+        label = named_by(links)
         # Large buckets that still hold several classes: all pairs of their texts that can reach the threshold.
-        named = materialize(many.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named")
+        named = materialize(many.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named", n_many)
         open_bands = named.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).filter(F.col("a") != F.col("b"))
-        open_bands = materialize(open_bands.select("band", "c"), "open_bands")
-        open_nodes = materialize(salted_join(named, open_bands, ["band"], ["node"], "left_semi").select("node", "label").distinct(), "open")
+        open_bands = materialize(open_bands.select("band", "c"), "open_bands", n_many)
+        open_nodes = materialize(salted_join(named, open_bands, ["band"], ["node"], "left_semi").select("node", "label").distinct(), "open", n_many)
         if not open_nodes.isEmpty():
             open_texts = materialize(held.join(open_nodes.hint("merge"), "node").select("node", "label", "text"), "open_texts")
             prefixes = open_texts.mapInArrow(
@@ -304,8 +310,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             # A plain join of two written tables, of which adaptive execution splits a hot shingle's side.
             met = a.join(b.hint("merge"), "shingle").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & reaches)
             met = materialize(met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct(), "met")
+            n_met = met.count()
             # Each text first meets those of its candidates that have most candidates. What is of one class by then is done.
-            degree = materialize(met.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "degree")
+            degree = materialize(met.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "degree", 2 * n_met)
             by = [degree.select(F.col("node").alias(x), F.struct("n", "node").alias(f"rank_{x}")).hint("merge") for x in "uv"]
             met = met.join(by[0], "u").join(by[1], "v").select(F.least("rank_u", "rank_v").alias("low"), F.greatest("rank_u", "rank_v").alias("high"))
             met = met.select(F.col("low.node").alias("u"), F.col("high.node").alias("v"), F.col("high").alias("rank"))
@@ -313,7 +320,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             while True:
                 of_u, of_v = (label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")).hint("merge") for x in "uv")
                 apart = met.join(of_u, "u", "left").join(of_v, "v", "left").filter(F.coalesce("label_u", "u") != F.coalesce("label_v", "v"))
-                apart = materialize(apart.select("u", "v", "rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("rank"))).alias("turn")), "apart")
+                apart = materialize(apart.select("u", "v", "rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("rank"))).alias("turn")), "apart", n_met)
                 if apart.isEmpty():
                     break
                 found = verified(apart.filter(F.col("turn") <= take).select("u", "v"))
@@ -321,7 +328,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 take *= 4
                 if not found.isEmpty():
                     links = links.unionByName(found)
-                    label = materialize(components(links), "labels")
+                    label = named_by(links)
         of_text = keep(materialize(texts.join(label.hint("merge"), "node", "left").select("h", "h2", F.coalesce("label", "node").alias("label")), "of_text"))
     return signed.select("doc", "h", "h2").join(of_text.hint("merge"), ["h", "h2"]).select("doc", "h", "label")
 

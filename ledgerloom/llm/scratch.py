@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+ROWS_A_TASK = 100_000
+LEAST_TASKS = 4
 _scopes: list[list[str]] = []
 
 
@@ -28,9 +30,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int = ROWS_A_TASK) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    rows: a bound on the number of rows, where it is known. Small tables are then made by few tasks (LEAST_TASKS at least) and lie
+    in few files; a large one is made by as many tasks as ever.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // per_task)))
     path = new_path(spark, name)
     df.write.parquet(path)
     if _scopes:
