@@ -673,7 +673,7 @@ def fin_ratios(s: Star) -> DataFrame:
 _TABLE = "<p>a &lt;&#44277;&amp;&#xAC00;</p><table border=1><tr><td> {0} </td><th><b>x</b> y&amp;z</th></tr><tr><td> </td></tr><TR><td>&nbsp;</td><td>two<br> words</td></TR></table> after"
 
 
-@query(r"""WITH plain AS (SELECT page_id, list_concat(list_filter(flatten(list_transform(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]*>'), lambda x: string_split_regex(trim(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13)), '\r?\n'))), lambda x: trim(x, chr(32) || chr(9)) <> ''), ['a <공&가', page_id || chr(9) || 'xy&z', chr(9) || 'twowords', 'after']) AS lines FROM pages)
+@query(r"""WITH plain AS (SELECT page_id, list_concat(list_filter(flatten(list_transform(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]*>'), lambda x: string_split_regex(trim(replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13)), '\r?\n'))), lambda x: trim(x, chr(32) || chr(9)) <> ''), ['a <공&가', page_id || chr(9) || 'xy&z', chr(9) || 'twowords', 'after']) AS lines FROM pages)
 SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, md5(array_to_string(lines, chr(10))) AS digest FROM plain""".replace("\\\\", "\\"))
 def html_lines(s: Star) -> DataFrame:
     before, after = _TABLE.split("{0}")
