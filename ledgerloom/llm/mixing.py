@@ -37,7 +37,7 @@ from ledgerloom.llm.scratch import materialize
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 17
-BINS = 1 << 16
+BINS = 1 << 12
 SMALL = 10_000  # rows that may be broadcast
 
 
