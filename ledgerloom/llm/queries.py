@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, decontaminate, mixing, multi_index, near_dedup, records, run_length_index, substring_dedup, toxicity, url_filter
+from ledgerloom.llm import (
+    chat, decontaminate, digest_index, filter_audit, mixing, multi_index, near_dedup, records, run_length_index, structure_repair, substring_dedup,
+    toxicity, url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,13 +63,30 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return structure_repair.repair(structure_repair.damage(conversations), conversations)
+
+
+def op12_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_index.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(filter_audit.cells(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     found = (
         op1_multi_index, op2_toxicity, op3_mixing, op4_run_length_index, op5_chat_format,
         op6_binary_records, op7_url_filter, op8_decontaminate, op9_substring_dedup, op10_near_dedup,
+        op11_structure_repair, op12_digest_index, op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.oracle_sql(), "op7_url_filter": url_filter.oracle_sql()}
+    return {
+        "op5_chat_format": chat.oracle_sql(), "op7_url_filter": url_filter.oracle_sql(), "op12_digest_index": digest_index.oracle_sql(),
+        "op13_filter_audit": filter_audit.oracle_sql(),
+    }

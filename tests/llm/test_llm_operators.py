@@ -457,7 +457,7 @@ def test_url_filter(spark):
 
 def test_registered_queries(spark):
     found = queries.queries()
-    assert [n.split("_")[0] for n in found] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in found] == [f"op{i}" for i in range(1, 14)]
     texts = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert rows(found["op9_substring_dedup"](spark, DATA)) == sorted(brute.substring_dedup(texts), key=repr)
@@ -468,7 +468,7 @@ def test_registered_queries(spark):
     assert {r["doc_id"]: r["class_id"] for r in found["op10_near_dedup"](spark, DATA).collect()} == want
     for name, sql in queries.oracle_sql().items():
         c = duckdb.connect()
-        for t in ("pages", "conversations"):
+        for t in ("pages", "conversations", "documents", "labels"):
             c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
         want = c.sql(sql)
         assert rows(found[name](spark, DATA), *want.columns) == sorted(want.fetchall(), key=repr)
