@@ -46,7 +46,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and x (doubles) of the vectors that take part."""
     x = F.col(vector_col).cast("array<double>")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter("id is not null and x is not null and size(x) > 1")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter("id is not null and x is not null and size(x) > 0")
     return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("x", lambda v: v != 0))
 
 
@@ -76,13 +76,23 @@ class Codebook:
         # A power of two that brings the sample near 1, so that squares don't overflow.
         self.scale = 2.0 ** -int(np.frexp(np.abs(sample).max())[1])
         sample = sample * self.scale
-        self.most = [float((h * h).sum(1).max()) for h in (sample[:, : self.half], sample[:, self.half :])]
+        self.most = [self._long((h * h).sum(1)) for h in (sample[:, : self.half], sample[:, self.half :])]
         self.centers = [kmeans(h, k) for h in self.halves(sample)]
 
+    @staticmethod
+    def _long(squares: np.ndarray) -> float:
+        """What squared length counts as full: the most, but for a few very long vectors, which would make all others alike."""
+        most, bound = float(squares.max(initial=0)), 4 * float(np.quantile(squares, 0.99))
+        return min(most, bound) if bound > 0 else most
+
     def halves(self, x: np.ndarray, query: bool = False) -> list[np.ndarray]:
+        """The halves of vectors with what each lacks to the full length; longer ones are drawn in, and only to choose their cells."""
         out = []
         for part, most in zip((x[:, : self.half], x[:, self.half :]), self.most, strict=True):
-            lacks = np.zeros(len(part)) if query else np.sqrt(np.maximum(0, most - (part * part).sum(1)))
+            squares = (part * part).sum(1)
+            if not query:
+                part = part * np.sqrt(np.minimum(1, most / np.maximum(squares, 1e-300)))[:, None]
+            lacks = np.zeros(len(part)) if query else np.sqrt(np.maximum(0, most - squares))
             out.append(np.concatenate([part, lacks[:, None]], 1))
         return out
 

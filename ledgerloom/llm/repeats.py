@@ -97,7 +97,12 @@ def repeated_runs(runs: DataFrame, across_docs: bool) -> DataFrame:
     return salted_join(runs, counts, ["anchor"], ["doc", "key", "pos"], "left_semi")
 
 
-def with_intervals(rows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """rows with a column cut: the sorted distinct (start, end) intervals of the row, or null. Keeps every row."""
+def with_intervals(rows: DataFrame, intervals: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """rows with a column cut: the sorted distinct (start, end) intervals of the row, or null. Keeps every row.
+
+    sizes: how much each (doc, key) holds, in column c; rows of large ones, which are alike, are salted by the task that read them.
+    """
     per_key = intervals.distinct().groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("cut"))
-    return rows.join(per_key, ROW, "left")
+    if sizes is None:
+        return rows.join(per_key, ROW, "left")
+    return salted_join(rows.withColumn("task", F.spark_partition_id()), per_key, ROW, ["task"], "left", sizes).drop("task")

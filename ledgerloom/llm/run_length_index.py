@@ -41,11 +41,9 @@ BUCKET = pa.struct([("part", pa.int64()), ("slot", pa.int64())])
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Prefix doubling; only suffixes that are still tied are sorted again. Fewer than 2**21 - 1 symbols."""
+    """Prefix doubling; only suffixes that are still tied are sorted again, in one packed key where two ranks and a place fit into it."""
     n = len(codes)
     wide = (n + 1).bit_length()
-    if wide > 21:
-        raise ValueError("too much text for one bucket")
     low = (1 << wide) - 1
     bits = max(1, int(codes.max(initial=0)).bit_length())
     depth = max(1, (63 - wide) // bits)
@@ -68,13 +66,19 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
             return order
         slots, idx = slots[tied], idx[tied]
         after = np.minimum(idx + depth, n)
-        packed = (rank[idx] << (2 * wide)) | (rank[after] << wide) | np.arange(len(idx))
-        packed.sort()
-        idx = idx[packed & low]
-        order[slots] = idx
-        key = packed >> wide
         head = np.ones(len(idx), bool)
-        head[1:] = key[1:] != key[:-1]
+        if 3 * wide <= 63:
+            packed = (rank[idx] << (2 * wide)) | (rank[after] << wide) | np.arange(len(idx))
+            packed.sort()
+            idx = idx[packed & low]
+            key = packed >> wide
+            head[1:] = key[1:] != key[:-1]
+        else:
+            pairs = rank[idx], rank[after]
+            by = np.lexsort(pairs[::-1])
+            head[1:] = np.any([x[by][1:] != x[by][:-1] for x in pairs], axis=0)
+            idx = idx[by]
+        order[slots] = idx
         depth *= 2
 
 
@@ -270,23 +274,27 @@ def repeated_windows(regions: DataFrame, span: int, gram: int, bucket_bytes: int
     return found.unionByName(materialize(back, "back"))
 
 
-def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(doc, key, lo, hi): half-open byte intervals that repeated strings cover. rows: as from repeats.keyed()."""
+def removal_intervals(rows: DataFrame, span: int = SPAN, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, lo, hi): half-open byte intervals that repeated strings cover; and (doc, key, c), the number of runs. rows: as from repeats.keyed()."""
     with scope(rows.sparkSession) as keep:
         runs = keep(materialize(repeats.repeated_runs(repeats.anchored_runs(rows, span, gram, by_word=False), across_docs=False), "runs"))
         covers = materialize(runs.groupBy("anchor", "cover").agg(F.count("*").alias("times"), F.min(F.struct("doc", "key", "pos", "n")).alias("own")), "covers")
         # Sizes are known from the runs, so buckets are chosen before any text moves.
         bucketed = _bucketed(covers.select("anchor", "cover", "times", "own.*"), F.col("n") + span, bucket_bytes, hot_bytes)
         per_key = bucketed.groupBy("doc", "key").agg(F.collect_list(F.struct("anchor", "cover", F.col("times").alias("c"), "bucket", "pos", "n")).alias("runs"))
-        # Of rows equal in id and text each gives its regions; they hold the same strings, which repeat in any case.
+        # Of rows equal in id and text one gives the regions, so that each stands there once whatever the number of rows. Such
+        # rows are alike in all columns: where they are many, they are salted by the task that read them.
+        sizes = keep(materialize(runs.groupBy("doc", "key").agg(F.count("*").alias("c")), "sizes"))
+        texts = rows.select("doc", "key", "text", F.spark_partition_id().alias("task"))
+        owners = salted_join(texts, per_key, ["doc", "key"], ["task"], counts=sizes).dropDuplicates(["doc", "key"])
         schema = "anchor long, cover long, c long, bucket struct<part: long, slot: long>, region binary"
-        regions = rows.select("doc", "key", "text").join(per_key, ["doc", "key"]).select("text", "runs").mapInArrow(_cut_regions(span), schema)
+        regions = owners.select("text", "runs").mapInArrow(_cut_regions(span), schema)
         regions = materialize(regions.withColumn("at", F.lit(None).cast("long")), "regions")
         found = repeated_windows(regions, span, gram, bucket_bytes, hot_bytes)
         of_run = found.groupBy("anchor", "cover").agg(F.collect_set(F.struct("from_shift", "to_shift")).alias("shifts"))  # at most one for each window of a run
         of_run = keep(materialize(of_run.join(covers.select("anchor", "cover", F.col("times").alias("c")).hint("merge"), ["anchor", "cover"]), "of_run"))
     back = salted_join(runs, of_run, ["anchor", "cover"], ["doc", "key", "pos"]).select("doc", "key", "pos", F.inline("shifts"))
-    return back.select("doc", "key", (F.col("pos") + F.col("from_shift")).alias("lo"), (F.col("pos") + F.col("to_shift") - 1 + span).alias("hi"))
+    return back.select("doc", "key", (F.col("pos") + F.col("from_shift")).alias("lo"), (F.col("pos") + F.col("to_shift") - 1 + span).alias("hi")), sizes
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_spans: bool = False) -> DataFrame:
@@ -294,7 +302,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     if span < 2 * STEPS[0]:
         raise ValueError(f"a string has at least {2 * STEPS[0]} bytes")
     rows = repeats.keyed(docs, id_col, text_col)
-    cut = repeats.with_intervals(rows, removal_intervals(rows, span, min(GRAM, span // 2))).select("id", "text", "cut")
+    cut = repeats.with_intervals(rows, *removal_intervals(rows, span, min(GRAM, span // 2))).select("id", "text", "cut")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):

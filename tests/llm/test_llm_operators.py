@@ -65,6 +65,34 @@ def test_run_length_index(docs, empty, limits, monkeypatch):
     assert run_length_index.dedup(empty).collect() == []
 
 
+def test_run_length_index_of_many_equal_rows(spark):
+    rng = random.Random(17)
+    long_text, short_text = words(rng, 2400)[:10_000], words(rng, 90)
+    once = [(1, long_text), (2, short_text), (None, short_text), (None, long_text[:3000]), (3, words(rng, 400)), (4, None)]
+    many = {(1, long_text): 1000, (2, short_text): 300, (None, short_text): 300, (4, None): 50}
+    frame = spark.createDataFrame([r for r in once for _ in range(many.get(r, 1))], "doc_id long, text string").repartition(6)
+    # Further copies change nothing for any row, so the plain version needs two of each.
+    plain = brute.byte_repeats([r for r in once for _ in range(min(2, many.get(r, 1)))])
+    want = collections.Counter(plain)
+    for i, text in many:
+        digest = [r for r in want if r[0] == i and r[1] == len((text or "").encode())]
+        assert len(digest) == 1 and want[digest[0]] == 2
+        want[digest[0]] = many[i, text]
+    assert collections.Counter(rows(run_length_index.dedup(frame))) == want
+    assert sum(n for r, n in want.items() if r[2]) > 1500
+
+
+@pytest.mark.parametrize("n", [5000, (1 << 21) + 10])
+def test_suffix_array_of_any_size(n):
+    codes = np.random.default_rng(3).integers(1, 9, n).astype(np.uint8)
+    codes[n // 2 :] = codes[: n - n // 2]  # half of it repeats
+    order = run_length_index.suffix_array(codes)
+    raw = codes.tobytes()
+    assert (np.sort(order) == np.arange(n)).all()
+    at = np.linspace(0, n - 2, 400).astype(int)
+    assert all(raw[order[i] :] < raw[order[i + 1] :] for i in at)
+
+
 def test_matching_statistics():
     rng = random.Random(2)
     for n in (1, 2, 30, 200):
@@ -297,19 +325,49 @@ def test_multi_index_of_repeated_ids_and_large_vectors(spark):
     assert collections.Counter(r["query_id"] for r in got) == {0: 20, 20: 20} and not any(np.isnan(r["score"]) for r in got)
 
 
-def test_multi_index_recall_below_exhaustion(spark):
-    table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    made = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}
-    ids = np.array(sorted(made))
-    x = np.array([made[i] for i in ids])
+def cones(seed, n=9000, width=24):
+    """Vectors around 60 directions of unlike weights, of lengths between 0.5 and 2."""
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(60, width))
+    x = centers[rng.choice(60, n, p=rng.dirichlet(np.ones(60)))] + rng.normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1)[:, None] * rng.uniform(0.5, 2, (n, 1))
+
+
+def recall(spark, made, **limits):
+    """Of the 20 nearest by brute force, the share that is found; and the share of vectors that a query compares."""
+    ids, x = np.array(sorted(made)), np.array([made[i] for i in sorted(made)])
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in made.items()], "vec_id long, embedding array<double>")
     got = collections.defaultdict(set)
-    for r in multi_index.search(table, table.filter("vec_id % 200 = 0")).collect():
+    for r in multi_index.search(table, table.filter("vec_id % 200 = 0"), **limits).collect():
         got[r["query_id"]].add(r["vec_id"])
-        assert r["score"] == pytest.approx(made[r["query_id"]] @ made[r["vec_id"]], abs=1e-12)
+        assert r["score"] == pytest.approx(made[r["query_id"]] @ made[r["vec_id"]], rel=1e-9)
     asked = ids[ids % 200 == 0]
-    found = sum(len(got[q] & set(ids[np.argsort(-np.where(ids == q, -9, x @ made[q]), kind="stable")[:20]])) for q in asked)
-    assert multi_index.SHARE * len(ids) > multi_index.LEAST and multi_index.SHARE <= 0.35
-    assert found / (20 * len(asked)) >= 0.9
+    found = sum(len(got[q] & set(ids[np.argsort(-np.where(ids == q, -np.inf, x @ made[q]), kind="stable")[:20]])) for q in asked)
+    return found / (20 * len(asked))
+
+
+def test_multi_index_recall_below_exhaustion(spark):
+    made = dict(enumerate(cones(7)))
+    assert multi_index.SHARE * len(made) > multi_index.LEAST and multi_index.SHARE <= 0.35
+    assert recall(spark, made) >= 0.9
+
+
+def test_multi_index_is_no_scan_beside_a_very_long_vector(spark):
+    made = dict(enumerate(cones(8, 8000))) | {8000: np.eye(24)[3] * 1e6}
+    book = multi_index.Codebook(np.array([made[i] for i in sorted(made)]), 128)
+    cells = book.cells(np.array([made[i] for i in range(8000)]))
+    assert len(np.unique(cells)) > 1500  # the long vector doesn't push all others into a few cells
+    held = np.bincount(cells, minlength=len(book.centers[0]) * len(book.centers[1]))
+    visited = [held[v].sum() for v in book.visits(np.array([made[i] for i in range(0, 8000, 200)]), held, 2800)]
+    assert max(visited) < 0.5 * len(made)
+    assert recall(spark, made, least=1) >= 0.9
+
+
+def test_multi_index_of_vectors_of_one_component(spark):
+    made = [(i, [float((-1) ** i * i)]) for i in range(30)] + [(40, [None])]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    got = multi_index.search(table, table.filter("vec_id % 20 = 0")).collect()
+    assert sorted(map(tuple, got)) == plain_nearest(made[1:30], [(20, [20.0])])
 
 
 def test_packed_blocks():
