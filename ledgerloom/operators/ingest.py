@@ -115,13 +115,17 @@ def investment_edges(rows: DataFrame, company_code: Column, year: Column, compat
 
 
 def structure_edges(extractions: DataFrame) -> DataFrame:
-    """Edges of extraction records (company_code, record): segments, customers and regions, as one union."""
+    """Edges of extraction records (company_code, record, and rcept_no as source_ref if it is there): segments, customers and regions, as one union."""
     company = ids.company_id(F.col("company_code"))
+    source = [F.col("rcept_no").alias("source_ref")] if "rcept_no" in extractions.columns else []
 
     def part(field: str, predicate: str, target, share: str) -> DataFrame:
-        rows = extractions.select(company.alias("subject_id"), F.col("record.period").alias("period"), F.col("company_code"), F.explode(f"record.{field}").alias("x"))
+        rows = extractions.select(company.alias("subject_id"), F.col("record.period").alias("period"), F.col("company_code"), *source, F.explode(f"record.{field}").alias("x"))
         tier = F.col("x.tier") if field == "customers" else F.lit(None).cast("string")
-        return rows.select("subject_id", F.lit(predicate).alias("predicate"), target.alias("object_id"), "period", F.col(f"x.{share}").alias("share_pct"), tier.alias("tier"))
+        return rows.select(
+            "subject_id", F.lit(predicate).alias("predicate"), target.alias("object_id"), "period", F.col(f"x.{share}").alias("share_pct"), tier.alias("tier"),
+            *(["source_ref"] if source else [])
+        )
 
     segments = part("segments", "HAS_SEGMENT", ids.segment_id(F.col("x.name_ko"), F.col("company_code")), "share_pct")
     customers = part("customers", "SELLS_TO", ids.customer_id(F.col("x.name_raw")), "revenue_share_pct")
@@ -129,15 +133,40 @@ def structure_edges(extractions: DataFrame) -> DataFrame:
     return segments.unionByName(customers).unionByName(regions)
 
 
-def rejected_extractions(extractions: DataFrame) -> DataFrame:
-    """company_code, problem of records with shares outside 0..100 or unknown tiers or regions."""
+def structure_nodes(extractions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes (id, kind, label, attrs) that the edges of extraction records (company_code, rcept_no, record) lead to.
+
+    Regions that are there keep their labels; of several spellings of one id the last report's, then the greatest, stays.
+    """
+    none = F.lit(None).cast("map<string,string>")
+
+    def part(field: str, kind: str, name: str, target, attrs) -> DataFrame:
+        rows = extractions.select("company_code", "rcept_no", F.explode(f"record.{field}").alias("x"))
+        return rows.select("rcept_no", target.alias("id"), F.lit(kind).alias("kind"), F.col(f"x.{name}").alias("label"), attrs.alias("attrs"))
+
+    owner = F.create_map(F.lit("company"), F.col("company_code"), F.lit("name"), F.col("x.name_ko"))
+    segments = part("segments", "segment", "name_ko", ids.segment_id(F.col("x.name_ko"), F.col("company_code")), owner)
+    customers = part("customers", "customer", "name_raw", ids.customer_id(F.col("x.name_raw")), none)
+    regions = part("geographic", "region", "region_code", ids.region_id(F.col("x.region_code")), none).join(nodes.select("id"), "id", "left_anti")
+    found = segments.unionByName(customers).unionByName(regions)
+    return first_of(found, ["id"], [F.desc("rcept_no"), F.desc("label")]).drop("rcept_no")
+
+
+def _problem() -> Column:
     bad_share = lambda a, f: F.exists(a, lambda x: (x[f] < 0) | (x[f] > 100))
-    problem = (
-        F.when(bad_share("record.segments", "share_pct") | bad_share("record.customers", "revenue_share_pct") | bad_share("record.geographic", "share_pct"), "share")
+    shares = (bad_share("record.segments", "share_pct"), bad_share("record.customers", "revenue_share_pct"), bad_share("record.geographic", "share_pct"))
+    said = [F.coalesce(s, F.lit(False)) for s in shares]  # a share that is missing is no fault
+    return (
+        F.when(said[0] | said[1] | said[2], "share")
         .when(F.exists("record.customers", lambda x: ~x["tier"].isin("1차", "2차", "unknown")), "tier")
         .when(F.exists("record.geographic", lambda x: ~x["region_code"].isin("KR", "US", "EU", "CN", "JP", "ROW")), "region")
     )
-    return extractions.select("company_code", problem.alias("problem")).filter("problem is not null")
+
+
+def rejected_extractions(extractions: DataFrame) -> DataFrame:
+    """company_code (and rcept_no if it is there), problem of records with shares outside 0..100 or unknown tiers or regions."""
+    names = [c for c in ("company_code", "rcept_no") if c in extractions.columns]
+    return extractions.select(*names, _problem().alias("problem")).filter("problem is not null")
 
 
 def link(left: DataFrame, right: DataFrame, on: str, predicate: str, subject: Column, target: Column) -> DataFrame:
@@ -216,15 +245,19 @@ def share_facts(rows: DataFrame) -> DataFrame:
     return found.filter("amount is not null and fiscal_period is not null")
 
 
-def unseen_reports(extractions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Extractions (with rcept_no) of reports that no edge comes from yet, so that a report is not ingested twice."""
-    seen = edges.filter("source_ref is not null").select(F.col("source_ref").alias("rcept_no")).distinct()
-    return extractions.join(seen, "rcept_no", "left_anti")
+def unseen_reports(extractions: DataFrame, edges: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """Extractions (with rcept_no) of reports that no edge comes from yet and that are not on record (reports), so that none is ingested twice.
+
+    A report whose edges a later one has all replaced is known from the record alone.
+    """
+    seen = edges.filter("source_ref is not null").select(F.col("source_ref").alias("rcept_no"))
+    seen = seen if reports is None else seen.unionByName(reports.select("rcept_no"))
+    return extractions.join(seen.distinct(), "rcept_no", "left_anti")
 
 
 def accepted_extractions(extractions: DataFrame) -> DataFrame:
-    """Extractions without a problem (see rejected_extractions)."""
-    return extractions.join(rejected_extractions(extractions).select("company_code").distinct(), "company_code", "left_anti")
+    """Extractions without a problem of their own (see rejected_extractions)."""
+    return extractions.withColumn("_problem", _problem()).filter("_problem is null").drop("_problem")
 
 
 # The labels of metric nodes.

@@ -11,10 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.functions import ids
 from ledgerloom.operators import graph_query, ingest, integrity, operations, projection, upsert
-from ledgerloom.operators.common import first_of
-from ledgerloom.schema import FLOW_METRICS
+from ledgerloom.operators.common import first_of, written
+from ledgerloom.schema import FLOW_METRICS, REPORTS
 
 # The codes of annual, half-year and quarterly reports.
 REPORT_CODES = ("11011", "11012", "11013", "11014")
@@ -92,16 +91,43 @@ class Run:
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
+def ingest_structure(
+    nodes: DataFrame, edges: DataFrame, reports: DataFrame, extractions: DataFrame, master: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, reports) after the records (company_code, rcept_no, record) of all reports that are new and have no problem.
+
+    Of reports of one company and period the one of the greatest rcept_no gives an edge, whole: its share and its source_ref.
+    master: corp_code, corp_name of the register, which name companies that have no node.
+    """
+    fresh = ingest.accepted_extractions(ingest.unseen_reports(extractions, edges, reports))
+    fields = edges.schema["qualifier"].dataType.fields
+    qualifier = F.struct(*((F.col(f.name) if f.name in ("share_pct", "tier") else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    fixed = {"source_type": F.lit("llm"), "method": F.lit("llm"), "confidence": F.lit(0.9)}
+    full = ingest.structure_edges(fresh).withColumn("qualifier", qualifier).withColumns(fixed)
+    batch = full.select(*(F.col(c) if c in full.columns else F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in edges.columns))
+    register = master if master is not None else nodes.sparkSession.createDataFrame([], "corp_code string, corp_name string")
+    companies = ingest.missing_companies(fresh.select(F.col("company_code").alias("corp_code")), nodes, register)
+    made = ingest.structure_nodes(fresh, nodes).unionByName(companies).select(*nodes.columns)
+    seen = fresh.select("rcept_no", F.col("company_code").alias("corp_code"), F.col("record.period").alias("period"))
+    recorded = reports.unionByName(first_of(seen, ["rcept_no"], [F.col("corp_code"), F.col("period")]))
+    # Equal edges of one report: the greater share stays.
+    return upsert.upsert_nodes(nodes, made, [F.col("label")]), upsert.upsert_edges(edges, batch, [F.desc("source_ref"), F.desc_nulls_last("qualifier.share_pct")]), recorded
+
+
 def run_pipeline(
     tables: dict[str, DataFrame], landed: dict[str, DataFrame], year: int, n: int = 3, skip: tuple[str, ...] = (),
     publish: Callable[[str, DataFrame], DataFrame] | None = None
 ) -> Run:
     """Structure, financials, equity and export, in this order, each unless it is in skip.
 
-    tables: nodes, edges and facts. landed: extractions (company_code, rcept_no, record), statements, shares, holders, investments.
-    publish writes a step's table under a name and returns it as read back, so that the next step starts from what is stored.
+    tables: nodes, edges, facts, and reports (those ingested; none if it is left out). landed: extractions (company_code, rcept_no,
+    record), statements, shares, holders, investments, and master (the register) if there is one.
+    publish writes a step's table under a name and returns it as read back, so that the next step starts from what is stored; without
+    it tables are written to the folder that executors share, but for the export, which stays a plan over them.
+    The export holds nodes (export_nodes), edges (export) and notes of companies and concepts (export_notes, export_concepts).
     """
-    out, keep = Run(tables=dict(tables)), publish or (lambda _, table: table)
+    out, keep = Run(tables=dict(tables)), publish or (lambda name, table: table if name.startswith("export") else written(table, name))
+    out.tables.setdefault("reports", tables["nodes"].sparkSession.createDataFrame([], REPORTS))
 
     def step(name: str, work: Callable[[], dict[str, DataFrame]]) -> None:
         if name in skip:
@@ -112,21 +138,26 @@ def run_pipeline(
 
     def structure() -> dict[str, DataFrame]:
         t = out.tables
-        fresh = ingest.accepted_extractions(ingest.unseen_reports(landed["extractions"], t["edges"]))
-        found = ingest.structure_edges(fresh)
-        refs = fresh.select(ids.company_id(F.col("company_code")).alias("subject_id"), F.col("record.period").alias("period"), F.col("rcept_no").alias("source_ref"))
-        found = found.join(first_of(refs, ["subject_id", "period"], [F.desc("source_ref")]), ["subject_id", "period"], "left")
-        fields = t["edges"].schema["qualifier"].dataType.fields
-        qualifier = F.struct(*((F.col(f.name) if f.name in ("share_pct", "tier") else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
-        fixed = {"source_type": "dart_report", "method": "llm"}
-        full = found.withColumns({"qualifier": qualifier, "confidence": F.lit(0.8)} | {c: F.lit(v) for c, v in fixed.items()})
-        batch = full.select(*(F.col(c) if c in full.columns else F.lit(None).cast(t["edges"].schema[c].dataType).alias(c) for c in t["edges"].columns))
-        return {"edges": upsert.upsert_edges(t["edges"], batch, [F.desc("source_ref")])}
+        return dict(zip(("nodes", "edges", "reports"), ingest_structure(t["nodes"], t["edges"], t["reports"], landed["extractions"], landed.get("master")), strict=True))
+
+    def financials() -> dict[str, DataFrame]:
+        t = out.tables
+        facts = ingest_financials(t["nodes"], t["edges"], t["facts"], landed["statements"], landed["shares"], year, n)
+        named = ingest.fact_nodes(facts).withColumn("attrs", F.lit(None).cast("map<string,string>"))
+        return {"facts": facts, "nodes": upsert.upsert_nodes(t["nodes"], named.select(*t["nodes"].columns), [F.col("label")])}
+
+    def export() -> dict[str, DataFrame]:
+        t = out.tables
+        issues = integrity.check_integrity(t["nodes"], t["edges"], t["facts"])
+        return {
+            "export": projection.graph_export(t["edges"], t["facts"]), "export_nodes": t["nodes"],
+            "export_notes": projection.company_notes(t["nodes"], t["edges"], t["facts"], issues), "export_concepts": projection.concept_notes(t["nodes"], t["edges"])
+        }
 
     step("structure", structure)
-    step("financials", lambda: {"facts": ingest_financials(out.tables["nodes"], out.tables["edges"], out.tables["facts"], landed["statements"], landed["shares"], year, n)})
+    step("financials", financials)
     step("equity", lambda: dict(zip(("nodes", "edges"), ingest_equity(out.tables["nodes"], out.tables["edges"], landed["holders"], landed["investments"], year, n), strict=True)))
-    step("export", lambda: {"export": projection.graph_export(out.tables["edges"], out.tables["facts"])})
+    step("export", export)
     return out
 
 

@@ -19,6 +19,7 @@ NODES = "id string, kind string, label string, attrs map<string, string>"
 EDGES = f"subject_id string, predicate string, object_id string, period string, qualifier {QUALIFIER}, source_type string, source_ref string, method string, confidence double, extracted_at timestamp_ntz"
 FACTS = "company_id string, bsns_year string, fiscal_period string, fs_div string, metric_key string, amount decimal(22,2), currency string, source_type string, source_ref string, method string, confidence double"
 ALIASES = "alias_norm string, node_id string, source string, confidence double"
+REPORTS = "rcept_no string, corp_code string, period string"
 QUEUE = "id long, corp_code string, period string, status string, attempts int, last_attempt_at timestamp_ntz, last_error string, rcept_no string, escalation_level string, input_chars long, cost_estimate_usd decimal(8,4)"
 STATEMENT_ROWS = "rcept_no string, bsns_year string, sj_div string, account_id string, account_nm string, thstrm_amount string, frmtrm_amount string, bfefrmtrm_amount string, fs_div string"
 SHAREHOLDER_ROWS = "corp_code string, nm string, relate string, stock_knd string, trmend_posesn_stock_co string, trmend_posesn_stock_qota_rt string"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.functions import text
+from ledgerloom.operators import extraction, graph_query
 from ledgerloom.plans import runs
 from ledgerloom.sources import landing
 
@@ -123,3 +124,113 @@ def test_page_text(spark):
     page = "<html><style>x</style><h1> 1. 사업의  개요 </h1><p>a&amp;b&nbsp;</p><!-- <p>no</p> --><table><tr><th>구분</th><th> 비중 </th></tr><tr><td></td><td> </td></tr><tr><td>가 <b>나</b></td><td>&#49;0%</td></tr></table><div>끝<br>줄\n  둘</div>"
     lines = spark.createDataFrame([(page,)], "h string").select(text.html_lines(F.col("h"))).first()[0]
     assert lines == ["1. 사업의  개요", "a&b", "구분\t비중", "가나\t10%", "끝", "줄", "  둘"]
+
+
+def records(spark, *rows):
+    return spark.createDataFrame(
+        [(code, no, (period, [(name, share, None, [])], [("Big Co", 10.0, "1차")], [("KR", 40.0)])) for code, no, period, name, share in rows],
+        f"company_code string, rcept_no string, record {schema.EXTRACTION}"
+    )
+
+
+def held(run):
+    edges = run.tables["edges"].filter("predicate = 'HAS_SEGMENT' and source_ref is not null")
+    return sorted((r["object_id"], r["period"], r["source_ref"], r["qualifier"]["share_pct"]) for r in edges.collect())
+
+
+def test_structure_rejects_a_record_not_its_company(spark, tables, landed):
+    said = records(spark, ("00000007", "r1", "2022", "chips", 50.0), ("00000007", "r2", "2023", "chips", 150.0))
+    done = runs.run_pipeline(tables, landed | {"extractions": said}, 2026, skip=("financials", "equity", "export"))
+    assert held(done) == [("segment:00000007:chips", "2022", "r1", 50.0)]
+
+
+def test_structure_of_two_reports_of_a_period(spark, tables, landed):
+    said = records(spark, ("00000007", "r1", "2024", "chips", 50.0), ("00000007", "r2", "2024", "chips", 60.0))
+    rest = ("financials", "equity", "export")
+    done = runs.run_pipeline(tables, landed | {"extractions": said}, 2026, skip=rest)
+    want = [("segment:00000007:chips", "2024", "r2", 60.0)]
+    assert held(done) == want
+    for _ in range(2):  # r1 is on record though no edge tells of it
+        done = runs.run_pipeline(done.tables, landed | {"extractions": said}, 2026, skip=rest)
+        assert held(done) == want and sorted(r["rcept_no"] for r in done.tables["reports"].collect()) == ["r1", "r2"]
+
+
+def test_structure_makes_nodes_with_their_provenance(spark, tables, landed):
+    said = records(spark, ("00000007", "r1", "2024", "HBM 메모리", 50.0), ("00000123", "r2", "2024", "Chips", None))
+    seven = tables["nodes"].unionByName(spark.createDataFrame([("region:KR", "region", "Korea", None)], schema.NODES))
+    master = spark.createDataFrame([("00000123", "One Two Three")], "corp_code string, corp_name string")
+    done = runs.run_pipeline(tables | {"nodes": seven}, landed | {"extractions": said, "master": master}, 2026, skip=("equity", "export"))
+    nodes = {r["id"]: r for r in done.tables["nodes"].collect()}
+    assert nodes["segment:00000007:hbm-메모리"]["attrs"] == {"company": "00000007", "name": "HBM 메모리"} and nodes["customer:big-co"]["label"] == "Big Co"
+    assert nodes["region:KR"]["label"] == "Korea" and nodes["company:00000123"]["label"] == "One Two Three" and nodes["company:00000007"]["label"] == "Seven"
+    assert nodes["metric:revenue"]["kind"] == "metric" and nodes["period:2025FY"]["label"] == "2025 FY"
+    new = done.tables["edges"].filter("source_ref is not null").collect()
+    assert {(r["source_type"], r["method"], r["confidence"]) for r in new} == {("llm", "llm", 0.9)} and len(new) == 6
+    assert {r["object_id"] for r in new} | {r["subject_id"] for r in new} <= set(nodes)
+    hit = graph_query.resolve_concept(done.tables["nodes"], spark.createDataFrame([], schema.ALIASES), "hbm 메모리", "segment")
+    assert [r[0] for r in hit.collect()] == ["segment:00000007:hbm-메모리"]
+
+
+def test_pipeline_exports_nodes_and_notes(spark, tables, landed):
+    done = runs.run_pipeline(tables, landed | {"extractions": records(spark, ("00000007", "r1", "2024", "chips", 50.0))}, 2026)
+    assert done.tables["export_nodes"].count() == done.tables["nodes"].count()
+    notes = {r["company_id"]: r["note"] for r in done.tables["export_notes"].collect()}
+    assert "chips" in notes["company:00000007"] and "company:00000008" in notes
+    assert any("Seven" in r["note"] for r in done.tables["export_concepts"].collect() if r["node_id"] == "segment:00000007:chips")
+
+
+GOOD = {"period": "2024", "segments": [{"name_ko": "가", "share_pct": "약 12.5%", "products": ["a"]}], "customers": [{"name_raw": "Co"}], "geographic": [{"region_code": "KR", "share_pct": 7}, {"region_code": "XX", "share_pct": None}, 3]}
+
+
+def changed(**by):
+    return json.dumps(GOOD | by, ensure_ascii=False)
+
+
+ANSWERS = {
+    json.dumps(GOOD, ensure_ascii=False): [],
+    f"Here it is:\n```json\n{json.dumps(GOOD, ensure_ascii=False)}\n```\nDone.": [],
+    "no record": [("$", "json")], "```json\n{broken}\n```": [("$", "json")], "": [("$", "json")], None: [("$", "json")], "[1]": [("$", "type")], "3": [("$", "type")],
+    "{}": [(f"$.{k}", "missing") for k in ("period", "segments", "customers", "geographic")],
+    changed(b=1, a=2): [("$.a", "extra"), ("$.b", "extra")],
+    changed(period=2024): [("$.period", "type")], changed(period=None): [("$.period", "type")],
+    changed(segments={}): [("$.segments", "type")], changed(customers=None): [("$.customers", "type")],
+    changed(segments=[{"share_pct": 101, "note": "x"}, "text", {"name_ko": "b", "share_pct": "many"}]): [
+        ("$.segments[0].note", "extra"), ("$.segments[0].name_ko", "missing"), ("$.segments[0].share_pct", "range"), ("$.segments[1]", "type"), ("$.segments[2].share_pct", "number")
+    ],
+    changed(segments=[{"name_ko": "b", "share_pct": None, "description": None}]): [],
+    changed(segments=[{"name_ko": None, "share_pct": [1], "description": 4, "products": ["x", 1]}]): [
+        ("$.segments[0].name_ko", "type"), ("$.segments[0].share_pct", "type"), ("$.segments[0].description", "type"), ("$.segments[0].products", "type")
+    ],
+    changed(segments=[{"name_ko": "b", "products": None}]): [("$.segments[0].products", "type")],
+    changed(customers=[{"name_raw": "x", "tier": "3차", "revenue_share_pct": -1}]): [("$.customers[0].revenue_share_pct", "range"), ("$.customers[0].tier", "choice")],
+    changed(customers=[{"name_raw": "x", "tier": None}]): [("$.customers[0].tier", "type")],
+    changed(geographic=[{"region_code": "ZZ", "share_pct": 1}, {"share_pct": True, "region_code": "US"}]): [("$.geographic[0].region_code", "choice")],
+}
+
+
+def test_answers_become_records(spark):
+    frame = spark.createDataFrame(list(enumerate(ANSWERS)), "id long, answer string")
+    parsed = extraction.parse_answers(frame).collect()
+    assert {ANSWERS_AT[r["id"]]: [tuple(f) for f in r["faults"]] for r in parsed} == ANSWERS
+    assert all((r["record"] is None) == bool(r["faults"]) for r in parsed)
+    first = parsed[0]["record"].asDict(True)
+    assert first == {
+        "period": "2024", "segments": [{"name_ko": "가", "share_pct": 12.5, "description": None, "products": ["a"]}],
+        "customers": [{"name_raw": "Co", "revenue_share_pct": None, "tier": "unknown"}], "geographic": [{"region_code": "KR", "share_pct": 7.0}]
+    }
+    last = next(r for r in parsed if "101" not in (r["answer"] or "") and '"US"' in (r["answer"] or ""))
+    assert last["record"] is None
+    rejected = extraction.rejects(extraction.parse_answers(frame), ["id"])
+    assert rejected.count() == sum(map(len, ANSWERS.values()))
+
+
+ANSWERS_AT = list(ANSWERS)
+
+
+def test_extractor_seam_feeds_the_structure_run(spark, tables, landed):
+    reports = spark.createDataFrame([("00000007", "r1", "text", "2024"), ("00000008", "r2", "text", "2024")], "company_code string, rcept_no string, text string, period string")
+    answer = F.when(F.col("company_code") == "00000007", F.lit(json.dumps(GOOD, ensure_ascii=False))).otherwise(F.lit(changed(extra=1)))
+    said, rejected = extraction.extract(reports, lambda r: r.withColumn("answer", answer))
+    assert [tuple(r) for r in rejected.collect()] == [("00000008", "r2", "$.extra", "extra")]
+    done = runs.run_pipeline(tables, landed | {"extractions": said}, 2026, skip=("financials", "equity", "export"))
+    assert held(done) == [("segment:00000007:가", "2024", "r1", 12.5)]
