@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import normalize
+from ledgerloom.operators.common import written
 from ledgerloom.schema import EXTRACTION
 
 FAULTS = "array<struct<path: string, fault: string>>"
@@ -170,6 +171,6 @@ def extract(reports: DataFrame, extractor: Callable[[DataFrame], DataFrame]) ->
 
     extractions: company_code, rcept_no, record, as the structure run takes them.
     """
-    parsed = parse_answers(extractor(reports))
+    parsed = written(parse_answers(extractor(reports)), "answers")  # the extractor is asked once
     return parsed.filter("record is not null").select("company_code", "rcept_no", "record"), rejects(parsed, ["company_code", "rcept_no"])
 

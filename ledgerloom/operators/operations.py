@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import normalize
+from ledgerloom.operators.common import written
 
 MAX_ATTEMPTS = 3
 STALE_MINUTES = 180
@@ -33,10 +34,20 @@ def reset_stale(queue: DataFrame, now: Column, minutes: int = STALE_MINUTES) ->
 
 
 def within_budget(calls: DataFrame, at: str, order: list[Column], cost: str, cap: int, offset_hours: int = 9) -> DataFrame:
-    """Calls that fit a daily cap; days change at local midnight (offset_hours from UTC)."""
+    """Calls that fit a daily cap; days change at local midnight (offset_hours from UTC). order should be total, costs not negative.
+
+    A prefix sum in parts: calls are dealt to ranges of day and order and each range is summed; the sums before a range are its
+    offset, and ranges that begin over the cap are left out before any call is looked at again. So no task holds a day.
+    """
     day = F.to_date(F.col(at) + F.expr(f"INTERVAL {offset_hours} HOURS"))
-    running = Window.partitionBy("day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("day", day).withColumn("used", F.sum(cost).over(running)).filter(F.col("used") <= cap)
+    dealt = calls.withColumn("day", day).repartitionByRange("day", *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "budget")  # what a part holds must not change between its sum and its calls
+    sums = dealt.groupBy("day", "_part").agg(F.coalesce(F.sum(cost), F.lit(0)).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("day").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")
+    open_parts = sums.select(F.col("day").alias("_day"), F.col("_part").alias("_of"), before.alias("_before")).filter(F.col("_before") <= cap)  # a row a part
+    kept = dealt.join(open_parts, F.col("day").eqNullSafe(F.col("_day")) & (F.col("_part") == F.col("_of"))).drop("_day", "_of")
+    running = Window.partitionBy("day", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return kept.withColumn("used", F.col("_before") + F.sum(cost).over(running)).filter(F.col("used") <= cap).drop("_part", "_before")
 
 
 def new_reports(listed: DataFrame, universe: DataFrame, known: DataFrame, prefix: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import ids
-from ledgerloom.operators.common import first_of
+from ledgerloom.operators.common import first_of, written
 
 EDGE_KEY = ["subject_id", "predicate", "object_id", "period"]
 FACT_KEY = ["company_id", "bsns_year", "fiscal_period", "fs_div", "metric_key"]
@@ -55,25 +55,58 @@ def repoint(edges: DataFrame, mapping: DataFrame, side: str, order: list[Column]
     mapped = edges.join(mapping.select(F.col("old_id").alias(side), "new_id"), side, "left")
     moved = F.col("new_id").isNotNull()
     if buyer_raw is not None and "qualifier" in edges.columns:
-        mapped = mapped.withColumn("qualifier", F.when(moved, F.col("qualifier").withField("buyer_raw", buyer_raw)).otherwise(F.col("qualifier")))
+        fields = edges.schema["qualifier"].dataType.fields
+        said = F.coalesce("qualifier", F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields)))
+        mapped = mapped.withColumn("qualifier", F.when(moved & buyer_raw.isNotNull(), said.withField("buyer_raw", buyer_raw)).otherwise(F.col("qualifier")))
     mapped = mapped.withColumn("_moved", moved.cast("int")).withColumn(side, F.coalesce("new_id", side)).drop("new_id")
     return first_of(mapped, EDGE_KEY, [F.col("_moved"), *order]).drop("_moved").select(*edges.columns)
 
 
+def settled(mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mapping, cycles): old_id, new_id with each chain of aliases followed to its end, and the pairs whose chains have none.
+
+    Pointer jumping: each round doubles the steps that every pair has taken, so a chain of n steps takes log2(n) rounds. A
+    round after which as many pairs are open as before shows that the open ones lead into cycles: a chain with more steps to go has
+    nodes at every shorter distance. These stay where they are. Each old_id once; pairs that lead to themselves are no moves.
+    """
+    given = written(mapping.select("old_id", "new_id").filter("old_id <> new_id"), "aliases")
+    links, left = given, None
+    while True:
+        step = links.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("_next"))
+        jumped = links.join(step, "new_id", "left").select("old_id", F.coalesce("_next", "new_id").alias("new_id"), F.col("_next").isNotNull().alias("open"))
+        jumped = written(jumped, "jumped")
+        still = jumped.filter("open").count()
+        if still in (0, left):
+            done = jumped.filter("not open").select("old_id", "new_id")
+            return done, given.join(jumped.filter("open").select("old_id"), "old_id", "left_semi")
+        links, left = jumped.drop("open"), still
+
+
 def drop_nodes(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     return nodes.join(mapping.select(F.col("old_id").alias("id")), "id", "left_anti")
 
 
-def customer_mapping(nodes: DataFrame, aliases: DataFrame, alias_norm: Column, corp_norm: Column) -> DataFrame:
-    """old_id, new_id of customers that are companies of the register: by alias, else by normalised name; an alias to a missing company does not fall back."""
+def _to_company(nodes: DataFrame, who: DataFrame, alias: str, aliases: DataFrame, corp_norm: Column) -> DataFrame:
+    """old_id, new_id of `who` (old_id, alias_norm, corp_norm): the company of the alias, else of the normalised name, if it exists."""
     companies = nodes.filter("kind = 'company' and not id like 'company:ext:%'")
     by_name = companies.select(corp_norm.alias("corp_norm"), "id").groupBy("corp_norm").agg(F.max("id").alias("by_name"))
-    to_company = aliases.filter("node_id like 'company:%'").select("alias_norm", F.col("node_id").alias("by_alias"))
-    customers = nodes.filter("kind = 'customer'").select(F.col("id").alias("old_id"), alias_norm.alias("alias_norm"), corp_norm.alias("corp_norm"))
-    found = customers.join(to_company, "alias_norm", "left").join(by_name, "corp_norm", "left").select("old_id", F.coalesce("by_alias", "by_name").alias("new_id"))
+    to_company = aliases.select(F.col("alias_norm").alias(alias), F.col("node_id").alias("by_alias"))
+    found = who.join(to_company, alias, "left").join(by_name, "corp_norm", "left").select("old_id", F.coalesce("by_alias", "by_name").alias("new_id"))
     return found.join(companies.select(F.col("id").alias("new_id")), "new_id", "left_semi").select("old_id", "new_id")
 
 
+def customer_mapping(nodes: DataFrame, aliases: DataFrame, alias_norm: Column, corp_norm: Column) -> DataFrame:
+    """old_id, new_id of customers that are companies of the register: by alias, else by normalised name; an alias to a missing company does not fall back."""
+    customers = nodes.filter("kind = 'customer'").select(F.col("id").alias("old_id"), alias_norm.alias("alias_norm"), corp_norm.alias("corp_norm"))
+    return _to_company(nodes, customers, "alias_norm", aliases.filter("node_id like 'company:%'"), corp_norm)
+
+
+def external_mapping(nodes: DataFrame, aliases: DataFrame, corp_norm: Column) -> DataFrame:
+    """old_id, new_id of external companies that are companies of the register: by an alias of the normalised name, else by that name itself."""
+    external = nodes.filter("kind = 'company' and id like 'company:ext:%'").select(F.col("id").alias("old_id"), corp_norm.alias("corp_norm"))
+    return _to_company(nodes, external, "corp_norm", aliases.filter("node_id like 'company:%' and not node_id like 'company:ext:%'"), corp_norm)
+
+
 def alias_mapping(
     nodes: DataFrame, aliases: DataFrame, kind: str, alias_norm: Column, target_prefix: str, source_prefix: str | None = None,
     barred_prefix: str | None = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import ids, normalize, text
-from ledgerloom.operators import evaluation, graph_query, ingest, integrity, operations, projection, sections, upsert
+from ledgerloom.operators import evaluation, extraction, graph_query, ingest, integrity, operations, projection, sections, upsert
 from ledgerloom.operators.common import union, written
 from ledgerloom.plans.star import AMOUNT, SQL, Star, with_views
 from ledgerloom.streaming import incremental
@@ -388,6 +388,46 @@ def rejected_extractions(s: Star) -> DataFrame:
     return ingest.rejected_extractions(s.table("part").select(s.code("p_partkey").alias("company_code"), record.alias("record")))
 
 
+def _answers(s: Star) -> DataFrame:
+    """Answers whose text is made of each part's columns, with faults of every kind."""
+    part, size = s.table("part"), F.col("p_size")
+    share = (
+        F.when(F.col("p_type") == "LARGE", F.concat(F.lit('"about '), size * 2.5, F.lit('%"'))).when(F.col("p_type") == "PROMO", F.lit('"n/a"'))
+        .otherwise((size * 2.5).cast("string"))
+    )
+    brand = lambda end, text, other="": F.when(F.col("p_brand").endswith(end), text).otherwise(other)
+    record = F.concat(
+        F.lit("{"), brand("4", "", '"period": "2024", '), F.lit('"segments": [{"name_ko": "'), "p_name", F.lit('", "share_pct": '), share,
+        brand("2", ', "note": 1'), F.lit('}], "customers": [{"name_raw": "'), "p_brand", F.lit('"'), brand("3", ', "tier": "3차"', ', "tier": "1차"'),
+        F.lit('}], "geographic": [{"region_code": "'), F.when(F.col("p_type") == "SMALL", "XX").otherwise("KR"),
+        F.lit('", "share_pct": 50}, {"region_code": "YY", "share_pct": null}]}')
+    )
+    said = F.when(size == 10, "there is no record").otherwise(F.concat(brand("1", "```json\n"), record, brand("1", "\n```")))
+    return extraction.parse_answers(part.select("p_partkey", said.alias("answer")))
+
+
+@query("""WITH p AS (SELECT *, p_size * 2.5 AS share FROM part WHERE p_size <> 10)
+SELECT p_partkey, '$' AS path, 'json' AS fault FROM part WHERE p_size = 10
+UNION ALL SELECT p_partkey, '$.period', 'missing' FROM p WHERE p_brand LIKE '%4'
+UNION ALL SELECT p_partkey, '$.segments[0].note', 'extra' FROM p WHERE p_brand LIKE '%2'
+UNION ALL SELECT p_partkey, '$.segments[0].share_pct', 'number' FROM p WHERE p_type = 'PROMO'
+UNION ALL SELECT p_partkey, '$.segments[0].share_pct', 'range' FROM p WHERE p_type <> 'PROMO' AND share > 100
+UNION ALL SELECT p_partkey, '$.customers[0].tier', 'choice' FROM p WHERE p_brand LIKE '%3'
+UNION ALL SELECT p_partkey, '$.geographic[0].region_code', 'choice' FROM p WHERE p_type = 'SMALL'""")
+def extraction_faults(s: Star) -> DataFrame:
+    return extraction.rejects(_answers(s), ["p_partkey"])
+
+
+@query("""SELECT p_partkey, '2024' AS period, p_name AS segment, CAST(p_size * 2.5 AS DOUBLE) AS share, p_brand AS customer, '1차' AS tier, 1 AS regions
+FROM part WHERE p_size <> 10 AND p_size * 2.5 <= 100 AND p_type <> 'PROMO' AND p_type <> 'SMALL' AND right(p_brand, 1) NOT IN ('2', '3', '4')""")
+def extraction_records(s: Star) -> DataFrame:
+    r = _answers(s).filter("record is not null").select("p_partkey", "record.*")
+    return r.select(
+        "p_partkey", "period", F.col("segments")[0]["name_ko"].alias("segment"), F.col("segments")[0]["share_pct"].alias("share"),
+        F.col("customers")[0]["name_raw"].alias("customer"), F.col("customers")[0]["tier"].alias("tier"), F.size("geographic").alias("regions")
+    )
+
+
 # ---- upserts and resolution
 
 @query("""WITH batch AS (SELECT 2 * o_custkey AS id, o_totalprice AS v, o_orderkey AS at_ FROM orders), last AS (SELECT id, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at_ DESC, v DESC) AS rn FROM batch) WHERE rn = 1)
@@ -489,6 +529,27 @@ def merge_segments(s: Star) -> DataFrame:
     return upsert.repoint(edges, mapping, "object_id", [F.desc("share_pct")])
 
 
+def _chains(s: Star) -> DataFrame:
+    """old_id, new_id: of five brands each leads to the one before it, up to four steps; of the last five the first leads to the last, in a circle."""
+    n = F.substring("p_brand", 7, 9).cast("int")
+    before = F.when((n - 1) % 5 > 0, n - 1).when(n == 21, 25)
+    name = lambda number: F.concat(F.lit("segment:brand-"), number.cast("string"))
+    return s.table("part").select("p_brand").distinct().select(name(n).alias("old_id"), name(before).alias("new_id")).filter("new_id is not null")
+
+
+@query(with_views("seg") + """, numbered AS (SELECT DISTINCT object_id AS old_id, CAST(substr(object_id, 15) AS INT) AS n FROM seg),
+mapping AS (SELECT old_id, 'segment:brand-' || CAST((n - 1) // 5 * 5 + 1 AS INT) AS new_id FROM numbered WHERE n <= 20 AND (n - 1) % 5 > 0)
+SELECT subject_id, predicate, object_id, period, share_pct FROM (SELECT subject_id, predicate, coalesce(new_id, object_id) AS object_id, period, share_pct, row_number() OVER (PARTITION BY subject_id, period, coalesce(new_id, object_id) ORDER BY new_id IS NOT NULL, share_pct DESC) AS rn FROM seg LEFT JOIN mapping ON object_id = old_id) WHERE rn = 1""")
+def merge_segment_chains(s: Star) -> DataFrame:
+    edges = s.segment_edges().select("subject_id", "predicate", "object_id", "period", F.col("qualifier.share_pct").alias("share_pct"))
+    return upsert.repoint(edges, upsert.settled(_chains(s))[0], "object_id", [F.desc("share_pct")])
+
+
+@query("SELECT DISTINCT 'segment:brand-' || substr(p_brand, 7) AS old_id, 'segment:brand-' || CASE WHEN p_brand = 'Brand#21' THEN 25 ELSE CAST(substr(p_brand, 7) AS INT) - 1 END AS new_id FROM part WHERE CAST(substr(p_brand, 7) AS INT) > 20")
+def alias_cycles(s: Star) -> DataFrame:
+    return upsert.settled(_chains(s))[1]
+
+
 def _external(s: Star) -> tuple[DataFrame, DataFrame]:
     """Stakes among external companies, and a mapping of some of them to companies."""
     ext = lambda c: F.concat(F.lit("company:ext:"), (F.col(c) % 400).cast("string"))

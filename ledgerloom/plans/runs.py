@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.functions import normalize
 from ledgerloom.operators import graph_query, ingest, integrity, operations, projection, upsert
 from ledgerloom.operators.common import first_of, written
 from ledgerloom.schema import FLOW_METRICS, REPORTS
@@ -114,6 +115,27 @@ def ingest_structure(
     return upsert.upsert_nodes(nodes, made, [F.col("label")]), upsert.upsert_edges(edges, batch, [F.desc("source_ref"), F.desc_nulls_last("qualifier.share_pct")]), recorded
 
 
+def resolve(nodes: DataFrame, edges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, cycles) after customers, segments, external companies and owners have moved to what they stand for.
+
+    Chains of aliases are followed to their ends over all four kinds at once, so no edge leads to a node that is dropped. cycles:
+    pairs (old_id, new_id) that lead round and stay. Of edges that meet the one that was there stays, then the least source_ref.
+    """
+    label, order = F.col("label"), [F.col("source_ref"), F.col("confidence")]
+    alias_norm, corp_norm = normalize.normalize_alias(label), normalize.normalize_corp_name(label)
+    customers = upsert.customer_mapping(nodes, aliases, alias_norm, corp_norm)
+    by_alias = lambda kind: upsert.alias_mapping(nodes, aliases, kind, alias_norm, f"{kind}:")
+    external = upsert.external_mapping(nodes, aliases, corp_norm)
+    everything = customers.unionByName(by_alias("segment")).unionByName(external).unionByName(by_alias("person"))
+    mapping, cycles = upsert.settled(first_of(everything, ["old_id"], [F.col("new_id")]))
+    spelt = nodes.filter("kind = 'customer'").select(F.col("id").alias("object_id"), label.alias("_raw"))
+    named = edges.join(spelt, "object_id", "left")
+    raw = F.coalesce("_raw", "qualifier.buyer_raw")
+    moved = upsert.repoint(named, mapping, "object_id", order, raw).drop("_raw")
+    moved = upsert.repoint(moved, mapping, "subject_id", order).select(*edges.columns)
+    return upsert.mark_unresolved(upsert.drop_nodes(nodes, mapping), mapping), moved, cycles
+
+
 def run_pipeline(
     tables: dict[str, DataFrame], landed: dict[str, DataFrame], year: int, n: int = 3, skip: tuple[str, ...] = (),
     publish: Callable[[str, DataFrame], DataFrame] | None = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.functions import text
-from ledgerloom.operators import extraction, graph_query
+from ledgerloom.operators import extraction, graph_query, upsert
 from ledgerloom.plans import runs
 from ledgerloom.sources import landing
 
@@ -234,3 +234,45 @@ def test_extractor_seam_feeds_the_structure_run(spark, tables, landed):
     assert [tuple(r) for r in rejected.collect()] == [("00000008", "r2", "$.extra", "extra")]
     done = runs.run_pipeline(tables, landed | {"extractions": said}, 2026, skip=("financials", "equity", "export"))
     assert held(done) == [("segment:00000007:가", "2024", "r1", 12.5)]
+
+
+def test_settled_follows_chains_and_names_cycles(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(37)]
+    pairs = chain + [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("in", "x"), ("self", "self"), ("one", "end")]
+    mapping, cycles = upsert.settled(spark.createDataFrame(pairs, "old_id string, new_id string"))
+    got = {r["old_id"]: r["new_id"] for r in mapping.collect()}
+    assert got == {o: "c37" for o, _ in chain} | {"a": "c", "b": "c", "one": "end"}
+    assert sorted(map(tuple, cycles.collect())) == [("in", "x"), ("x", "y"), ("y", "x")]
+    assert upsert.settled(spark.createDataFrame([], "old_id string, new_id string"))[0].count() == 0
+
+
+def test_resolve_leaves_no_edge_at_a_dropped_node(spark):
+    nodes = spark.createDataFrame(
+        [
+            ("company:1", "company", "Big", {"dart_code": "1"}), ("company:2", "company", "Second Co., Ltd.", {"dart_code": "2"}), ("company:ext:big-inc", "company", "Big Inc.", {"external": "true"}),
+            ("company:ext:two", "company", "Two", None), ("customer:big", "customer", "(주) Big", None), ("customer:who", "customer", "Who", None),
+            ("segment:a", "segment", "A", None), ("segment:b", "segment", "B", None), ("segment:c", "segment", "C", None), ("segment:r", "segment", "R", None), ("segment:s", "segment", "S", None),
+            ("person:1:kim", "person", "Kim", None), ("person:kim", "person", "Kim H", None)
+        ],
+        schema.NODES
+    )
+    rows = [
+        ("company:1", "HAS_SEGMENT", "segment:a"), ("company:1", "HAS_SEGMENT", "segment:c"), ("company:2", "HAS_SEGMENT", "segment:r"), ("company:2", "SELLS_TO", "customer:big"),
+        ("company:2", "SELLS_TO", "customer:who"), ("company:ext:big-inc", "OWNS_STAKE_IN", "company:ext:two"), ("person:1:kim", "OWNS_STAKE_IN", "company:1")
+    ]
+    empty = spark.createDataFrame([], schema.EDGES)
+    edges = spark.createDataFrame([(*r, "2024", f"r{i}") for i, r in enumerate(rows)], "subject_id string, predicate string, object_id string, period string, source_ref string")
+    edges = edges.unionByName(empty, allowMissingColumns=True).select(*empty.columns)
+    aliases = spark.createDataFrame(
+        [("a", "segment:b"), ("b", "segment:c"), ("r", "segment:s"), ("s", "segment:r"), ("kim", "person:kim"), ("two", "company:2")], "alias_norm string, node_id string"
+    )
+    after, moved, cycles = runs.resolve(nodes, edges, aliases)
+    left = {r["id"]: r["attrs"] for r in after.collect()}
+    assert set(left) == {"company:1", "company:2", "customer:who", "segment:c", "segment:r", "segment:s", "person:kim"} and left["customer:who"] == {"resolved": "false"}
+    got = {(r["subject_id"], r["predicate"], r["object_id"]): r for r in moved.collect()}
+    assert set(got) == {
+        ("company:1", "HAS_SEGMENT", "segment:c"), ("company:2", "HAS_SEGMENT", "segment:r"), ("company:2", "SELLS_TO", "company:1"), ("company:2", "SELLS_TO", "customer:who"),
+        ("company:1", "OWNS_STAKE_IN", "company:2"), ("person:kim", "OWNS_STAKE_IN", "company:1")
+    }
+    assert {x for s, _, o in got for x in (s, o)} <= set(left) and got["company:1", "HAS_SEGMENT", "segment:c"]["source_ref"] == "r1"
+    assert got["company:2", "SELLS_TO", "company:1"]["qualifier"]["buyer_raw"] == "(주) Big" and len(cycles.collect()) == 2
