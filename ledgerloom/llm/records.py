@@ -215,19 +215,27 @@ def tokenizer_of(path: str) -> PieceTokenizer:
 def shard_bounds(rows: DataFrame, shards: int, total: int) -> list[tuple[int, int, int]]:
     """Where shards begin, but for the first: (doc, key, salt), so that the texts' bytes between two bounds fill a shard.
 
-    The sample holds PER_SHARD rows a shard; a row of many bytes stands in it several times. Spark's own range
-    partitioner collects a sample of this size too, but counts rows.
+    The sample holds PER_SHARD rows a shard; a row of many bytes stands in it several times. It is sorted and summed up in
+    Spark, range by range, and only the bounds come to the driver: a row a shard.
     """
+    if shards < 2:
+        return []
     step = max(1, total // (shards * PER_SHARD))
     size = F.octet_length("text") + ROW_BYTES
     drawn = F.floor(size / step) + (F.rand(11) < (size % step) / step).cast("long")
-    sample = rows.select("doc", "key", F.floor(F.rand(12) * (1 << 30)).cast("long").alias("salt"), drawn.alias("times")).filter("times > 0").collect()
-    sample.sort()
-    upto = np.cumsum([r["times"] for r in sample]) if sample else np.zeros(0)
-    if not len(upto):
-        return []
-    at = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)
-    return [tuple(sample[i][:3]) for i in np.unique(at)]
+    sample = rows.select("doc", "key", F.floor(F.rand(12) * (1 << 30)).cast("long").alias("salt"), drawn.alias("times")).filter("times > 0")
+    with scratch.scope(rows.sparkSession):
+        drawn = scratch.materialize(sample, "drawn")  # drawn once: the ranges are cut from a sample of these rows
+        ranged = drawn.repartitionByRange("doc", "key", "salt").withColumn("part", F.spark_partition_id())
+        ranged = scratch.materialize(ranged, "ranged")
+        held = ranged.groupBy("part").agg(F.sum("times").alias("held"))
+        offsets = held.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"))  # a row a range
+        whole = held.agg(F.sum("held")).first()[0] or 0
+        within = F.sum("times").over(Window.partitionBy("part").orderBy("doc", "key", "salt").rowsBetween(Window.unboundedPreceding, 0))
+        upto = ranged.withColumn("within", within).join(offsets, "part").select("doc", "key", "salt", "times", (F.col("within") + F.col("before")).alias("upto"))
+        shard_of = lambda value: F.floor(value * F.lit(shards) / F.lit(max(1, whole))).cast("long")
+        begins = F.least(shard_of(F.col("upto")), F.lit(shards - 1)) > shard_of(F.col("upto") - F.col("times"))
+        return sorted({tuple(r) for r in upto.filter(begins).select("doc", "key", "salt").collect()})
 
 
 def dealt(rows: DataFrame, shards: int, total: int) -> DataFrame:
