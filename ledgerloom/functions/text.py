@@ -37,7 +37,8 @@ def unescaped(s: Column) -> Column:
     numbered = F.when(s.contains("&#"), F.array_join(F.transform(F.split(s, "(?=&#)"), piece), "")).otherwise(s)
     for name, sign in ENTITIES.items():
         numbered = F.replace(numbered, F.lit(f"&{name};"), F.lit(sign))
-    return F.replace(numbered, F.lit("&amp;"), F.lit("&"))
+    # Most pieces hold no reference at all: the branch is taken for those alone that do.
+    return F.when(s.contains("&"), F.replace(numbered, F.lit("&amp;"), F.lit("&"))).otherwise(s)
 
 
 def stripped(s: Column) -> Column:

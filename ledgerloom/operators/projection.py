@@ -9,23 +9,26 @@ from ledgerloom.operators.common import first_of
 from ledgerloom.operators.graph_query import owned_companies
 
 
-def graph_export(edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """Edges, and facts as REPORTS edges from a company to a metric. qualifier is JSON, without what is null."""
-    known = lambda frame, c, kind: F.col(c) if c in frame.columns else F.lit(None).cast(kind)
-    own = edges.select(
-        "subject_id", "predicate", "object_id", "period",
-        (F.to_json("qualifier") if "qualifier" in edges.columns else F.lit(None).cast("string")).alias("qualifier"),
-        known(edges, "source_type", "string").alias("source_type"), known(edges, "confidence", "double").alias("confidence")
-    )
+def graph_union(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """Edges, and facts as REPORTS edges from a company to a metric, with typed fields: qualifier of edges, reported of facts."""
+    known = lambda frame, c, kind: (F.col(c) if c in frame.columns else F.lit(None).cast(kind)).alias(c)
     said = F.struct(
         F.col("amount").cast("double").alias("amount"), "fs_div", F.col("metric_key").alias("metric"),
         ids.period_id(F.col("bsns_year"), F.col("fiscal_period")).alias("period_node")
     )
+    own = edges.select("subject_id", "predicate", "object_id", "period", *(["qualifier"] if "qualifier" in edges.columns else []), known(edges, "source_type", "string"), known(edges, "confidence", "double"))
     reports = facts.select(
         F.col("company_id").alias("subject_id"), F.lit("REPORTS").alias("predicate"), ids.metric_id(F.col("metric_key")).alias("object_id"), F.concat("bsns_year", "fiscal_period").alias("period"),
-        F.to_json(said).alias("qualifier"), known(facts, "source_type", "string").alias("source_type"), known(facts, "confidence", "double").alias("confidence"),
+        said.alias("reported"), known(facts, "source_type", "string"), known(facts, "confidence", "double"),
     )
-    return own.unionByName(reports)
+    return own.unionByName(reports, allowMissingColumns=True)
+
+
+def graph_export(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """graph_union as it is written: qualifier is JSON, without what is null."""
+    both = graph_union(edges, facts)
+    said = [F.to_json(c) for c in ("qualifier", "reported") if c in both.columns]
+    return both.select("subject_id", "predicate", "object_id", "period", F.coalesce(*said).alias("qualifier"), "source_type", "confidence")
 
 
 def export_counts(nodes: DataFrame, exported: DataFrame) -> DataFrame:

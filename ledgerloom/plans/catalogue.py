@@ -1030,10 +1030,9 @@ UNION ALL SELECT company_id, 'REPORTS', 'metric:' || metric_key, bsns_year || fi
 def graph_export(s: Star) -> DataFrame:
     edges = s.segment_edges().withColumns({"source_type": F.lit("llm"), "confidence": F.lit(0.5)})
     facts = s.facts().withColumns({"amount": F.col("amount").cast("decimal(22,2)"), "source_type": F.lit("dart_api"), "confidence": F.lit(1.0)})
-    said = lambda c: F.get_json_object("qualifier", f"$.{c}").alias(c)
-    return projection.graph_export(edges, facts).select(
-        "subject_id", "predicate", "object_id", "period", said("share_pct").cast("double").alias("share_pct"),
-        said("amount").cast("double").alias("amount"), said("fs_div"), said("period_node"), "source_type", "confidence"
+    return projection.graph_union(edges, facts).select(
+        "subject_id", "predicate", "object_id", "period", F.col("qualifier.share_pct").alias("share_pct"), "reported.amount", "reported.fs_div",
+        "reported.period_node", "source_type", "confidence"
     )
 
 

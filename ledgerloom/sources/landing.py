@@ -54,10 +54,19 @@ def _rows_of(status: Column, rows: Column, empty: tuple[str, ...] | None) -> Col
     return F.when(status == "000", rows).when(nothing, F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("status "), F.coalesce(status, F.lit("null")))))
 
 
-def listing_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Filings of all landed pages; pages with another status than 000 or 013 (nothing found) fail the read."""
+def listing_pages(spark: SparkSession, path: str, complete: bool = True) -> DataFrame:
+    """Filings of all landed pages; pages with another status than 000 or 013 (nothing found) fail the read, and so does a page that is missing.
+
+    complete=False takes what has landed. The check is a table of one row beside the pages.
+    """
     pages = spark.read.schema(_page(LISTED, ", page_no int, total_page int")).option("multiLine", True).json(path)
-    return pages.select(F.explode(_rows_of(F.col("status"), F.col("list"), ("013",))).alias("x")).select("x.*")
+    rows = _rows_of(F.col("status"), F.col("list"), ("013",))
+    if complete:
+        gaps = missing_pages(spark, path).agg(F.count("*").alias("gaps"), F.min(F.concat_ws("/", "folder", "page_no")).alias("gap"))
+        pages = pages.join(F.broadcast(gaps), F.lit(True))
+        lacks = F.concat(F.lit("listing lacks "), F.col("gaps").cast("string"), F.lit(" pages, the first is "), F.col("gap"))
+        rows = F.when(F.col("gaps") == 0, rows).otherwise(F.raise_error(lacks))
+    return pages.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def missing_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -116,3 +116,62 @@ def test_seeds_and_names(spark, tmp_path):
     assert landing.company_profiles(spark, str(tmp_path / "p.json")).first()["induty_code"] == "264"
     master = spark.createDataFrame([("1",), ("2",)], "corp_code string")
     assert sinks.sync_master(master, str(tmp_path / "master")) == 2
+
+
+def test_a_poisoned_report_does_not_stop_the_batch(spark, tmp_path):
+    members = spark.createDataFrame([("1",)], "corp_code string")
+    (tmp_path / "in").mkdir()
+    paths = str(tmp_path / "known"), "annual"
+    handed, bad = [], {"2", "4"}
+
+    def land(number, *names):
+        (tmp_path / "in" / f"{number}.json").write_text("\n".join(json.dumps({"corp_code": "1", "report_nm": "annual", "rcept_no": n}) for n in names))
+
+    def handle(reports, batch_id):
+        poison = list(bad)
+
+        def run(report):
+            if report["rcept_no"] in poison:
+                raise ValueError("poisoned")
+            return {"size": len(report["report_nm"])}
+
+        done = incremental.guarded(reports, run, "size long").persist()
+        handed.append(sorted(r["rcept_no"] for r in done.collect()))
+        assert all(r["done"]["size"] == 6 for r in done.filter("error is null").collect())
+        return done.filter("error is not null").select("rcept_no", "error")
+
+    def go():
+        stream = incremental.listing_stream(spark, str(tmp_path / "in"))
+        incremental.run_incremental(stream, members, *paths, handle, str(tmp_path / "cp"), str(tmp_path / "failed")).awaitTermination()
+
+    known = lambda: sorted(r["rcept_no"] for r in spark.read.parquet(str(tmp_path / "known")).collect())
+    land(0, "1", "2", "3")
+    go()
+    assert handed == [["1", "2", "3"]] and known() == ["1", "3"]
+    land(1, "4", "2")  # listed again and tried again, once
+    go()
+    assert handed[1] == ["2", "4"] and known() == ["1", "3"]
+    bad.discard("4")
+    incremental.retry_failed(spark, members, *paths, handle, str(tmp_path / "failed"))
+    assert handed[2] == ["2", "4"] and known() == ["1", "3", "4"]
+    bad.clear()
+    incremental.retry_failed(spark, members, *paths, handle, str(tmp_path / "failed"))
+    assert handed[3] == [] and known() == ["1", "3", "4"]  # three attempts are all that a report gets
+    failed = {(r["rcept_no"], r["attempts"]): r["error"] for r in spark.read.parquet(str(tmp_path / "failed")).collect()}
+    assert set(failed) == {("2", 1), ("2", 2), ("2", 3), ("4", 1)} and set(failed.values()) == {"ValueError: poisoned"}
+
+
+def test_a_missing_page_fails_the_listing(spark, tmp_path):
+    def page(folder, number, total, *names):
+        (tmp_path / "list" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "list" / folder / f"{number}.json").write_text(json.dumps({"status": "000", "page_no": number, "total_page": total, "list": [{"rcept_no": n} for n in names]}))
+
+    page("day=1", 1, 1, "a")
+    page("day=2", 1, 3, "b")
+    page("day=2", 3, 3, "d")
+    read = lambda **how: sorted(r["rcept_no"] for r in landing.listing_pages(spark, str(tmp_path / "list"), **how).collect())
+    with pytest.raises(Exception, match="listing lacks 1 pages, the first is .*day=2/2"):
+        read()
+    assert read(complete=False) == ["a", "b", "d"]
+    page("day=2", 2, 3, "c")
+    assert read() == ["a", "b", "c", "d"]
