@@ -44,6 +44,11 @@ ITEMS = {
 }
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once however often body names it: inside lambdas nothing else shares common parts."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _kind(value: Column) -> Column:
     """STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, ARRAY or OBJECT; null for a key that isn't there."""
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
@@ -55,7 +60,7 @@ def _fault(path: Column, fault: str | Column) -> Column:
 
 def _listed(fault: Column, path: Column) -> Column:
     """A list of one fault, or of none where fault is null."""
-    return F.when(fault.isNotNull(), F.array(_fault(path, fault))).otherwise(F.array().cast(FAULTS))
+    return F.transform(F.filter(F.array(fault), lambda f: f.isNotNull()), lambda f: _fault(path, f))
 
 
 def _object(value: Column) -> Column:
@@ -72,38 +77,45 @@ def _text(value: Column) -> Column:
 
 def _share(value: Column) -> Column:
     """A number, a truth value as 1 or 0, or the first number in a text."""
-    kind = _kind(value)
     flag = F.try_variant_get(value, "$", "boolean").cast("int").cast("double")
-    return F.when(kind == "STRING", normalize.coerce_share(_text(value))).when(kind == "BOOLEAN", flag).otherwise(F.try_variant_get(value, "$", "double"))
+    number = F.try_variant_get(value, "$", "double")
+    return _let(_kind(value), lambda kind: F.when(kind == "STRING", normalize.coerce_share(_text(value))).when(kind == "BOOLEAN", flag).otherwise(number))
 
 
-def _value_fault(item: Item, value: Column) -> Column:
-    kind = _kind(value)
+def _value_fault(item: Item, value: Column, kind: Column) -> Column:
     if item.kind == "text":
         return F.when(kind != "STRING", "type")
     if item.kind == "choice":
         return F.when(kind != "STRING", "type").when(~_text(value).isin(*item.choices), "choice")
     if item.kind == "texts":
         return F.when(kind != "ARRAY", "type").when(F.exists(_items(value), lambda x: F.coalesce(_kind(x), F.lit("VOID")) != "STRING"), "type")
-    share = _share(value)
     known = kind.isin("STRING", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")
-    return F.when(~known, "type").when(share.isNull(), "number").when((share < 0) | (share > 100), "range")
+    out_of = lambda share: F.when(share.isNull(), "number").when((share < 0) | (share > 100), "range")
+    return F.when(~known, "type").otherwise(_let(_share(value), out_of))
 
 
 def _key_fault(item: Item, keys: Column, key: str, value: Column) -> Column:
     absent = ~F.array_contains(keys, key)
-    null = value.isNull() | (_kind(value) == "VOID")
     when_null = F.lit("type") if item.needed or not item.nullable else F.lit(None).cast("string")
-    return F.when(absent, F.lit("missing" if item.needed else None).cast("string")).when(null, when_null).otherwise(_value_fault(item, value))
+    held = lambda kind: F.when(kind == "VOID", when_null).otherwise(_value_fault(item, value, kind))
+    return F.when(absent, F.lit("missing" if item.needed else None).cast("string")).otherwise(_let(F.coalesce(_kind(value), F.lit("VOID")), held))
 
 
 def _object_faults(value: Column, path: Column, known: dict[str, Callable[[Column, Column, Column], Column]]) -> Column:
     """Faults of an object whose keys are known: others, and what each check (value, path, keys) finds."""
-    held = _object(value)
-    keys = F.map_keys(held)
-    extra = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)))), lambda k: _fault(F.concat(path, F.lit("."), k), "extra"))
-    found = [extra, *(check(held[key], F.concat(path, F.lit(f".{key}")), keys) for key, check in known.items())]
-    return F.when(held.isNull(), F.array(_fault(path, "type"))).otherwise(F.flatten(F.array(*found)))
+    extra = lambda keys: F.transform(
+        F.array_sort(F.array_except(keys, F.array(*map(F.lit, known)))), lambda k: _fault(F.concat(path, F.lit("."), k), "extra")
+    )
+
+    def found(held: Column) -> Column:
+        checks = [_let(held[key], _check(check, F.concat(path, F.lit(f".{key}")), held)) for key, check in known.items()]
+        return F.when(held.isNull(), F.array(_fault(path, "type"))).otherwise(F.flatten(F.array(extra(F.map_keys(held)), *checks)))
+
+    return _let(_object(value), found)
+
+
+def _check(check: Callable[[Column, Column, Column], Column], path: Column, held: Column) -> Callable[[Column], Column]:
+    return lambda value: check(value, path, F.map_keys(held))
 
 
 def _items_check(field: str) -> Callable[[Column, Column, Column], Column]:
@@ -155,9 +167,15 @@ def record(parsed: Column) -> Column:
     return F.struct(*made).cast(EXTRACTION)
 
 
+def _parsed(text: Column) -> Column:
+    """The text as JSON if it is that as a whole, else its first fenced block."""
+    whole = F.try_parse_json(F.nullif(F.trim(text), F.lit("")))
+    return F.coalesce(whole, F.try_parse_json(normalize.json_block(text)))
+
+
 def parse_answers(answers: DataFrame, text_col: str = "answer") -> DataFrame:
     """answers with faults and record (null if there is any fault). One verdict a row, and no row is lost."""
-    parsed = answers.withColumn("_parsed", F.try_parse_json(normalize.json_block(F.col(text_col)))).withColumn("faults", faults(F.col("_parsed")))
+    parsed = answers.withColumn("_parsed", _parsed(F.col(text_col))).withColumn("faults", faults(F.col("_parsed")))
     return parsed.withColumn("record", F.when(F.size("faults") == 0, record(F.col("_parsed")))).drop("_parsed")
 
 
