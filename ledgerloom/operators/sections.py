@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.operators import patterns
 from ledgerloom.operators.common import first_of
 
 TARGETS = tuple(text.TARGET_PATTERNS)
@@ -119,10 +120,13 @@ def pattern_stats(patterns: DataFrame) -> DataFrame:
 def validate_proposals(proposals: DataFrame, fixtures: DataFrame, least: int = 3) -> DataFrame:
     """Proposals (as from promote_proposals) with promoted and tag, checked against fixtures (target, header): headers that a target has.
 
-    A proposal whose pattern hits a header of another target is rejected and tagged with that target; fixtures are few.
+    A proposal whose pattern hits a header of another target is rejected and tagged with that target, one that can't be
+    used with its problem. Patterns meet headers through the index of `patterns.matches`.
     """
     others = fixtures.select(F.col("target").alias("other"), "header").distinct()
-    met = proposals.join(F.broadcast(others), (F.col("target") != F.col("other")) & F.expr("header rlike regex"), "left")
-    judged = met.groupBy(*(c for c in proposals.columns if c != "promoted")).agg(F.min("other").alias("hit"))
-    tag = F.when(F.col("hit").isNotNull(), F.concat(F.lit("__rejected_by:"), "hit"))
-    return judged.withColumns({"promoted": (F.col("seen") >= least) & ~F.col("refuted") & F.col("hit").isNull(), "tag": tag}).drop("hit")
+    met = patterns.matches(proposals, others).join(others, "header").filter(F.col("other") != F.col("target"))
+    judged = patterns.checked(proposals).join(met.groupBy("target", "regex").agg(F.min("other").alias("hit")), ["target", "regex"], "left")
+    tag = F.when(F.col("problem").isNotNull(), F.concat(F.lit("__invalid:"), "problem")).when(F.col("hit").isNotNull(), F.concat(F.lit("__rejected_by:"), "hit"))
+    held = [c for c in proposals.columns if c not in ("promoted", "tag")]
+    promoted = (F.col("seen") >= least) & ~F.col("refuted") & F.col("tag").isNull()
+    return judged.withColumn("tag", tag).withColumn("promoted", promoted).select(*held, "promoted", "tag")

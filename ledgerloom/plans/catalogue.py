@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import ids, normalize, text
-from ledgerloom.operators import evaluation, extraction, graph_query, ingest, integrity, operations, projection, sections, upsert
+from ledgerloom.operators import evaluation, extraction, graph_query, ingest, integrity, operations, patterns, projection, sections, upsert
 from ledgerloom.operators.common import union, written
 from ledgerloom.plans.star import AMOUNT, SQL, Star, with_views
 from ledgerloom.streaming import incremental
@@ -476,14 +476,16 @@ def _customers(s: Star) -> DataFrame:
     return s.table("customer").select(ids.node_id("customer", s.code("c_custkey")).alias("id"), F.lit("customer").alias("kind"), spelt.alias("label"))
 
 
-_MAPPED = """mapping AS (SELECT 'customer:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS old_id, 'company:' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS new_id
-  FROM customer JOIN supplier ON CASE WHEN c_custkey % 10 = 0 THEN 1 WHEN c_custkey % 2 = 0 THEN c_custkey % 150 ELSE -1 END = s_suppkey)"""
+_MAPPED = """aliased AS (SELECT DISTINCT c_custkey % 150 AS spelt FROM customer WHERE c_acctbal < 500),
+mapping AS (SELECT 'customer:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS old_id, 'company:' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS new_id
+  FROM customer LEFT JOIN aliased ON c_custkey % 150 = spelt JOIN supplier ON CASE WHEN c_custkey % 2 = 1 THEN -1 WHEN spelt IS NOT NULL THEN 1 ELSE c_custkey % 150 END = s_suppkey)"""
 
 
 def _customer_mapping(s: Star) -> DataFrame:
     company = s.companies().select(F.col("company_id").alias("id"), F.lit("company").alias("kind"), F.concat("label", F.lit(" Co., Ltd.")).alias("label"))
     nodes = company.unionByName(_customers(s))
-    aliased = s.table("customer").filter("c_custkey % 10 = 0").select(
+    # A customer with a low balance gives its spelling as an alias of the first company.
+    aliased = s.table("customer").filter("c_acctbal < 500").select(
         normalize.normalize_alias(F.concat(F.lit("(주) Supplier#"), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0"))).alias("alias_norm"),
         F.lit("company:00000001").alias("node_id")
     ).distinct()
@@ -814,6 +816,62 @@ def keyword_pattern(s: Star) -> DataFrame:
     return s.table("customer").select("c_custkey", text.keyword_pattern(F.regexp_replace(header, r"Ⅱ\.", "Ⅱ")).alias("pattern"))
 
 
+# Patterns as they are learned: plain, with escapes and gaps, with alternatives (no literal), not compiling, optional characters and an anchor.
+_LEARNED = """pats AS (SELECT DISTINCT (['overview', 'products', 'revenue'])[p_partkey % 3 + 1] AS target, CASE p_size % 5 WHEN 0 THEN replace(p_name, ' ', '.{0,3}') || '.{0,9}' || p_type
+  WHEN 1 THEN p_type || ' ' || replace(p_brand, '#', '\\#') WHEN 2 THEN replace(p_name, ' ', '|') WHEN 3 THEN p_type || '(' ELSE 'x?' || p_brand || '$' END AS regex FROM part),
+heads AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS header FROM part)"""
+
+
+def _learned(s: Star) -> DataFrame:
+    k, gap = F.col("p_size") % 5, F.lit(".{0,3}")
+    regex = F.when(k == 0, F.concat(F.replace("p_name", F.lit(" "), gap), F.lit(".{0,9}"), "p_type")).when(
+        k == 1, F.concat("p_type", F.lit(" "), F.replace("p_brand", F.lit("#"), F.lit("\\#")))
+    ).when(k == 2, F.replace("p_name", F.lit(" "), F.lit("|"))).when(k == 3, F.concat("p_type", F.lit("("))).otherwise(F.concat(F.lit("x?"), "p_brand", F.lit("$")))
+    target = F.get(F.array(*map(F.lit, sections.TARGETS)), (F.col("p_partkey") % 3).cast("int"))
+    return s.table("part").select(target.alias("target"), regex.alias("regex"), "p_partkey", "p_type")
+
+
+def _headers(s: Star) -> DataFrame:
+    return s.table("part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("header"), "p_partkey")
+
+
+@query(f"WITH {_LEARNED} SELECT header, target, regex FROM (SELECT * FROM pats WHERE regex NOT LIKE '%(') JOIN heads ON regexp_matches(header, regex)")
+def pattern_matches(s: Star) -> DataFrame:
+    return patterns.matches(_learned(s), _headers(s))
+
+
+@query(f"WITH {_LEARNED} SELECT target, regex, 'no regular expression' AS problem FROM pats WHERE regex LIKE '%('")
+def pattern_rejects(s: Star) -> DataFrame:
+    return patterns.rejects(_learned(s))
+
+
+_STORED = f"""{_LEARNED}, seen AS (SELECT (['overview', 'products', 'revenue'])[p_partkey % 3 + 1] AS target, CASE p_size % 5 WHEN 0 THEN replace(p_name, ' ', '.{{0,3}}') || '.{{0,9}}' || p_type
+  WHEN 1 THEN p_type || ' ' || replace(p_brand, '#', '\\#') WHEN 2 THEN replace(p_name, ' ', '|') WHEN 3 THEN p_type || '(' ELSE 'x?' || p_brand || '$' END AS regex, p_type AS header, p_partkey AS at_ FROM part),
+store AS (SELECT target, regex, 2 * count(*) AS seen, array_to_string(list_sort(list_distinct(list(header))), ',') AS headers, min(at_) AS first_seen, max(at_) AS last_seen FROM seen GROUP BY ALL)"""
+
+
+def _store(s: Star) -> DataFrame:
+    """A store that has taken in the same observations twice."""
+    observed = _learned(s).select("target", "regex", F.col("p_type").alias("header"), F.lit("part").alias("source"), F.col("p_partkey").alias("at"))
+    none = s.spark.createDataFrame([], "target string, regex string, seen long, headers array<string>, sources array<string>, first_seen long, last_seen long")
+    return patterns.record_proposals(patterns.record_proposals(none, observed), observed)
+
+
+@query(f"WITH {_STORED} SELECT *, 'part' AS sources FROM store")
+def proposal_store(s: Star) -> DataFrame:
+    return _store(s).withColumns({"headers": F.array_join("headers", ","), "sources": F.array_join("sources", ",")})
+
+
+@query(f"""WITH {_STORED}, fixtures AS (SELECT DISTINCT (['overview', 'products', 'revenue'])[length(p_type) % 3 + 1] AS other, p_name || ' ' || p_type || ' ' || p_brand AS header FROM part),
+hits AS (SELECT target, regex, min(other) AS hit FROM store JOIN fixtures ON other <> target AND regexp_matches(header, regex) WHERE seen >= 6 AND regex NOT LIKE '%(' GROUP BY ALL)
+SELECT target, regex, seen, seen >= 6 AND hit IS NULL AND regex NOT LIKE '%(' AS promoted,
+  CASE WHEN seen < 6 THEN NULL WHEN regex LIKE '%(' THEN '__invalid:no regular expression' ELSE '__rejected_by:' || hit END AS tag FROM store LEFT JOIN hits USING (target, regex)""")
+def proposal_judge(s: Star) -> DataFrame:
+    target = F.get(F.array(*map(F.lit, sections.TARGETS)), F.length("p_type") % 3)
+    fixtures = s.table("part").select(target.alias("target"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("header"))
+    return patterns.judged_proposals(_store(s), fixtures, least=6).select("target", "regex", "seen", "promoted", "tag")
+
+
 # ---- operations
 
 @query(with_views("queue") + " SELECT id, corp_code FROM queue WHERE status = 'pending' ORDER BY id LIMIT 50")
