@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import ids, normalize, text
-from ledgerloom.operators.common import first_of
+from ledgerloom.operators.common import first_of, union
 from ledgerloom.operators.graph_query import owned_companies
 
 
@@ -268,3 +268,47 @@ def concept_notes(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = (
         F.lit("\n\n\n## 이 "), "kind", F.lit("를 가리키는 회사 ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(")\n\n"), body, F.lit("\n")
     )
     return rows.select(F.col("id").alias("node_id"), text.note_name(F.col("label")).alias("name"), note.alias("note"))
+
+
+def person_notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, name, note: a note for each person with the companies that the person holds, sorted and each once, with the share last recorded."""
+    labels = nodes.filter("kind = 'company'").select(F.col("id").alias("object_id"), F.coalesce("label", "id").alias("company"))
+    held = latest_links(edges.filter("predicate = 'OWNS_STAKE_IN'")).join(labels, "object_id").select("subject_id", "company", F.col("qualifier.stake_pct").alias("stake"))
+    line = F.concat(F.lit("- "), text.wikilink(F.col("company")), F.coalesce(F.concat(F.lit(" — "), text.general(F.col("stake")), F.lit("%")), F.lit("")))
+    refs = held.groupBy(F.col("subject_id").alias("id")).agg(
+        F.count("*").alias("n"), F.transform(F.sort_array(F.collect_set(F.struct("company", "stake", line.alias("line")))), lambda x: x["line"]).alias("lines")
+    )
+    rows = nodes.filter("kind = 'person'").select("id", F.coalesce("label", "id").alias("label")).join(refs, "id", "left")
+    n = F.coalesce("n", F.lit(0)).cast("string")
+    note = F.concat(
+        F.lit('---\ntype: "person"\nname: '), text.yaml_string(F.col("label")), F.lit("\nowned_count: "), n, F.lit("\ntags: [person]\n---\n# "), "label",
+        F.lit("\n\n\n## 보유 회사 ("), n, F.lit(")\n\n"), F.coalesce(F.array_join("lines", "\n"), F.lit(NONE_LINE)), F.lit("\n")
+    )
+    return rows.select(F.col("id").alias("node_id"), text.note_name(F.col("label")).alias("name"), note.alias("note"))
+
+
+# The folders of a vault by the kind of a note's node.
+NOTE_FOLDERS = {"company": "companies", "segment": "segments", "customer": "customers", "region": "regions", "sector": "sectors", "person": "people"}
+
+
+def note_files(notes: DataFrame) -> DataFrame:
+    """folder, name, note from notes (kind, node_id, name, note): no two files of a folder have one name, letter case aside.
+
+    Of notes that clash, the one of the least id keeps its name; the others, and notes whose name says nothing, get a
+    hash of their id behind it. Names are settled by an aggregation and a join, so a name that many share is no one's task.
+    """
+    folder = F.create_map(*(F.lit(x) for pair in NOTE_FOLDERS.items() for x in pair))[F.col("kind")]
+    bare = F.coalesce(F.trim("name"), F.lit(""))
+    rows = notes.select(folder.alias("folder"), "node_id", F.when(bare.rlike(r"^\.*$"), "").otherwise(bare).alias("name"), "note").withColumn("folded", F.lower("name"))
+    first = rows.groupBy("folder", "folded").agg(F.min("node_id").alias("first"))
+    own = (F.col("node_id") == F.col("first")) & (F.col("name") != "")
+    hashed = F.trim(F.concat_ws(" ", "name", F.substring(F.sha1(F.col("node_id").cast("binary")), 1, 12)))
+    return rows.join(first, ["folder", "folded"]).select("folder", F.when(own, F.col("name")).otherwise(hashed).alias("name"), "note")
+
+
+def vault_notes(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues: DataFrame) -> DataFrame:
+    """kind, node_id, name, note: the notes of companies, concepts and persons, as `note_files` takes them."""
+    named = lambda df, node_id: df.select(F.substring_index(node_id, ":", 1).alias("kind"), F.col(node_id).alias("node_id"), "name", "note")
+    return union(
+        named(company_notes(nodes, edges, facts, issues), "company_id"), named(concept_notes(nodes, edges), "node_id"), named(person_notes(nodes, edges), "node_id")
+    )

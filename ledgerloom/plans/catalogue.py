@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import ids, normalize, text
-from ledgerloom.operators import evaluation, extraction, graph_query, ingest, integrity, operations, patterns, projection, sections, upsert
+from ledgerloom.operators import evaluation, extraction, graph_query, ingest, integrity, operations, patterns, projection, sections, seeds, upsert
 from ledgerloom.operators.common import union, written
 from ledgerloom.plans.star import AMOUNT, SQL, Star, with_views
 from ledgerloom.streaming import incremental
@@ -1200,6 +1200,32 @@ def concept_notes(s: Star) -> DataFrame:
     return projection.concept_notes(_note_nodes(s), _short_shares(s), ("segment",))
 
 
+_STAKES = f"{_OWNED}, held AS (SELECT holder_id, '[[' || {_SAFE.format('label')} || ']] — ' || format('{{:g}}', floor(stake_pct * 100) / 100) || '%' AS line, label, floor(stake_pct * 100) / 100 AS pct FROM owned JOIN companies USING (company_id))"
+
+
+@query(with_views("stake", "companies") + f""", {_STAKES}, refs AS (SELECT holder_id, count(*) AS n, string_agg('- ' || line, chr(10) ORDER BY label, pct) AS lines FROM held GROUP BY ALL)
+SELECT id AS node_id, {_SAFE.format('c_name')} AS name, '---' || chr(10) || 'type: "person"' || chr(10) || 'name: "' || c_name || '"' || chr(10) || 'owned_count: ' || coalesce(n, 0) || chr(10) || 'tags: [person]' || chr(10) || '---' || chr(10) || '# ' || c_name || chr(10) || chr(10) || chr(10) || '## 보유 회사 (' || coalesce(n, 0) || ')' || chr(10) || chr(10) || coalesce(lines, '- (없음)') || chr(10) AS note
+FROM (SELECT 'person:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, c_name FROM customer) LEFT JOIN refs ON holder_id = id""")
+def person_notes(s: Star) -> DataFrame:
+    short = F.col("qualifier").withField("stake_pct", F.floor(F.col("qualifier.stake_pct") * 100) / 100)
+    return projection.person_notes(s.nodes(), s.stake_edges().withColumn("qualifier", short))
+
+
+@query("""WITH named AS (SELECT 'people' AS folder, 'customer:' || c_custkey AS node_id, CASE WHEN c_nationkey = 0 THEN '' WHEN c_custkey % 2 = 0 THEN 'Nation ' ELSE 'NATION ' END || CASE WHEN c_nationkey = 0 THEN '..' ELSE CAST(c_nationkey AS VARCHAR) END AS raw, c_name AS note FROM customer
+  UNION ALL SELECT 'companies', 'company:' || s_suppkey, s_name, s_name FROM supplier),
+bare AS (SELECT *, CASE WHEN raw = '..' THEN '' ELSE raw END AS name FROM named), placed AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(name) ORDER BY node_id) AS rn FROM bare)
+SELECT folder, CASE WHEN rn = 1 AND name <> '' THEN name ELSE trim(name || ' ' || left(sha1(node_id), 12)) END AS name, note FROM placed""")
+def note_files(s: Star) -> DataFrame:
+    """Customers under the names of their nations, in two spellings, and one of dots: names that clash."""
+    said = F.concat(F.when(F.col("c_custkey") % 2 == 0, "Nation ").otherwise("NATION "), F.col("c_nationkey").cast("string"))
+    people = s.table("customer").select(
+        F.lit("person").alias("kind"), F.concat(F.lit("customer:"), "c_custkey").alias("node_id"), F.when(F.col("c_nationkey") == 0, "..").otherwise(said).alias("name"),
+        F.col("c_name").alias("note")
+    )
+    company = s.table("supplier").select(F.lit("company").alias("kind"), F.concat(F.lit("company:"), "s_suppkey").alias("node_id"), F.col("s_name").alias("name"), F.col("s_name").alias("note"))
+    return projection.note_files(people.unionByName(company))
+
+
 @query(f"""WITH labels AS (SELECT p_partkey, p_name || ': "' || p_type || '"/[' || repeat(p_brand || ' ', CAST(p_size % 8 AS INT)) || ']' AS label FROM part), safe AS (SELECT *, {_SAFE.format('label')} AS s FROM labels),
 named AS (SELECT *, CASE WHEN length(s) <= 60 THEN s ELSE trim(left(s, 60)) || ' ' || left(sha1(label), 6) END AS name FROM safe)
 SELECT p_partkey, name, CASE WHEN name = s THEN '[[' || name || ']]' ELSE '[[' || name || '|' || s || ']]' END AS link, '"' || replace(replace(label, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' AS scalar, format('{{:g}}', p_partkey / 8.0) AS number FROM named""")
@@ -1218,6 +1244,29 @@ def export_counts(s: Star) -> DataFrame:
     return projection.export_counts(s.nodes(), projection.graph_export(s.segment_edges(), s.facts()))
 
 
+_STARTED = "started AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS code, s_name, s_nationkey, CASE WHEN s_acctbal < 0 THEN '' ELSE right('00000' || s_suppkey, 6) END AS ticker FROM supplier)"
+
+
+def _started(s: Star) -> DataFrame:
+    """Suppliers as companies of a new graph; those in debt have no stock."""
+    ticker = F.when(F.col("s_acctbal") < 0, "").otherwise(F.expr("right(concat('00000', s_suppkey), 6)"))
+    return s.table("supplier").select(s.code("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("sector"), ticker.alias("ticker"), F.lit("KOSPI").alias("market"))
+
+
+@query(f"""WITH {_STARTED} SELECT 'sector:' || n_nationkey AS id, 'sector' AS kind, n_name AS label, NULL AS code, NULL AS ticker, NULL AS market FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region', r_name, NULL, NULL, NULL FROM region
+UNION ALL SELECT 'company:' || code, 'company', s_name, code, NULL, NULL FROM started UNION ALL SELECT 'stock:' || ticker, 'stock', s_name, NULL, ticker, 'KOSPI' FROM started WHERE ticker <> ''""")
+def seed_nodes(s: Star) -> DataFrame:
+    named = lambda t, c: s.table(t).select(F.col(f"{c}_{t}key").cast("string").alias("code"), F.col(f"{c}_name").alias("name"))
+    nodes = seeds.seed_nodes(named("nation", "n"), named("region", "r"), _started(s))
+    return nodes.select("id", "kind", "label", *(F.col("attrs")[k].alias(c) for k, c in (("dart_code", "code"), ("ticker", "ticker"), ("market", "market"))))
+
+
+@query(f"""WITH {_STARTED} SELECT 'company:' || code AS subject_id, 'IN_SECTOR' AS predicate, 'sector:' || s_nationkey AS object_id, 'manual' AS source_type FROM started
+UNION ALL SELECT 'company:' || code, 'ISSUES_STOCK', 'stock:' || ticker, 'manual' FROM started WHERE ticker <> ''""")
+def seed_edges(s: Star) -> DataFrame:
+    return seeds.seed_edges(_started(s)).select("subject_id", "predicate", "object_id", "source_type")
+
+
 # ---- extensions: not in the reference today
 
 @query(

@@ -173,7 +173,9 @@ def run_pipeline(
         issues = integrity.check_integrity(t["nodes"], t["edges"], t["facts"])
         return {
             "export": projection.graph_export(t["edges"], t["facts"]), "export_nodes": t["nodes"],
-            "export_notes": projection.company_notes(t["nodes"], t["edges"], t["facts"], issues), "export_concepts": projection.concept_notes(t["nodes"], t["edges"])
+            "export_notes": projection.company_notes(t["nodes"], t["edges"], t["facts"], issues), "export_concepts": projection.concept_notes(t["nodes"], t["edges"]),
+            "export_people": projection.person_notes(t["nodes"], t["edges"]),
+            "export_files": projection.note_files(projection.vault_notes(t["nodes"], t["edges"], t["facts"], issues)),
         }
 
     step("structure", structure)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -153,47 +156,103 @@ def filing_documents(spark: SparkSession, path: str) -> DataFrame:
 
     The main report is the first XML whose first 4 KiB name the annual report's code and title, else the largest; the
     section is the first whose title's note has the form D-...-2-0-0, else the last with the section's name and numeral.
-    Markup that is not well-formed is read by `loose_sections`.
+    Markup that is not well-formed is read by `loose_sections`. Members are unpacked piece by piece: a task holds the
+    archive, one section and the best one so far, and ends with the noted one, whatever the size of the report.
     """
 
     def section(content: bytes) -> tuple[str | None, str | None]:
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                found = [(n, z.read(n)) for n in z.namelist() if n.lower().endswith(".xml")]
-        except zipfile.BadZipFile:
+                found = [i for i in z.infolist() if i.filename.lower().endswith(".xml")]
+                if not found:
+                    return None, "no XML in the archive"
+                main = next((i for i in found if _is_annual(z, i)), max(found, key=lambda i: i.file_size))
+                try:
+                    with z.open(main) as member:
+                        chosen = business_section(pulled_sections(member))
+                except ET.ParseError:
+                    with z.open(main) as member:
+                        chosen = business_section(loose_sections(member))
+        except (zipfile.BadZipFile, EOFError, zlib.error):
             return None, "no zip archive"
-        if not found:
-            return None, "no XML in the archive"
-        main = next((x for _, x in found if b'ACODE="11011"' in x[:4096] and "사업보고서".encode() in x[:4096]), max((x for _, x in found), key=len))
-        try:
-            parts = []
-            for part in ET.fromstring(main).iter("SECTION-1"):
-                title = part.find("TITLE")
-                words = "".join(title.itertext()) if title is not None else ""
-                parts.append((words, (title.get("AASSOCNOTE") or "") if title is not None else "", ET.tostring(part, encoding="unicode")))
-        except ET.ParseError:
-            parts = loose_sections(main.decode("utf-8", "replace"))
-        noted = next((body for _, note, body in parts if note.startswith("D-") and note.endswith("-2-0-0")), None)
-        named = [body for words, _, body in parts if "사업의 내용" in words and ("II" in words or "Ⅱ" in words)]
-        chosen = noted if noted is not None else named[-1] if named else None
         return (None, "no business section") if chosen is None else (f"<html><body>{chosen}</body></html>", None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [section(c) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.string()) for x in zip(*out, strict=True))] if out else [pa.array([], pa.string())] * 3,
-                ["path", "html", "problem"]
-            )
+            # One filing at a time: contents are not all turned into Python objects at once.
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                html, problem = section(content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([html], pa.string()), pa.array([problem], pa.string())], ["path", "html", "problem"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, html string, problem string")
 
 
-def loose_sections(markup: str) -> list[tuple[str, str, str]]:
+def _is_annual(z: zipfile.ZipFile, member: zipfile.ZipInfo) -> bool:
+    with z.open(member) as f:
+        head = f.read(4096)
+    return b'ACODE="11011"' in head and "사업보고서".encode() in head
+
+
+def business_section(parts: Iterable[tuple[str, str, str]]) -> str | None:
+    """The markup of the business section among (title's words, title's note, markup)."""
+    named = None
+    for words, note, body in parts:
+        if note.startswith("D-") and note.endswith("-2-0-0"):
+            return body
+        if "사업의 내용" in words and ("II" in words or "Ⅱ" in words):
+            named = body
+    return named
+
+
+def pulled_sections(source: IO[bytes]) -> Iterator[tuple[str, str, str]]:
+    """(title's words, title's note, markup) of each SECTION-1 of well-formed markup; what has been read is let go, at whatever depth it stands."""
+    open_: list[ET.Element] = []
+    depth = 0  # of sections
+    for event, node in ET.iterparse(source, events=("start", "end")):
+        if event == "start":
+            open_.append(node)
+            depth += node.tag == "SECTION-1"
+            continue
+        open_.pop()
+        depth -= node.tag == "SECTION-1"
+        if depth:
+            continue
+        for part in node.iter("SECTION-1") if node.tag == "SECTION-1" else ():
+            title = part.find("TITLE")
+            words, note = ("".join(title.itertext()), title.get("AASSOCNOTE") or "") if title is not None else ("", "")
+            yield words, note, ET.tostring(part, encoding="unicode")
+        if open_:
+            open_[-1].remove(node)
+
+
+EDGE = re.compile(r"<SECTION-1(?!\w)|</SECTION-1\s*>")
+EDGE_MAX = 64
+
+
+def loose_sections(source: IO[bytes], step: int = 1 << 20) -> Iterator[tuple[str, str, str]]:
     """(title's words, title's note, markup) of each SECTION-1 in markup that need not be well-formed: a section ends where the next begins."""
-    out = []
-    for body in re.findall(r"<SECTION-1\b.*?(?=<SECTION-1\b|</SECTION-1\s*>|\Z)", markup, re.DOTALL):
-        title = re.search(r"<TITLE\b([^>]*)>(.*?)</TITLE\s*>", body, re.DOTALL)
-        note = re.search(r'AASSOCNOTE\s*=\s*"([^"]*)"', title[1]) if title else None
-        out.append((re.sub(r"<[^>]*>", "", title[2]) if title else "", note[1] if note else "", body))
-    return out
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    held: list[str] | None = None  # the open section's text
+    rest, piece = "", b"more"
+    while piece:
+        piece = source.read(step)
+        rest += decode(piece, not piece)
+        # A tag may be cut where a piece ends: the last characters wait for the next piece.
+        safe, at = max(0, len(rest) - EDGE_MAX) if piece else len(rest), 0
+        for edge in EDGE.finditer(rest):
+            if edge.start() >= safe:
+                break
+            if held is not None:
+                yield _titled("".join([*held, rest[at : edge.start()]]))
+            held, at = None if edge[0].startswith("</") else [], edge.start()
+        if held is not None:
+            held.append(rest[at:safe])
+        rest = rest[safe:]
+    if held is not None:
+        yield _titled("".join(held))
+
+
+def _titled(body: str) -> tuple[str, str, str]:
+    title = re.search(r"<TITLE\b([^>]*)>(.*?)</TITLE\s*>", body, re.DOTALL)
+    note = re.search(r'AASSOCNOTE\s*=\s*"([^"]*)"', title[1]) if title else None
+    return re.sub(r"<[^>]*>", "", title[2]) if title else "", note[1] if note else "", body

@@ -43,8 +43,3 @@ def sync_master(master: DataFrame, path: str) -> int:
     """Replaces the landed company register and returns its number of rows."""
     publish(master, path)
     return master.sparkSession.read.parquet(path).count()
-
-
-def write_notes(notes: DataFrame, path: str) -> None:
-    """Rendered notes; a note's file name is derived from its id by the reader."""
-    notes.select("company_id", F.col("note")).write.mode("overwrite").parquet(path)

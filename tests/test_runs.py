@@ -171,12 +171,16 @@ def test_structure_makes_nodes_with_their_provenance(spark, tables, landed):
     assert [r[0] for r in hit.collect()] == ["segment:00000007:hbm-메모리"]
 
 
-def test_pipeline_exports_nodes_and_notes(spark, tables, landed):
+def test_pipeline_exports_nodes_and_notes(spark, tables, landed, tmp_path):
     done = runs.run_pipeline(tables, landed | {"extractions": records(spark, ("00000007", "r1", "2024", "chips", 50.0))}, 2026)
     assert done.tables["export_nodes"].count() == done.tables["nodes"].count()
     notes = {r["company_id"]: r["note"] for r in done.tables["export_notes"].collect()}
     assert "chips" in notes["company:00000007"] and "company:00000008" in notes
     assert any("Seven" in r["note"] for r in done.tables["export_concepts"].collect() if r["node_id"] == "segment:00000007:chips")
+    assert {r["node_id"] for r in done.tables["export_people"].collect()} == {r["id"] for r in done.tables["nodes"].filter("kind = 'person'").collect()} != set()
+    vault.write_notes(done.tables["export_files"], str(tmp_path))
+    folder, n = vault.current_notes(str(tmp_path))
+    assert n == sum(done.tables[f"export_{k}"].count() for k in ("notes", "concepts", "people")) and "chips" in open(f"{folder}/companies/Seven.md").read()
 
 
 GOOD = {"period": "2024", "segments": [{"name_ko": "가", "share_pct": "약 12.5%", "products": ["a"]}], "customers": [{"name_raw": "Co"}], "geographic": [{"region_code": "KR", "share_pct": 7}, {"region_code": "XX", "share_pct": None}, 3]}
