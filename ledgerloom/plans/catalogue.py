@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import ids, normalize, text
-from ledgerloom.operators import evaluation, extraction, graph_query, ingest, integrity, operations, patterns, projection, sections, seeds, upsert
+from ledgerloom.operators import evaluation, extraction, graph_query, ingest, integrity, operations, pages, patterns, projection, sections, seeds, upsert
 from ledgerloom.operators.common import union, written
 from ledgerloom.plans.star import AMOUNT, SQL, Star, with_views
 from ledgerloom.streaming import incremental
@@ -736,8 +736,11 @@ def fin_ratios(s: Star) -> DataFrame:
 _TABLE = "<p>a &lt;&#44277;&amp;&#xAC00;</p><table border=1><tr><td> {0} </td><th><b>x</b> y&amp;z</th></tr><tr><td> </td></tr><TR><td>&nbsp;</td><td>two<br> words</td></TR></table> after"
 
 
-@query(r"""WITH plain AS (SELECT page_id, list_concat(list_filter(flatten(list_transform(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]*>'), lambda x: string_split_regex(trim(replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13)), '\r?\n'))), lambda x: trim(x, chr(32) || chr(9)) <> ''), ['a <공&가', page_id || chr(9) || 'xy&z', chr(9) || 'twowords', 'after']) AS lines FROM pages)
-SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, md5(array_to_string(lines, chr(10))) AS digest FROM plain""".replace("\\\\", "\\"))
+_PLAIN_PAGES = r"""WITH plain AS (SELECT page_id, list_concat(list_filter(flatten(list_transform(string_split_regex(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]*>'), lambda x: string_split_regex(trim(replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&#39;', ''''), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13)), '\r?\n'))), lambda x: trim(x, chr(32) || chr(9)) <> ''), {tail}) AS lines FROM pages)
+SELECT page_id, CAST(len(lines) AS BIGINT) AS n_lines, md5(array_to_string(lines, chr(10))) AS digest FROM plain"""
+
+
+@query(_PLAIN_PAGES.replace("{tail}", "['a <공&가', page_id || chr(9) || 'xy&z', chr(9) || 'twowords', 'after']"))
 def html_lines(s: Star) -> DataFrame:
     before, after = _TABLE.split("{0}")
     lines = text.html_lines(F.concat("html", F.lit(before), F.col("page_id").cast("string"), F.lit(after)))
@@ -746,6 +749,18 @@ def html_lines(s: Star) -> DataFrame:
     )
 
 
+# A table in a table's cell, cells and rows that are not closed, a stray sign, a comment and a script inside a text.
+_NESTED = "<table><tr><td>o{0}<table><tr><td>i1<td> i2 </table> p</td><td>q</td></tr><tr><th>u<th>v<tr><td></td></table>x<!-- c -->y<script>z</script> 1 < 2 &amp; 3"
+
+
+@query(_PLAIN_PAGES.replace("{tail}", "['o' || page_id || 'i1i2p' || chr(9) || 'i1' || chr(9) || 'i2' || chr(9) || 'q', 'i1' || chr(9) || 'i2', 'u' || chr(9) || 'v', 'x', 'y', '1 < 2 & 3']"))
+def page_lines(s: Star) -> DataFrame:
+    before, after = _NESTED.split("{0}")
+    rows = pages.page_lines(s.table("pages").select("page_id", F.concat("html", F.lit(before), F.col("page_id").cast("string"), F.lit(after)).alias("html")), "html")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(ordered, "\n").cast("binary")).alias("digest"))
+
+
 _TITLES = ("사업의 개요", "주요 제품 등", "매출 및 수주", "기타")
 
 

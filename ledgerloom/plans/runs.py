@@ -146,7 +146,8 @@ def run_pipeline(
     record), statements, shares, holders, investments, and master (the register) if there is one.
     publish writes a step's table under a name and returns it as read back, so that the next step starts from what is stored; without
     it tables are written to the folder that executors share, but for the export, which stays a plan over them.
-    The export holds nodes (export_nodes), edges (export) and notes of companies and concepts (export_notes, export_concepts).
+    The export holds nodes (export_nodes), edges (export), notes of companies, concepts and persons (export_notes, export_concepts,
+    export_people), and all notes under the names of their files (export_files), for `vault.write_notes`.
     """
     out, keep = Run(tables=dict(tables)), publish or (lambda name, table: table if name.startswith("export") else written(table, name))
     out.tables.setdefault("reports", tables["nodes"].sparkSession.createDataFrame([], REPORTS))

@@ -9,7 +9,7 @@ from ledgerloom import schema
 from ledgerloom.functions import text
 from ledgerloom.operators import extraction, graph_query, upsert
 from ledgerloom.plans import runs
-from ledgerloom.sources import landing
+from ledgerloom.sources import landing, vault
 
 
 def land(root, kind, code, year, report, rows, status="000"):
