@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions import ids, normalize
-from ledgerloom.operators.common import first_of, written
+from ledgerloom.operators.common import first_of, ranked, union, written
 
 
 def resolve_concept(nodes: DataFrame, aliases: DataFrame, concept: str, kind: str | None = None, strict: bool = False) -> DataFrame:
@@ -86,12 +86,32 @@ def stake_changes(edges: DataFrame) -> DataFrame:
 def ownership_closure(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """Extension: (holder_id, company_id, hops) reachable over latest holdings within a number of hops."""
     step = written(owned_companies(edges).select("holder_id", "company_id"), "holdings")  # read again for each hop
-    out = front = step.withColumn("hops", F.lit(1))
+    pair, fronts = ["holder_id", "company_id"], [step.withColumn("hops", F.lit(1))]
     for hops in range(2, rounds + 1):
-        nxt = front.select("holder_id", F.col("company_id").alias("via")).join(step.withColumnRenamed("holder_id", "via"), "via")
-        front = nxt.select("holder_id", "company_id", F.lit(hops).alias("hops")).distinct()
-        out = out.unionByName(front)
-    return out.groupBy("holder_id", "company_id").agg(F.min("hops").alias("hops"))
+        reached = fronts[-1].select("holder_id", F.col("company_id").alias("via")).join(step.withColumnRenamed("holder_id", "via"), "via").select(*pair).distinct()
+        # Only pairs that are new go on, and a front is written once: a hop costs its own pairs, not those of all before it.
+        front = written(reached.join(union(*fronts).select(*pair), pair, "left_anti").withColumn("hops", F.lit(hops)), "front")
+        if front.isEmpty():
+            break
+        fronts.append(front)
+    return union(*fronts)
+
+
+def company_summary(edges: DataFrame, top: int = 5) -> DataFrame:
+    """Extension: company_id, predicate, place, object_id, share_pct: what a company makes, as of its latest period.
+
+    All its segments and the first customers and regions, by falling share, unknown shares last, ties to the lesser id.
+    """
+    said = edges.filter(F.col("predicate").isin("HAS_SEGMENT", "SELLS_TO", "EXPOSED_TO")).select(
+        F.col("subject_id").alias("company_id"), "predicate", "object_id", F.coalesce("period", F.lit("")).alias("period"), F.col("qualifier.share_pct").alias("share_pct")
+    )
+    latest = said.groupBy("company_id").agg(F.max("period").alias("period"))
+    current = said.join(latest, ["company_id", "period"]).select("company_id", "predicate", "object_id", "share_pct")
+    made, other = current.filter("predicate = 'HAS_SEGMENT'"), current.filter("predicate <> 'HAS_SEGMENT'")
+    order = [F.desc_nulls_last("share_pct"), F.col("object_id")]
+    # Two windows: the bounded one keeps no more than `top` rows of a group before it is shuffled.
+    both = ranked(made, ["company_id", "predicate"], order, "place").unionByName(ranked(other, ["company_id", "predicate"], order, "place").filter(F.col("place") <= top))
+    return both.select("company_id", "predicate", "place", "object_id", "share_pct")
 
 
 def fiscal_years(edges: DataFrame) -> DataFrame:

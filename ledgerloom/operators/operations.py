@@ -123,6 +123,15 @@ def report_targets(companies: DataFrame, reported: DataFrame, codes: tuple[str,
     return wanted.select("corp_code", "bsns_year", F.explode(F.array(*map(F.lit, codes))).alias("reprt_code"))
 
 
+def enumerate_targets(universe: DataFrame, periods: str) -> DataFrame:
+    """corp_code, period of every company of a list (see landing.universe) and every period of a specification such as 2021-2023 or 2020,2022.
+
+    The periods are few and given, so they are an explode of each company's row. Each pair once; an empty period is none.
+    """
+    each = F.filter(F.array_distinct(normalize.years(F.lit(periods))), lambda y: y != "")
+    return universe.select("corp_code").distinct().select("corp_code", F.explode(each).alias("period"))
+
+
 def ticker_codes(stocks: DataFrame, master: DataFrame) -> DataFrame:
     """ticker, corp_code, found: the register's code of each stock, null and found = false where the register lacks it.
 

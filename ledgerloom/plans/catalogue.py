@@ -1294,6 +1294,19 @@ def e5_summary(s: Star) -> DataFrame:
     return ranked.filter("rn <= 5").select("company_id", "object_id", "share_pct")
 
 
+@query(with_views("seg", "stake") + """, said AS (SELECT subject_id AS company_id, 'HAS_SEGMENT' AS predicate, object_id, period, share_pct FROM seg UNION ALL SELECT company_id, 'SELLS_TO', holder_id, period, stake_pct FROM stake),
+placed AS (SELECT *, row_number() OVER (PARTITION BY company_id, predicate ORDER BY share_pct DESC NULLS LAST, object_id) AS place FROM said JOIN (SELECT company_id, max(period) AS period FROM said GROUP BY ALL) USING (company_id, period))
+SELECT company_id, predicate, CAST(place AS INT) AS place, object_id, share_pct FROM placed WHERE predicate = 'HAS_SEGMENT' OR place <= 5""")
+def company_summary(s: Star) -> DataFrame:
+    sold = s.stake_edges().withColumns({"qualifier": F.col("qualifier").withField("share_pct", F.col("qualifier.stake_pct")), "predicate": F.lit("SELLS_TO")})
+    return graph_query.company_summary(s.segment_edges().unionByName(sold.withColumns({"subject_id": F.col("object_id"), "object_id": F.col("subject_id")})))
+
+
+@query("SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS corp_code, CAST(y AS VARCHAR) AS period FROM customer, range(1996, 2003) t(y)")
+def enumerate_targets(s: Star) -> DataFrame:
+    return operations.enumerate_targets(s.table("customer").select(s.code("c_custkey").alias("corp_code")), "1996-2002")
+
+
 @query("""WITH t AS (SELECT lower(p_name) AS k, p_retailprice AS t FROM part), f AS (SELECT lower(CASE WHEN p_size > 30 THEN p_name || ' alt' ELSE p_name END) AS k, p_retailprice + 1 AS f FROM part),
 c AS (SELECT count(CASE WHEN t IS NOT NULL AND f IS NOT NULL THEN 1 END) AS matched, count(t) AS truth_n, count(f) AS found_n, round(avg(abs(t - f)), 6) AS share_mae FROM t FULL JOIN f ON t.k = f.k)
 SELECT *, round(CAST(matched AS DOUBLE) / truth_n, 6) AS recall, round(CAST(matched AS DOUBLE) / found_n, 6) AS precision FROM c""")

@@ -205,3 +205,29 @@ def test_resolution_marks_and_drops(spark):
 def test_content_lines(spark):
     page = "<h1>1. 개요</h1><script>no</script><table><tr><td>a</td><td> b </td></tr></table>\n<p> c\n\n d</p>"
     assert spark.createDataFrame([(page,)], "h string").select(text.content_lines(F.col("h"))).first()[0] == ["1. 개요", "a", "b", "c", " d"]
+
+
+def test_closure_of_circles_and_hubs(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), *((f"h{i}", "a") for i in range(20))]
+    edges = spark.createDataFrame([(x, "OWNS_STAKE_IN", y, "2023", (1.0, False)) for x, y in pairs], "subject_id string, predicate string, object_id string, period string, qualifier struct<stake_pct: double, is_largest: boolean>")
+    want, front = {p: 1 for p in pairs}, list(pairs)
+    for hops in range(2, 7):
+        front = [(x, z) for x, y in front for y2, z in pairs if y == y2 and (x, z) not in want]
+        want |= {p: hops for p in front}
+    for rounds in (1, 2, 3, 6):
+        got = {(r["holder_id"], r["company_id"]): r["hops"] for r in graph_query.ownership_closure(edges, rounds).collect()}
+        assert got == {p: n for p, n in want.items() if n <= rounds}
+
+
+def test_summary_of_unknown_shares_and_enumerated_targets(spark):
+    rows = [("c", "HAS_SEGMENT", f"segment:{i}", "2023", (None if i == 0 else float(i),)) for i in range(7)] + [("c", "SELLS_TO", f"customer:{i}", "2023", (5.0,)) for i in range(7)]
+    rows += [("c", "HAS_SEGMENT", "segment:old", "2022", (99.0,)), ("d", "EXPOSED_TO", "region:KR", None, (None,)), ("c", "IN_SECTOR", "sector:1", "2024", (None,))]
+    edges = spark.createDataFrame(rows, "subject_id string, predicate string, object_id string, period string, qualifier struct<share_pct: double>")
+    got = {}
+    for r in graph_query.company_summary(edges).orderBy("company_id", "predicate", "place").collect():
+        got.setdefault((r["company_id"], r["predicate"]), []).append(r["object_id"])
+    assert got == {
+        ("c", "HAS_SEGMENT"): [f"segment:{i}" for i in (6, 5, 4, 3, 2, 1, 0)], ("c", "SELLS_TO"): [f"customer:{i}" for i in range(5)], ("d", "EXPOSED_TO"): ["region:KR"]
+    }
+    codes = spark.createDataFrame([("1",), ("1",), ("2",)], "corp_code string")
+    assert sorted(map(tuple, operations.enumerate_targets(codes, "2021, 2023,2021,").collect())) == [("1", "2021"), ("1", "2023"), ("2", "2021"), ("2", "2023")]
