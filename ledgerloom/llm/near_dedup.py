@@ -27,6 +27,7 @@ neither read nor changed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,7 @@ SMALL = 8
 FIRST = 4  # candidates of a text that are compared in the first round over the large buckets
 PAIRS_A_TASK = 4000
 SLACK = 1e-6  # for rounding
+SIZE_STEPS = 4  # of a text's total weight, from one to the least that may be its partner
 _DOC_BITS = 16
 _SHINGLE = np.uint64((1 << 48) - 1)
 _random = np.random.default_rng(77)
@@ -304,7 +306,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 _prefixes(weights, frequencies(open_texts, width), width, threshold),
                 f"shingle long, node {NODE}, label {NODE}, total double, rest double"
             )
-            prefixes = materialize(prefixes, "prefixes")
+            prefixes = materialize(_reaching(materialize(prefixes, "prefixes"), threshold), "reaching")
             a, b = (prefixes.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "total", "rest"))) for x in "ab")
             reaches = F.least("rest_a", "rest_b") * (1 + threshold) >= (F.col("total_a") + F.col("total_b")) * (threshold * (1 - SLACK))
             # A plain join of two written tables, of which adaptive execution splits a hot shingle's side.
@@ -333,6 +335,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return signed.select("doc", "h", "h2").join(of_text.hint("merge"), ["h", "h2"]).select("doc", "h", "label")
 
 
+def _reaching(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """The prefix rows that can reach the threshold with the least total weight that any partner has under their shingle.
+
+    A pair must reach it with both rests, so a row that can't reach it with the least partner is in no pair: none is lost.
+    Partners' totals lie within the threshold of each other; the least is sought among those alone, by steps of the total's
+    logarithm. So pages of one template, alike in size, meet no longer under the template's shingles at their prefixes' ends.
+    """
+    step = -math.log(threshold) / SIZE_STEPS
+    sized = prefixes.withColumn("size", F.floor(F.log("total") / step))
+    found = sized.groupBy("shingle", "size").agg(F.min("total").alias("least"), F.count("*").alias("n"))
+    near = F.sequence(F.col("size") - SIZE_STEPS - 1, F.col("size") + SIZE_STEPS + 1)
+    least = found.select("shingle", F.explode(near).alias("size"), "least", "n").groupBy("shingle", "size").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n > 1")
+    can = F.col("rest") * (1 + threshold) >= (F.col("total") + F.col("least")) * (threshold * (1 - SLACK))
+    return sized.join(least.hint("merge"), ["shingle", "size"]).filter(can).select(*prefixes.columns)
+
+
 def _id(column: str) -> F.Column:
     return F.when(F.col(column) != repeats.NO_ID, F.col(column))
 

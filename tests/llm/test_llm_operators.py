@@ -223,6 +223,27 @@ def test_near_duplicates_in_large_buckets(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()} == want
 
 
+def test_prefixes_that_reach_no_partner_go_and_no_pair_is_lost(spark):
+    """Random prefix rows with hot shingles: after `_reaching` the same pairs can reach the threshold as before, and a family of equal sizes meets no more."""
+    pick, t = random.Random(11), near_dedup.THRESHOLD
+    rows = []
+    for i in range(300):
+        total = 100 * 1.5 ** pick.uniform(0, 6)
+        rows += [(pick.randrange(12), (i, i), total, total * pick.uniform(t, 1)) for _ in range(3)]
+    rows = list({(r[0], r[1]): r for r in rows}.values()) + [(99, (1000 + i, 0), 100.0 + i % 7, 82.0) for i in range(50)] + [(98, (5000, 0), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "shingle long, node struct<doc: long, h: long>, total double, rest double")
+
+    def pairs(held):
+        return {
+            (a[0], a[1], b[1]) for a in held for b in held
+            if a[0] == b[0] and a[1] < b[1] and min(a[3], b[3]) * (1 + t) >= (a[2] + b[2]) * (t * (1 - near_dedup.SLACK))
+        }
+
+    left = [(r["shingle"], tuple(r["node"]), r["total"], r["rest"]) for r in near_dedup._reaching(df, t).collect()]
+    assert set(left) <= set(rows) and len(left) == len(set(left)) < len(rows)
+    assert pairs(left) == pairs(rows) != set() and not [r for r in left if r[0] in (98, 99)]
+
+
 def test_near_duplicates_of_a_template_and_its_edits(spark):
     # Edits of one template, and copies of the edits with a further change: pairs meet in large buckets, and classes are no stars.
     rng = random.Random(21)
