@@ -22,7 +22,10 @@ MIN_SECTION = 300
 
 # Named character references that filings use.
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "middot": "·", "copy": "©", "reg": "®", "times": "×", "ndash": "–", "mdash": "—", "hellip": "…"}
-_BLANK = r"[\s\u00a0\u3000]"
+_BLANKS = " \t\n\x0b\f\r\u00a0\u3000"
+# What is not shown, and where tables begin and end. A pattern that begins with a sign is tried at that sign alone.
+_UNSEEN = r"<(?is:!--.*?-->|(script|style)\b.*?</\1\s*>)"
+_TABLE_ENDS = r"(?=<(?i:table)\b)|(?<=</(?i:table)>)"
 
 
 def unescaped(s: Column) -> Column:
@@ -42,7 +45,7 @@ def unescaped(s: Column) -> Column:
 
 
 def stripped(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(s, F.lit(_BLANKS))
 
 
 def _pieces(markup: Column) -> Column:
@@ -65,8 +68,8 @@ def html_text(html: Column) -> Column:
 
     A table in a table's cell ends the outer one.
     """
-    s = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    parts = F.split(s, r"(?i)(?=<table\b)|(?<=</table>)")
+    s = F.regexp_replace(html, _UNSEEN, "")
+    parts = F.split(s, _TABLE_ENDS)
     texts = F.transform(parts, lambda x: F.when(x.rlike(r"(?i)^<table\b"), _table(x)).otherwise(F.array_join(_pieces(x), "\n")))
     return F.array_join(F.filter(texts, lambda x: x != ""), "\n")
 
@@ -78,7 +81,7 @@ def html_lines(html: Column) -> Column:
 
 def content_lines(html: Column) -> Column:
     """The lines that are not blank, of all text between tags, tables' cells included as lines of their own."""
-    s = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    s = F.regexp_replace(html, _UNSEEN, "")
     return F.filter(F.flatten(F.transform(_pieces(s), lambda x: F.split(x, "\r\n|[\r\n]"))), lambda x: stripped(x) != "")
 
 

@@ -35,20 +35,38 @@ def nonpositive_equity(facts: DataFrame, metric: str = "equity") -> DataFrame:
 
 
 def check_integrity(nodes: DataFrame, edges: DataFrame, facts: DataFrame, stock_metrics: tuple[str, ...] = STOCK_METRICS, equity: str = "equity") -> DataFrame:
-    """code, severity, subject, detail of all findings."""
-
-    def issues(df: DataFrame, code: str, severity: str, subject: str, *detail: str) -> DataFrame:
-        return df.select(
-            F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(subject).alias("subject"),
-            F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in detail)).alias("detail")
-        )
-
-    return union(
-        issues(interim_equals_fy(facts, stock_metrics), "interim_bs_equals_fy", "error", "company_id", "bsns_year", "metric_key", "fiscal_period", "fs_div"),
-        issues(duplicate_edges(edges), "duplicate_edge", "error", "subject_id", "predicate", "object_id", "period", "copies"),
-        issues(orphan_facts(facts, nodes), "orphan_fact", "warn", "company_id"),
-        issues(nonpositive_equity(facts, equity), "negative_or_zero_equity", "info", "company_id", "bsns_year", "fiscal_period"),
+    """code, severity, subject, detail of all findings: the four checks above in one pass over facts, nodes and edges each.
+
+    Facts and nodes meet in one aggregate, without a join: a company's row says whether a node or a fact names it, and the rows of
+    an amount hold the periods that state it.
+    """
+    key = ["company_id", "bsns_year", "metric_key", "fs_div", "amount"]
+    stock = F.col("metric_key").isin(*stock_metrics) & F.col("amount").isNotNull()
+    low = (F.col("metric_key") == equity) & (F.col("amount") <= 0)
+    none = lambda c: F.lit(None).cast(facts.schema[c].dataType).alias(c)
+    at = F.struct(F.col("fiscal_period").cast("string").alias("period"))
+    # What a node or a fact says of its company, and an amount with a period where a check asks for it.
+    company = lambda name, node: F.struct(F.lit(True).alias("whole"), F.col(name).alias("company_id"), *map(none, key[1:]), F.lit(node).alias("node"), F.lit(None).cast("struct<period:string>").alias("at"))
+    amount = F.struct(F.lit(False).alias("whole"), *key, F.lit(False).alias("node"), at.alias("at"))
+    said = facts.select(F.explode(F.array(company("company_id", False), F.when(stock | low, amount))).alias("x")).filter("x is not null")
+    named = nodes.filter("id is not null").select(company("id", True).alias("x"))
+    met = union(said, named).select("x.*").groupBy("whole", *key).agg(F.collect_list("at").alias("at"), F.bool_or("node").alias("node"))
+    periods = F.transform("at", lambda p: p["period"])
+    text = lambda *c: F.concat_ws(" ", *(F.coalesce(x.cast("string"), F.lit("-")) for x in c))
+    issue = lambda code, severity, detail: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("company_id").alias("subject"), detail.alias("detail"))
+    early = F.array_distinct(F.filter(periods, lambda p: p != "FY"))
+    interim = F.when(~F.col("whole") & stock & F.array_contains(periods, "FY"), F.transform(
+        early, lambda p: issue("interim_bs_equals_fy", "error", text(F.col("bsns_year"), F.col("metric_key"), p, F.col("fs_div")))
+    ))
+    nonpositive = F.when(~F.col("whole") & low, F.transform(periods, lambda p: issue("negative_or_zero_equity", "info", text(F.col("bsns_year"), p))))
+    orphan = F.when(F.col("whole") & ~F.col("node"), F.array(issue("orphan_fact", "warn", F.lit(""))))
+    empty = F.array().cast("array<struct<code:string,severity:string,subject:string,detail:string>>")
+    found = met.select(F.inline(F.concat(*(F.coalesce(x, empty) for x in (interim, nonpositive, orphan)))))
+    copies = duplicate_edges(edges).select(
+        F.lit("duplicate_edge").alias("code"), F.lit("error").alias("severity"), F.col("subject_id").alias("subject"),
+        text(*(F.col(c) for c in ("predicate", "object_id", "period", "copies"))).alias("detail")
     )
+    return union(found, copies)
 
 
 def universe(nodes: DataFrame) -> DataFrame:

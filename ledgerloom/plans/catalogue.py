@@ -149,8 +149,7 @@ _ISSUES = f"""issues AS (
 
 def _issues(s: Star) -> DataFrame:
     nodes = s.companies().filter("nation >= 5").withColumnRenamed("company_id", "id")
-    facts = written(_coarse(s), "facts")  # three checks read them
-    return integrity.check_integrity(nodes, _line_edges(s), facts, ("revenue", "operating_income"), "operating_income")
+    return integrity.check_integrity(nodes, _line_edges(s), _coarse(s), ("revenue", "operating_income"), "operating_income")
 
 
 @query(with_views("facts", "companies") + f"{_COARSE}, {_ISSUES} SELECT * FROM issues")
@@ -170,7 +169,7 @@ SELECT CAST(CASE severity WHEN 'error' THEN 11 WHEN 'warn' THEN 21 ELSE 31 END A
 UNION ALL SELECT CAST(CASE severity WHEN 'error' THEN 10 WHEN 'warn' THEN 20 ELSE 30 END AS INT), '', chr(10) || '## ' || severity || ' (' || n || ')' || chr(10) || chr(10) || '| code | subject | message |' || chr(10) || '|------|---------|---------|' FROM n
 UNION ALL SELECT 0, '', array_to_string(['---', 'type: "qa-report"', 'tags: [qa-report]', '---', '# 온톨로지 무결성 리포트', '', '', '- 총 이슈: ' || total, '- error: ' || e || ' · warn: ' || w || ' · info: ' || i, ''], chr(10)) FROM of""")
 def qa_report(s: Star) -> DataFrame:
-    return projection.qa_report(_issues(s))
+    return projection.qa_report(written(_issues(s), "issues"))  # counted and listed
 
 
 _PART_STAKES = ", st AS (SELECT * FROM stake WHERE stake_pct < 20)"

@@ -47,29 +47,29 @@ class Star:
         return union(company, segment, person)
 
     def segment_edges(self) -> DataFrame:
-        lines = self.table("lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").cast("string").alias("period"), F.expr(AMOUNT).alias("amt"))
-        sold = lines.join(
-            self.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
-        ).groupBy("l_suppkey", "p_brand", "period").agg(F.sum("amt").alias("amt"))
-        whole = F.expr("sum(amt) OVER (PARTITION BY l_suppkey, period)")
+        """Lines meet the segments' ids, made once a part, and are summed by narrow keys; a company's id is made once a sum."""
+        lines = self.table("lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"), F.expr(AMOUNT).alias("amt"))
+        brands = self.table("part").select("p_partkey", ids.segment_id(F.col("p_brand")).alias("object_id"))
+        sold = lines.join(brands, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "object_id", "y").agg(F.sum("amt").alias("amt"))
+        whole = F.expr("sum(amt) OVER (PARTITION BY l_suppkey, y)")
         share = F.round(100 * F.col("amt").cast("double") / whole.cast("double"), 6)
         return self._edges(
             sold.select(
-                ids.company_id(self.code("l_suppkey")).alias("subject_id"), F.lit("HAS_SEGMENT").alias("predicate"),
-                ids.segment_id(F.col("p_brand")).alias("object_id"), "period", share.alias("share_pct")
+                ids.company_id(self.code("l_suppkey")).alias("subject_id"), F.lit("HAS_SEGMENT").alias("predicate"), "object_id",
+                F.col("y").cast("string").alias("period"), share.alias("share_pct")
             )
         )
 
     def stake_edges(self) -> DataFrame:
         lines = self.table("lineitem").select("l_orderkey", "l_suppkey", F.expr(AMOUNT).alias("amt"))
-        orders = self.table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("string").alias("period"))
-        bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey", "period").agg(F.sum("amt").alias("amt"))
-        whole = F.expr("sum(amt) OVER (PARTITION BY l_suppkey, period)")
+        orders = self.table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
+        bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey", "y").agg(F.sum("amt").alias("amt"))
+        whole = F.expr("sum(amt) OVER (PARTITION BY l_suppkey, y)")
         stake = F.round(100 * F.col("amt").cast("double") / whole.cast("double"), 6)
         return self._edges(
             bought.select(
                 ids.node_id("person", self.code("o_custkey")).alias("subject_id"), F.lit("OWNS_STAKE_IN").alias("predicate"),
-                ids.company_id(self.code("l_suppkey")).alias("object_id"), "period", stake.alias("stake_pct"),
+                ids.company_id(self.code("l_suppkey")).alias("object_id"), F.col("y").cast("string").alias("period"), stake.alias("stake_pct"),
                 (F.col("o_custkey") % 2 == 0).alias("is_largest")
             )
         )
@@ -91,16 +91,20 @@ class Star:
         return union(self.segment_edges(), self.stake_edges(), self.sector_edges())
 
     def facts(self) -> DataFrame:
-        quarter = F.quarter("l_shipdate")
-        period = F.when(quarter == 1, "Q1").when(quarter == 2, "H1").when(quarter == 3, "Q3").otherwise("FY")
+        """Sums by numbers and flags as they are stored; ids and names of periods are made once a sum."""
         lines = self.table("lineitem").select(
-            ids.company_id(self.code("l_suppkey")).alias("company_id"), F.year("l_shipdate").cast("string").alias("bsns_year"),
-            period.alias("fiscal_period"), F.when(F.col("l_linestatus") == "F", "CFS").otherwise("OFS").alias("fs_div"), "l_returnflag",
-            F.expr(AMOUNT).alias("amt")
+            "l_suppkey", F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("quarter"), F.coalesce(F.col("l_linestatus") == "F", F.lit(False)).alias("full"),
+            "l_returnflag", F.expr(AMOUNT).alias("amt")
         )
         signed = F.when(F.col("l_returnflag") == "R", -F.col("amt")).otherwise(F.col("amt"))
-        sums = lines.groupBy("company_id", "bsns_year", "fiscal_period", "fs_div").agg(F.sum("amt").alias("revenue"), F.sum(signed).alias("operating_income"))
-        return sums.unpivot(["company_id", "bsns_year", "fiscal_period", "fs_div"], ["revenue", "operating_income"], "metric_key", "amount")
+        sums = lines.groupBy("l_suppkey", "y", "quarter", "full").agg(F.sum("amt").alias("revenue"), F.sum(signed).alias("operating_income"))
+        quarter = F.col("quarter")
+        period = F.when(quarter == 1, "Q1").when(quarter == 2, "H1").when(quarter == 3, "Q3").otherwise("FY")
+        named = sums.select(
+            ids.company_id(self.code("l_suppkey")).alias("company_id"), F.col("y").cast("string").alias("bsns_year"), period.alias("fiscal_period"),
+            F.when(F.col("full"), "CFS").otherwise("OFS").alias("fs_div"), "revenue", "operating_income"
+        )
+        return named.unpivot(["company_id", "bsns_year", "fiscal_period", "fs_div"], ["revenue", "operating_income"], "metric_key", "amount")
 
     def aliases(self) -> DataFrame:
         return self.spark.createDataFrame([("flagship", "segment:brand-19"), ("no such", "segment:none")], "alias_norm string, node_id string")
