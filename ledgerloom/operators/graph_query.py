@@ -25,12 +25,15 @@ def companies_with_segment(edges: DataFrame, concept_ids: DataFrame) -> DataFram
     return segments.join(concept_ids, "id", "left_semi").select("company_id").distinct()
 
 
-def primary_segment(edges: DataFrame) -> DataFrame:
-    """company_id, period, segment_id, share_pct: the greatest share, ties to the lesser id; edges without a share don't count."""
+def primary_segment(edges: DataFrame, by: tuple[str, ...] = ("company_id", "period")) -> DataFrame:
+    """company_id, period, segment_id, share_pct: the greatest share, ties to the lesser id; edges without a share don't count.
+
+    Where all edges are of one period, `by` may be the company alone: what follows by company then needs no further shuffle.
+    """
     shares = edges.filter("predicate = 'HAS_SEGMENT' and qualifier.share_pct is not null")
     shares = shares.select(F.col("subject_id").alias("company_id"), "period", F.col("object_id").alias("segment_id"), F.col("qualifier.share_pct").alias("share_pct"))
-    best = shares.groupBy("company_id", "period").agg(F.min(F.struct((-F.col("share_pct")).alias("n"), "segment_id", "share_pct")).alias("best"))
-    return best.select("company_id", "period", "best.segment_id", "best.share_pct")
+    best = shares.groupBy(*by).agg(F.min(F.struct((-F.col("share_pct")).alias("n"), "segment_id", "share_pct", "period")).alias("best"))
+    return best.select("company_id", "best.period", "best.segment_id", "best.share_pct")
 
 
 def consecutive_positive(facts: DataFrame, metric: str, since: str, fs_div: str = "CFS") -> DataFrame:
@@ -46,10 +49,10 @@ def screen(nodes: DataFrame, edges: DataFrame, facts: DataFrame, aliases: DataFr
     The primary segment is that of the year in `since`. Both restrictions reach the scans of edges and facts.
     """
     concept_ids = resolve_concept(nodes, aliases, concept, "segment")
-    primary = primary_segment(edges.filter(F.col("period") == since[:4])).withColumnRenamed("segment_id", "id")
-    matched = primary.join(concept_ids, "id", "left_semi").select("company_id")
+    primary = primary_segment(edges.filter(F.col("period") == since[:4]), by=("company_id",)).withColumnRenamed("segment_id", "id")
     positive = consecutive_positive(facts, metric, since, fs_div).select("company_id")
-    found = matched.join(positive, "company_id", "left_semi").distinct()
+    # Both sides have a row a company and lie by company already, so they meet before the concept is looked at.
+    found = primary.join(positive, "company_id", "left_semi").join(concept_ids, "id", "left_semi").select("company_id")
     return found.join(nodes.filter("kind = 'company'").select(F.col("id").alias("company_id"), "label"), "company_id", "left")
 
 
