@@ -231,3 +231,19 @@ def test_summary_of_unknown_shares_and_enumerated_targets(spark):
     }
     codes = spark.createDataFrame([("1",), ("1",), ("2",)], "corp_code string")
     assert sorted(map(tuple, operations.enumerate_targets(codes, "2021, 2023,2021,").collect())) == [("1", "2021"), ("1", "2023"), ("2", "2021"), ("2", "2023")]
+
+
+def test_integrity_in_one_pass_keeps_nulls_and_repeated_rows(spark):
+    f = spark.createDataFrame([
+        ("c", "2023", "H1", "CFS", "equity", -1), ("c", "2023", "FY", "CFS", "equity", -1), ("c", "2023", "FY", "CFS", "equity", -1),
+        ("c", "2023", None, "CFS", "equity", -1), ("c", "2023", "Q1", "CFS", "equity", None), (None, "2022", "FY", "CFS", "revenue", 1),
+    ], "company_id string, bsns_year string, fiscal_period string, fs_div string, metric_key string, amount long")
+    nodes = spark.createDataFrame([("c",), (None,), ("unused",)], "id string")
+    e = spark.createDataFrame([], "subject_id string, predicate string, object_id string, period string")
+    found = sorted((r["code"], r["subject"] or "", r["detail"]) for r in integrity.check_integrity(nodes, e, f, ("equity",)).collect())
+    low = "negative_or_zero_equity"
+    assert found == sorted([
+        ("interim_bs_equals_fy", "c", "2023 equity H1 CFS"), (low, "c", "2023 H1"), (low, "c", "2023 FY"), (low, "c", "2023 FY"), (low, "c", "2023 -"),
+        ("orphan_fact", "", ""),
+    ])
+    assert integrity.check_integrity(nodes, e, f.limit(0)).count() == 0
