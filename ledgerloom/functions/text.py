@@ -138,9 +138,33 @@ def yaml_string(s: Column) -> Column:
 
 
 def general(v: Column) -> Column:
-    """A number of 0 to a million with six significant digits and no trailing zeros."""
+    """A number with six significant digits and no trailing zeros, as C's %g writes it.
+
+    Halves go to the even digit, and only what is a half in binary is one: the product with a power of ten is split into
+    its rounded value and the exact rest. Numbers from a million on and below 0.0001 get an exponent; there halves of the
+    shortest decimal go up.
+    """
     v = v.cast("double")
-    form = lambda digits: F.format_string(f"%.{digits}f", v)
     size = F.abs(v)
-    fixed = F.when(size >= 100_000, form(0)).when(size >= 10_000, form(1)).when(size >= 1000, form(2)).when(size >= 100, form(3)).when(size >= 10, form(4)).when(size >= 1, form(5)).otherwise(form(6))
-    return F.when(v.isNotNull(), F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed))
+    scale = F.lit(1e9)
+    for places in range(8, -1, -1):
+        scale = F.when(size >= 10.0 ** (5 - places), 10.0**places).otherwise(scale)
+
+    def rounded(x: Column) -> Column:
+        size, scale = x["size"], x["scale"]  # at most 21 bits of the scale count, so both parts of the number give exact products
+        product, front = size * scale, size.cast("float").cast("double")
+        rest, low = (front * scale - product) + (size - front) * scale, F.floor(product)
+        up = F.when(product - low != 0.5, product - low > 0.5).otherwise((rest > 0) | ((rest == 0) & (low % 2 == 1)))
+        return (low + up.cast("long")).cast("double") / scale
+
+    def said(x: Column) -> Column:
+        short = F.when(x.cast("string").endswith(".0"), x.cast("long").cast("string")).otherwise(x.cast("string"))
+        return F.when(x >= 0.001, short).otherwise(F.regexp_replace(F.format_string("%.9f", x), r"\.?0+$", ""))
+
+    # A lambda makes its number once, and keeps the generated code small. Most numbers have no more than six digits, and need none.
+    cut = F.element_at(F.transform(F.transform(F.array(F.struct(size.alias("size"), scale.alias("scale"))), rounded), said), 1)
+    whole = size.cast("string")
+    fixed = F.when((size >= 0.001) & (F.length(whole) <= 7), F.when(whole.endswith(".0"), F.substring_index(whole, ".", 1)).otherwise(whole)).otherwise(cut)
+    exponent = F.regexp_replace(F.format_string("%.5e", size), r"\.?0+e", "e")
+    out = F.when(size == 0, "0").when((size >= 0.00009999995) & (size < 999_999.5), fixed).otherwise(exponent)
+    return F.when(v.isNotNull(), F.concat(F.when(v < 0, "-").otherwise(""), out))
