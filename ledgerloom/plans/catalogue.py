@@ -1033,9 +1033,11 @@ def report_targets(s: Star) -> DataFrame:
     "SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS ticker, lpad(CAST(min(c_custkey) AS VARCHAR), 8, '0') AS corp_code, min(c_custkey) IS NOT NULL AS found FROM part LEFT JOIN (SELECT * FROM customer WHERE c_nationkey > 3) ON c_custkey // 2 = p_partkey GROUP BY p_partkey"
 )
 def ticker_codes(s: Star) -> DataFrame:
-    stock = F.when(F.col("c_nationkey") > 3, F.lpad(F.floor(F.col("c_custkey") / 2).cast("string"), 6, "0")).otherwise(" ")
-    master = s.table("customer").select(s.code("c_custkey").alias("corp_code"), stock.alias("stock_code"))
-    return operations.ticker_codes(s.table("part").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("ticker")), master)
+    # Keys meet at their full length: padding cuts longer ones, so it comes last.
+    stock = F.when(F.col("c_nationkey") > 3, F.floor(F.col("c_custkey") / 2).cast("string")).otherwise(" ")
+    master = s.table("customer").select(F.lpad(F.col("c_custkey").cast("string"), 20, "0").alias("corp_code"), stock.alias("stock_code"))
+    found = operations.ticker_codes(s.table("part").select(F.col("p_partkey").cast("string").alias("ticker")), master)
+    return found.withColumns({"ticker": F.lpad("ticker", 6, "0"), "corp_code": F.lpad(F.col("corp_code").cast("long").cast("string"), 8, "0")})
 
 
 _BATCH = """ready AS (SELECT * REPLACE (CASE WHEN status = 'in_progress' AND last_attempt_at < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 180 MINUTES THEN 'pending' ELSE status END AS status) FROM queue),
