@@ -22,6 +22,12 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df's rows in turn over as many tasks as a shuffle has, and no fewer than two a core; for rows that are small and costly."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the folder that executors share (spark.checkpoint.dir) and read back: a base that several branches read.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import ids, normalize, text
 from ledgerloom.operators import evaluation, extraction, graph_query, ingest, integrity, operations, pages, patterns, projection, sections, seeds, upsert
-from ledgerloom.operators.common import union, written
+from ledgerloom.operators.common import dealt, union, written
 from ledgerloom.plans.star import AMOUNT, SQL, Star, with_views
 from ledgerloom.streaming import incremental
 
@@ -402,7 +402,7 @@ def _answers(s: Star) -> DataFrame:
         F.lit('", "share_pct": 50}, {"region_code": "YY", "share_pct": null}]}')
     )
     said = F.when(size == 10, "there is no record").otherwise(F.concat(brand("1", "```json\n"), record, brand("1", "\n```")))
-    return extraction.parse_answers(part.select("p_partkey", said.alias("answer")))
+    return extraction.parse_answers(dealt(part.select("p_partkey", said.alias("answer"))))
 
 
 @query("""WITH p AS (SELECT *, p_size * 2.5 AS share FROM part WHERE p_size <> 10)

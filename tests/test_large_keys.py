@@ -17,3 +17,13 @@ def test_ticker_codes_of_keys_past_their_padding(spark, tmp_path):
         duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(duck.sql(catalogue.ORACLES["ticker_codes"]).fetchall(), key=repr)
     assert got.count() == len(keys) and got.filter(F.col("ticker") == "100000").count() == 2
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_are_judged_once_and_after_they_are_dealt(spark):
+    for name in ("extraction_faults", "extraction_records"):
+        above, below = plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")).split("Repartition ", 1)
+        assert "try_variant_get" in above and "try_variant_get" not in below
