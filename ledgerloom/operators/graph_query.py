@@ -100,21 +100,19 @@ def ownership_closure(edges: DataFrame, rounds: int = 4) -> DataFrame:
     return union(*fronts)
 
 
-def company_summary(edges: DataFrame, top: int = 5) -> DataFrame:
+def company_summary(edges: DataFrame, top: int = 5, parts: int | None = None) -> DataFrame:
     """Extension: company_id, predicate, place, object_id, share_pct: what a company makes, as of its latest period.
 
     All its segments and the first customers and regions, by falling share, unknown shares last, ties to the lesser id.
+    Edges are made and shuffled once, by company, over `parts` tasks if given: the latest period and the places are windows over that.
     """
     said = edges.filter(F.col("predicate").isin("HAS_SEGMENT", "SELLS_TO", "EXPOSED_TO")).select(
         F.col("subject_id").alias("company_id"), "predicate", "object_id", F.coalesce("period", F.lit("")).alias("period"), F.col("qualifier.share_pct").alias("share_pct")
     )
-    latest = said.groupBy("company_id").agg(F.max("period").alias("period"))
-    current = said.join(latest, ["company_id", "period"]).select("company_id", "predicate", "object_id", "share_pct")
-    made, other = current.filter("predicate = 'HAS_SEGMENT'"), current.filter("predicate <> 'HAS_SEGMENT'")
-    order = [F.desc_nulls_last("share_pct"), F.col("object_id")]
-    # Two windows: the bounded one keeps no more than `top` rows of a group before it is shuffled.
-    both = ranked(made, ["company_id", "predicate"], order, "place").unionByName(ranked(other, ["company_id", "predicate"], order, "place").filter(F.col("place") <= top))
-    return both.select("company_id", "predicate", "place", "object_id", "share_pct")
+    dealt = said.repartition(parts, "company_id") if parts else said
+    current = dealt.withColumn("_latest", F.max("period").over(Window.partitionBy("company_id"))).filter("period = _latest")
+    placed = ranked(current, ["company_id", "predicate"], [F.desc_nulls_last("share_pct"), F.col("object_id")], "place")
+    return placed.filter((F.col("predicate") == "HAS_SEGMENT") | (F.col("place") <= top)).select("company_id", "predicate", "place", "object_id", "share_pct")
 
 
 def fiscal_years(edges: DataFrame) -> DataFrame:

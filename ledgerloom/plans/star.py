@@ -18,11 +18,30 @@ class Star:
     """The model's tables over one directory; each is a lazy plan."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._tasks = spark, sf_dir, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def shuffles(self) -> int | None:
+        """Tasks for a shuffle of lines, one for each half a million, so that a task holds no more as tables grow; counted from the files' footers.
+
+        None where they are no more than the cores: Spark's own number is right there.
+        """
+        if self._tasks is None:
+            self._tasks = -(-self.table("lineitem").count() // 500_000)
+        return self._tasks if self._tasks > self.spark.sparkContext.defaultParallelism else None
+
+    def dealt(self, df: DataFrame, *keys: str) -> DataFrame:
+        n = self.shuffles()
+        return df.repartition(n, *keys) if n else df.repartition(*keys)
+
+    def met(self, lines: DataFrame, others: DataFrame, left: str, right: str) -> DataFrame:
+        """Lines with a table of theirs."""
+        if self.shuffles():
+            lines, others = self.dealt(lines, left), self.dealt(others, right)
+        return lines.join(others, F.col(left) == F.col(right))
+
     @staticmethod
     def code(column: str):
         return F.lpad(F.col(column).cast("string"), 8, "0")
@@ -47,10 +66,13 @@ class Star:
         return union(company, segment, person)
 
     def segment_edges(self) -> DataFrame:
-        """Lines meet the segments' ids, made once a part, and are summed by narrow keys; a company's id is made once a sum."""
+        """Lines meet the segments' ids, made once a part, and are summed by narrow keys; a company's id is made once a sum.
+
+        One shuffle by company and year serves the sums and their whole. Few lines share a sum, so nothing is summed before it.
+        """
         lines = self.table("lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"), F.expr(AMOUNT).alias("amt"))
         brands = self.table("part").select("p_partkey", ids.segment_id(F.col("p_brand")).alias("object_id"))
-        sold = lines.join(brands, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "object_id", "y").agg(F.sum("amt").alias("amt"))
+        sold = self.dealt(self.met(lines, brands, "l_partkey", "p_partkey"), "l_suppkey", "y").groupBy("l_suppkey", "object_id", "y").agg(F.sum("amt").alias("amt"))
         whole = F.expr("sum(amt) OVER (PARTITION BY l_suppkey, y)")
         share = F.round(100 * F.col("amt").cast("double") / whole.cast("double"), 6)
         return self._edges(
@@ -61,9 +83,10 @@ class Star:
         )
 
     def stake_edges(self) -> DataFrame:
+        """As for segments, one shuffle by company and year serves the sums and their whole."""
         lines = self.table("lineitem").select("l_orderkey", "l_suppkey", F.expr(AMOUNT).alias("amt"))
         orders = self.table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
-        bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey", "y").agg(F.sum("amt").alias("amt"))
+        bought = self.dealt(self.met(lines, orders, "l_orderkey", "o_orderkey").drop("l_orderkey", "o_orderkey"), "l_suppkey", "y").groupBy("o_custkey", "l_suppkey", "y").agg(F.sum("amt").alias("amt"))
         whole = F.expr("sum(amt) OVER (PARTITION BY l_suppkey, y)")
         stake = F.round(100 * F.col("amt").cast("double") / whole.cast("double"), 6)
         return self._edges(

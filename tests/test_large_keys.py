@@ -27,3 +27,16 @@ def test_answers_are_judged_once_and_after_they_are_dealt(spark):
     for name in ("extraction_faults", "extraction_records"):
         above, below = plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")).split("Repartition ", 1)
         assert "try_variant_get" in above and "try_variant_get" not in below
+
+
+def test_links_go_over_as_many_tasks_as_lines_ask_for(spark, monkeypatch):
+    names = ("company_card", "company_summary", "person_holdings", "person_notes", "company_notes")
+    want = {n: sorted(map(repr, catalogue.QUERIES[n](spark, "/root/testdata/sf0.001").collect())) for n in names}
+    monkeypatch.setattr(catalogue.Star, "shuffles", lambda self: 7)
+    for n in names:
+        df = catalogue.QUERIES[n](spark, "/root/testdata/sf0.001")
+        assert plan(df).count(", 7\n") >= 4 and sorted(map(repr, df.collect())) == want[n], n
+
+
+def test_summary_makes_its_edges_once(spark):
+    assert plan(catalogue.QUERIES["company_summary"](spark, "/root/testdata/sf0.001")).count("Relation [l_orderkey") == 2  # one each for segments and stakes
