@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import ids, normalize, text
 from ledgerloom.operators.common import first_of, union
-from ledgerloom.operators.graph_query import owned_companies
 
 
 def graph_union(edges: DataFrame, facts: DataFrame) -> DataFrame:
@@ -43,11 +42,14 @@ def backlinks(edges: DataFrame) -> DataFrame:
     return edges.groupBy("object_id").agg(refs.alias("refs")).select("object_id", F.array_join("refs", "|").alias("referrers"), F.size("refs").cast("long").alias("n"))
 
 
-def person_holdings(edges: DataFrame) -> DataFrame:
-    """holder_id, companies (sorted), n."""
-    return owned_companies(edges).groupBy("holder_id").agg(
-        F.array_join(F.array_sort(F.collect_set("company_id")), ",").alias("companies"), F.countDistinct("company_id").alias("n")
-    )
+def person_holdings(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """holder_id, companies (sorted), n.
+
+    A holder's companies are those of all periods, so no latest stake is looked for, and the set is counted as it stands.
+    """
+    held = edges.filter("predicate = 'OWNS_STAKE_IN'").select(F.col("subject_id").alias("holder_id"), F.col("object_id").alias("company_id"))
+    sets = (held.repartition(parts, "holder_id") if parts else held).groupBy("holder_id").agg(F.array_sort(F.collect_set("company_id")).alias("all"))
+    return sets.select("holder_id", F.array_join("all", ",").alias("companies"), F.size("all").cast("long").alias("n"))
 
 
 def company_index(nodes: DataFrame, sectors: DataFrame, facts: DataFrame) -> DataFrame:
@@ -58,17 +60,19 @@ def company_index(nodes: DataFrame, sectors: DataFrame, facts: DataFrame) -> Dat
     return joined.select("company_id", "label", F.coalesce("sector", F.lit("—")).alias("sector"), F.coalesce("years", F.lit("—")).alias("years"))
 
 
-def company_card(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues: DataFrame) -> DataFrame:
+def company_card(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues: DataFrame, parts: int | None = None) -> DataFrame:
     """company_id, label, segments, holders, periods, issues: the counts at the head of a company's note.
 
     Edges are read once: each counts for its subject as a segment or for its object as a holder, first by holder and then by company.
+    Pairs of company and holder are hardly ever alike before they meet, so with `parts` they are dealt over so many tasks uncounted.
     """
     side = lambda who, segment, holder: F.struct(F.col(who).alias("company_id"), segment.alias("segment"), holder.alias("holder"))
     none = F.lit(None).cast("string")
     of_edge = F.when(F.col("predicate") == "HAS_SEGMENT", side("subject_id", F.lit(1), none)).when(
         F.col("predicate") == "OWNS_STAKE_IN", side("object_id", F.lit(0), F.col("subject_id"))
     )
-    per_holder = edges.select(of_edge.alias("x")).filter("x is not null").select("x.*").groupBy("company_id", "holder").agg(F.sum("segment").alias("segments"))
+    ends = edges.select(of_edge.alias("x")).filter("x is not null").select("x.*")
+    per_holder = (ends.repartition(parts, "company_id", "holder") if parts else ends).groupBy("company_id", "holder").agg(F.sum("segment").alias("segments"))
     linked = per_holder.groupBy("company_id").agg(F.sum("segments").alias("segments"), F.count("holder").alias("holders"))
     periods = facts.groupBy("company_id", "bsns_year", "fiscal_period").agg(F.lit(1).alias("one")).groupBy("company_id").agg(F.count("*").alias("periods"))
     found = issues.groupBy(F.col("subject").alias("company_id")).agg(F.count("*").alias("issues"))
@@ -137,17 +141,14 @@ NONE_LINE = "- (없음)"
 RELATION_LABELS = {"IN_SECTOR": "소속", "HAS_SEGMENT": "세그먼트", "SELLS_TO": "고객", "EXPOSED_TO": "지역"}
 
 
-def financial_tables(facts: DataFrame) -> DataFrame:
+def financial_tables(facts: DataFrame, parts: int | None = None) -> DataFrame:
     """company_id, periods (labels in order), tables: the financial part of a note in markdown; the consolidated amount is preferred."""
     best = first_of(facts, ["company_id", "bsns_year", "fiscal_period", "metric_key"], [F.desc(F.col("fs_div") == "CFS"), F.col("amount")])
     per = best.groupBy("company_id", "bsns_year", "fiscal_period").agg(F.map_from_entries(F.collect_list(F.struct("metric_key", F.col("amount").cast("double")))).alias("m"))
     period = F.struct(ids.period_key(F.col("bsns_year"), F.col("fiscal_period")).alias("key"), F.col("bsns_year").alias("y"), F.col("fiscal_period").alias("fp"), "m")
-    rows = per.groupBy("company_id").agg(
-        F.sort_array(F.collect_list(F.struct(period.key.alias("key"), period.y.alias("y"), period.fp.alias("fp"))), True).alias("order"),
-        F.collect_list(period).alias("all")
-    )
-    at = lambda o: F.filter("all", lambda p: p["key"] == o["key"])[0]
-    rows = rows.select("company_id", F.transform("order", at).alias("p"))
+    rows = (per.repartition(parts, "company_id") if parts else per).groupBy("company_id").agg(F.collect_list(period).alias("all"))
+    key = lambda p: F.coalesce(p["key"], F.lit(0))
+    rows = rows.select("company_id", F.array_sort("all", lambda a, b: (key(a) - key(b)).cast("int")).alias("p"))  # a map has no order of its own
 
     def has(*keys: str) -> Column:
         return F.exists("p", lambda p: F.coalesce(*(p["m"][k] for k in keys)).isNotNull())
@@ -185,18 +186,20 @@ def financial_tables(facts: DataFrame) -> DataFrame:
     )
 
 
-def latest_links(edges: DataFrame) -> DataFrame:
+def latest_links(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """subject_id, predicate, object_id, qualifier: each link as last recorded."""
-    return first_of(edges, ["subject_id", "predicate", "object_id"], [F.desc(F.coalesce("period", F.lit("")))])
+    links = edges.repartition(parts, "subject_id", "predicate", "object_id") if parts else edges
+    return first_of(links, ["subject_id", "predicate", "object_id"], [F.desc(F.coalesce("period", F.lit("")))])
 
 
-def company_notes(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues: DataFrame) -> DataFrame:
+def company_notes(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues: DataFrame, parts: int | None = None) -> DataFrame:
     """company_id, name (the note's file name), note: a company's whole note in markdown, links sorted by id.
 
-    Every link is joined once with the label of its other end, and gathered by company: a note has a line a link.
+    Every link is joined once with the label of its other end, and gathered by company: a note has a line a link. How a
+    node is linked is made once a node, not once a link. With `parts`, each shuffle of links goes over so many tasks.
     """
-    label = nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"), "attrs")
-    last = latest_links(edges)
+    label = nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"), text.wikilink(F.coalesce("label", "id")).alias("other_link"), "attrs")
+    last = latest_links(edges, parts)
     field = lambda c, kind: (F.col(f"qualifier.{c}") if c in last.schema["qualifier"].dataType.fieldNames() else F.lit(None).cast(kind)).alias(c)
     fields = [field("share_pct", "double"), field("stake_pct", "double"), field("relation", "string"), field("affiliation_type", "string")]
     ends = F.explode(
@@ -208,8 +211,8 @@ def company_notes(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues:
     links = last.select("predicate", *fields, ends.alias("x")).select(
         "predicate", "share_pct", "stake_pct", "relation", "affiliation_type", "x.*"
     ).filter("not inbound or predicate = 'OWNS_STAKE_IN'")
-    links = links.join(label, "other", "left")
-    link = text.wikilink(F.coalesce("other_label", "other"))
+    links = (links.repartition(parts, "other") if parts else links).join(label, "other", "left")
+    link = F.coalesce("other_link", text.wikilink(F.col("other")))
     percent = lambda c: F.coalesce(F.concat(F.lit(" — "), text.general(F.col(c)), F.lit("%")), F.lit(""))
     said = F.when(F.col("inbound"), F.concat(F.coalesce(F.concat(F.lit(" ("), F.nullif("relation", F.lit("")), F.lit(")")), F.lit("")), percent("stake_pct"))).when(
         F.col("predicate") == "OWNS_STAKE_IN",
@@ -218,7 +221,7 @@ def company_notes(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues:
     links = links.withColumn("line", F.concat(F.lit("- "), link, said))
     lines = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("other", "line")))), lambda x: x["line"])
     of = lambda predicate: (F.col("predicate") == predicate) & ~F.col("inbound")
-    gathered = links.groupBy("company_id").agg(
+    gathered = (links.repartition(parts, "company_id") if parts else links).groupBy("company_id").agg(
         lines(of("HAS_SEGMENT")).alias("segments"), lines(of("SELLS_TO")).alias("customers"), lines(of("EXPOSED_TO")).alias("regions"), lines(F.col("inbound")).alias("holders"), lines(of("OWNS_STAKE_IN")).alias("holdings"),
         F.min(F.when(of("IN_SECTOR"), F.coalesce("other_label", "other"))).alias("sector"), F.min(
             F.when(of("ISSUES_STOCK"), F.struct("other", F.col("attrs")["ticker"].alias("ticker"), F.col("attrs")["market"].alias("market")))
@@ -228,7 +231,7 @@ def company_notes(nodes: DataFrame, edges: DataFrame, facts: DataFrame, issues:
     rows = nodes.filter("kind = 'company'").select(
         F.col("id").alias("company_id"), F.coalesce("label", "id").alias("label"), F.coalesce(F.col("attrs")["dart_code"], F.lit("")).alias("code")
     )
-    rows = rows.join(gathered, "company_id", "left").join(financial_tables(facts), "company_id", "left").join(found, "company_id", "left")
+    rows = rows.join(gathered, "company_id", "left").join(financial_tables(facts, parts), "company_id", "left").join(found, "company_id", "left")
     none = F.array().cast("array<string>")
     listed = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_join(c, "\n")).otherwise(NONE_LINE)
     count = lambda c: F.size(F.coalesce(c, none)).cast("string")
@@ -270,11 +273,16 @@ def concept_notes(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = (
     return rows.select(F.col("id").alias("node_id"), text.note_name(F.col("label")).alias("name"), note.alias("note"))
 
 
-def person_notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, name, note: a note for each person with the companies that the person holds, sorted and each once, with the share last recorded."""
-    labels = nodes.filter("kind = 'company'").select(F.col("id").alias("object_id"), F.coalesce("label", "id").alias("company"))
-    held = latest_links(edges.filter("predicate = 'OWNS_STAKE_IN'")).join(labels, "object_id").select("subject_id", "company", F.col("qualifier.stake_pct").alias("stake"))
-    line = F.concat(F.lit("- "), text.wikilink(F.col("company")), F.coalesce(F.concat(F.lit(" — "), text.general(F.col("stake")), F.lit("%")), F.lit("")))
+def person_notes(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """node_id, name, note: a note for each person with the companies that the person holds, sorted and each once, with the share last recorded.
+
+    How a company is linked is made once a company. With `parts`, each shuffle of stakes goes over so many tasks.
+    """
+    company = F.coalesce("label", "id")
+    labels = nodes.filter("kind = 'company'").select(F.col("id").alias("object_id"), company.alias("company"), text.wikilink(company).alias("link"))
+    held = latest_links(edges.filter("predicate = 'OWNS_STAKE_IN'"), parts).join(labels, "object_id").select("subject_id", "company", "link", F.col("qualifier.stake_pct").alias("stake"))
+    held = held.repartition(parts, "subject_id") if parts else held
+    line = F.concat(F.lit("- "), "link", F.coalesce(F.concat(F.lit(" — "), text.general(F.col("stake")), F.lit("%")), F.lit("")))
     refs = held.groupBy(F.col("subject_id").alias("id")).agg(
         F.count("*").alias("n"), F.transform(F.sort_array(F.collect_set(F.struct("company", "stake", line.alias("line")))), lambda x: x["line"]).alias("lines")
     )

@@ -1129,7 +1129,7 @@ def backlinks(s: Star) -> DataFrame:
     with_views("stake") + f", {_OWNED} SELECT holder_id, array_to_string(list_sort(list(DISTINCT company_id)), ',') AS companies, count(DISTINCT company_id) AS n FROM owned GROUP BY holder_id"
 )
 def person_holdings(s: Star) -> DataFrame:
-    return projection.person_holdings(s.stake_edges())
+    return projection.person_holdings(s.stake_edges(), s.shuffles())
 
 
 @query(
@@ -1150,7 +1150,7 @@ _CARD = """card AS (SELECT company_id, label, coalesce(segments, 0) AS segments,
 
 def _cards(s: Star) -> DataFrame:
     issues = integrity.nonpositive_equity(s.facts(), "operating_income").withColumnRenamed("company_id", "subject")
-    return projection.company_card(s.nodes(), union(s.segment_edges(), s.stake_edges()), s.facts(), issues)
+    return projection.company_card(s.nodes(), union(s.segment_edges(), s.stake_edges()), s.facts(), issues, s.shuffles())
 
 
 @query(with_views("companies", "seg", "stake", "facts") + f", {_CARD} SELECT * FROM card")
@@ -1206,7 +1206,7 @@ FROM companies c JOIN nation ON n_nationkey = nation LEFT JOIN segs USING (compa
 def company_notes(s: Star) -> DataFrame:
     facts = _round_facts(s)
     issues = integrity.nonpositive_equity(facts, "operating_income").withColumnRenamed("company_id", "subject")
-    return projection.company_notes(_note_nodes(s), _note_edges(s), facts, issues)
+    return projection.company_notes(_note_nodes(s), _note_edges(s), facts, issues, s.shuffles())
 
 
 @query(with_views("seg", "companies") + f""", {_LAST_SEG}, refs AS (SELECT object_id, count(*) AS n, string_agg('- [[' || {_SAFE.format('label')} || ']] (세그먼트) — ' || format('{{:g}}', share) || '%', chr(10) ORDER BY label, share) AS lines FROM lastseg JOIN companies ON company_id = subject_id GROUP BY ALL)
@@ -1224,7 +1224,7 @@ SELECT id AS node_id, {_SAFE.format('c_name')} AS name, '---' || chr(10) || 'typ
 FROM (SELECT 'person:' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id, c_name FROM customer) LEFT JOIN refs ON holder_id = id""")
 def person_notes(s: Star) -> DataFrame:
     short = F.col("qualifier").withField("stake_pct", F.floor(F.col("qualifier.stake_pct") * 100) / 100)
-    return projection.person_notes(s.nodes(), s.stake_edges().withColumn("qualifier", short))
+    return projection.person_notes(s.nodes(), s.stake_edges().withColumn("qualifier", short), s.shuffles())
 
 
 @query("""WITH named AS (SELECT 'people' AS folder, 'customer:' || c_custkey AS node_id, CASE WHEN c_nationkey = 0 THEN '' WHEN c_custkey % 2 = 0 THEN 'Nation ' ELSE 'NATION ' END || CASE WHEN c_nationkey = 0 THEN '..' ELSE CAST(c_nationkey AS VARCHAR) END AS raw, c_name AS note FROM customer
@@ -1300,7 +1300,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY company_id, predicate ORDER
 SELECT company_id, predicate, CAST(place AS INT) AS place, object_id, share_pct FROM placed WHERE predicate = 'HAS_SEGMENT' OR place <= 5""")
 def company_summary(s: Star) -> DataFrame:
     sold = s.stake_edges().withColumns({"qualifier": F.col("qualifier").withField("share_pct", F.col("qualifier.stake_pct")), "predicate": F.lit("SELLS_TO")})
-    return graph_query.company_summary(s.segment_edges().unionByName(sold.withColumns({"subject_id": F.col("object_id"), "object_id": F.col("subject_id")})))
+    return graph_query.company_summary(s.segment_edges().unionByName(sold.withColumns({"subject_id": F.col("object_id"), "object_id": F.col("subject_id")})), parts=s.shuffles())
 
 
 @query("SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS corp_code, CAST(y AS VARCHAR) AS period FROM customer, range(1996, 2003) t(y)")
