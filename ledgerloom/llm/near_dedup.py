@@ -345,8 +345,9 @@ def _reaching(prefixes: DataFrame, threshold: float) -> DataFrame:
     step = -math.log(threshold) / SIZE_STEPS
     sized = prefixes.withColumn("size", F.floor(F.log("total") / step))
     found = sized.groupBy("shingle", "size").agg(F.min("total").alias("least"), F.count("*").alias("n"))
-    near = F.sequence(F.col("size") - SIZE_STEPS - 1, F.col("size") + SIZE_STEPS + 1)
-    least = found.select("shingle", F.explode(near).alias("size"), "least", "n").groupBy("shingle", "size").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n > 1")
+    # A shingle has a row for each size here, a few hundred at most: what lies near each is looked at in place and makes no rows.
+    near = Window.partitionBy("shingle").orderBy("size").rangeBetween(-SIZE_STEPS - 1, SIZE_STEPS + 1)
+    least = found.select("shingle", "size", F.min("least").over(near).alias("least"), F.sum("n").over(near).alias("n")).filter("n > 1").drop("n")
     can = F.col("rest") * (1 + threshold) >= (F.col("total") + F.col("least")) * (threshold * (1 - SLACK))
     return sized.join(least.hint("merge"), ["shingle", "size"]).filter(can).select(*prefixes.columns)
 

@@ -3,6 +3,7 @@
 import collections
 import functools
 import itertools
+import math
 import random
 import zlib
 
@@ -244,6 +245,25 @@ def test_prefixes_that_reach_no_partner_go_and_no_pair_is_lost(spark):
     assert pairs(left) == pairs(rows) != set() and not [r for r in left if r[0] in (98, 99)]
 
 
+def test_sizes_near_a_shingles_own_make_no_rows(spark):
+    """The least partner is found among a shingle's own rows: nothing is repeated for the sizes around, and shingles of one text go."""
+    pick, t, steps = random.Random(12), near_dedup.THRESHOLD, near_dedup.SIZE_STEPS
+    rows = []
+    for i in range(400):
+        total = 10 * 1.5 ** pick.uniform(0, 9)
+        rows += [(at, (i, i), total, total * pick.uniform(t, 1)) for at in pick.sample(range(60), 2)] + [(1000 + i, (i, i), total, total)]
+    df = spark.createDataFrame(rows, "shingle long, node struct<doc: long, h: long>, total double, rest double")
+    size = {r[2]: math.floor(math.log(r[2]) * steps / -math.log(t)) for r in rows}
+    want = set()
+    for r in rows:
+        near = [x[2] for x in rows if x[0] == r[0] and abs(size[x[2]] - size[r[2]]) <= steps + 1]
+        if len(near) > 1 and r[3] * (1 + t) >= (r[2] + min(near)) * (t * (1 - near_dedup.SLACK)):
+            want.add(r)
+    reaching = near_dedup._reaching(df, t)
+    assert {(r["shingle"], tuple(r["node"]), r["total"], r["rest"]) for r in reaching.collect()} == want and 0 < len(want) < 800
+    assert "Generate" not in reaching._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_near_duplicates_of_a_template_and_its_edits(spark):
     # Edits of one template, and copies of the edits with a further change: pairs meet in large buckets, and classes are no stars.
     rng = random.Random(21)
