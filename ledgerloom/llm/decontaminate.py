@@ -180,21 +180,21 @@ def keep_clean(
 ) -> DataFrame:
     """docs, all columns and rows as they are, without the documents that hold a window. A single block takes no shuffle."""
     blocks, scanners = _blocks(benchmark, item_col, item_text_col, span, block_chars)
-    longest = max(map(len, docs.columns))
     if blocks > 1:
-        doc, key = ("k" * (longest + n) for n in (1, 2))  # names that no column has
+        doc, key = ("k" * (max(map(len, docs.columns)) + n) for n in (1, 2))  # names that no column has
         rows = repeats.keyed(docs, id_col, text_col)
         gone = _parts(rows, scanners).select(F.col("doc").alias(doc), F.col("key").alias(key)).distinct()
         marked = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NO_ID)), key: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
         return marked.join(gone.hint("merge"), [doc, key], "left_anti").drop(doc, key)
-    mark = "k" * (longest + 1)
+    marked, mark, added = repeats.beside_text(docs, text_col)
     hits = next(scanners)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):
-            yield batch.drop_columns([mark]).filter(pa.array([not ranges for _, ranges, _ in hits(bytescan.column(batch, mark))], pa.bool_()))
+            keep = pa.array([not ranges for _, ranges, _ in hits(bytescan.column(batch, mark))], pa.bool_())
+            yield (batch.drop_columns([mark]) if added else batch).filter(keep)
 
-    return docs.withColumn(mark, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(judge, docs.schema)
+    return marked.mapInArrow(judge, docs.schema)
 
 
 def scan(

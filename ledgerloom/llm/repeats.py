@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ledgerloom.llm import bytescan
 from ledgerloom.llm.scratch import materialize
@@ -33,6 +34,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), doc.alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
+def beside_text(docs: DataFrame, text_col: str) -> tuple[DataFrame, str, bool]:
+    """docs, the column to read texts from, and whether it was added (under a name that no column has).
+
+    A column of strings is read as it is, so that texts go to Python once, not twice.
+    """
+    if docs.columns.count(text_col) == 1 and docs.schema[text_col].dataType == StringType():
+        return docs, text_col, False
+    mark = "k" * (max(map(len, docs.columns)) + 1)
+    return docs.withColumn(mark, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), mark, True
+
+
 def _scanner(span: int, gram: int, by_word: bool) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):

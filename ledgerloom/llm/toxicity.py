@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm import bytescan
+from ledgerloom.llm import bytescan, repeats
 from ledgerloom.llm.decontaminate import SEPARATORS, TABLE
 
 BITS = 20
@@ -160,13 +160,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns and rows as they are, without the documents that score threshold or more."""
-    schema = docs.schema
-    mark = "k" * (max(map(len, docs.columns)) + 1)  # a name that no column has
+    marked, mark, added = repeats.beside_text(docs, text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytescan.parts(batches):
             keep = model.score(bytescan.column(batch, mark)) < threshold
-            yield batch.drop_columns([mark]).filter(pa.array(keep))
+            yield (batch.drop_columns([mark]) if added else batch).filter(pa.array(keep))
 
-    marked = docs.withColumn(mark, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return marked.mapInArrow(judge, schema)
+    return marked.mapInArrow(judge, docs.schema)

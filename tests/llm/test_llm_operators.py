@@ -5,11 +5,13 @@ import functools
 import itertools
 import math
 import random
+import re
 import zlib
 
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +285,27 @@ def test_near_duplicates_of_a_template_and_its_edits(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table).collect()} == want
 
 
+def test_the_pipeline_sends_texts_once_and_in_short_batches(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+        for name, stage in corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[2]:
+            out = stage(spark, docs, DATA)
+            sent = re.search(r"MapInArrow .*\n\W*(\w+)", out._jdf.queryExecution().optimizedPlan().toString())
+            assert out.schema == docs.schema and sent[1].startswith("Relation"), name  # no column is added beside the text
+            assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= corpus_pipeline.BATCH_ROWS
+        cut = spark.range(0, 2000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r["n"] for r in cut.collect()) <= 512
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+        corpus_pipeline.STAGES[0][1](spark, docs, DATA)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
 def test_idf_decides(spark):
     # Two pages with the site's boilerplate and own text of their own: alike by plain shingles, not by weighted ones.
     rng = random.Random(22)
